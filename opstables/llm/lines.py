@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opstables.llm.common import SPACES, keyed, same_row, slices, utf8
 
@@ -75,7 +76,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(doc == owner)).select(["doc_id", "text_key", "pos"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bitmap(positions: pd.Series) -> pd.Series:
     """Sorted line numbers as a compressed bitmap."""
 

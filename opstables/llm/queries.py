@@ -43,16 +43,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_sharding": """
 WITH crc_table AS (
-  SELECT list_transform(range(0, 256), n -> list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(0, 8) AS BIGINT[])),
-         (c, k) -> CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(0, 8) AS BIGINT[])),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
 ), d AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, coalesce(text, '') AS txt,
          md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
   FROM documents
 ), sized AS (
   SELECT doc_id, src, no_src, h, CAST(strlen(txt) + 1 AS BIGINT) AS size,
-         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(txt)), '..'), x -> CAST('0x' || x AS BIGINT))),
-             (c, b) -> xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) AS text_crc32
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(txt)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) AS text_crc32
   FROM d, crc_table
 ), ranked AS (
   SELECT *, (2 * row_number() OVER (PARTITION BY src, no_src ORDER BY h, doc_id, text_crc32, size) - 1) / CAST(2 * count(*) OVER (PARTITION BY src, no_src) AS DOUBLE) AS frac
@@ -100,7 +100,7 @@ WITH w AS (
          CAST(len(regexp_extract_all(txt, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
          len(regexp_extract_all(txt, '[!?]')) AS n_marks, len(regexp_extract_all(txt, '\p{Lu}')) AS n_upper, len(string_split(txt, chr(10))) AS n_lines
-  FROM (SELECT *, list_filter(string_split(txt, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w) LEFT JOIN covered USING (doc_id)
+  FROM (SELECT *, list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w) LEFT JOIN covered USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
 )
