@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstables.llm import exact, lines, quality_rules, sharding
+from opstables.llm import exact, lines, packing, quality_rules, secrets, sharding, simhash
 from opstables.llm.common import documents
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).drop("text_key")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleaved_shards(documents(spark, sf_dir), 16)
     return shards.select(
@@ -18,6 +22,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.find_secrets(docs, owner=docs["source"], repo=F.concat_ws("/", docs["source"], docs["lang"]))
+
+    def n(field: str, value: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("long").alias(f"n_{value}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *(n("kind", kind) for kind in secrets.BASE_KINDS),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+        *(n("verdict", verdict) for verdict in ("example", "live", "unclear")),
+    )
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf_dir), digests=True)
 
@@ -36,7 +62,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_sharding, op7_exact_dedup, op8_line_dedup, op9_quality_rules)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial
