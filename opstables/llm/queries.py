@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstables.llm import exact, lines, packing, quality_rules, secrets, sharding, simhash
+import public_tokenizers
+
+from opstables.llm import bpe, exact, lines, packing, quality_rules, secrets, sharding, simhash, substrings
 from opstables.llm.common import documents
 
 
@@ -44,6 +46,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf_dir), digests=True)
 
@@ -62,7 +80,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial
