@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,13 +118,16 @@ def _apply(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
             )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, rest: Column | None = None) -> DataFrame:
     """doc_id, text_key, n_lines (before), n_dropped, kept_text: one row for each row of docs.
 
     A null or empty text is one empty line, which is too short to be compared.  Ties
     don't arise: all lines of the smallest doc_id that holds a key stay, repeated ones too.
+    rest: something else of each row to carry along, as a column of that name.
     """
-    d = keyed(docs)
+    d = keyed(docs, *([] if rest is None else [rest.alias("rest")]))
     keep = keep_bitmaps(docs, min_chars)
-    both = d.join(keep, same_row(d, keep), "left").select(d["doc_id"], d["text_key"], d["text"], keep["keep"])
-    return both.mapInArrow(lambda it: _apply(it, min_chars), "doc_id long, text_key long, n_lines long, n_dropped long, kept_text string")
+    both = d.join(keep, same_row(d, keep), "left").select(*(d[c] for c in d.columns), keep["keep"])
+    carried = both.drop("text", "keep").schema
+    out = carried.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+    return both.mapInArrow(lambda it: _apply(it, min_chars), out)

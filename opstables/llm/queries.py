@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from opstables.llm import bpe, exact, lines, packing, quality_rules, secrets, sharding, simhash, substrings
+from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, substrings
 from opstables.llm.common import documents
 
 
@@ -78,9 +78,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *base, base_failed.alias("base_failed"), "kept")
 
 
+#: Scores from here on count as good.
+QUALITY_THRESHOLD = 0.3
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.Model:
+    """Trained on the labels of rows that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return classifier.train(docs, labels)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = classifier.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial

@@ -52,7 +52,7 @@ class Sketching:
 
 
 #: Five words and a Jaccard similarity of about 0.8: 39 of 256 bits differ there on average, with a deviation of 6.
-NEAR_COPIES = Sketching(shingle=5, bits=256, radius=50, blocks="shingles")
+NEAR_COPIES = Sketching(shingle=5, bits=256, radius=54, blocks="shingles")
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
