@@ -1,4 +1,6 @@
 """Every operator as a registered query, with its DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from opstables.plans import dags, lists, queues, recovery, rules, series, state, streams, values  # noqa: F401
+from opstables.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
