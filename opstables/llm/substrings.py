@@ -6,7 +6,7 @@ several documents hold, the smallest doc_id is the source; elsewhere the words i
 1. Anchors.  Equal windows have the same least inner 5-gram.  Only windows whose anchor
    several documents hold can be repeated; all others are done.  Anchors are a fifth of the
    windows, and each travels as two hashes' worth of bytes.
-2. Edges.  The remaining windows are grouped by a 128-bit hash of their words: the group's
+2. Edges.  The remaining windows are grouped by a 96-bit hash of their words: the group's
    least doc_id, with a position in it, is the edge's source coordinate.
 3. Paths.  Edges that follow one another in their source document, with as many occurrences
    each (no branch joins or leaves between them), are compacted to one path: a start and a length
@@ -91,7 +91,7 @@ class Words:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, doc_id, text_key, run): a row for each run of windows with the same anchor."""
+    """(anchor, doc_id, tag, run): a row for each run of windows with the same anchor."""
     for batch in batches:
         for part in slices(batch, most=_SLICE):
             w = Words(utf8(part.column("text")))
@@ -103,8 +103,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[1:] = (run[1:] != run[:-1]) | (w.doc[at[1:]] != w.doc[at[:-1]])
             rows = pa.array(w.doc[at[first]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[first].view(np.int64)), part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(run[first].astype(np.int32))],
-                names=["anchor", "doc_id", "text_key", "run"],
+                [pa.array(anchor[first].view(np.int64)), part.column("doc_id").take(rows), part.column("tag").take(rows), pa.array(run[first].astype(np.int32))],
+                names=["anchor", "doc_id", "tag", "run"],
             )
 
 
@@ -137,13 +137,14 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             doc = w.doc[at]
-            ids = [part.column(c).take(pa.array(doc)) for c in ("doc_id", "text_key")]
-            hashes = [pa.array(_hashes(w.hash, WINDOW, base)[at].view(np.int64)) for base in _BASE]
-            yield pa.RecordBatch.from_arrays([*hashes, *ids, pa.array((at - w.start[doc]).astype(np.int32))], names=["hi", "lo", "doc_id", "text_key", "pos"])
+            hi, lo = (_hashes(w.hash, WINDOW, base)[at].view(np.int64) for base in _BASE)
+            # the place of a window: which of the texts of its doc_id (there is one, as a rule), and the position in it
+            place = (np.repeat(part.column("tag").to_numpy().astype(np.int64), w.size)[at] << 32) | (at - w.start[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo.astype(np.int32)), part.column("doc_id").take(pa.array(doc)), pa.array(place)], names=["hi", "lo", "doc_id", "place"])
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, starts, lengths): a source document's edges, compacted to paths."""
+    """(doc_id, tag, starts, lengths): a source document's edges, compacted to paths."""
     for batch in batches:
         starts, lengths = [], []
         for pos, n in zip(_lists(batch.column("at")), _lists(batch.column("n")), strict=True):
@@ -156,7 +157,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(np.diff(np.append(cut, len(pos))).astype(np.int32))
         sizes = np.fromiter(map(len, starts), np.int64, len(starts))
         flat = [pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32()) for x in (starts, lengths)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(list_array(sizes, x) for x in flat)], names=["doc_id", "text_key", "starts", "lengths"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *(list_array(sizes, x) for x in flat)], names=["doc_id", "tag", "starts", "lengths"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         first = np.repeat(starts.astype(np.int64) - (np.cumsum(lengths) - lengths), lengths)
                         own[w.start[i] + first + np.arange(len(first))] = True
                 doc = w.doc[at]
-                hi, lo = (_hashes(w.hash, WINDOW, base)[at] for base in _BASE)
+                hi, lo = (_hashes(w.hash, WINDOW, base)[at].view(np.int64) for base in _BASE)
+                lo = lo.astype(np.int32)
                 order = np.lexsort((lo, hi, doc))
                 new = np.ones(len(at), bool)
                 new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
@@ -205,18 +207,18 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     null ones stay as they are, and so do rows without doc_id.  Rows that repeat a doc_id with
     another text are copies of one of them, where they share windows.
     """
-    d = keyed(docs)
-    anchors = d.where("doc_id IS NOT NULL").mapInArrow(_anchor_rows, "anchor long, doc_id long, text_key long, run int")
-    held = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min("run").alias("run"))
+    d = keyed(docs).withColumn("tag", F.col("text_key").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    anchors = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, tag int, run int")
+    held = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("tag").alias("tag"), F.min("run").alias("run"))
     # an anchor of a single run: no window with it stands anywhere else
-    lone = held.where("n = 1").groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("own_runs"))
+    lone = held.where("n = 1").groupBy("doc_id", "tag").agg(F.collect_list("run").alias("own_runs"))
     own = stored(lone, "own-anchors")
-    edges = d.join(own, ["doc_id", "text_key"], "left").where("doc_id IS NOT NULL").select("doc_id", "text_key", "text", "own_runs").mapInArrow(_edge_rows, "hi long, lo long, doc_id long, text_key long, pos int")
-    sources = edges.groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("text_key", "doc_id").alias("text_key"), F.min_by("pos", "doc_id").alias("pos"), F.count("*").cast("int").alias("n")
-    )
-    by_source = sources.groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
-    paths = by_source.mapInArrow(_compact, "doc_id long, text_key long, starts array<int>, lengths array<int>")
-    known = stored(own.join(paths, ["doc_id", "text_key"], "full"), "paths")
-    both = d.join(known, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "own_runs", "starts", "lengths")
+    texts = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").join(own, ["doc_id", "tag"], "left")
+    edges = texts.mapInArrow(_edge_rows, "hi long, lo int, doc_id long, place long")
+    sources = edges.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("n"))
+    placed = sources.select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"), F.col("n").cast("int").alias("n"))
+    by_source = placed.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
+    paths = by_source.mapInArrow(_compact, "doc_id long, tag int, starts array<int>, lengths array<int>")
+    known = stored(own.join(paths, ["doc_id", "tag"], "full"), "paths")
+    both = d.join(known, ["doc_id", "tag"], "left").select("doc_id", "text_key", "text", "own_runs", "starts", "lengths")
     return both.mapInArrow(_remove, "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
