@@ -111,8 +111,8 @@ def fit(labelled: list[tuple[np.ndarray, int]], ratios: np.ndarray, loss: float
     for found, _ in labelled:
         v = ratios[found]
         length = float(np.sqrt((v * v).sum()))
-        rows.append(np.append(found, size))
-        values.append(np.append(v / length if length else v, 1.0))
+        rows.append(np.append(found, size).astype(np.int32))
+        values.append(np.append(v / length if length else v, 1.0).astype(np.float32))
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
     w = descend([rows[i] for i in train], [values[i] for i in train], y[train], size, loss, epochs)
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: in
 
     def fit_one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(at=frame["features"].map(zlib.crc32)).sort_values(["at", "doc_id"])
-        model = fit([(np.frombuffer(zlib.decompress(f), np.int32).astype(np.int64), q) for f, q in zip(frame["features"], frame["label"], strict=True)], ratios)
+        model = fit([(np.frombuffer(zlib.decompress(f), np.int32), q) for f, q in zip(frame["features"], frame["label"], strict=True)], ratios)
         return pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
     fitted = chosen.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit_one, "weights binary, bias double, slope double, shift double").collect()

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from opstables.llm.common import fits_broadcast, keyed, list_array, slices, stored, utf8
 
 TILE = 1024
+#: Comparisons of a fingerprint with a word of 64 that a worker holds at a time.
+CELLS = 50_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -124,10 +126,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.Re
             )
 
 
-def within_radius(bits: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows at most radius bits apart, of the same group: row i is compared with rows up to end[i].
+def links(bits: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows of the same group at most radius bits apart, CELLS comparisons of a row with a word at a time.
 
-    bits: a row of 0 and 1 for each fingerprint, groups one after another; start, end: of the row's group.
+    bits: a row of 0 and 1 for each fingerprint, groups one after another; end: of each row's group.
     """
     n, width = bits.shape
     lanes = np.zeros((width, -(-n // 64) * 64), np.uint8)
@@ -136,8 +138,8 @@ def within_radius(bits: np.ndarray, start: np.ndarray, end: np.ndarray, radius:
     rows = np.arange(n)
     first, last = (rows + 1) // 64, (end - 1) // 64
     count = np.where(rows + 1 < end, last - first + 1, 0)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    cuts = np.searchsorted(np.cumsum(count), np.arange(500_000, count.sum() + 500_000, 500_000)) + 1
+    total = np.cumsum(count)
+    cuts = np.searchsorted(total, np.arange(CELLS, total[-1] + CELLS, CELLS)) + 1
     at = 0
     for cut in np.unique(np.minimum(cuts, n)):
         own, at = rows[at:cut], cut
@@ -147,10 +149,7 @@ def within_radius(bits: np.ndarray, start: np.ndarray, end: np.ndarray, radius:
         high = np.minimum(end[query], word * 64 + 64) - word * 64
         size = (high - low).astype(np.uint64)
         valid = np.where(size >= 64, _ALL, (np.uint64(1) << np.minimum(size, 63)) - np.uint64(1)) << np.minimum(low, 63).astype(np.uint64)
-        found += _compare(planes, bits, query, word, ~valid, radius)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(map(np.concatenate, zip(*found, strict=True)))  # type: ignore[return-value]
+        yield from _compare(planes, bits, query, word, ~valid, radius)
 
 
 def _compare(planes: np.ndarray, bits: np.ndarray, query: np.ndarray, word: np.ndarray, over: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -187,17 +186,25 @@ def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row that the links i-j connect it with."""
-    root = np.arange(n)
-    while True:
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (each row's least connected row) after the links i-j are added; the links can then be dropped."""
+    i, j = root[i], root[j]
+    apart = i != j
+    i, j = i[apart], j[apart]
+    if len(i):
+        pair = np.unique(np.maximum(i, j) * len(root) + np.minimum(i, j))
+        i, j = pair // len(root), pair % len(root)
+    while len(i):
         new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
+        np.minimum.at(new, i, new[j])
         new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+        root = new[root]
+        i, j = root[i], root[j]
+        apart = i != j
+        i, j = np.maximum(i[apart], j[apart]), np.minimum(i[apart], j[apart])
+    while (root[root] != root).any():
+        root = root[root]
+    return root
 
 
 def _block_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -218,8 +225,9 @@ def _block_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
             order = np.lexsort((reps, group))
             reps, bits = reps[order], np.unpackbits(fps[order], axis=1)
             ends = np.cumsum(size)
-            i, j = within_radius(bits, (ends - size)[group], ends[group], radius)
-            root = local_roots(len(reps), i, j)
+            root = np.arange(len(reps))
+            for i, j in links(bits, ends[group], radius):
+                root = merged(root, i, j)
             at = np.flatnonzero(reps[root] != reps)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[root[at]])], names=["a", "b"])

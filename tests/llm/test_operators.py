@@ -201,16 +201,26 @@ def test_simhash_components(docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
-def test_bit_sliced_distances_equal_popcounts():
+@pytest.mark.parametrize("cells", [7, 50_000])
+def test_bit_sliced_distances_equal_popcounts(monkeypatch, cells):
+    monkeypatch.setattr(simhash, "CELLS", cells)
     rng = np.random.default_rng(2)
     for n, width, radius in ((150, 64, 2), (70, 256, 40), (3, 64, 0), (129, 64, 9)):
         base = rng.integers(0, 2, width, dtype=np.uint8)
         bits = base ^ (rng.random((n, width)) < radius / width / 1.5).astype(np.uint8)
         size = np.array([n // 3, n // 3, n - 2 * (n // 3)])
         group, ends = np.repeat(np.arange(3), size), np.cumsum(size)
-        i, j = simhash.within_radius(bits, (ends - size)[group], ends[group], radius)
+        pairs = [p for i, j in simhash.links(bits, ends[group], radius) for p in zip(i.tolist(), j.tolist(), strict=True)]
         want = {(a, b) for a in range(n) for b in range(a + 1, n) if group[a] == group[b] and (bits[a] != bits[b]).sum() <= radius}
-        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+        assert set(pairs) == want and len(pairs) == len(want)
+        root = np.arange(n)
+        for i, j in simhash.links(bits, ends[group], radius):
+            root = simhash.merged(root, i, j)
+        known = {k: k for k in range(n)}
+        for _ in range(n):
+            for a, b in want:
+                known[a] = known[b] = min(known[a], known[b])
+        assert root.tolist() == [known[k] for k in range(n)]
 
 
 def test_large_blocks_are_tiled(spark, monkeypatch):
