@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +21,22 @@ def waves(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataF
     A step enters a round when as many of its dependencies are resolved as it declares.  Only the frontier and
     pending counts move in a round.
     """
-    deps = edges.distinct()
+    deps = _cut(edges.distinct())
     declared = deps.groupBy("step").agg(F.count("*").alias("n"))
-    waiting = _cut(steps.select("step").distinct().join(declared, "step", "left").na.fill(0, ["n"]))
-    frontier = waiting.where("n = 0").select("step", F.lit(1).alias("wave"))
-    done = frontier = _cut(frontier)
-    pending = waiting.where("n > 0")
-    for wave in range(2, max_rounds):
+    names = steps.select("step").distinct()
+    state = _cut(names.join(declared, "step", "left").na.fill(0, ["n"]))
+    done: list[DataFrame] = []
+    for wave in range(1, max_rounds):
+        frontier = state.where("n = 0").select("step")
         if frontier.isEmpty():
             break
-        released = deps.join(frontier.select(F.col("step").alias("depends_on")), "depends_on", "left_semi").groupBy("step").agg(F.count("*").alias("k"))
-        pending = _cut(pending.join(released, "step", "left").select("step", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
-        frontier = _cut(pending.where("n = 0").select("step", F.lit(wave).alias("wave")))
-        pending = pending.where("n > 0")
-        done = _cut(done.unionByName(frontier))
-    return steps.select("step").distinct().join(done, "step", "left")
+        done.append(frontier.withColumn("wave", F.lit(wave)))
+        if len(done) == 16:
+            done = [_cut(reduce(DataFrame.unionByName, done))]
+        released = deps.join(frontier.withColumnRenamed("step", "depends_on"), "depends_on", "left_semi").groupBy("step").agg(F.count("*").alias("k"))
+        state = _cut(state.where("n > 0").join(released, "step", "left").select("step", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+    resolved = reduce(DataFrame.unionByName, done) if done else state.limit(0).select("step", F.lit(0).alias("wave"))
+    return names.join(resolved, "step", "left")
 
 
 def ready_steps(deps: DataFrame, progress: DataFrame) -> DataFrame:
