@@ -8,9 +8,10 @@ several documents hold, the smallest doc_id is the source; elsewhere the words i
    windows, and each travels as two hashes' worth of bytes.
 2. Edges.  The remaining windows are grouped by a 96-bit hash of their words: the group's
    least doc_id, with a position in it, is the edge's source coordinate.
-3. Paths.  Edges that follow one another in their source document, with as many occurrences
-   each (no branch joins or leaves between them), are compacted to one path: a start and a length
-   in coordinates of the source.  A document gets back the paths that it is the source of.
+3. Paths.  An edge and the next one in their source are on one nonbranching path if the first
+   is always followed by the second and that is always led to by the first (the group knows
+   whether one word stands before, and one after, all occurrences).  Paths are compacted to a
+   start and a length in coordinates of the source, and joined back to the source documents.
 4. Verification.  A document recomputes its windows; a window stays if its words' hash is that
    of a window at the coordinates of one of its own paths, else it is a copy and goes.
 
@@ -79,6 +80,15 @@ class Words:
             least = np.minimum(least[: len(least) - (n - width)], least[n - width :])
         return at, least[at]
 
+    def beside(self, at: np.ndarray, k: int) -> np.ndarray:
+        """16 bits each of the word before and the word after each window; 0 where the text begins or ends."""
+        ends, starts = self.start + self.size, self.start
+        short = (self.hash >> np.uint64(48)).astype(np.int64) | 1
+        last = len(short) - 1
+        before = np.where(at > starts[self.doc[at]], short[np.maximum(at - 1, 0)], 0)
+        after = np.where(at + k < ends[self.doc[at]], short[np.minimum(at + k, last)], 0)
+        return (before << 16 | after).astype(np.uint32).view(np.int32)
+
     def ordinals(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """The number, within its text, of the run of windows of equal anchor that each window is in."""
         doc = self.doc[at]
@@ -140,18 +150,19 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi, lo = (_hashes(w.hash, WINDOW, base)[at].view(np.int64) for base in _BASE)
             # the place of a window: which of the texts of its doc_id (there is one, as a rule), and the position in it
             place = (np.repeat(part.column("tag").to_numpy().astype(np.int64), w.size)[at] << 32) | (at - w.start[doc])
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo.astype(np.int32)), part.column("doc_id").take(pa.array(doc)), pa.array(place)], names=["hi", "lo", "doc_id", "place"])
+            names = ["hi", "lo", "doc_id", "place", "beside"]
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo.astype(np.int32)), part.column("doc_id").take(pa.array(doc)), pa.array(place), pa.array(w.beside(at, WINDOW))], names=names)
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, starts, lengths): a source document's edges, compacted to paths."""
     for batch in batches:
         starts, lengths = [], []
-        for pos, n in zip(_lists(batch.column("at")), _lists(batch.column("n")), strict=True):
+        for pos, alone in zip(_lists(batch.column("at")), _lists(batch.column("alone")), strict=True):
             order = np.argsort(pos, kind="stable")
-            pos, n = pos[order], n[order]
+            pos, alone = pos[order], alone[order]
             new = np.ones(len(pos), bool)
-            new[1:] = (pos[1:] != pos[:-1] + 1) | (n[1:] != n[:-1])
+            new[1:] = (pos[1:] != pos[:-1] + 1) | (alone[:-1] & 1 == 0) | (alone[1:] & 2 == 0)
             cut = np.flatnonzero(new)
             starts.append(pos[cut])
             lengths.append(np.diff(np.append(cut, len(pos))).astype(np.int32))
@@ -214,10 +225,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     lone = held.where("n = 1").groupBy("doc_id", "tag").agg(F.collect_list("run").alias("own_runs"))
     own = stored(lone, "own-anchors")
     texts = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").join(own, ["doc_id", "tag"], "left")
-    edges = texts.mapInArrow(_edge_rows, "hi long, lo int, doc_id long, place long")
-    sources = edges.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("n"))
-    placed = sources.select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"), F.col("n").cast("int").alias("n"))
-    by_source = placed.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
+    edges = texts.mapInArrow(_edge_rows, "hi long, lo int, doc_id long, place long, beside int")
+    sources = edges.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.bit_or("beside").bitwiseXOR(F.bit_and("beside")).alias("differ"))
+    # 1: one word follows all occurrences of the edge; 2: one word leads to all of them
+    alone = F.when(F.col("differ").bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) + F.when(F.shiftrightunsigned("differ", 16) == 0, 2).otherwise(0)
+    placed = sources.select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"), alone.alias("alone"))
+    by_source = placed.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"), F.collect_list("alone").alias("alone"))
     paths = by_source.mapInArrow(_compact, "doc_id long, tag int, starts array<int>, lengths array<int>")
     known = stored(own.join(paths, ["doc_id", "tag"], "full"), "paths")
     both = d.join(known, ["doc_id", "tag"], "left").select("doc_id", "text_key", "text", "own_runs", "starts", "lengths")
