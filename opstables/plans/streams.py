@@ -45,9 +45,10 @@ def _events(s):
 
 
 _register(
-    "t1_liveness", "events", lambda s: T.liveness(s.select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts")), 86400), views="health_checks",
-    sql="""WITH g AS (SELECT entity, epoch_us(ts) / 1000000.0 AS t, lag(epoch_us(ts) / 1000000.0) OVER (PARTITION BY entity ORDER BY ts) AS p FROM health_checks)
-      SELECT entity AS node, t AS at, 'online' AS state FROM g WHERE p IS NULL OR t - p > 86400 UNION ALL SELECT entity, p + 86400, 'offline' FROM g WHERE t - p > 86400""",
+    "t1_liveness", "events",
+    lambda s: T.liveness(s.select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts")), 86400).withColumn("at", F.round(F.col("at") * 1_000_000).cast("bigint")), views="health_checks",
+    sql="""WITH g AS (SELECT entity, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY entity ORDER BY ts) AS p FROM health_checks)
+      SELECT entity AS node, t AS at, 'online' AS state FROM g WHERE p IS NULL OR t - p > 86400000000 UNION ALL SELECT entity, p + 86400000000, 'offline' FROM g WHERE t - p > 86400000000""",
 )
 _register("t6_limiter", "events", lambda s: T.limiter(s.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id")), 86400, 2))
 _register("t6_task_machine", "events", lambda s: T.machine(_events(s).drop("value"), fsm.TASK_TABLE, "pending"))
