@@ -4,10 +4,10 @@ A line's key is the line without white space at its ends, A-Z lower-cased.  Of a
 with enough code points that several documents hold, only the lines of the smallest
 doc_id stay.  Keys travel as 128-bit hashes; texts don't travel to be compared.
 
-Skew: each batch of documents first drops, for every key, all but the smallest doc_id
-in it (no other can be the first), so a line that a third of all documents hold gives
-one row a batch.  What comes back to a document is a compressed bitmap of the lines
-that it keeps.
+Skew: each slice of a batch first drops, for every key, all but the smallest doc_id in
+it (no other can be the first), so a line that a third of all documents hold gives one
+row a slice, of some thousand documents.  What comes back to a document is a compressed
+bitmap of the lines that it keeps.
 """
 
 from __future__ import annotations
@@ -38,21 +38,20 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _places(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    """A row for each compared line of the batch's first document that has its key."""
-    for batch in batches:
+    """For each slice of texts and each key in it: a row for each line of the smallest doc_id that has the key."""
+    for part in (p for batch in batches for p in slices(batch)):
         first: dict[bytes, int] = {}
         rows: list[tuple[bytes, int, int, int]] = []
-        for part in slices(batch):
-            ids, keys = part.column("doc_id").to_pylist(), part.column("text_key").to_pylist()
-            for doc, text_key, text in zip(ids, keys, utf8(part.column("text")), strict=True):
-                if doc is None:
-                    continue
-                for pos, line in enumerate(text.split(b"\n")):
-                    if (key := _key(line, min_chars)) is not None:
-                        h = xxhash.xxh3_128_digest(key)
-                        if first.setdefault(h, doc) > doc:
-                            first[h] = doc
-                        rows.append((h, doc, text_key, pos))
+        ids, keys = part.column("doc_id").to_pylist(), part.column("text_key").to_pylist()
+        for doc, text_key, text in zip(ids, keys, utf8(part.column("text")), strict=True):
+            if doc is None:
+                continue
+            for pos, line in enumerate(text.split(b"\n")):
+                if (key := _key(line, min_chars)) is not None:
+                    h = xxhash.xxh3_128_digest(key)
+                    if first.setdefault(h, doc) > doc:
+                        first[h] = doc
+                    rows.append((h, doc, text_key, pos))
         rows = [r for r in rows if first[r[0]] == r[1]]
         if rows:
             h, doc, text_key, pos = zip(*rows, strict=True)
