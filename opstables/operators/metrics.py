@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opstables.operators.ranks import split_rank
+
 #: Upper bounds of the duration histogram's buckets, in seconds.
 BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0)
 
@@ -33,9 +35,9 @@ def bucket_quantile(hist: DataFrame, q: float, labels: list[str]) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Exact order statistics: the element at floor(n * p), ranked per group (no group is collected)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    """Exact order statistics: the element at floor(n * p), by ranks that no single task makes for a whole group."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ranked = split_rank(rows, by, "_v", [], "_i").withColumnRenamed("_i_of", "_n").withColumn("_i", F.col("_i") - 1)
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("_i") == F.floor(F.col("_n") * p), F.col("_v")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opstables.operators.audit import top_per_key
+from opstables.operators.ranks import split_rank
 
 #: A score is rank * RANK_UNIT + milliseconds.
 RANK_UNIT = 10**13
@@ -22,9 +23,9 @@ def limits(entries: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def positions(entries: DataFrame) -> DataFrame:
-    """Places of the pending entries, from 1, by score and member."""
-    w = Window.partitionBy("capability").orderBy("score", "task_id")
-    return entries.where("queue_set = 'pending'").select("capability", "task_id", F.row_number().over(w).alias("position"))
+    """Places of the pending entries, from 1, by score and member; a hot capability is ranked by many tasks."""
+    pending = entries.where("queue_set = 'pending'").select("capability", "task_id", "score")
+    return split_rank(pending, ["capability"], "score", ["task_id"], "position").select("capability", "task_id", "position")
 
 
 def _ready(entries: DataFrame, as_of_ms: int, scan_limit: int | None) -> DataFrame:
@@ -71,11 +72,14 @@ def admit_slots(arrivals: DataFrame, entries: DataFrame, config: DataFrame) -> D
 def greedy_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each request, idle nodes by GPUs, largest first, while the total before a node is below the need.
 
-    The running totals don't depend on the request, so they are made once; requests are few and broadcast.
+    The running totals don't depend on the request, so they are made once: the total of all larger sizes (one row a
+    size) and the place among nodes of the same size.  Requests are few and broadcast.
     """
-    idle = nodes.where("state = 'idle' AND gpus > 0")
-    w = Window.orderBy(F.col("gpus").desc(), "node_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = idle.select("node_id", "gpus", F.coalesce(F.sum("gpus").over(w), F.lit(0)).alias("running_gpus"))
+    idle = nodes.where("state = 'idle' AND gpus > 0").select("node_id", "gpus")
+    sizes = idle.groupBy("gpus").agg(F.sum("gpus").alias("_sum"))
+    larger = sizes.select("gpus", F.coalesce(F.sum("_sum").over(Window.orderBy(F.col("gpus").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("gpus").orderBy("node_id")) - 1
+    totals = idle.withColumn("_place", place).join(larger, "gpus").select("node_id", "gpus", (F.col("_before") + F.col("_place") * F.col("gpus")).alias("running_gpus"))
     return totals.join(F.broadcast(requests), F.col("running_gpus") < F.col("required_gpus")).select("request_id", "node_id", "gpus", "running_gpus")
 
 
