@@ -218,3 +218,19 @@ def _(tasks):
 
     functions = {"cap-1": lambda p: p.assign(result=p["task_id"] * 2), "cap-2": lambda p: p.assign(result=p["task_id"] + 1)}
     return udf.dispatch_by_capability(tasks.select("task_id", "capability"), functions, "task_id bigint, result bigint")
+
+
+@query("d3_output_contract", "tasks", "SELECT task_id, status FROM tasks")
+def _(tasks):
+    from opstables.operators import udf
+
+    return udf.assert_output(tasks.select("task_id", "status"), {"task_id": "bigint", "status": "string"}, allow_extra=False)
+
+
+@query("d4_observed_calls", "tasks", "SELECT count(*) AS calls, count(*) FILTER (capability = 'cap-1') AS cap_1 FROM tasks")
+def _(tasks):
+    from opstables.operators import udf
+
+    seen_df, seen = udf.observe_calls(tasks, {"cap_1": F.col("capability") == "cap-1"})
+    seen_df.write.format("noop").mode("overwrite").save()
+    return tasks.sparkSession.createDataFrame([seen.get], "calls bigint, cap_1 bigint")
