@@ -127,6 +127,23 @@ WITH crc_table AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((p * 16) // n AS INT) AS shard,
        CAST(p - (((p * 16) // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM placed
+""",
+    "op6_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: md5(array_to_string(ws[i:i + 12], ' ')))) AS k FROM w
+), windows AS (
+  SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY k) AS copied FROM places
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows WHERE copied
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL) AS txt
+  FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """,
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
