@@ -230,6 +230,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     # 1: one word follows all occurrences of the edge; 2: one word leads to all of them
     alone = F.when(F.col("differ").bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) + F.when(F.shiftrightunsigned("differ", 16) == 0, 2).otherwise(0)
     placed = sources.select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"), alone.alias("alone"))
+    placed = stored(placed, "edges")  # the texts' and windows' shuffle files go before the next ones come
     by_source = placed.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"), F.collect_list("alone").alias("alone"))
     paths = by_source.mapInArrow(_compact, "doc_id long, tag int, starts array<int>, lengths array<int>")
     known = stored(own.join(paths, ["doc_id", "tag"], "full"), "paths")
