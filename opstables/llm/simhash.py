@@ -15,6 +15,10 @@ Two ways to the blocks:
 Equal fingerprints are one member, whatever their number.  A block of more than TILE members is
 split into tiles and the pairs of tiles, so no task gets more than two tiles; from a block come
 the edges of its local components (fewer than it has members), never its pairs.
+
+With a percent, such a component only says which members to verify.  Equal sets of distinct shingles
+are one member then, whose set is read once; all members of a component meet in its tiles, where
+links are verified by the exact Jaccard similarity of the sets.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opstables.llm.common import fits_broadcast, keyed, list_array, slices, stored, utf8
 
 TILE = 1024
+#: Shingle hashes of a tile whose members are verified.
+TILE_HASHES = 500_000
 #: Comparisons of a fingerprint with a word of 64 that a worker holds at a time.
 CELLS = 50_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,7 +45,10 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class Sketching:
-    """shingle: words in a shingle; bits: of a fingerprint (a multiple of 64); radius: differing bits that still link."""
+    """shingle: words in a shingle; bits: of a fingerprint (a multiple of 64); radius: differing bits that still link.
+
+    percent: Jaccard similarity of the distinct shingles that a link must have, too; without it the radius decides, and repeats count.
+    """
 
     shingle: int = 3
     bits: int = 64
@@ -47,14 +56,15 @@ class Sketching:
     blocks: str = "pigeonhole"
     bands: int = 16
     band_rows: int = 4
+    percent: int | None = None
 
     def __post_init__(self) -> None:
         if self.blocks == "pigeonhole" and (self.bits != 64 or self.radius > 2):
             raise ValueError("pigeonhole blocks are for 64 bits and a radius of 2 at most")
 
 
-#: Five words and a Jaccard similarity of about 0.8: 39 of 256 bits differ there on average, with a deviation of 6.
-NEAR_COPIES = Sketching(shingle=5, bits=256, radius=54, blocks="shingles")
+#: Five words and a Jaccard similarity of 0.8: 39 of 256 bits differ there on average, with a deviation of 6.
+NEAR_COPIES = Sketching(shingle=5, bits=256, radius=54, blocks="shingles", percent=80)
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -113,17 +123,25 @@ def _shingle_keys(h: np.ndarray, how: Sketching) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(r.tobytes(), i), "big", signed=True) for i, r in enumerate(rows)]
 
 
+def _hashes(text: bytes, how: Sketching) -> np.ndarray:
+    h = shingle_hashes(text, how.shingle)
+    return h if how.percent is None else np.unique(h)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            fps, keys = [], []
+            fps, keys, same, size = [], [], [], []
             for text in utf8(part.column("text")):
-                h = shingle_hashes(text, how.shingle)
+                h = _hashes(text, how)
                 fps.append(fingerprint(h, how.bits))
                 keys.append(_pigeonhole_keys(fps[-1]) if how.blocks == "pigeonhole" else _shingle_keys(h, how))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fp", "blocks"]
-            )
+                same.append(xxhash.xxh128_digest(h.tobytes()))
+                size.append(len(h))
+            found = {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "fp": pa.array(fps, pa.binary()), "blocks": pa.array(keys, pa.list_(pa.int64()))}
+            if how.percent is not None:
+                found |= {"same": pa.array(same, pa.binary()), "size": pa.array(size, pa.int64())}
+            yield pa.RecordBatch.from_pydict(found)
 
 
 def links(bits: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -255,6 +273,70 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have that Jaccard similarity; two empty ones have."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    if not len(b):
+        return True
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            sets = pa.array([_hashes(text, how).tobytes() for text in utf8(part.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component_id", "tiles", "rep", "fp")), sets], names=["component_id", "tiles", "rep", "fp", "shingles"])
+
+
+def _verified_edges(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each run of rows of a component and pair of tiles: members a, each with the smallest member b that verified links lead to."""
+    rows = (r for batch in batches for part in slices(batch, "shingles") for r in zip(*(part.column(c).to_pylist() for c in ("component_id", "pair", "rep", "fp", "shingles")), strict=True))
+    for _, run in itertools.groupby(rows, key=lambda r: r[:2]):
+        members = sorted(((rep, fp, np.frombuffer(x, np.uint64)) for _, _, rep, fp, x in run), key=lambda m: m[0])
+        n = len(members)
+        if n < 2:
+            continue
+        bits = np.unpackbits(np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(n, -1), axis=1)
+        root = np.arange(n)
+        for i, j in links(bits, np.full(n, n), how.radius):
+            for at in range(0, len(i), 4096):
+                a, b = i[at : at + 4096], j[at : at + 4096]
+                apart = root[a] != root[b]
+                for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                    low, high = sorted((root[x], root[y]))
+                    if low != high and similar(members[x][2], members[y][2], how.percent):
+                        root[root == high] = low
+        reps = np.array([m[0] for m in members], np.int64)
+        at = np.flatnonzero(reps[root] != reps)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[root[at]])], names=["a", "b"])
+
+
+def _pairs_of_tiles(own: Column, tiles: Column) -> Column:
+    """The pairs of tiles that a member of the tile `own` belongs to."""
+    others = F.filter(F.sequence(F.lit(0), tiles - 1), lambda t: (t != own) | (tiles == 1))  # a pair of tiles compares within each, too
+    return F.transform(others, lambda t: F.least(t, own) * tiles + F.greatest(t, own))
+
+
+def _verified_roots(docs: DataFrame, named: DataFrame, how: Sketching) -> DataFrame:
+    """(a, root) by verified links; named: members with text_key (of rep's text), size and the component_id of their candidate links."""
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_HASHES)).cast("int")
+    sizes = named.groupBy("component_id").agg(F.count("*").alias("members"), tiles.alias("tiles")).where("members > 1")
+    wanted = stored(named.join(sizes, "component_id").select("rep", F.col("text_key").alias("rep_key"), "fp", "component_id", "tiles"), "candidates")
+    small = fits_broadcast(wanted.count(), 60 + how.bits // 8)
+    rows = keyed(docs)
+    found = rows.join(F.broadcast(wanted) if small else wanted, (rows["doc_id"] == wanted["rep"]) & (rows["text_key"] == wanted["rep_key"])).select("component_id", "tiles", "rep", "fp", "text")
+    sets = found.mapInArrow(lambda it: _sets(it, how), "component_id long, tiles int, rep long, fp binary, shingles binary")
+    own = F.pmod(F.xxhash64("rep"), "tiles").cast("int")
+    tiled = sets.select("component_id", F.explode(_pairs_of_tiles(own, F.col("tiles"))).alias("pair"), "rep", "fp", "shingles")
+    runs = tiled.repartition("component_id", "pair").sortWithinPartitions("component_id", "pair")
+    return components(runs.mapInArrow(lambda it: _verified_edges(it, how), "a long, b long"))
+
+
 def near_groups(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """doc_id, text_key, fp (binary, big-endian), component_id: one row for each row of docs.
 
@@ -262,22 +344,32 @@ def near_groups(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     too) has the fingerprint zero and is linked like any other.  component_id is the smallest doc_id
     reachable by links; null for rows without doc_id.
     """
-    spread = keyed(docs).mapInArrow(lambda it: _sketch(it, how), "doc_id long, text_key long, fp binary, blocks array<long>")
+    verified = how.percent is not None
+    kind, least = (["fp", "same", "size"], F.min(F.struct("doc_id", "text_key"))) if verified else (["fp"], F.min("doc_id"))
+    spread = keyed(docs).mapInArrow(lambda it: _sketch(it, how), "doc_id long, text_key long, fp binary, blocks array<long>" + ", same binary, size long" * verified)
     sketches = stored(spread, "sketches")
-    equal = sketches.where("doc_id IS NOT NULL").groupBy("fp", "blocks").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    members = stored(equal.groupBy("fp").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "members")
+    equal = sketches.where("doc_id IS NOT NULL").groupBy(*kind, "blocks").agg(least.alias("rep"), F.count("*").alias("n"))
+    gathered = equal.groupBy(*kind).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    if verified:
+        gathered = gathered.withColumns({"text_key": F.col("rep.text_key"), "rep": F.col("rep.doc_id")})
+    members = stored(gathered, "members")
     keys = members.select(F.explode("blocks").alias("key"), "rep", "fp")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    others = F.filter(F.sequence(F.lit(0), tiles - 1), lambda t: (t != own) | (tiles == 1))  # a pair of tiles compares within each, too
-    pairs = F.transform(others, lambda t: F.least(t, own) * tiles + F.greatest(t, own))
-    tiled = keys.join(sizes, "key").select("key", F.explode(pairs).alias("pair"), "rep", "fp")
+    tiled = keys.join(sizes, "key").select("key", F.explode(_pairs_of_tiles(own, tiles)).alias("pair"), "rep", "fp")
     blocks = tiled.groupBy("key", "pair").agg(F.collect_list("rep").alias("reps"), F.collect_list("fp").alias("fps"))
     roots = components(blocks.select("reps", "fps").mapInArrow(lambda it: _block_edges(it, how.radius), "a long, b long"))
-    named = members.join(roots, members["rep"] == roots["a"], "left").select("fp", "n", "rep", F.coalesce("root", "rep").alias("component_id"))
-    # a fingerprint that is alone needs no row here
-    classes = stored(named.where("n > 1 OR component_id < rep").select("fp", "component_id"), "classes")
+    named = _with_roots(members, roots)
+    if verified:
+        named = _with_roots(members, _verified_roots(docs, named, how))
+    by = "same" if verified else "fp"
+    # a member that is alone needs no row here
+    classes = stored(named.where("n > 1 OR component_id < rep").select(by, "component_id"), "classes")
     small = fits_broadcast(classes.count(), 60 + how.bits // 8)
-    out = sketches.select("doc_id", "text_key", "fp").join(F.broadcast(classes) if small else classes, "fp", "left")
+    out = sketches.select("doc_id", "text_key", "fp", *[by] * verified).join(F.broadcast(classes) if small else classes, by, "left")
     return out.select("doc_id", "text_key", "fp", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, members["rep"] == roots["a"], "left").select(*members.columns, F.coalesce("root", "rep").alias("component_id"))

@@ -236,6 +236,41 @@ def test_large_blocks_are_tiled(spark, monkeypatch):
     assert {r.component_id for r in simhash.near_groups(df, simhash.NEAR_COPIES).collect()} == {0}
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_near_copies_are_verified(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):  # a text and four with 2 to 30 words of it changed: similarities of 0.2 to 0.95
+        words = [f"v{i}x{k}" for k in range(150)]
+        for c in range(5):
+            w = list(words)
+            for at in rng.sample(range(150), rng.randrange(2, 30) if c else 0):
+                w[at] = f"u{c}y{at}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, "one line repeated many times " * 50), (1001, "One line repeated many times " * 90), (1002, "a b c d e f g " * 60 + "h i j k l"), (1003, "a b c d e f g " * 60 + "m n o p q")]
+    rows += [(1010, ""), (1011, None), (1012, rows[1][1]), (1012, "another text of the same id with words"), (None, rows[0][1])]
+    sets = {d: [] for d, _ in rows}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d].append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} - {()})
+    ids = sorted(d for d in sets if d is not None)
+    root = {d: d for d in ids}
+    between = 0
+    for a in ids:
+        for b in ids:
+            like = max((len(x & y) / len(x | y) if x | y else 1.0) for x in sets[a] for y in sets[b])
+            between += a < b and 0.5 <= like < 0.8
+            if a < b and like >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert between > 40 and len(set(root.values())) < len(ids)
+    got = collections.defaultdict(set)
+    for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), simhash.NEAR_COPIES).collect():
+        got[r.doc_id].add(r.component_id)
+    assert {d: min(c) for d, c in got.items() if d is not None} == root and got[None] == {None}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300) if i % 100 != 99], "a long, b long")
     got = {r.a: r.root for r in simhash.components(edges).collect()}
