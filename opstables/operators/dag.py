@@ -41,9 +41,27 @@ def waves(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataF
 
 def ready_steps(deps: DataFrame, progress: DataFrame) -> DataFrame:
     """Deps (step, depends array), progress (run_id, completed array, failed array): steps not yet run whose dependencies are complete."""
-    rows = progress.join(F.broadcast(deps) if not progress.isStreaming else deps)
-    ready = F.size(F.array_except("depends", "completed")) == 0
-    return rows.where(ready & ~F.array_contains("completed", F.col("step")) & ~F.array_contains("failed", F.col("step"))).select("run_id", "step")
+    if progress.isStreaming:
+        rows = progress.join(deps)
+        ready = F.size(F.array_except("depends", "completed")) == 0
+        return rows.where(ready & ~F.array_contains("completed", F.col("step")) & ~F.array_contains("failed", F.col("step"))).select("run_id", "step")
+    completed = progress.select("run_id", F.explode("completed").alias("step"))
+    failed = progress.select("run_id", F.explode("failed").alias("step"))
+    return ready_after(deps.select("step"), deps.select("step", F.explode("depends").alias("depends_on")), progress.select("run_id"), completed, failed)
+
+
+def ready_after(steps: DataFrame, edges: DataFrame, runs: DataFrame, completed: DataFrame, failed: DataFrame) -> DataFrame:
+    """I2 over rows: steps (step), edges (step, depends_on), runs (run_id), completed and failed (run_id, step).
+
+    A run's completed steps meet the edges that wait for them; a step is ready when as many are complete as it declares.
+    """
+    deps = edges.distinct()
+    declared = deps.groupBy("step").agg(F.count("*").alias("n"))
+    met = completed.distinct().withColumnRenamed("step", "depends_on").join(deps, "depends_on").groupBy("run_id", "step").agg(F.count("*").alias("k"))
+    waited = met.join(declared, "step").where("k = n").select("run_id", "step").join(steps.select("step").distinct(), "step", "left_semi").select("run_id", "step")
+    # each pair is a result, but for those that ran
+    free = runs.select("run_id").distinct().crossJoin(steps.select("step").distinct().join(declared, "step", "left_anti"))
+    return waited.unionByName(free).join(completed.unionByName(failed), ["run_id", "step"], "left_anti")
 
 
 def branch(df: DataFrame, predicate: str, name: str = "taken") -> DataFrame:

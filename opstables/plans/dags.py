@@ -30,6 +30,22 @@ def _(edges, nation):
     return dag.ready_steps(deps, progress)
 
 
+@query(
+    "i2_ready_steps_runs", "lineitem dag_steps",
+    """WITH lines AS (SELECT l_orderkey AS run_id, l_partkey AS part, CAST(l_linenumber AS BIGINT) AS line, l_returnflag = 'R' AS failed FROM lineitem),
+       ran AS (SELECT run_id, part AS step, failed FROM lines UNION SELECT run_id, line, false FROM lines UNION SELECT run_id, 0, false FROM lines WHERE run_id % 4 <> 0),
+       done AS (SELECT DISTINCT run_id, step FROM ran WHERE NOT failed),
+       near AS (SELECT DISTINCT run_id, d.step FROM done JOIN dag_steps d ON d.depends_on = done.step),
+       lacks AS (SELECT n.run_id, n.step FROM near n JOIN dag_steps d USING (step) ANTI JOIN done ON done.run_id = n.run_id AND done.step = d.depends_on),
+       found AS (SELECT * FROM near EXCEPT SELECT * FROM lacks UNION SELECT run_id, 0 FROM lines)
+       SELECT run_id, step FROM found EXCEPT SELECT run_id, step FROM ran""",
+)
+def _(lines, edges):
+    lines = lines.selectExpr("CAST(l_orderkey AS BIGINT) AS run_id", "CAST(l_partkey AS BIGINT) AS part", "CAST(l_linenumber AS BIGINT) AS line", "l_returnflag = 'R' AS failed")
+    completed = lines.where("NOT failed").selectExpr("run_id", "part AS step").unionByName(lines.selectExpr("run_id", "line AS step")).unionByName(lines.where("run_id % 4 <> 0").selectExpr("run_id", "0L AS step"))
+    return dag.ready_after(_steps(edges), edges, lines.select("run_id"), completed, lines.where("failed").selectExpr("run_id", "part AS step"))
+
+
 @query("i3_branch", "tasks", "SELECT task_id, coalesce(timeout_seconds > 600 AND callback_url LIKE 'http://cb/1%', true) AS taken FROM tasks")
 def _(tasks):
     return dag.branch(tasks, "timeout_seconds > 600 AND callback_url LIKE 'http://cb/1%'").select("task_id", "taken")

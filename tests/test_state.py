@@ -118,6 +118,25 @@ def test_waves_with_cycle_and_unknown(spark):
     assert problems == {("z", "unknown dependency"), ("x", "cycle"), ("y", "cycle"), ("d", "cycle")}
 
 
+def test_ready_steps_by_brute_force(spark):
+    rng = random.Random(4)
+    deps = {s: sorted({rng.randrange(s) for _ in range(rng.randrange(1, 4))}) if s % 9 else [] for s in range(120)}
+    runs = {r: (sorted({x for s in rng.sample(range(120), 25) for x in [s, *deps[s]]}), rng.sample(range(120), 5)) for r in range(20)} | {99: ([], [])}
+    want = {(r, s) for r, (c, f) in runs.items() for s, d in deps.items() if set(d) <= set(c) and s not in c and s not in f}
+    steps = spark.createDataFrame(list(deps.items()), "step bigint, depends array<bigint>")
+    progress = spark.createDataFrame([(r, c, f) for r, (c, f) in runs.items()], "run_id bigint, completed array<bigint>, failed array<bigint>")
+    found = dag.ready_steps(steps, progress)
+    assert sorted((r.run_id, r.step) for r in found.collect()) == sorted(want)
+    assert any(s > 60 and deps[s] for _, s in want)
+
+
+def test_ready_steps_reach_the_whole_graph(spark):
+    from opstables.plans import catalog
+
+    found = catalog.QUERIES["i2_ready_steps_runs"](spark, "/root/testdata/sf0.001")
+    assert found.agg(F.max("step")).first()[0] > 60 and found.select("run_id").distinct().count() > 25
+
+
 def test_lineage_chain(spark):
     edges = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)], "id bigint, from_id bigint")
     got = {r.node: (r.root, r.depth) for r in dag.lineage(edges).collect()}
