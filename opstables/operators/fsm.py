@@ -193,3 +193,17 @@ def coalesce_ticks(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:
     w = Window.partitionBy("schedule_id", "poll_at")
     rows = ticks.withColumn("poll_at", F.expr(f"(t + {every - 1}) DIV {every} * {every}")).withColumns({"fire_at": F.max("t").over(w), "missed": F.count("*").over(w) - 1})
     return rows.join(polls, "poll_at", "left_semi").select("schedule_id", "poll_at", "fire_at", "missed").distinct()
+
+
+def coalesce_to_polls(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:
+    """E23 with polls left out: each tick counts at the first poll at or after it; ticks after the last poll aren't due yet.
+
+    Polls (one row each, whatever the schedules) stand in order in one task; ticks meet them by the buckets of `every` seconds they cover.
+    """
+    at = polls.select("poll_at").distinct().withColumn("since", F.lag("poll_at").over(Window.orderBy("poll_at")))
+    bucket = lambda c: F.expr(f"({c} + {every - 1}) DIV {every}")
+    spans = at.withColumn("bucket", F.explode(F.sequence(F.coalesce(bucket("since"), bucket("poll_at")), bucket("poll_at"))))
+    first = at.agg(F.min("poll_at").alias("first"))
+    rows = ticks.crossJoin(F.broadcast(first)).withColumn("bucket", F.greatest(bucket("t"), bucket("first")))
+    due = rows.join(spans, "bucket").where("t <= poll_at AND (since IS NULL OR t > since)")
+    return due.groupBy("schedule_id", "poll_at").agg(F.max("t").alias("fire_at"), (F.count("*") - 1).alias("missed"))

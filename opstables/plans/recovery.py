@@ -249,6 +249,14 @@ def _(cache, tasks):
     return registry.first_available(tasks.where("task_id % 3 = 0"), "task_id", cache.select("task_id", "status"), tasks.select("task_id", "status"))
 
 
+@query(
+    "s4_first_available_all", "task_cache tasks",
+    """SELECT task_id, coalesce(c.status, t.status) AS status, CASE WHEN c.task_id IS NULL THEN 1 ELSE 0 END AS source FROM tasks t LEFT JOIN task_cache c USING (task_id)""",
+)
+def _(cache, tasks):
+    return registry.first_available(tasks, "task_id", cache.select("task_id", "status"), tasks.select("task_id", "status"))
+
+
 @query(
     "s12_merge_record", "tasks task_cache",
     """SELECT t.task_id, coalesce(c.status, t.status) AS status, coalesce(CASE WHEN c.attempt > 2 THEN c.attempt END, t.attempt) AS attempt, t.tenant_id FROM tasks t LEFT JOIN task_cache c ON c.task_id = t.task_id""",

@@ -156,6 +156,16 @@ def _(alerts):
     return A.inhibit(alerts.where("id % 50 < 3")).select("id", "alertname", "severity", "service")
 
 
+@query(
+    "c12_inhibit_all", "alerts",
+    """WITH f AS (SELECT * FROM alerts WHERE status = 'firing'),
+       c AS (SELECT DISTINCT alertname, service FROM f WHERE severity = 'critical'), d AS (SELECT DISTINCT service FROM f WHERE alertname = 'ServiceDown')
+       SELECT id, alertname, severity, service FROM f WHERE NOT (severity = 'warning' AND (alertname, service) IN (SELECT (alertname, service) FROM c)) AND NOT (alertname <> 'ServiceDown' AND service IN (SELECT service FROM d))""",
+)
+def _(alerts):
+    return A.inhibit(alerts).select("id", "alertname", "severity", "service")
+
+
 @query(
     "c13_acknowledged", "alerts operator_actions",
     f"""SELECT id, fingerprint IN (SELECT CAST(target_id AS VARCHAR) FROM operator_actions WHERE action_type = 'dead_letter_acknowledged' AND created_at + INTERVAL 86400 SECOND > TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 2 DAY) AS acknowledged FROM alerts""",

@@ -110,3 +110,14 @@ def _(checks):
     ticks = checks.select(F.col("entity").alias("schedule_id"), F.unix_seconds("ts").alias("t"))
     polls = checks.select(F.expr("(unix_seconds(ts) + 3599) DIV 3600 * 3600").alias("poll_at")).distinct().where("poll_at % 7200 = 0")
     return fsm.coalesce_ticks(ticks, polls, 3600)
+
+
+@query(
+    "e23_coalesce_ticks_all", "health_checks",
+    """WITH t AS (SELECT entity AS schedule_id, epoch_us(ts) // 1000000 AS t FROM health_checks), p AS (SELECT DISTINCT (t + 3599) // 3600 * 3600 AS poll_at FROM t WHERE (t + 3599) // 3600 % 2 = 0)
+       SELECT schedule_id, poll_at, max(t) AS fire_at, count(*) - 1 AS missed FROM t ASOF JOIN p ON t.t <= p.poll_at GROUP BY ALL""",
+)
+def _(checks):
+    ticks = checks.select(F.col("entity").alias("schedule_id"), F.unix_seconds("ts").alias("t"))
+    polls = checks.select(F.expr("(unix_seconds(ts) + 3599) DIV 3600 * 3600").alias("poll_at")).distinct().where("poll_at % 7200 = 0")
+    return fsm.coalesce_to_polls(ticks, polls, 3600)

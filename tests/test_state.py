@@ -137,6 +137,32 @@ def test_ready_steps_reach_the_whole_graph(spark):
     assert found.agg(F.max("step")).first()[0] > 60 and found.select("run_id").distinct().count() > 25
 
 
+def test_skipped_polls_lose_no_ticks(spark):
+    rng = random.Random(8)
+    ticks = [(rng.randrange(4), rng.randrange(-50, 1000)) for _ in range(300)] + [(7, 100), (7, 101), (7, 2000)]
+    for polls in ([100, 130, 131, 400, 950], [333], [-100, 1005]):
+        want = {}
+        for s, t in ticks:
+            if later := [p for p in polls if p >= t]:
+                want.setdefault((s, min(later)), []).append(t)
+        found = fsm.coalesce_to_polls(spark.createDataFrame(ticks, "schedule_id bigint, t bigint"), spark.createDataFrame([(p,) for p in polls], "poll_at bigint"), 10)
+        got = {(r.schedule_id, r.poll_at): (r.fire_at, r.missed) for r in found.collect()}
+        assert got == {k: (max(v), len(v) - 1) for k, v in want.items()}
+
+
+def test_whole_tables_are_read(spark):
+    from opstables.plans import catalog, fixtures
+
+    small = "/root/testdata/sf0.001"
+    kept = {r.id for r in catalog.QUERIES["c12_inhibit_all"](spark, small).collect()}
+    firing = fixtures.view(spark, small, "alerts").where("status = 'firing'").collect()
+    critical, down = {(r.alertname, r.service) for r in firing if r.severity == "critical"}, {r.service for r in firing if r.alertname == "ServiceDown"}
+    assert kept == {r.id for r in firing if not (r.severity == "warning" and (r.alertname, r.service) in critical) and not (r.alertname != "ServiceDown" and r.service in down)}
+    assert catalog.QUERIES["s4_first_available_all"](spark, small).count() == fixtures.view(spark, small, "tasks").count()
+    due = catalog.QUERIES["e23_coalesce_ticks_all"](spark, small).agg(F.sum("missed"), F.count("*"), F.max("poll_at")).first()
+    assert due[0] + due[1] == fixtures.view(spark, small, "health_checks").where(F.unix_seconds("ts") <= due[2]).count()
+
+
 def test_lineage_chain(spark):
     edges = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)], "id bigint, from_id bigint")
     got = {r.node: (r.root, r.depth) for r in dag.lineage(edges).collect()}
