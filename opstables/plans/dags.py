@@ -135,6 +135,17 @@ def _(edges):
     return dag.check_dag(steps, edges).where("problem <> 'cycle'")
 
 
+@query(
+    "i9_check_dag_all", "dag_steps",
+    """WITH RECURSIVE bad AS (SELECT DISTINCT step FROM dag_steps WHERE depends_on = 7), r(step) AS (SELECT step FROM bad UNION SELECT d.step FROM r JOIN dag_steps d ON d.depends_on = r.step)
+       SELECT step, 'duplicate step' AS problem FROM (SELECT DISTINCT step FROM dag_steps WHERE step % 100 = 50)
+       UNION ALL SELECT step, 'unknown dependency' FROM bad UNION ALL SELECT step, 'cycle' FROM r ANTI JOIN bad USING (step)""",
+)
+def _(edges):
+    names = _steps(edges).where("step <> 7")
+    return dag.check_dag(names.unionByName(names.where("step % 100 = 50")), edges)
+
+
 @query(
     "i10_lineage", "operator_actions",
     """WITH RECURSIVE a AS (SELECT id, from_event FROM operator_actions), r(node, root, depth) AS (

@@ -163,6 +163,23 @@ def test_whole_tables_are_read(spark):
     assert due[0] + due[1] == fixtures.view(spark, small, "health_checks").where(F.unix_seconds("ts") <= due[2]).count()
 
 
+def test_check_dag_by_brute_force(spark):
+    from opstables.plans import catalog
+
+    rng = random.Random(6)
+    edges = {(s, rng.randrange(s)) for s in range(1, 60) for _ in range(2)} | {(20, 41), (41, 30), (30, 20), (55, 500)}
+    names = list(range(60))
+    stuck, good = set(names), set()
+    while ready := {s for s in stuck if all(d in good for a, d in edges if a == s)}:
+        good |= ready
+        stuck -= ready
+    want = {(3, "duplicate step"), (55, "unknown dependency")} | {(s, "cycle") for s in stuck - {55}}
+    got = dag.check_dag(spark.createDataFrame([(s,) for s in [*names, 3]], "step bigint"), spark.createDataFrame(sorted(edges), "step bigint, depends_on bigint")).collect()
+    assert sorted((r.step, r.problem) for r in got) == sorted(want) and len(want) > 5
+    found = catalog.QUERIES["i9_check_dag_all"](spark, "/root/testdata/sf0.001")
+    assert found.where("problem = 'cycle'").count() > 0
+
+
 def test_lineage_chain(spark):
     edges = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)], "id bigint, from_id bigint")
     got = {r.node: (r.root, r.depth) for r in dag.lineage(edges).collect()}
