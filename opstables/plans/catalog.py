@@ -1,4 +1,4 @@
-"""Every operator as a registered query, with its DuckDB SQL."""
+"""The operators as registered queries, with DuckDB SQL where there is one."""
 
 from opstables.plans import dags, lists, queues, recovery, rules, series, state, streams, values  # noqa: F401
 from opstables.plans.registry import ORACLES, QUERIES
