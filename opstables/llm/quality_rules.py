@@ -2,34 +2,43 @@
 
 Every rule rejects on a predicate over features of the text.  A rule's cost (seconds to
 evaluate it alone) and selectivity (share it rejects) are measured on a bounded sample of
-rows; the rules then stand in one CASE expression, those with the most rejections per
-cost first, so that a text that a cheap rule rejects never pays for the dear ones.  The
-order changes the time only: a text is kept if no rule rejects it.
+rows; the rules then stand in one CASE, those with the most rejections per cost first.
+A feature is computed inside the CASE, where the first rule that needs it stands, and bound
+there for the rules behind it: a text that a cheap rule rejects never pays for the dear ones.
+The order changes the time only: a text is kept if no rule rejects it.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opstables.llm.common import SPACE_CLASS, SPACES, text_col
+from opstables.llm.common import SPACES, text_col
 
-#: The sample for costs: rows, and code points of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
+#: The sample for costs: rows, the share of rows read that it takes (so that it is spread over more of them), code points of each, timed runs.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_CHARS, RUNS = 200, 0.01, 20_000, 2
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it, and only where this expression is evaluated."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def words(text: Column) -> Column:
     """The runs of other characters than white space."""
-    bare = F.btrim(text, F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
+    for space in SPACES[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def word_chars(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long")
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return F.char_length(text).cast("long")
 
 
 def symbols(text: Column) -> Column:
@@ -39,120 +48,150 @@ def symbols(text: Column) -> Column:
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-
-#: Bits of a window key that hold its place; texts of more words get the wider form.
-_PLACE_BITS, _WIDE_PLACE_BITS = 24, 32
-
-
-def _by_size(w: Column, of: Callable[[int], Column]) -> Column:
-    return F.when(F.size(w) < 2**_PLACE_BITS, of(_PLACE_BITS)).otherwise(of(_WIDE_PLACE_BITS))
-
-
-def _window_keys(w: Column) -> Column:
-    """For each 3-word window its hash and, in the lower bits, its place: sorting brings equal windows together."""
-    n = F.size(w) - 2
-    windows = F.slice(F.arrays_zip(w, F.slice(w, 2, F.greatest(n + 1, F.lit(0))), F.slice(w, 3, F.greatest(n, F.lit(0)))), 1, F.greatest(n, F.lit(0)))
-    keys = _by_size(w, lambda bits: F.sort_array(F.transform(windows, lambda x, i: F.shiftleft(F.xxhash64(x), bits).bitwiseOR(i.cast("long")))))
-    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(keys)
+    return bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def _repeat_places(w: Column, keys: Column) -> Column:
-    """Places of the windows that occur again; windows of equal hash are compared word by word."""
+def window_hash(*window: Column) -> Column:
+    return F.xxhash64(*window)
 
-    def places(bits: int) -> Column:
-        def place(x: Column) -> Column:
-            return x.bitwiseAND(F.lit(2**bits - 1)).cast("int")
 
-        following = F.slice(keys, 2, F.greatest(F.size(keys), F.lit(1)))
-        pairs = F.array_compact(F.zip_with(keys, following, lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), bits) == 0, F.array(place(a), place(b)))))
-        equal = F.filter(pairs, lambda p: F.forall(F.array(*map(F.lit, range(3))), lambda k: F.get(w, F.get(p, 0) + k) == F.get(w, F.get(p, 1) + k)))
-        return F.sort_array(F.array_distinct(F.flatten(equal)))
-
-    return _by_size(w, places)
-
-
-def _covered(places: Column) -> Column:
-    """Words that 3-word windows at these sorted places cover."""
-    steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return F.when(F.size(places) == 0, F.lit(0)).otherwise(F.aggregate(F.slice(steps, 1, F.greatest(F.size(places), F.lit(1))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(3)))).cast("long")
+def repeat_words(w: Column) -> Column:
+    """Words in 3-word windows found twice or more.
 
+    Texts whose windows all differ by their hashes are done.  In others, hashes (their lower 32
+    bits, above the places) are sorted; windows that share one are sorted by their words and
+    counted as repeated if the three words equal a neighbour's, so hashes decide nothing alone.
+    """
 
-#: Feature -> the columns that lead to it, each defined on those before it and on text.
-FEATURES: dict[str, list[tuple[str, Callable[[], Column]]]] = {
-    "n_chars_all": [("n_chars_all", lambda: F.char_length("text").cast("long"))],
-    "n_words": [("_words", lambda: words(F.col("text"))), ("n_words", lambda: F.size("_words").cast("long"))],
-    "word_chars": [("word_chars", lambda: word_chars(F.col("text")))],
-    "n_symbols": [("n_symbols", lambda: symbols(F.col("text")))],
-    "n_marks": [("n_marks", lambda: F.regexp_count("text", F.lit("[!?]")).cast("long"))],
-    "n_upper": [("n_upper", lambda: F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long"))],
-    "n_lines": [("n_lines", lambda: F.regexp_count("text", F.lit(r"\n")).cast("long") + 1)],
-    "n_dup_lines": [("n_dup_lines", lambda: duplicate_lines(F.col("text")))],
-    "n_repeat_words": [
-        ("_words", lambda: words(F.col("text"))),
-        ("_keys", lambda: _window_keys(F.col("_words"))),
-        ("_places", lambda: _repeat_places(F.col("_words"), F.col("_keys"))),
-        ("n_repeat_words", lambda: _covered(F.col("_places"))),
-    ],
+    def window(i: Column) -> list[Column]:
+        return [F.get(w, i + k) for k in range(3)]
+
+    def beside(rows: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """The rows that are the same as the one before or after."""
+        return F.filter(rows, lambda x, i: same(x, F.get(rows, i - 1)) | same(x, F.get(rows, i + 1)))
+
+    def repeated(hashes: Column) -> Column:
+        keys = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, 32).bitwiseOR(i.cast("long"))))
+        alike = bound(keys, lambda ks: beside(ks, lambda a, b: F.shiftright(a, 32) == F.shiftright(b, 32)))
+        spelled = F.sort_array(F.transform(alike, lambda k: bound(k.bitwiseAND(F.lit(2**32 - 1)).cast("int"), lambda i: F.struct(F.array(*window(i)).alias("words"), i.alias("place")))))
+        equal = bound(spelled, lambda rows: beside(rows, lambda a, b: a["words"] == b["words"]))
+        return bound(F.sort_array(F.transform(equal, lambda r: r["place"])), covered)
+
+    def covered(places: Column) -> Column:
+        """Words that 3-word windows at these sorted places cover."""
+        steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    hashes = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: window_hash(x, F.get(w, i + 1), F.get(w, i + 2)))
+    several = bound(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(repeated(hs)))
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(several)
+
+
+#: Feature -> the features (or text) that it is computed from, and how.
+FEATURES: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "words": (("text",), words),
+    "n_words": (("words",), lambda w: F.size(w).cast("long")),
+    "word_chars": (("text",), word_chars),
+    "n_symbols": (("text",), symbols),
+    "n_marks": (("text",), lambda t: F.regexp_count(t, F.lit("[!?]")).cast("long")),
+    "n_upper": (("text",), lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long")),
+    "n_lines": (("text",), lambda t: F.regexp_count(t, F.lit(r"\n")).cast("long") + 1),
+    "n_dup_lines": (("text",), duplicate_lines),
+    "n_repeat_words": (("words",), repeat_words),
 }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects texts for which the SQL predicate over the features is true."""
+    """Rejects texts for which the predicate over its features is true."""
 
     name: str
     features: tuple[str, ...]
-    rejects: str
+    rejects: Callable[..., Column]
+
+    def hit(self, known: dict[str, Column]) -> Column:
+        return F.coalesce(self.rejects(*(known[f] for f in self.features)), F.lit(False))
 
 
 BASE_RULES = (
-    Rule("too short", ("n_words",), "n_words < 50"),
-    Rule("repeats itself", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
+    Rule("too short", ("n_words",), lambda n: n < 50),
+    Rule("repeats itself", ("n_words", "n_repeat_words"), lambda n, k: 100 * k > 50 * n),
 )
 RULES = (
     *BASE_RULES,
-    Rule("symbols", ("word_chars", "n_symbols"), "100 * n_symbols > 5 * word_chars"),
-    Rule("marks", ("word_chars", "n_marks"), "100 * n_marks > 10 * word_chars"),
-    Rule("capitals", ("word_chars", "n_upper"), "100 * n_upper > 60 * word_chars"),
-    Rule("word length", ("n_words", "word_chars"), "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
-    Rule("repeated lines", ("n_lines", "n_dup_lines"), "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
+    Rule("symbols", ("word_chars", "n_symbols"), lambda n, k: 100 * k > 5 * n),
+    Rule("marks", ("word_chars", "n_marks"), lambda n, k: 100 * k > 10 * n),
+    Rule("capitals", ("word_chars", "n_upper"), lambda n, k: 100 * k > 60 * n),
+    Rule("word length", ("n_words", "word_chars"), lambda n, c: (c < 2 * n) | (c > 25 * n)),
+    Rule("repeated lines", ("n_lines", "n_dup_lines"), lambda n, k: (n >= 4) & (100 * k > 50 * n)),
 )
 
 
-def with_features(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Adds the features (and the helper columns they need); docs has a column text without nulls."""
+def _missing(names: tuple[str, ...], known: dict[str, Column]) -> list[str]:
+    """The features among names and those below them that aren't known, each after what it needs."""
+    found: list[str] = []
     for name in names:
-        for column, of in FEATURES[name]:
-            if column not in docs.columns:
-                docs = docs.withColumn(column, of())
+        if name not in known and name not in found:
+            found += [f for f in _missing(FEATURES[name][0], known) if f not in found]
+            found.append(name)
+    return found
+
+
+def with_known(known: dict[str, Column], names: list[str], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """body of the known features and of those named, which are computed here, once each."""
+    if not names:
+        return body(known)
+    needs, of = FEATURES[names[0]]
+    return bound(of(*(known[n] for n in needs)), lambda value: with_known(known | {names[0]: value}, names[1:], body))
+
+
+def cascade(rules: list[Rule], known: dict[str, Column]) -> Column:
+    """True unless a rule rejects; the rules are tried in this order, and none after the first that rejects.
+
+    known: text, and features that are columns already.
+    """
+    if not rules:
+        return F.lit(True)
+    first, rest = rules[0], rules[1:]
+    return with_known(known, _missing(first.features, known), lambda k: F.when(first.hit(k), F.lit(False)).otherwise(cascade(rest, k)))
+
+
+def with_features(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Adds the features, and those they are computed from, as columns; docs has a column text without nulls."""
+    for name in _missing(names, {"text": F.col("text")}):
+        needs, of = FEATURES[name]
+        docs = docs.withColumn(name, of(*map(F.col, needs)))
     return docs
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected), by rejections per second, measured on at most sample_rows rows of bounded length."""
+    """(rule, seconds, share rejected), by rejections per second.
+
+    Measured on at most sample_rows rows of bounded length, picked from some sample_rows / SAMPLE_SHARE
+    rows; the seconds are the least of RUNS runs after a first one, less those of counting alone.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.substring(text_col(), 1, SAMPLE_CHARS).alias("text")).head(sample_rows)
+    texts = docs.select(F.substring(text_col(), 1, SAMPLE_CHARS).alias("text"))
+    rows = texts.sample(SAMPLE_SHARE, seed=9).limit(sample_rows).collect() or texts.limit(sample_rows).collect()
     sample = spark.createDataFrame(rows, "text string").coalesce(1).cache()
     total = max(1, sample.count())
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        # counted, not filtered: a filter would be pushed below the features and compute them again and again
-        rejected = with_features(sample, rule.features).agg(F.count_if(F.expr(rule.rejects))).first()[0]
-        found.append((rule, time.perf_counter() - began, rejected / total))
-    sample.unpersist()
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
 
+    def timed(hit: Column) -> tuple[float, int]:
+        counted, seconds = sample.agg(F.count_if(hit)), []
+        rejected = counted.first()[0]
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            counted.collect()
+            seconds.append(time.perf_counter() - began)
+        return min(seconds), rejected
 
-def cascade(rules: list[Rule]) -> Column:
-    """True unless a rule rejects; the rules are tried in this order, and none after the first that rejects."""
-    verdict = None
+    base, _ = timed(F.octet_length("text") < 0)
+    found = []
     for rule in rules:
-        hit = F.coalesce(F.expr(rule.rejects), F.lit(False))
-        verdict = F.when(hit, False) if verdict is None else verdict.when(hit, False)
-    return F.lit(True) if verdict is None else verdict.otherwise(True)
+        seconds, rejected = timed(~cascade([rule], {"text": F.col("text")}))
+        found.append((rule, max(seconds - base, 1e-4), rejected / total))
+    sample.unpersist()
+    return sorted(found, key=lambda x: -x[2] / x[1])
 
 
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, show: tuple[str, ...] = ()) -> DataFrame:
@@ -160,9 +199,9 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, show: tup
 
     Null counts as the empty text.  An empty text has no words and so is too short; a very
     long one is taken whole.  A feature that isn't shown is computed only for texts that
-    reach its rule.
+    reach its rule; those shown are computed for all.
     """
     order = [rule for rule, _, _ in rule_order(docs, rules)]
-    rows = docs.select("doc_id", text_col().alias("text"))
-    needed = tuple(dict.fromkeys([*show, *(f for rule in order for f in rule.features)]))
-    return with_features(rows, needed).select("doc_id", *show, cascade(order).alias("kept"))
+    rows = with_features(docs.select("doc_id", text_col().alias("text")), show)
+    known = {c: F.col(c) for c in ("text", *_missing(show, {"text": F.col("text")}))}
+    return rows.select("doc_id", *show, cascade(order, known).alias("kept"))
