@@ -1,13 +1,17 @@
-"""Byte-level BPE by replaying merges over a whole vocabulary of words at once.
-
-A task gathers the distinct words of its documents and replays the merges on all of them
-together: an inverted index leads from a rank (a pair's merged token) to the positions where
-the pair stands; ranks are taken in rising order, all words that hold the pair merge it in one
-step, and only the neighbours of merged positions are looked up anew.  Each word's merges
-come in the order in which they would come if it were encoded alone: at any step its least
-rank, leftmost first.  Encoded words are remembered within a task (up to a bound; dropping
-them costs time, not results), so a word is merged once, however often it stands in the text.
-Documents are encoded where they are read: nothing is shuffled.
+"""Byte-level BPE by replaying merges over many words at once.
+
+A slice's distinct words that are not remembered yet are replayed together: an inverted index
+leads from a token pair to the positions where it stands; ranks are taken in rising order, all
+words that hold a pair of that rank merge it in one step, and only the neighbours of merged
+positions are looked up anew.  Each word's merges come in the order in which they would come
+if it were encoded alone: at any step its least rank, leftmost first.  All positions of a rank
+in a word are merged in one step, up to the first whose merge makes a pair of lower rank, so
+runs take time in proportion to their length.
+
+The vocabulary of a whole corpus fits no broadcast, and bringing its ids back to the texts would
+shuffle more than the texts; so words are replayed in the task that reads them.  A task remembers
+encoded words (up to a bound; dropping them costs time, not results), so a word is merged once,
+however often it stands in the text.  Documents are encoded where they are read: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -81,50 +85,70 @@ class Merges:
         rank[ends - 1] = _NONE
         alive = np.ones(n, bool)
 
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, list[np.ndarray]] = {}  # pair of tokens -> positions
+        pairs: dict[int, list[int]] = {}  # rank -> the pairs in the index that make its token
         queue: list[int] = []
 
         def enter(at: np.ndarray) -> None:
-            """Positions into the index, by rank."""
+            """Positions into the index, by the pairs that start there."""
             r = rank[at]
             at, r = at[r != _NONE], r[r != _NONE]
-            order = np.argsort(r, kind="stable")
-            at, r = at[order], r[order]
-            cuts = np.flatnonzero(np.diff(r)) + 1
-            for key, part in zip(r[np.concatenate([[0], cuts])].tolist() if len(r) else [], np.split(at, cuts), strict=False):
-                if key not in index:
-                    index[key] = []
-                    heapq.heappush(queue, key)
-                index[key].append(part)
+            if not len(at):
+                return
+            pair = token[at].astype(np.int64) * self.width + token[following[at]]
+            order = np.argsort(pair, kind="stable")
+            at, r, pair = at[order], r[order], pair[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1])
+            for key, of, part in zip(pair[cuts].tolist(), r[cuts].tolist(), np.split(at, cuts[1:]), strict=True):
+                if key in index:
+                    index[key].append(part)
+                    continue
+                index[key] = [part]
+                if of not in pairs:
+                    pairs[of] = []
+                    heapq.heappush(queue, of)
+                pairs[of].append(key)
 
         enter(np.arange(n))
         while queue:
-            r = queue[0]
-            parts = index[r]
+            r = heapq.heappop(queue)
+            parts = [part for key in pairs.pop(r) for part in index.pop(key)]
             at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
             at = at[rank[at] == r]
             if not len(at):
-                heapq.heappop(queue)
-                del index[r]
                 continue
-            first = np.ones(len(at), bool)  # one position of a word at a time: the leftmost
-            first[1:] = word[at[1:]] != word[at[:-1]]
-            index[r] = [at[~first]]
-            at = at[first]
-            gone = following[at]
+            # leftmost first: in a run of overlapping pairs every other one is merged
+            touches = np.zeros(len(at), bool)
+            touches[1:] = following[at[:-1]] == at[1:]
+            head = np.flatnonzero(~touches)
+            taken = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+            # the pairs that each merge makes: with what stands left of it by then, and with what stands right of it still
+            right, left = following[following[taken]], before[taken]
+            merged_left = np.zeros(len(taken), bool)
+            merged_left[1:] = right[:-1] == taken[1:]
+            left_token = np.where(merged_left, r, token[np.minimum(left, n - 1)])
+            left_rank = np.where(left < n, self._search(left_token, r), _NONE)
+            right_rank = np.where(right < n, self._search(np.full(len(taken), r), token[np.minimum(right, n - 1)]), _NONE)
+            lower = np.minimum(left_rank, right_rank) < r
+            if lower.any():  # a word goes on after its first such merge only when the lower pair has had its turn
+                own = word[taken]
+                first = np.full(len(words), n)
+                np.minimum.at(first, own[lower], taken[lower])
+                taken = taken[taken <= first[own]]
+            gone = following[taken]
             right = following[gone]
-            token[at] = r
+            token[taken] = r
             alive[gone] = False
             rank[gone] = _NONE
-            following[at] = right
+            following[taken] = right
             has = right < n
-            before[right[has]] = at[has]
-            rank[at] = _NONE
-            rank[at[has]] = self._search(token[at[has]], token[right[has]])
-            left = before[at]
-            has_left = left < n
-            rank[left[has_left]] = self._search(token[left[has_left]], token[at[has_left]])
-            enter(np.concatenate([at, left[has_left]]))
+            before[right[has]] = taken[has]
+            left = before[taken]
+            left = left[left < n]
+            changed = np.union1d(taken, left)
+            after = following[changed]
+            rank[changed] = np.where(after < n, self._search(token[changed], token[np.minimum(after, n - 1)]), _NONE)
+            enter(np.concatenate([changed, at[rank[at] == r]]))
         kept = token[alive].astype(np.int32).tobytes()
         stops = (4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))).tolist()
         return [kept[a:b] for a, b in zip([0, *stops], stops, strict=False)]
