@@ -159,9 +159,10 @@ def _as_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = TABLE_BITS) -> Model:
-    """labels: (doc_id, label) with 0 or 1; other labels and rows without a document are passed over."""
+    """labels: (doc_id, label) with 0 or 1; other labels, rows without a document, and doc_ids that have both labels are passed over."""
     spark = docs.sparkSession
-    usable = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    given = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")
+    usable = given.agg(F.min("label").cast("int").alias("label"), F.max("label").cast("int").alias("other")).where("label = other").drop("other")
     known = stored(usable, "labels")
     small = fits_broadcast(known.count(), 16)
     rows = docs.select("doc_id", text_col().alias("text")).join(F.broadcast(known) if small else known, "doc_id")

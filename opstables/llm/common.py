@@ -35,6 +35,20 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", text_col().alias("text"), F.xxhash64(text_col()).alias("text_key"), *more)
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row but its text, as one struct: their names can't clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("text"))
+
+
+def restored(text: Column, docs: DataFrame, row: str) -> list[Column]:
+    """The columns of docs out of such a struct, with a new text and, if docs has one, its n_chars; null texts stay null."""
+    new = {"text": F.when(~F.col(f"{row}.text"), text).alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col(f"{row}.text"), F.col(f"{row}.n_chars")).otherwise(F.char_length(text).cast(kind)).alias("n_chars")
+    return [new.get(c, F.col(f"{row}.`{c}`")) for c in docs.columns]
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 

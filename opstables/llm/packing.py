@@ -6,7 +6,8 @@ at the first bin with room for it and goes on to the next ones until a bin has n
 is the tightest compatible bin.  Blocks of bins know the bits that all their bins share, so a
 block that conflicts throughout is skipped at once (most are, for a hot source or cluster).
 
-Rows are dealt to pools of some POOL_ROWS by a hash; a pool is packed by one task.
+Rows are dealt to pools of some POOL_ROWS by a hash of the row and its place in the input, so
+that even rows that repeat each other are spread; a pool is packed by one task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opstables.llm.common import keyed
+from opstables.llm.common import keyed, text_col
 from opstables.llm.quality_rules import words
 
 POOL_ROWS = 1024
@@ -78,10 +79,10 @@ class Bins:
 
 
 def _pack(capacity: int, table: pa.Table) -> pa.Table:
-    """The pieces of a pool, largest first; ties by cluster, doc_id, piece."""
+    """The pieces of a pool, largest first; ties by cluster, doc_id (null last), text_key, piece."""
     rows = table.to_pydict()
     n = table.num_rows
-    order = sorted(range(n), key=lambda i: (-rows["size"][i], rows["cluster"][i], rows["doc_id"][i] is None, rows["doc_id"][i] or 0, rows["piece"][i]))
+    order = sorted(range(n), key=lambda i: (-rows["size"][i], rows["cluster"][i], rows["doc_id"][i] is None, rows["doc_id"][i] or 0, rows["text_key"][i], rows["piece"][i]))
     times: dict[str, int] = {}
     for c in rows["cluster"]:
         times[c] = times.get(c, 0) + 1
@@ -103,15 +104,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source: str = "source", clus
     A text's length is its words and one for its end, so empty and null texts take one place.  A
     text longer than the capacity is cut into pieces, all but its last of full size.  Null sources
     count as one source "".  cluster: the column that duplicates share, by default the text's
-    hash; null means no duplicates.  Repeated rows are packed each, into different bins.
+    hash; null means no duplicates.  Repeated rows are packed each, into different bins.  Pools, and
+    so bins, depend on how the input is partitioned.
     """
-    own = F.coalesce(cluster.cast("string"), F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit("")) if cluster is not None else F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")
+    own = F.coalesce(cluster.cast("string"), F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit("")) if cluster is not None else F.xxhash64(text_col()).cast("string")
     named = docs.select("doc_id", "text", F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), own.alias("cluster"))
     pools = max(1, -(-docs.count() // pool_rows))
-    sized = keyed(named, "source", "cluster").select("doc_id", "text_key", "source", "cluster", (F.size(words(F.col("text"))) + 1).cast("long").alias("length"))
+    sized = keyed(named, "source", "cluster").select("doc_id", "text_key", "source", "cluster", (F.size(words(F.col("text"))) + 1).cast("long").alias("length"), F.monotonically_increasing_id().alias("place"))
     last = F.expr(f"(length - 1) DIV {capacity}")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
         "doc_id", "text_key", "piece", F.least(F.lit(capacity), F.col("length") - F.col("piece") * capacity).cast("long").alias("size"), "source", "cluster",
-        F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(pools)).alias("pool"),
+        F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(pools)).alias("pool"),
     )
     return pieces.groupBy("pool").applyInArrow(lambda t: _pack(capacity, t), "doc_id long, text_key long, piece long, size long, source string, bin long, start long")

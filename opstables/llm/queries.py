@@ -38,6 +38,8 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
         secrets.span_text(F.col("spans")).alias("spans"),
         *(n("verdict", verdict) for verdict in ("example", "live", "unclear")),
+        # of the document's values, the most widely held
+        *(F.coalesce(F.array_max(F.transform("spans", lambda s, c=c: s[c])), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_owners", "n_repos")),
     )
 
 
@@ -74,8 +76,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     found = quality_rules.quality_verdicts(documents(spark, sf_dir), show=base)
-    base_failed = F.expr(" OR ".join(f"({rule.rejects})" for rule in quality_rules.BASE_RULES))
-    return found.select("doc_id", *base, base_failed.alias("base_failed"), "kept")
+    too_short, repeats = (rule.hit({c: F.col(c) for c in base}) for rule in quality_rules.BASE_RULES)
+    return found.select("doc_id", *base, (too_short | repeats).alias("base_failed"), "kept")
 
 
 #: Scores from here on count as good.

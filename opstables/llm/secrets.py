@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidate secrets in every text; the hashes of their values are counted by
-distinct owners and repositories over the corpus.  A value that many owners hold is an
-example that people copy; one that a single owner holds, and that looks random, may be live.
+distinct owners and repositories over the corpus.  A value that many owners or repositories
+hold is an example that people copy; one that a single owner holds in few repositories, and
+that looks random, may be live.
 
 The counts are pre-aggregated twice (hash, owner, repository; then hash), so a value that
 a third of all documents hold is a row for each owner and repository before it is counted.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opstables.llm.common import fits_broadcast, keyed, same_row, slices, stored
+from opstables.llm.common import carried, fits_broadcast, keyed, restored, same_row, slices, stored, text_col
 
 #: kind -> (pattern, group that is the secret, least length of it, one of these must be in the text (lower-cased)).
 #: The first three are fixed; the others add the formats of known issuers.
@@ -40,8 +41,8 @@ BASE_KINDS = ("assign", "access", "hex")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 #: Only runs that can be long enough: the same spans as all runs, the short ones dropped.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-#: An example has this many owners at least.
-COPIED_OWNERS = 3
+#: An example has this many owners, or stands in this many repositories, at least.
+COPIED_OWNERS, COPIED_REPOS = 3, 5
 _PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|redacted|test|xxxx|0000|1234", re.IGNORECASE)
 
 SPANS = "array<struct<kind: string, start: int, end: int, value: binary, random: boolean>>"
@@ -76,24 +77,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(spans, pa.list_(_SPAN))], names=[*names, "spans"])
 
 
-def find_secrets(docs: DataFrame, owner: Column, repo: Column, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: Column, repo: Column, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """doc_id, text_key, spans: one row for each row of docs; a span has kind, start, end, n_owners, n_repos, verdict.
 
-    verdict: "example" if copied_owners or more hold the value, "live" if one does and the value looks
-    random, else "unclear".  Null owners and repositories count as one named "".  Texts without
+    verdict: "example" if copied_owners or more hold the value, or copied_repos or more repositories do;
+    else "live" if one owner holds it and it looks random, else "unclear".  Null owners and repositories count as one named "".  Texts without
     secrets (empty and null ones, too) have an empty array.
     """
     named = docs.select("doc_id", "text", F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
     scanned = stored(keyed(named, "owner", "repo").mapInArrow(_scan, f"doc_id long, text_key long, owner string, repo string, spans {SPANS}"), "secret-spans")
     held = scanned.select("doc_id", "text_key", "owner", "repo", F.explode("spans").alias("s"))
     places = held.select("s.value", "owner", "repo").distinct()
-    by_value = places.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.first("repo").alias("a_repo"))  # partial counts first
-    owned = by_value.groupBy("value").agg(F.count("*").alias("n_owners"))
+    owned = places.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
     in_repos = places.select("value", "repo").distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
     counts = stored(owned.join(in_repos, "value"), "secret-counts")
     small = fits_broadcast(counts.count(), 60)
     judged = held.select("doc_id", "text_key", "s.*").join(F.broadcast(counts) if small else counts, "value")
-    verdict = F.when(F.col("n_owners") >= copied_owners, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
+    verdict = F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos), "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
     order = F.create_map(*(F.lit(x) for kv in _ORDER.items() for x in kv))
     span = F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end", "n_owners", "n_repos", verdict.alias("verdict"))
     by_doc = judged.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(span)).alias("judged"))
@@ -118,21 +118,20 @@ def redact_live(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("live_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("live").to_pylist(), strict=True):
                 parts, at = [], 0
                 for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
                     if start >= at:
                         parts += [text[at:start], mark]
                     at = max(at, end)
                 out.append("".join([*parts, text[at:]]) if spans else text)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, pa.field("text", pa.string()), pa.array(out, pa.string())).drop_columns(["live_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
 
-    live = F.filter("spans", lambda s: s["verdict"] == "live")
-    hits = found.select(F.col("doc_id").alias("live_doc"), F.col("text_key").alias("live_key"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("live_spans"))
-    hits = stored(hits.where(F.size("live_spans") > 0).dropDuplicates(["live_doc", "live_key"]), "live-spans")
+    live = F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    hits = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), live.alias("live")).where(F.size("live") > 0)
+    hits = stored(hits.dropDuplicates(["id", "key"]), "live-spans")
     small = fits_broadcast(hits.count(), 64)
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(F.broadcast(hits) if small else hits, docs["doc_id"].eqNullSafe(F.col("live_doc")) & (key == F.col("live_key")), "left")
-    out = joined.select(*(docs[c] for c in docs.columns), "live_spans").mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text_col()).alias("own_key"), text_col().alias("text"))
+    joined = rows.join(F.broadcast(hits) if small else hits, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left").select("row", "text", "live")
+    out = joined.mapInArrow(cut, joined.drop("live").schema)
+    return out.select(*restored(F.col("text"), docs, "row"))

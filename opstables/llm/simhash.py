@@ -289,12 +289,12 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.Reco
     for batch in batches:
         for part in slices(batch):
             sets = pa.array([_hashes(text, how).tobytes() for text in utf8(part.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component_id", "tiles", "rep", "fp")), sets], names=["component_id", "tiles", "rep", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("group", "tiles", "rep", "fp")), sets], names=["group", "tiles", "rep", "fp", "shingles"])
 
 
 def _verified_edges(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
     """(a, b) of each run of rows of a component and pair of tiles: members a, each with the smallest member b that verified links lead to."""
-    rows = (r for batch in batches for part in slices(batch, "shingles") for r in zip(*(part.column(c).to_pylist() for c in ("component_id", "pair", "rep", "fp", "shingles")), strict=True))
+    rows = (r for batch in batches for part in slices(batch, "shingles") for r in zip(*(part.column(c).to_pylist() for c in ("group", "pair", "rep", "fp", "shingles")), strict=True))
     for _, run in itertools.groupby(rows, key=lambda r: r[:2]):
         members = sorted(((rep, fp, np.frombuffer(x, np.uint64)) for _, _, rep, fp, x in run), key=lambda m: m[0])
         n = len(members)
@@ -323,36 +323,38 @@ def _pairs_of_tiles(own: Column, tiles: Column) -> Column:
 
 
 def _verified_roots(docs: DataFrame, named: DataFrame, how: Sketching) -> DataFrame:
-    """(a, root) by verified links; named: members with text_key (of rep's text), size and the component_id of their candidate links."""
+    """(a, root) by verified links; named: members with size and the group that their candidate links lead to."""
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_HASHES)).cast("int")
-    sizes = named.groupBy("component_id").agg(F.count("*").alias("members"), tiles.alias("tiles")).where("members > 1")
-    wanted = stored(named.join(sizes, "component_id").select("rep", F.col("text_key").alias("rep_key"), "fp", "component_id", "tiles"), "candidates")
+    sizes = named.groupBy("group").agg(F.count("*").alias("members"), tiles.alias("tiles")).where("members > 1")
+    wanted = stored(named.join(sizes, "group").select("rep", F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_key"), "fp", "group", "tiles"), "candidates")
     small = fits_broadcast(wanted.count(), 60 + how.bits // 8)
     rows = keyed(docs)
-    found = rows.join(F.broadcast(wanted) if small else wanted, (rows["doc_id"] == wanted["rep"]) & (rows["text_key"] == wanted["rep_key"])).select("component_id", "tiles", "rep", "fp", "text")
-    sets = found.mapInArrow(lambda it: _sets(it, how), "component_id long, tiles int, rep long, fp binary, shingles binary")
+    # repeated rows bring the same set again, which changes nothing
+    found = rows.join(F.broadcast(wanted) if small else wanted, (rows["doc_id"] == wanted["rep_id"]) & (rows["text_key"] == wanted["rep_key"])).select("group", "tiles", "rep", "fp", "text")
+    sets = found.mapInArrow(lambda it: _sets(it, how), "group long, tiles int, rep long, fp binary, shingles binary")
     own = F.pmod(F.xxhash64("rep"), "tiles").cast("int")
-    tiled = sets.select("component_id", F.explode(_pairs_of_tiles(own, F.col("tiles"))).alias("pair"), "rep", "fp", "shingles")
-    runs = tiled.repartition("component_id", "pair").sortWithinPartitions("component_id", "pair")
+    tiled = sets.select("group", F.explode(_pairs_of_tiles(own, F.col("tiles"))).alias("pair"), "rep", "fp", "shingles")
+    runs = tiled.repartition("group", "pair").sortWithinPartitions("group", "pair")
     return components(runs.mapInArrow(lambda it: _verified_edges(it, how), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
-    """doc_id, text_key, fp (binary, big-endian), component_id: one row for each row of docs.
+    """doc_id, text_key, fp (binary, big-endian), component_id, is_first: one row for each row of docs.
 
     Words are runs of other characters than white space, A-Z lower-cased.  A text without words (null,
     too) has the fingerprint zero and is linked like any other.  component_id is the smallest doc_id
-    reachable by links; null for rows without doc_id.
+    reachable by links; is_first marks the row with that doc_id and, of several texts of it, the least
+    text_key (and rows that repeat it).  Both are null for rows without doc_id.  Texts that share a
+    doc_id are members of their own: only links connect them.
     """
     verified = how.percent is not None
-    kind, least = (["fp", "same", "size"], F.min(F.struct("doc_id", "text_key"))) if verified else (["fp"], F.min("doc_id"))
+    kind = ["fp", "same", "size"] if verified else ["fp"]
     spread = keyed(docs).mapInArrow(lambda it: _sketch(it, how), "doc_id long, text_key long, fp binary, blocks array<long>" + ", same binary, size long" * verified)
     sketches = stored(spread, "sketches")
-    equal = sketches.where("doc_id IS NOT NULL").groupBy(*kind, "blocks").agg(least.alias("rep"), F.count("*").alias("n"))
-    gathered = equal.groupBy(*kind).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-    if verified:
-        gathered = gathered.withColumns({"text_key": F.col("rep.text_key"), "rep": F.col("rep.doc_id")})
-    members = stored(gathered, "members")
+    equal = sketches.where("doc_id IS NOT NULL").groupBy(*kind, "blocks").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n"))
+    gathered = equal.groupBy(*kind).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    # the numbers are stored with the members, so they are given once
+    members = stored(gathered.withColumn("rep", F.monotonically_increasing_id()), "members")
     keys = members.select(F.explode("blocks").alias("key"), "rep", "fp")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -360,16 +362,22 @@ def near_groups(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     tiled = keys.join(sizes, "key").select("key", F.explode(_pairs_of_tiles(own, tiles)).alias("pair"), "rep", "fp")
     blocks = tiled.groupBy("key", "pair").agg(F.collect_list("rep").alias("reps"), F.collect_list("fp").alias("fps"))
     roots = components(blocks.select("reps", "fps").mapInArrow(lambda it: _block_edges(it, how.radius), "a long, b long"))
-    named = _with_roots(members, roots)
     if verified:
-        named = _with_roots(members, _verified_roots(docs, named, how))
+        roots = _verified_roots(docs, members.join(roots, members["rep"] == roots["a"], "left").select(*members.columns, F.coalesce("root", "rep").alias("group")), how)
     by = "same" if verified else "fp"
     # a member that is alone needs no row here
-    classes = stored(named.where("n > 1 OR component_id < rep").select(by, "component_id"), "classes")
+    classes = stored(_firsts(members, roots).where("n > 1 OR first <> own").select(by, "first"), "classes")
     small = fits_broadcast(classes.count(), 60 + how.bits // 8)
-    out = sketches.select("doc_id", "text_key", "fp", *[by] * verified).join(F.broadcast(classes) if small else classes, by, "left")
-    return out.select("doc_id", "text_key", "fp", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots, members["rep"] == roots["a"], "left").select(*members.columns, F.coalesce("root", "rep").alias("component_id"))
+    out = sketches.select("doc_id", "text_key", *dict.fromkeys(["fp", by])).join(F.broadcast(classes) if small else classes, by, "left")
+    known = F.col("doc_id").isNotNull()
+    least = F.coalesce("first", F.struct("doc_id", "text_key"))
+    first = (F.col("doc_id") == least["doc_id"]) & (F.col("text_key") == least["text_key"])
+    return out.select("doc_id", "text_key", "fp", F.when(known, least["doc_id"]).alias("component_id"), F.when(known, first).alias("is_first"))
+
+
+def _firsts(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the least (doc_id, text_key) of their component as `first`, and their own as `own`."""
+    nodes = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())
+    least = members.select("rep", "first").join(nodes, F.col("rep") == F.col("a")).groupBy("root").agg(F.min("first").alias("least"))
+    known = nodes.join(least, "root").select("a", "least")
+    return members.join(known, members["rep"] == known["a"], "left").select(*(members[c] for c in members.columns if c != "first"), F.coalesce("least", "first").alias("first"), members["first"].alias("own"))

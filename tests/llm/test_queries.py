@@ -1,5 +1,6 @@
 """The registered corpus queries against their SQL, and the pipeline stage by stage."""
 
+import collections
 import os
 import sys
 
@@ -51,6 +52,109 @@ def test_pipeline(spark):
     assert stored(corpus_pipeline.run(spark, SMALL), "test").count() == docs.count()
 
 
+#: Names that an operator or stage uses, or has used, for columns of its own.
+CLASHING = ("gone", "marked_id", "live_spans", "live_doc", "live_key", "live", "id", "key", "own_id", "own_key", "row", "rest", "is_first", "first", "keep", "rep", "group", "n", "score", "label", "size", "bin", "piece", "pool", "spans", "a.b")
+
+
+@pytest.mark.parametrize("limit", [32_000_000, -1])
+def test_stages_keep_clashing_columns_and_rows_that_share_an_id(spark, monkeypatch, limit):
+    import corpus_pipeline
+    from opstables.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    long = " ".join(f"w{i}" for i in range(90))
+    token = "token = q7Zr9KxW2mVb4TnY8sLd"
+    rows = [(1, long), (1, "another text of the same id, which is about other things altogether, and keeps its row"), (2, long + " tail"), (2, long + " tail"), (3, "unique words only here " + token), (None, long), (None, long), (4, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *CLASHING) for d, t in rows], schema)
+    want = {
+        "quality classifier": None,
+        "line dedup": collections.Counter([(1, rows[0][1]), (1, rows[1][1]), (2, long + " tail"), (2, long + " tail"), (3, rows[4][1]), (None, long), (None, long), (4, None)]),
+        "simhash near-dedup": collections.Counter([(1, rows[0][1]), (1, rows[1][1]), (3, rows[4][1]), (None, long), (None, long), (4, None)]),
+        "secret scans": collections.Counter([*rows[:4], (3, "unique words only here [SECRET]"), *rows[5:]]),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, SMALL), "test")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(r[c] for c in CLASHING) == CLASHING for r in got)
+        if want[name] is not None:
+            assert collections.Counter((r.doc_id, r.text) for r in got) == want[name]
+    assert stored(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL), "test").count() == len(rows)
+
+
+def test_pipeline_content(spark):
+    """Stages 2 to 4 on all small documents against brute force over whole texts."""
+    import re
+
+    import corpus_pipeline
+    from opstables.llm import secrets
+
+    docs = stored(documents(spark, SMALL), "test")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+
+    def key(line):
+        k = "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+        return k if len(k) >= 10 else None
+
+    first = {}
+    for d in sorted(rows):
+        for line in (rows[d].text or "").split("\n"):
+            first.setdefault(key(line), d)
+    text = {d: None if r.text is None else "\n".join(x for x in r.text.split("\n") if key(x) is None or first[key(x)] == d) for d, r in rows.items()}
+    after = stored(stages["line dedup"](spark, docs, SMALL), "test")
+    assert {r.doc_id: r.text for r in after.collect()} == text
+
+    sets = {}
+    for d, t in text.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            x, y = sets[a], sets[b]
+            if a < b and (len(x & y) >= 0.8 * len(x | y) if x | y else True) and find(a) != find(b):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    kept = {d for d in sets if find(d) == d}
+    assert 0 < len(kept) < len(sets)
+    after = stored(stages["simhash near-dedup"](spark, after, SMALL), "test")
+    assert {r.doc_id: r.text for r in after.collect()} == {d: text[d] for d in kept}
+
+    held = collections.defaultdict(set)
+    for d in kept:
+        for s in secrets.find_spans(text[d] or ""):
+            held[s["value"]].add((rows[d].source, rows[d].lang))
+    want = {}
+    for d in kept:
+        live, new, at = [], "", 0
+        for s in secrets.find_spans(text[d] or ""):
+            places = held[s["value"]]
+            if s["random"] and len({o for o, _ in places}) == 1 and len(places) < 5:
+                live.append((s["start"], s["end"]))
+        for a, b in sorted(live):
+            if a >= at:
+                new += text[d][at:a] + "[SECRET]"
+            at = max(at, b)
+        want[d] = new + text[d][at:] if live else text[d]
+    after = stored(stages["secret scans"](spark, after, SMALL), "test")
+    assert {r.doc_id: r.text for r in after.collect()} == want
+    assert any("[SECRET]" in (t or "") for t in want.values())
+    packed = stages["best-fit packing"](spark, after, SMALL).collect()
+    size = collections.Counter()
+    for r in packed:
+        size[r.doc_id] += r.size
+    assert size == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for d, t in want.items()}
+
+
 def test_pipeline_takes_awkward_documents(spark):
     import corpus_pipeline
 
