@@ -8,48 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opstables.llm import classifier, lines, packing, secrets, simhash
-from opstables.llm.common import documents, fits_broadcast, stored
+from opstables.llm.common import carried, documents, fits_broadcast, restored, stored, text_col
 from opstables.llm.queries import QUALITY_THRESHOLD, quality_model
 
 
-def _with_text(text: Column, docs: DataFrame, row: str) -> list[Column]:
-    """The columns of docs out of the struct, but for a new text and its n_chars."""
-    new = {"text": text.alias("text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return [new.get(c, F.col(f"{row}.`{c}`")) for c in docs.columns]
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    scored = classifier.score(docs, quality_model(spark, docs, sf_dir), rest=F.struct(*docs.columns))
+    scored = classifier.score(docs, quality_model(spark, docs, sf_dir), rest=F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     return scored.where(F.col("score") >= QUALITY_THRESHOLD).select("rest.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that a document with a smaller doc_id holds, too; null texts stay null."""
-    names = [c for c in docs.columns if c != "text"]
-    row = F.struct(*names, F.col("text").isNull().alias("text"))
-    found = lines.dedup_lines(docs, rest=row)
-    return found.select(*_with_text(F.when(~F.col("rest.text"), F.col("kept_text")), docs, "rest"))
+    found = lines.dedup_lines(docs, rest=carried(docs))
+    return found.select(*restored(F.col("kept_text"), docs, "rest"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, and one row of rows that repeat a doc_id; rows without doc_id stay."""
-    groups = stored(simhash.near_groups(docs, simhash.NEAR_COPIES).select("doc_id", "component_id"), "near-groups")
-    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
-    marked = stored(ids.where("rows > 1 OR component_id < doc_id").select(F.col("doc_id").alias("marked_id"), (F.col("component_id") < F.col("doc_id")).alias("gone")), "near-copies")
-    small = fits_broadcast(marked.count(), 16)
-    joined = docs.join(F.broadcast(marked) if small else marked, docs["doc_id"] == marked["marked_id"], "left")
-    stay = joined.where("marked_id IS NULL").select(*docs.columns)
-    if marked.where("NOT gone").isEmpty():
-        return stay
-    again = joined.where("NOT gone").select(*docs.columns).dropDuplicates(["doc_id"])
-    return stay.unionByName(again)
+    """Keeps the smallest doc_id of each group of near copies.
+
+    Of rows that repeat that doc_id with near copies of its text, the one with the least hash of the
+    text stays; of rows that repeat the text, too, the least by their other columns.  Rows that repeat
+    a doc_id with an unrelated text stay, and so do rows without doc_id.
+    """
+    groups = simhash.near_groups(docs, simhash.NEAR_COPIES).where("doc_id IS NOT NULL")
+    texts = groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.min("is_first").alias("is_first"))
+    marked = stored(texts.where("n > 1 OR NOT is_first").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "is_first"), "near-copies")
+    small = fits_broadcast(marked.count(), 24)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text_col()).alias("own_key"))
+    joined = rows.join(F.broadcast(marked) if small else marked, (F.col("own_id") == F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    stay = joined.where("is_first IS NULL").select("row")
+    if not marked.where("is_first").isEmpty():
+        others = F.to_json(F.struct(*(F.col(f"row.`{c}`") for c in docs.columns if c != "text")))
+        stay = stay.unionByName(joined.where("is_first").groupBy("own_id", "own_key").agg(F.min_by("row", others).alias("row")).select("row"))
+    return stay.select("row.*")
 
 
 def without_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
