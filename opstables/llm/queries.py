@@ -39,7 +39,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.span_text(F.col("spans")).alias("spans"),
         *(n("verdict", verdict) for verdict in ("example", "live", "unclear")),
         # of the document's values, the most widely held
-        *(F.coalesce(F.array_max(F.transform("spans", lambda s, c=c: s[c])), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_owners", "n_repos")),
+        *(F.coalesce(F.array_max(F.col(f"spans.n_{c}")), F.lit(0)).cast("long").alias(f"most_{c}") for c in ("owners", "repos")),
     )
 
 
