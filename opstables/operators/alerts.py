@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Channels by severity; receivers by (severity, alert) in order, with seconds between repeats.
-CHANNELS = {"critical": ("infoflow", "webhook"), "warning": ("infoflow",), "info": ("webhook",)}
+from opstables.operators.runs import fold_sorted
+
+#: Channels by severity, where route_alerts is given none.
+CHANNELS = {"critical": ("chat", "webhook"), "warning": ("chat",), "info": ("webhook",)}
+#: Receivers by (severity, alert) in order, with seconds between repeats.
 RECEIVERS = (
     ("critical", "ServiceDown", "critical-ops", 300),
     ("critical", "RedisCircuitBreakerOpen", "critical-ops", 300),
@@ -15,6 +22,31 @@ RECEIVERS = (
     ("info", None, "default-webhook", 21600),
 )
 DEFAULT_RECEIVER, DEFAULT_REPEAT = "default-webhook", 43200
+#: The most silences that are broadcast.
+BROADCAST_SILENCES = 10_000
+
+
+#: The catalogue of threshold rules: alert, metric, comparison, threshold, seconds it must hold, severity.
+CATALOGUE = (
+    ("ServiceDown", "service_up", "=", 0, 60, "critical"),
+    ("HighHttpErrorRate", "http_error_ratio", ">", 0.01, 300, "warning"),
+    ("HighP99Latency", "http_p99", ">", 2.0, 300, "warning"),
+    ("QueueBacklogHigh", "queue_depth", ">", 100, 300, "warning"),
+    ("QueueBacklogCritical", "queue_depth", ">", 500, 120, "critical"),
+    ("QueueStalled", "stalled_depth", ">", 10, 600, "critical"),
+    ("HighTaskFailureRate", "task_failure_ratio", ">", 0.05, 300, "critical"),
+    ("SlowTaskExecution", "task_p95", ">", 30, 300, "warning"),
+    ("TaskExecutionTimeout", "task_p95", ">", 120, 120, "critical"),
+    ("RedisConnectionLost", "store_up", "=", 0, 60, "critical"),
+    ("RedisCircuitBreakerOpen", "store_breaker_state", "=", 2, 30, "critical"),
+    ("RedisDegradationModeActive", "store_degraded", "=", 1, 120, "warning"),
+    ("RedisDegradationQueueLarge", "store_degraded_queue", ">", 100, 300, "warning"),
+    ("RedisHighLatency", "store_p95", ">", 0.1, 300, "warning"),
+    ("DBConnectionPoolExhausted", "db_idle", "=", 0, 120, "critical"),
+    ("DBSlowQueries", "db_p95", ">", 1.0, 300, "warning"),
+    ("HighMemoryUsage", "memory_mb", ">", 512, 300, "warning"),
+    ("CriticalMemoryUsage", "memory_mb", ">", 1024, 120, "critical"),
+)
 
 
 def list_alerts(alerts: DataFrame, limit: int, status: str | None = None, severity: str | None = None, service: str | None = None, filter_first: bool = False) -> DataFrame:
@@ -29,17 +61,25 @@ def list_alerts(alerts: DataFrame, limit: int, status: str | None = None, severi
     return newest(out) if filter_first else out
 
 
-def route_alerts(alerts: DataFrame, rules: tuple[tuple[dict[str, str], str], ...] = ()) -> DataFrame:
-    """Channels of each alert: the severity's, then those of matching rules (labels -> channel), each once."""
+def route_alerts(alerts: DataFrame, rules: tuple[tuple[dict[str, str], str], ...] = (), channels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Channels of each alert: the severity's, then those of matching rules (labels -> channel), each once.
+
+    A rule's label is a column or, where there is none or it is null, an entry of the map `extra` (if alerts has one).
+    """
     base = F.lit(None)
-    for severity, channels in CHANNELS.items():
-        base = F.when(F.col("severity") == severity, F.array(*map(F.lit, channels))).otherwise(base)
+    for severity, own in (CHANNELS if channels is None else channels).items():
+        base = F.when(F.col("severity") == severity, F.array(*map(F.lit, own))).otherwise(base)
     own = F.coalesce(base, F.array(F.lit("webhook")))
+
+    def label(name: str) -> Column:
+        found = [F.col(name).cast("string")] if name in alerts.columns else []
+        return F.coalesce(*found, *([F.try_element_at("extra", F.lit(name))] if "extra" in alerts.columns else []), F.lit(None))
+
     matched = []
     for match, channel in rules:
         hit = F.lit(True)
         for c, v in match.items():
-            hit = hit & (F.col(c) == v)
+            hit = hit & (label(c) == v)
         matched.append(F.when(hit, F.lit(channel)))
     extra = F.array_compact(F.array(*matched)) if matched else F.array().cast("array<string>")
     return alerts.withColumn("channels", F.array_distinct(F.concat(own, extra)))
@@ -56,20 +96,46 @@ def route_receiver(alerts: DataFrame) -> DataFrame:
 
 
 def render_alert(alerts: DataFrame, channel: str) -> DataFrame:
-    """A mail's subject, or a webhook's JSON."""
-    if channel == "email":
-        subject = F.concat(F.lit("["), F.upper("status"), F.lit("] "), F.upper("severity"), F.lit(": "), F.col("alertname"))
-        return alerts.select("id", subject.alias("subject"))
-    return alerts.select("id", F.to_json(F.struct("alertname", "severity", "service", "status", "fingerprint")).alias("payload"))
+    """(id, subject, body) of a mail, (id, message) for a chat, or (id, payload) for a webhook: JSON of all columns.
+
+    Texts name what alerts has of service, starts_at, summary, description, runbook_url and, in mails, all labels.
+    """
+    def has(name: str, title: str, shown: Column | None = None) -> list[Column]:
+        value = F.coalesce((F.col(name) if shown is None else shown).cast("string"), F.lit("-"))
+        return [F.concat(F.lit(f"{title}: "), value)] if name in alerts.columns else []
+
+    when = F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss")
+    facts = [*has("service", "service"), *has("starts_at", "since", when), *has("summary", "summary"), *has("description", "details"), *has("runbook_url", "runbook")]
+    if channel == "webhook":
+        return alerts.select("id", F.to_json(F.struct(*(c for c in alerts.columns if c != "id"))).alias("payload"))
+    if channel == "chat":
+        return alerts.select("id", F.concat_ws("\n", F.concat_ws(" ", F.col("status"), F.col("severity"), F.col("alertname")), *facts).alias("message"))
+    labels = F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit("-"))) for c in ("alertname", "severity", "service", "fingerprint") if c in alerts.columns))
+    subject = F.concat(F.lit("["), F.upper("status"), F.lit("] "), F.upper("severity"), F.lit(": "), F.col("alertname"))
+    return alerts.select("id", subject.alias("subject"), F.concat_ws("\n", *has("status", "status"), *has("severity", "severity"), *facts, F.concat(F.lit("labels: "), labels)).alias("body"))
 
 
 def apply_silences(alerts: DataFrame, silences: DataFrame) -> DataFrame:
-    """C11: the first silence (a null field matches anything, from created_at up to expires_at) that covers each alert.  Silences are few and broadcast."""
-    s = silences.select(F.col("silence_id"), *(F.col(c).alias(f"_{c}") for c in ("alertname", "severity", "service")), "created_at", "expires_at")
-    covers = (F.col("starts_at") >= F.col("created_at")) & (F.col("starts_at") < F.col("expires_at"))
-    for c in ("alertname", "severity", "service"):
-        covers = covers & (F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
-    hits = alerts.join(F.broadcast(s), covers).groupBy("id").agg(F.min("silence_id").alias("silenced_by"))
+    """C11: the first silence (a null field matches anything, from created_at up to expires_at) that covers each alert.
+
+    Few silences are broadcast; more are joined by the fields that they set, one equi-join for each set of fields.
+    """
+    fields = ("alertname", "severity", "service")
+    s = silences.select(F.col("silence_id"), *(F.col(c).alias(f"_{c}") for c in fields), "created_at", "expires_at")
+    in_time = (F.col("starts_at") >= F.col("created_at")) & (F.col("starts_at") < F.col("expires_at"))
+    if s.limit(BROADCAST_SILENCES + 1).count() <= BROADCAST_SILENCES:
+        covers = in_time
+        for c in fields:
+            covers = covers & (F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
+        matches = alerts.join(F.broadcast(s), covers).select("id", "silence_id")
+    else:
+        matches = None
+        for kind in product((False, True), repeat=len(fields)):
+            own = s.where(reduce(and_, (F.col(f"_{c}").isNotNull() if has else F.col(f"_{c}").isNull() for c, has in zip(fields, kind, strict=True))))
+            on = reduce(and_, (F.col(f"_{c}") == F.col(c) for c, has in zip(fields, kind, strict=True) if has), in_time)
+            part = alerts.join(own, on).select("id", "silence_id")
+            matches = part if matches is None else matches.unionByName(part)
+    hits = matches.groupBy("id").agg(F.min("silence_id").alias("silenced_by"))
     return alerts.join(hits, "id", "left")
 
 
@@ -118,18 +184,24 @@ def evaluate_rules(samples: DataFrame, rules: list[tuple[str, str, str, int, str
 def notifications(alerts: DataFrame, wait: int = 30, interval: int = 300, repeat: int = 43200) -> DataFrame:
     """When each group (alertname, severity, service) is notified, and of how many new alerts.
 
-    The first alert waits; later ones wait for the interval; without news a group is told again after repeat seconds
-    (which shows at its next alert).  A fold over each group's time-ordered alerts.
+    The first alert waits, later ones wait until interval seconds after the last notification; a group without
+    news is told again (n is 0) every repeat seconds, as far as its next alert shows that it went on.
     """
-    at = F.sort_array(F.collect_list(F.unix_seconds("starts_at")))
-    groups = alerts.where("status = 'firing'").groupBy("alertname", "severity", "service").agg(at.alias("at"))
-    start = F.struct(F.lit(-1).cast("bigint").alias("due"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<sent_at: bigint, n: bigint>>").alias("sent"))
-
-    def step(s: Column, t: Column) -> Column:
-        flush = (s["due"] >= 0) & (t > s["due"])
-        sent = F.when(flush, F.concat(s["sent"], F.array(F.struct(s["due"].alias("sent_at"), s["n"].alias("n"))))).otherwise(s["sent"])
-        due = F.when(s["due"] < 0, t + wait).when(flush, F.greatest(t, s["due"] + interval)).otherwise(s["due"])
-        return F.struct(due.cast("bigint").alias("due"), F.when(flush, F.lit(1)).otherwise(s["n"] + 1).cast("bigint").alias("n"), sent.alias("sent"))
-
-    done = F.aggregate("at", start, step, lambda s: F.concat(s["sent"], F.array(F.struct(s["due"].alias("sent_at"), s["n"].alias("n")))))
-    return groups.select("alertname", "severity", "service", F.inline(done))
+    rows = alerts.where("status = 'firing'").select("alertname", "severity", "service", F.unix_seconds("starts_at").alias("t"))
+
+    def step(s: tuple, t: int) -> tuple[tuple, list[tuple]]:
+        due, sent, n = s  # when the next notification is due, when the last one went out, new alerts since
+        out = []
+        if due is not None and t > due:
+            out.append((due, n))
+            due, sent, n = None, due, 0
+        if due is None and sent is None:
+            due = t + wait
+        elif due is None:
+            while sent + repeat < t:
+                sent += repeat
+                out.append((sent, 0))
+            due = max(t, sent + interval)
+        return (due, sent, n + 1), out
+
+    return fold_sorted(rows, ["alertname", "severity", "service"], ["t"], [], (None, None, 0), step, "sent_at bigint, n bigint", lambda s: [(s[0], s[2])])

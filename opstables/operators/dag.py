@@ -8,33 +8,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from opstables.sources.scratch import stored
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration, in the shared checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
-
-def waves(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def waves(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """(step, wave): 1 without dependencies, else one more than the latest of them; null on a cycle or behind an unknown step.
 
     A step enters a round when as many of its dependencies are resolved as it declares.  Only the frontier and
-    pending counts move in a round.
+    pending counts move in a round; there are as many rounds as waves, each stored in the shared folder.
     """
-    deps = _cut(edges.distinct())
+    deps = stored(edges.select("step", "depends_on").distinct(), "deps")
     declared = deps.groupBy("step").agg(F.count("*").alias("n"))
     names = steps.select("step").distinct()
-    state = _cut(names.join(declared, "step", "left").na.fill(0, ["n"]))
+    state = stored(names.join(declared, "step", "left").na.fill(0, ["n"]), "waves")
     done: list[DataFrame] = []
-    for wave in range(1, max_rounds):
+    wave = 0
+    while True:
         frontier = state.where("n = 0").select("step")
         if frontier.isEmpty():
             break
+        wave += 1
         done.append(frontier.withColumn("wave", F.lit(wave)))
-        if len(done) == 16:
-            done = [_cut(reduce(DataFrame.unionByName, done))]
+        if len(done) == 64:
+            done = [stored(reduce(DataFrame.unionByName, done), "waves")]
         released = deps.join(frontier.withColumnRenamed("step", "depends_on"), "depends_on", "left_semi").groupBy("step").agg(F.count("*").alias("k"))
-        state = _cut(state.where("n > 0").join(released, "step", "left").select("step", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        state = stored(state.where("n > 0").join(released, "step", "left").select("step", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")), "waves")
     resolved = reduce(DataFrame.unionByName, done) if done else state.limit(0).select("step", F.lit(0).alias("wave"))
     return names.join(resolved, "step", "left")
 
@@ -86,15 +86,23 @@ def map_outputs(df: DataFrame, mapping: dict[str, str], result: str = "result",
     return df.withColumn(context, F.map_concat(old, new))
 
 
-def map_step(df: DataFrame, run: str, items: str, fn: Callable[[Column], Column], failed: Callable[[Column], Column], policy: str = "abort_all") -> DataFrame:
-    """Fn on each item (explode, apply, gather in order).  abort_all: any failed item fails the run; continue: a failed item is null, and listed."""
-    rows = df.select(run, F.posexplode(items).alias("idx", "item"))
-    out = rows.select(run, "idx", failed(F.col("item")).alias("bad"), fn(F.col("item")).alias("value"))
+def map_step(df: DataFrame, run: str, items: str, fn: Callable[[Column], Column], failed: Callable[[Column], Column], policy: str = "abort_all", error: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Fn on each item (explode, apply, gather in order); items that aren't a list are a list of one.
+
+    abort_all: any failed item fails the run.  continue: a failed item is null among the results, and stands in
+    item_errors (map_index, map_error) with the error's text.
+    """
+    listed = F.col(items) if isinstance(df.schema[items].dataType, ArrayType) else F.array(items)
+    rows = df.select(run, F.posexplode(listed).alias("idx", "item"))
+    text = error(F.col("item")) if error else F.lit("failed")
+    out = rows.select(run, "idx", F.coalesce(failed(F.col("item")), F.lit(False)).alias("bad"), fn(F.col("item")).alias("value"), text.alias("error"))
     each = F.sort_array(F.collect_list(F.struct("idx", F.when(~F.col("bad"), F.col("value")).alias("value"))))
-    found = out.groupBy(run).agg(each.alias("_each"), F.count_if("bad").alias("errors"), F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("idx")))).alias("failed_items"))
+    wrong = F.sort_array(F.collect_list(F.when(F.col("bad"), F.struct(F.col("idx").alias("map_index"), F.col("error").alias("map_error")))))
+    found = out.groupBy(run).agg(each.alias("_each"), F.count_if("bad").alias("errors"), wrong.alias("item_errors"))
     results = F.transform("_each", lambda x: x["value"])
     status = F.when((F.col("errors") > 0) & F.lit(policy == "abort_all"), "failed").otherwise("completed")
-    return found.select(run, status.alias("status"), F.when(status == "completed", results).alias("results"), "errors", "failed_items")
+    indexes = F.transform("item_errors", lambda x: x["map_index"])
+    return found.select(run, status.alias("status"), F.when(status == "completed", results).alias("results"), "errors", indexes.alias("failed_items"), "item_errors")
 
 
 def on_failure(df: DataFrame, value: str, error: str, action: str, fallback: Column | None = None) -> DataFrame:
@@ -118,24 +126,35 @@ def collect_steps(results: DataFrame, run: str = "run_id", order: str = "seq", v
 
 
 def check_dag(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(step, problem): repeated steps, dependencies on unknown steps, steps on or behind a cycle."""
+    """(step, problem): repeated steps, dependencies on unknown steps, steps on or behind a cycle; if steps has on_failure and fallback, fallbacks that are missing."""
     names = steps.select("step").distinct()
     twice = steps.groupBy("step").count().where("count > 1").select("step", F.lit("duplicate step").alias("problem"))
     unknown = edges.join(names.withColumnRenamed("step", "depends_on"), "depends_on", "left_anti").select("step", F.lit("unknown dependency").alias("problem")).distinct()
     stuck = waves(steps, edges).where("wave IS NULL").select("step").join(unknown.select("step"), "step", "left_anti").select("step", F.lit("cycle").alias("problem"))
-    return twice.unionByName(unknown).unionByName(stuck)
+    found = twice.unionByName(unknown).unionByName(stuck)
+    if not {"on_failure", "fallback"} <= set(steps.columns):
+        return found
+    bare = steps.where("on_failure = 'fallback' AND fallback IS NULL").select("step", F.lit("missing fallback").alias("problem")).distinct()
+    return found.unionByName(bare)
 
 
 def lineage(edges: DataFrame, node: str = "id", parent: str = "from_id") -> DataFrame:
-    """(node, root, depth) of chains of replays, by pointer doubling: rounds grow with the logarithm of the longest chain."""
-    now = _cut(edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("depth")))
-    while True:
-        above = now.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        new = _cut(now.join(above, now["up"] == above["_n"], "left").select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.coalesce("_up", "up") != F.col("up")).alias("moved")))
-        moved = not new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if not moved:
-            return now.select("node", F.col("up").alias("root"), "depth")
+    """(node, root, depth) of chains of replays, by pointer doubling.
+
+    Rounds grow with the logarithm of the longest chain, and end at that of the number of nodes: what has
+    no root by then is on a cycle (of one row, too) or behind one, and has a null root and depth.  A parent that
+    is not among the nodes is a root.
+    """
+    start = edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col(parent).isNull().alias("done"))
+    now = stored(start, "lineage")
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        left = now.where("NOT done")
+        if left.isEmpty():
+            break
+        above = now.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
+        moved = left.join(above, F.col("up") == F.col("_n"), "left").select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done"))
+        now = stored(now.where("done").unionByName(moved), "lineage")
+    return now.select("node", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
 @dataclass

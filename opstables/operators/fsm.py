@@ -1,16 +1,18 @@
 """State over ordered events per key: streaks, health, breakers, limiters, state machines, durations.
 
-Closed forms over windows where they exist; else a fold over the key's events, sorted in an array.
-A folded key's history is one row, so keys should be fine (a capability and day, say) where histories are long.
+Closed forms over windows where they exist; else a fold that streams each key's events in order and holds
+its state only.  The steps of the folds are plain functions of (state, event), which streams use as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opstables.operators.runs import Step, fold_sorted
+
 #: Legal transitions of tasks and of nodes.
 TASK_TABLE = {
     ("pending", "schedule"): "scheduled",
@@ -58,34 +60,106 @@ def health_state(checks: DataFrame, key: str, ok: str, order: list[str], unhealt
     return rows.withColumn("status", status).drop("_episode")
 
 
-def _fold(df: DataFrame, key: str, order: list[str], fields: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows of key and of the struct array `out` that the fold gathers in its state."""
-    events = F.sort_array(F.collect_list(F.struct(*order, *fields)))
-    return df.groupBy(key).agg(events.alias("_events")).select(key, F.inline(F.aggregate("_events", start, step, lambda s: s["out"])))
-
-
 def _seconds(c: str = "ts") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
+def health_step(unhealthy: int = 3, healthy: int = 2) -> Step:
+    """The status after each check; state: status, successes and failures in a row."""
+
+    def step(s: list, t: float, id: int, ok: bool) -> tuple[list, list[tuple]]:
+        status, good, bad = s
+        good, bad = (good + 1, 0) if ok else (0, bad + 1)
+        if status != "healthy" and good >= healthy:
+            status = "healthy"
+        elif status == "healthy" and bad >= 2:
+            status = "degraded"
+        elif status == "degraded" and bad >= unhealthy:
+            status = "unhealthy"
+        return [status, good, bad], [(id, status)]
+
+    return step
+
+
+HEALTH_START = ["healthy", 0, 0]
+
+
+def breaker_step(threshold: int = 10, open_s: float = 60.0) -> Step:
+    """E11; state: failures, time of the last one, end of the open time."""
+
+    def step(s: list, t: float, id: int, ok: bool) -> tuple[list, list[tuple]]:
+        n, last, until = s
+        is_open = t < until
+        if t - last >= 4 * open_s:
+            n = 0
+        n = 0 if ok else n if is_open else n + 1
+        trips = not is_open and not ok and n >= threshold
+        if trips:
+            n, until = 0, t + open_s
+        return [n, last if ok or is_open else t, until], [(id, "open" if trips or is_open else "closed", n)]
+
+    return step
+
+
+BREAKER_START = [0, -1.0, -1.0]
+
+
+def client_breaker_step(threshold: int = 5, reset_s: float = 30.0) -> Step:
+    """E12; state: failures, time of the last one, closed, open or half_open."""
+
+    def step(s: list, t: float, id: int, ok: bool) -> tuple[list, list[tuple]]:
+        n, last, state = s
+        half = state == "half_open" or (state == "open" and t - last > reset_s)
+        if state != "closed" and not half:
+            return [n, last, "open"], [(id, False, "open")]
+        n, last = (0, last) if ok else (n + 1, t)
+        state = "closed" if ok else "open" if n >= threshold else "half_open" if half else "closed"
+        return [n, last, state], [(id, True, state)]
+
+    return step
+
+
+CLIENT_BREAKER_START = [0, -1.0, "closed"]
+
+
+def limiter_step(window: int = 60, most: int = 100, collapse_same_second: bool = True) -> Step:
+    """E13; state: the seconds of the window's admissions, at most `most`."""
+
+    def step(s: list, t: int, id: int) -> tuple[list, list[tuple]]:
+        held = [x for x in s if x > t - window]
+        if len(held) >= most:
+            retry = max(1, min(held) + window - t)
+            return held, [(id, False, 0, retry, t + retry)]
+        left = most - len(held) - 1
+        if not (collapse_same_second and t in held):
+            held.append(t)
+        return held, [(id, True, left, 0, t + window)]
+
+    return step
+
+
+def machine_step(table: dict[tuple[str, str], str]) -> Step:
+    """E15, E16; state: the state."""
+
+    def step(s: str, t: float, id: int, event: str) -> tuple[str, list[tuple]]:
+        to = table.get((s, event))
+        return to or s, [(id, event, s, to or s, to is not None)]
+
+    return step
+
+
+BREAKER_ROWS, CLIENT_BREAKER_ROWS = "id bigint, state string, failures int", "id bigint, allowed boolean, state string"
+LIMITER_ROWS = "id bigint, allowed boolean, remaining bigint, retry_after bigint, reset bigint"
+MACHINE_ROWS = "id bigint, event string, prev string, next string, legal boolean"
+
+
 def breaker_timeline(outcomes: DataFrame, key: str, threshold: int = 10, open_s: float = 60.0) -> DataFrame:
     """Outcomes (key, ts, id, ok): state after each.  Open after threshold failures since the last success;
     while open, failures count for nothing; after open_s it is closed with no failures.  Failures are forgotten 4 * open_s after the last.
+    A null outcome counts as a failure.
     """
     rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
-    start = F.expr("named_struct('n', 0, 'last', double(-1), 'until', double(-1), 'out', CAST(array() AS array<struct<id: bigint, state: string, failures: int>>))")
-
-    def step(s: Column, e: Column) -> Column:
-        is_open = e["t"] < s["until"]
-        n0 = F.when(e["t"] - s["last"] >= 4 * open_s, 0).otherwise(s["n"])
-        n = F.when(e["ok"], F.lit(0)).when(is_open, n0).otherwise(n0 + 1)
-        trips = ~is_open & ~e["ok"] & (n >= threshold)
-        until = F.when(trips, e["t"] + open_s).otherwise(s["until"])
-        kept = F.when(trips, 0).otherwise(n).cast("int")
-        item = F.struct(e["id"].alias("id"), F.when(trips | is_open, "open").otherwise("closed").alias("state"), kept.alias("failures"))
-        return F.struct(kept.alias("n"), F.when(e["ok"] | is_open, s["last"]).otherwise(e["t"]).alias("last"), until.alias("until"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    return _fold(rows, key, ["t", "id"], ["ok"], start, step)
+    return fold_sorted(rows, [key], ["t", "id"], ["ok"], BREAKER_START, breaker_step(threshold, open_s), BREAKER_ROWS)
 
 
 def client_breaker_timeline(outcomes: DataFrame, key: str, threshold: int = 5, reset_s: float = 30.0) -> DataFrame:
@@ -93,47 +167,24 @@ def client_breaker_timeline(outcomes: DataFrame, key: str, threshold: int = 5, r
     reset_s after the last failure makes it half-open, where a success closes and a failure opens it.
     """
     rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
-    start = F.expr("named_struct('n', 0, 'last', double(-1), 'state', 'closed', 'out', CAST(array() AS array<struct<id: bigint, allowed: boolean, state: string>>))")
-
-    def step(s: Column, e: Column) -> Column:
-        half = (s["state"] == "half_open") | ((s["state"] == "open") & (e["t"] - s["last"] > reset_s))
-        allowed = (s["state"] == "closed") | half
-        n = F.when(~allowed, s["n"]).when(e["ok"], 0).otherwise(s["n"] + 1).cast("int")
-        state = F.when(~allowed, "open").when(e["ok"], "closed").when(n >= threshold, "open").when(half, "half_open").otherwise("closed")
-        last = F.when(allowed & ~e["ok"], e["t"]).otherwise(s["last"])
-        return F.struct(n.alias("n"), last.alias("last"), state.alias("state"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), allowed.alias("allowed"), state.alias("state")))).alias("out"))
-
-    return _fold(rows, key, ["t", "id"], ["ok"], start, step)
+    return fold_sorted(rows, [key], ["t", "id"], ["ok"], CLIENT_BREAKER_START, client_breaker_step(threshold, reset_s), CLIENT_BREAKER_ROWS)
 
 
 def rate_limit(requests: DataFrame, key: str, window: int = 60, most: int = 100, collapse_same_second: bool = True) -> DataFrame:
     """Admitted if fewer than most admissions lie in the last window seconds; only admissions count (by default those of one second as one)."""
     rows = requests.select(key, F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "id")
-    start = F.expr("named_struct('held', CAST(array() AS array<bigint>), 'out', CAST(array() AS array<struct<id: bigint, allowed: boolean, remaining: bigint, retry_after: bigint, reset: bigint>>))")
-
-    def step(s: Column, e: Column) -> Column:
-        held = F.filter(s["held"], lambda x: x > e["t"] - window)
-        n = F.size(held)
-        allowed = n < most
-        added = F.concat(held, F.array(e["t"]))
-        after = F.when(allowed, F.array_distinct(added) if collapse_same_second else added).otherwise(held)
-        retry = F.when(allowed, 0).otherwise(F.greatest(F.lit(1), F.array_min(held) + window - e["t"])).cast("bigint")
-        item = F.struct(e["id"].alias("id"), allowed.alias("allowed"), F.when(allowed, most - n - 1).otherwise(0).cast("bigint").alias("remaining"), retry.alias("retry_after"), (e["t"] + F.when(allowed, F.lit(window).cast("bigint")).otherwise(retry)).alias("reset"))
-        return F.struct(after.alias("held"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    return _fold(rows, key, ["t", "id"], [], start, step)
+    return fold_sorted(rows, [key], ["t", "id"], [], [], limiter_step(window, most, collapse_same_second), LIMITER_ROWS)
 
 
 def concurrency_timeline(outcomes: DataFrame, key: str, baseline: int = 8, down: int = 1) -> DataFrame:
     """A failure lowers the limit (to 1 at least), a success raises it by 1 up to the baseline."""
     rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
-    start = F.expr(f"named_struct('v', {baseline}, 'out', CAST(array() AS array<struct<id: bigint, max_concurrent: int>>))")
 
-    def step(s: Column, e: Column) -> Column:
-        v = F.when(e["ok"], F.least(F.lit(baseline), s["v"] + 1)).otherwise(F.greatest(F.lit(1), s["v"] - down)).cast("int")
-        return F.struct(v.alias("v"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), v.alias("max_concurrent")))).alias("out"))
+    def step(v: int, t: float, id: int, ok: bool) -> tuple[int, list[tuple]]:
+        v = min(baseline, v + 1) if ok else max(1, v - down)
+        return v, [(id, v)]
 
-    return _fold(rows, key, ["t", "id"], ["ok"], start, step)
+    return fold_sorted(rows, [key], ["t", "id"], ["ok"], baseline, step, "id bigint, max_concurrent int")
 
 
 def _next_state(table: dict[tuple[str, str], str], state: Column, event: Column) -> Column:
@@ -144,15 +195,7 @@ def _next_state(table: dict[tuple[str, str], str], state: Column, event: Column)
 def replay_fsm(events: DataFrame, key: str, table: dict[tuple[str, str], str] = TASK_TABLE, initial: str = "pending", time: str = "created_at") -> DataFrame:
     """Each event's state before and after; an illegal event changes nothing and is flagged."""
     rows = events.select(key, _seconds(time).alias("t"), "id", "event")
-    start = F.expr(f"named_struct('state', '{initial}', 'out', CAST(array() AS array<struct<id: bigint, event: string, prev: string, next: string, legal: boolean>>))")
-
-    def step(s: Column, e: Column) -> Column:
-        to = _next_state(table, s["state"], e["event"])
-        state = F.coalesce(to, s["state"])
-        item = F.struct(e["id"].alias("id"), e["event"].alias("event"), s["state"].alias("prev"), state.alias("next"), to.isNotNull().alias("legal"))
-        return F.struct(state.alias("state"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    return _fold(rows, key, ["t", "id"], ["event"], start, step)
+    return fold_sorted(rows, [key], ["t", "id"], ["event"], initial, machine_step(table), MACHINE_ROWS)
 
 
 def transition(df: DataFrame, state: str, event: str, table: dict[tuple[str, str], str] = TASK_TABLE) -> DataFrame:
@@ -174,18 +217,17 @@ def durations(events: DataFrame, key: str, start: str, ends: tuple[str, ...]) ->
     return later.groupBy(key, "_first").agg(F.min("_t").alias("_end"), F.min_by("event", F.struct("_t", "id")).alias("outcome")).select(key, ((F.col("_end") - F.col("_first")) / 1e6).alias("seconds"), "outcome")
 
 
-def scale_advice(snapshots: DataFrame, key: str, up: float = 0.8, down: float = 0.2, cooldown: int = 300, most: int = 8) -> DataFrame:
+def scale_advice(snapshots: DataFrame, key: str, up: float = 0.8, down: float = 0.2, cooldown: int = 300) -> DataFrame:
     """Snapshots (key, t in seconds, utilization): scale up or down unless the last advice is younger than the cooldown."""
-    start = F.expr("named_struct('last', CAST(-1000000000 AS bigint), 'out', CAST(array() AS array<struct<t: bigint, advice: string, delta: int>>))")
 
-    def step(s: Column, e: Column) -> Column:
-        wants = F.when(e["utilization"] >= up, 1).when(e["utilization"] <= down, -1).otherwise(0)
-        acts = (wants != 0) & (e["t"] - s["last"] >= cooldown)
-        advice = F.when(acts & (wants > 0), "up").when(acts, "down").otherwise("hold")
-        item = F.struct(e["t"].alias("t"), advice.alias("advice"), F.when(acts, wants).otherwise(0).cast("int").alias("delta"))
-        return F.struct(F.when(acts, e["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(item)).alias("out"))
+    def step(last: int, t: int, use: float) -> tuple[Any, list[tuple]]:
+        wants = 1 if use >= up else -1 if use <= down else 0
+        if not wants or t - last < cooldown:
+            return last, [(t, "hold", 0)]
+        return t, [(t, "up" if wants > 0 else "down", wants)]
 
-    return _fold(snapshots, key, ["t"], ["utilization"], start, step)
+    rows = snapshots.where("utilization IS NOT NULL")
+    return fold_sorted(rows, [key], ["t"], ["utilization"], -1_000_000_000, step, "t bigint, advice string, delta int")
 
 
 def coalesce_ticks(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:

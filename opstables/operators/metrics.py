@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opstables.operators.ranks import split_rank
+from opstables.operators.ranks import split_rank, split_sum
 
 #: Upper bounds of the duration histogram's buckets, in seconds.
 BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0)
@@ -85,8 +85,8 @@ def throughput(events: DataFrame, time: str, interval: str, by: list[str]) -> Da
 def depth_trend(events: DataFrame, by: list[str]) -> DataFrame:
     """A queue's depth after each event: enqueued less started, never below a running sum of both."""
     step = F.when(F.col("event") == "enqueue", 1).when(F.col("event") == "start", -1).otherwise(0)
-    w = Window.partitionBy(*by).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(*by, "id", F.sum(step).over(w).alias("depth"))
+    rows = events.select(*by, "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t"), step.cast("bigint").alias("_step"))
+    return split_sum(rows, by, "_t", ["id"], "_step", "depth").select(*by, "id", "depth")
 
 
 def gauge_max(samples: DataFrame, value: str, by: list[str], threshold: float) -> DataFrame:

@@ -54,7 +54,7 @@ def govern(df: DataFrame, high_risk: tuple[str, ...] = HIGH_RISK) -> DataFrame:
 def force_verdict(requests: DataFrame) -> DataFrame:
     """Role first, then the reason of a high-risk operation."""
     rows = govern(requests)
-    error = F.when(~F.array_contains("allowed_roles", F.col("actor_role")), "insufficient role").when(F.col("high_risk") & _no_reason(), "reason required for high-risk force operation")
+    error = F.when(~F.array_contains("allowed_roles", F.col("actor_role")), "role_too_low").when(F.col("high_risk") & _no_reason(), "reason_missing")
     return rows.withColumns({"error": error, "ok": error.isNull(), "audit_action": F.when(error.isNull(), F.concat(F.lit("force_"), F.col("operation")))})
 
 
@@ -64,26 +64,26 @@ def callback_replay_verdict(requests: DataFrame, outbox: DataFrame) -> DataFrame
     status, admin = F.col("delivery_status"), F.col("actor_role") == "admin"
     missing, delivered = status.isNull(), F.coalesce(status == "delivered", F.lit(False))
     reasons = _reasons(
-        F.when(_no_reason(), "replay reason is required"),
-        F.when(status == "pending", "callback is already pending delivery"),
-        F.when(delivered & admin, "admin override for replay of already-delivered callback"),
-        F.when(delivered & ~admin, "replay of already-delivered callback requires admin role"),
+        F.when(_no_reason(), "reason_missing"),
+        F.when(status == "pending", "already_pending"),
+        F.when(delivered & admin, "delivered_admin_override"),
+        F.when(delivered & ~admin, "delivered_needs_admin"),
     )
     allowed = ~missing & ~_no_reason() & (status != "pending") & (~delivered | admin)
-    shown = F.when(missing, F.array(F.lit("callback outbox record not found"))).otherwise(reasons)
+    shown = F.when(missing, F.array(F.lit("callback_unknown"))).otherwise(reasons)
     return rows.select("request_id", "outbox_id", F.coalesce(allowed, F.lit(False)).alias("allowed"), shown.alias("reasons"))
 
 
-def replay_verdict(requests: DataFrame, leases: DataFrame, recent: DataFrame, most: int = 3, window: int = 300) -> DataFrame:
+def replay_verdict(requests: DataFrame, leases: DataFrame, recent: DataFrame, most: int = 3) -> DataFrame:
     """Recent is (task_id, n) of replays in the window.  An admin's override of a lease allows even without a reason; the rate comes last."""
     rows = requests.join(leases.select("task_id", F.lit(True).alias("_l")), "task_id", "left").join(recent, "task_id", "left")
     lease, admin, n = F.col("_l").isNotNull(), F.col("actor_role") == "admin", F.coalesce("n", F.lit(0))
     over = n >= most
     allowed = F.when(over, False).when(lease, admin).otherwise(~_no_reason())
     reasons = _reasons(
-        F.when(_no_reason(), "replay reason is required"),
-        F.when(lease, "active execution lease exists"),
-        F.when(lease & admin, "admin override for force replay on active lease"),
-        F.when(over, F.concat(F.lit("replay rate limit exceeded: "), n.cast("string"), F.lit(f"/{most} replays in last {window}s"))),
+        F.when(_no_reason(), "reason_missing"),
+        F.when(lease, "lease_active"),
+        F.when(lease & admin, "lease_admin_override"),
+        F.when(over, "rate_exceeded"),
     )
     return rows.select("request_id", "task_id", allowed.alias("allowed"), reasons.alias("reasons"))

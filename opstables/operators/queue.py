@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opstables.operators.audit import top_per_key
-from opstables.operators.ranks import split_rank
+from opstables.operators.ranks import if_small, split_rank
 
 #: A score is rank * RANK_UNIT + milliseconds.
 RANK_UNIT = 10**13
@@ -37,8 +37,11 @@ def _ready(entries: DataFrame, as_of_ms: int, scan_limit: int | None) -> DataFra
 
 def fill_slots(entries: DataFrame, config: DataFrame, as_of_ms: int, scan_limit: int | None = SCAN_LIMIT) -> DataFrame:
     """The tasks that fill each capability's free slots, in order."""
-    w = Window.partitionBy("capability").orderBy("score", "task_id")
-    ranked = _ready(entries, as_of_ms, scan_limit).withColumn("rank", F.row_number().over(w))
+    ready = _ready(entries, as_of_ms, scan_limit)
+    if scan_limit is None:  # a whole queue may be ready
+        ranked = split_rank(ready, ["capability"], "score", ["task_id"], "rank")
+    else:
+        ranked = ready.withColumn("rank", F.row_number().over(Window.partitionBy("capability").orderBy("score", "task_id")))
     free = limits(entries, config).select("capability", (F.col("max_concurrent") - F.col("running")).alias("free"))
     return ranked.join(free, "capability").where("rank <= free").select("capability", "task_id", "rank")
 
@@ -50,9 +53,8 @@ def next_ready(entries: DataFrame, config: DataFrame, as_of_ms: int, scan_limit:
 
 def admit(arrivals: DataFrame, entries: DataFrame, config: DataFrame) -> DataFrame:
     """Arrivals (capability, task_id, seq) are accepted while their queue is below its depth."""
-    w = Window.partitionBy("capability").orderBy("seq", "task_id")
     state = limits(entries, config).select("capability", "pending", "max_queue_depth")
-    rows = arrivals.withColumn("_n", F.row_number().over(w)).join(state, "capability", "left")
+    rows = split_rank(arrivals, ["capability"], "seq", ["task_id"], "_n").join(state, "capability", "left")
     depth, before = F.coalesce("max_queue_depth", F.lit(MAX_DEPTH)), F.coalesce("pending", F.lit(0))
     accepted = before + F.col("_n") <= depth
     return rows.select(
@@ -62,9 +64,8 @@ def admit(arrivals: DataFrame, entries: DataFrame, config: DataFrame) -> DataFra
 
 def admit_slots(arrivals: DataFrame, entries: DataFrame, config: DataFrame) -> DataFrame:
     """E5: as E4, on running slots."""
-    w = Window.partitionBy("capability").orderBy("seq", "task_id")
     state = limits(entries, config).select("capability", "running", "max_concurrent")
-    rows = arrivals.withColumn("_n", F.row_number().over(w)).join(state, "capability", "left")
+    rows = split_rank(arrivals, ["capability"], "seq", ["task_id"], "_n").join(state, "capability", "left")
     fits = F.coalesce("running", F.lit(0)) + F.col("_n") <= F.coalesce("max_concurrent", F.lit(MAX_CONCURRENT))
     return rows.select("capability", F.col("task_id").alias("slot_id"), fits.alias("acquired"))
 
@@ -73,21 +74,21 @@ def greedy_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each request, idle nodes by GPUs, largest first, while the total before a node is below the need.
 
     The running totals don't depend on the request, so they are made once: the total of all larger sizes (one row a
-    size) and the place among nodes of the same size.  Requests are few and broadcast.
+    size) and the place among nodes of the same size.  Requests are broadcast if they are few.
     """
     idle = nodes.where("state = 'idle' AND gpus > 0").select("node_id", "gpus")
     sizes = idle.groupBy("gpus").agg(F.sum("gpus").alias("_sum"))
     larger = sizes.select("gpus", F.coalesce(F.sum("_sum").over(Window.orderBy(F.col("gpus").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("gpus").orderBy("node_id")) - 1
-    totals = idle.withColumn("_place", place).join(larger, "gpus").select("node_id", "gpus", (F.col("_before") + F.col("_place") * F.col("gpus")).alias("running_gpus"))
-    return totals.join(F.broadcast(requests), F.col("running_gpus") < F.col("required_gpus")).select("request_id", "node_id", "gpus", "running_gpus")
+    placed = split_rank(idle, ["gpus"], "node_id", [], "_place")
+    totals = placed.join(larger, "gpus").select("node_id", "gpus", (F.col("_before") + (F.col("_place") - 1) * F.col("gpus")).alias("running_gpus"))
+    return totals.join(if_small(requests), F.col("running_gpus") < F.col("required_gpus")).select("request_id", "node_id", "gpus", "running_gpus")
 
 
 def least_loaded(workers: DataFrame, next_idx: int) -> DataFrame:
     """Per pool the worker with the fewest pending calls, ties round-robin from next_idx."""
-    size = F.count("*").over(Window.partitionBy("pool"))
+    sizes = workers.groupBy("pool").agg(F.count("*").alias("_size"))
     turn = F.pmod(F.col("idx") - F.lit(next_idx), F.col("_size"))
-    return top_per_key(workers.withColumn("_size", size), ["pool"], [F.col("pending"), turn, F.col("idx")], 1, "_r").drop("_r", "_size")
+    return top_per_key(workers.join(sizes, "pool"), ["pool"], [F.col("pending"), turn, F.col("idx")], 1, "_r").drop("_r", "_size")
 
 
 def tripped(faults: DataFrame, window: int = 300, n: int = 3) -> DataFrame:

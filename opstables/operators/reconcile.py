@@ -59,7 +59,7 @@ def stuck_disposition(stuck: DataFrame) -> DataFrame:
         F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"),
         F.when(again, scalars.requeue_delay_ms(F.col("attempt"))).alias("delay_ms"),
         F.when(again, F.coalesce("priority_rank", F.lit(3))).alias("priority_rank"),
-        F.when(~again, "reconciler: stuck task, lock expired").alias("reason"),
+        F.when(~again, "stuck_without_lease").alias("reason"),
     )
 
 
@@ -99,26 +99,31 @@ def explain(tasks: DataFrame, leases: DataFrame, cache: DataFrame) -> DataFrame:
     """Why a task may need recovery."""
     rows = tasks.select("task_id", "status").join(leases.select("task_id", F.lit(True).alias("_l")), "task_id", "left").join(cache.select("task_id", F.lit(True).alias("_c")), "task_id", "left")
     lease, running = F.col("_l").isNotNull(), F.col("status") == "running"
-    reasons = F.array_compact(F.array(F.when(~lease, "execution lease missing"), F.when(running & ~lease, "task marked running but lease missing")))
-    action = F.when(running & ~lease, "replay_or_repair").when(F.col("status").isin("failed", "completed"), "inspect_or_replay_callback").otherwise("inspect")
-    shown = F.when(F.size(reasons) == 0, F.array(F.lit("no obvious inconsistency detected"))).otherwise(reasons)
+    reasons = F.array_compact(F.array(F.when(~lease, "lease_missing"), F.when(running & ~lease, "running_without_lease")))
+    action = F.when(running & ~lease, "repair").when(F.col("status").isin("failed", "completed"), "check_callback").otherwise("inspect")
+    shown = F.when(F.size(reasons) == 0, F.array(F.lit("consistent"))).otherwise(reasons)
     return rows.select("task_id", lease.alias("lease"), F.col("_c").isNotNull().alias("cached"), F.lit(True).alias("durable"), action.alias("recommended_action"), shown.alias("reasons"))
 
 
 def task_debug(tasks: DataFrame, entries: DataFrame) -> DataFrame:
     """C17: durable facts with the task's place in the queues."""
     rows = tasks.select("task_id", "status").join(entries.select("task_id", "queue_set", "capability"), "task_id", "left").join(positions(entries), ["capability", "task_id"], "left")
-    pending = F.concat(F.lit("Task is pending in "), F.col("capability"), F.lit(" queue (position "), F.col("position").cast("string"), F.lit(")."))
-    running = F.concat(F.lit("Task is currently running in "), F.col("capability"), F.lit("."))
+    pending = F.concat(F.lit("wait in "), F.col("capability"), F.lit(" at place "), F.col("position").cast("string"))
+    running = F.concat(F.lit("runs in "), F.col("capability"))
     return rows.select("task_id", "status", "queue_set", "capability", "position", F.when(F.col("queue_set") == "pending", pending).when(F.col("queue_set") == "running", running).alias("recommendation"))
 
 
-def overview(entries: DataFrame, config: DataFrame, breaker: DataFrame) -> DataFrame:
-    """Each capability's queue, limits, breaker state and utilisation, beside the totals and the overall status."""
-    rows = limits(entries, config).join(breaker, "capability", "left")
+def overview(entries: DataFrame, config: DataFrame, breaker: DataFrame, tenant_caps: DataFrame | None = None, reachable: bool = True) -> DataFrame:
+    """Each capability's queue, limits, breaker state and utilisation, beside the totals and the overall status.
+
+    tenant_caps: the capabilities to show (all without it); reachable: whether the store answers, else the status is critical.
+    """
+    seen = entries if tenant_caps is None else entries.join(tenant_caps.select("capability").distinct(), "capability", "left_semi")
+    rows = limits(seen, config).join(breaker, "capability", "left")
     use = F.when(F.col("max_concurrent") > 0, F.round(F.col("running") / F.col("max_concurrent"), 2)).otherwise(0.0)
     per = rows.select("capability", "pending", "running", "max_concurrent", F.coalesce("circuit_state", F.lit("closed")).alias("circuit_state"), use.alias("utilization"))
-    total = per.agg(F.sum("pending").alias("total_pending"), F.sum("running").alias("total_running"), F.when(F.count_if(F.col("circuit_state") == "open") > 0, "degraded").otherwise("ok").alias("overall_status"))
+    status = F.when(~F.lit(reachable), "critical").when(F.count_if(F.col("circuit_state") == "open") > 0, "degraded").otherwise("ok")
+    total = per.agg(F.sum("pending").alias("total_pending"), F.sum("running").alias("total_running"), status.alias("overall_status"))
     return per.crossJoin(F.broadcast(total))  # one row
 
 
@@ -186,7 +191,7 @@ def recent_replays(actions: DataFrame, as_of: str, window: int = 300) -> DataFra
 
 
 def finalize(tasks: DataFrame, completions: DataFrame) -> DataFrame:
-    """Tasks with their completions (task_id, outcome, error, callback_url) merged in: known ones updated, unknown ones added; needs_callback tells who gets an outbox row."""
+    """Tasks with their completions (task_id, outcome, error, callback_url) merged in: known ones updated, unknown ones added; needs_callback tells who gets an outbox row (finalize_outbox); finalize_events gives the events."""
     both = tasks.select("task_id", "status").join(completions, "task_id", "full")
     return both.select(
         "task_id",
@@ -196,6 +201,21 @@ def finalize(tasks: DataFrame, completions: DataFrame) -> DataFrame:
     )
 
 
+def finalize_outbox(completions: DataFrame, as_of: str) -> DataFrame:
+    """The outbox rows that completions with a URL add, pending from as_of on; the payload carries id, status and time."""
+    seconds = F.unix_seconds(F.lit(as_of).cast("timestamp"))
+    payload = F.to_json(F.struct(F.col("task_id"), F.col("outcome").alias("status"), seconds.alias("timestamp")))
+    return completions.where("coalesce(callback_url, '') <> ''").select(
+        "task_id", "callback_url", payload.alias("payload_json"), F.lit("pending").alias("delivery_status"), F.lit(0).alias("attempt_count"), F.lit(as_of).cast("timestamp").alias("next_attempt_at")
+    )
+
+
+def finalize_events(completions: DataFrame, as_of: str) -> DataFrame:
+    """The event of each completion."""
+    payload = F.to_json(F.struct(F.coalesce("callback_url", F.lit("")).alias("callback_url")))
+    return completions.select("task_id", F.concat(F.lit("task_"), F.col("outcome")).alias("event_type"), payload.alias("event_payload"), F.lit(as_of).cast("timestamp").alias("created_at"))
+
+
 def outbox_progress(outbox: DataFrame, outcomes: DataFrame, as_of: str, max_attempts: int = 8) -> DataFrame:
     """T3, as a batch: a delivery ends its row; a failure waits by the ladder or, after max_attempts, is dead."""
     rows = outbox.where("delivery_status = 'pending'").join(outcomes, "id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opstables.operators.audit import top_per_key
+from opstables.operators.ranks import if_small
 
 
 def first_available(keys: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def merge_record(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 def resolve_keys(requests: DataFrame, api_keys: DataFrame, tenants: DataFrame) -> DataFrame:
     """The tenant of each key (by hash) if it is active and, where a tenant is hinted, the same."""
     hashed = requests.withColumn("key_hash", F.sha2("api_key", 256)).join(api_keys.withColumnRenamed("tenant_id", "owner"), "key_hash", "left")
-    rows = hashed.join(F.broadcast(tenants.select(F.col("tenant_id").alias("owner"), "status")), "owner", "left")
+    rows = hashed.join(if_small(tenants.select(F.col("tenant_id").alias("owner"), "status")), "owner", "left")
     verdict = (
         F.when(F.col("owner").isNull(), "unknown key").when(F.col("tenant_hint").isNotNull() & (F.col("tenant_hint") != F.col("owner")), "tenant mismatch")
         .when(F.coalesce("status", F.lit("")) != "active", "tenant not active").otherwise("ok")
@@ -36,20 +37,32 @@ def resolve_keys(requests: DataFrame, api_keys: DataFrame, tenants: DataFrame) -
 
 
 def select_cluster(requests: DataFrame, clusters: DataFrame) -> DataFrame:
-    """C14: for each request the active, visible cluster with the most free GPUs, then CPUs.
+    """C14: for each request (request_id, gpus, tenant_id and, if it has them, capability) the active, visible cluster with the most free GPUs, then CPUs.
 
-    Requests are many, clusters few: those are grouped by their tenant, ranked once and broadcast as one array per tenant.
+    A request without a tenant sees all clusters, one with a tenant its own and the public ones; one that names a
+    capability sees the clusters that list it.  Requests are many, clusters few: those are grouped by their
+    tenant, ranked once and joined as one array per tenant (broadcast if there are few).
     """
-    active = clusters.where("status = 'active'")
-    best = F.sort_array(F.collect_list(F.struct("available_gpus", "available_cpus", (-F.col("cluster_id")).alias("neg_id"))), asc=False)
-    by_tenant = active.groupBy(F.col("tenant_id").alias("tenant_key")).agg(best.alias("ranked"))
-    public = by_tenant.where("tenant_key = ''").select(F.col("ranked").alias("public"))
-    rows = requests.join(F.broadcast(by_tenant), F.col("tenant_id") == F.col("tenant_key"), "left").join(F.broadcast(public), how="left")
-
-    def fit(c: str) -> Column:
-        return F.get(F.filter(F.coalesce(c, F.array().cast("array<struct<available_gpus: int, available_cpus: int, neg_id: bigint>>")), lambda x: (F.col("gpus") <= 0) | (x["available_gpus"] >= F.col("gpus"))), 0)
-
-    return rows.select("request_id", (-F.greatest(fit("ranked"), fit("public"))["neg_id"]).alias("cluster_id"))
+    can = F.col("capabilities") if "capabilities" in clusters.columns else F.array().cast("array<string>")
+    active = clusters.where("status = 'active'").select("tenant_id", F.struct("available_gpus", "available_cpus", (-F.col("cluster_id")).alias("neg_id"), can.alias("can")).alias("c"))
+    best = F.sort_array(F.collect_list("c"), asc=False)
+    by_tenant = active.groupBy(F.col("tenant_id").alias("tenant_key")).agg(best.alias("own"))
+    shared = active.agg(best.alias("all"), F.sort_array(F.collect_list(F.when(F.coalesce("tenant_id", F.lit("")) == "", F.col("c"))), asc=False).alias("public"))  # one row
+    rows = requests.join(if_small(by_tenant, 10_000), (F.col("tenant_id") == F.col("tenant_key")) & (F.col("tenant_id") != ""), "left").join(F.broadcast(shared), how="left")
+
+    def fits(x: Column) -> Column:
+        enough = (F.coalesce("gpus", F.lit(0)) <= 0) | (x["available_gpus"] >= F.col("gpus"))
+        if "capability" not in requests.columns:
+            return enough
+        return enough & ((F.coalesce("capability", F.lit("")) == "") | F.array_contains(x["can"], F.col("capability")))
+
+    def first(c: Column) -> Column:
+        return F.get(F.filter(c, fits), 0)
+
+    key = F.struct  # clusters compare by GPUs, CPUs and number
+    picked = [F.when(x.isNotNull(), key(x["available_gpus"], x["available_cpus"], x["neg_id"].alias("neg_id"))) for x in (first(F.col("own")), first(F.col("public")), first(F.col("all")))]
+    chosen = F.when(F.coalesce("tenant_id", F.lit("")) == "", picked[2]).otherwise(F.greatest(picked[0], picked[1]))
+    return rows.select("request_id", (-chosen["neg_id"]).alias("cluster_id"))
 
 
 def with_tenant(fires: DataFrame, schedules: DataFrame) -> DataFrame:

@@ -49,11 +49,17 @@ def fires(schedules: DataFrame, cron: str, start: str, end: str) -> DataFrame:
     return hours.withColumn("fire_at", at).where((F.col("fire_at") >= low) & (F.col("fire_at") < high)).select(*schedules.columns, "fire_at")
 
 
-def next_fire(schedules: DataFrame, cron: str, after: str, horizon_days: int = 366) -> DataFrame:
-    """the first fire after a moment, within the horizon (null if none): days first, then the first minute of the first day that has one left."""
+#: Days after which every pattern that fires at all has fired: 29 February can be eight years away.
+HORIZON_DAYS = 2922
+
+
+def next_fire(schedules: DataFrame, cron: str, after: str, horizon_days: int = HORIZON_DAYS) -> DataFrame:
+    """the first fire after a moment, within the horizon (null if none): days first, then the first minute of the first day that has one left.
+
+    Days beyond the first year are looked at only for the patterns that have no day in it.
+    """
     low = F.lit(after).cast("timestamp")
     rows = cron_fields(schedules, cron)
-    offsets = F.sequence(F.lit(0), F.lit(horizon_days))
 
     def day(i: Column) -> Column:
         return F.date_add(F.to_date(low), i)
@@ -62,14 +68,16 @@ def next_fire(schedules: DataFrame, cron: str, after: str, horizon_days: int = 3
         dom, dow = F.array_contains(F.col("_dom"), F.dayofmonth(day(i))), F.array_contains(F.col("_dow"), F.dayofweek(day(i)) - 1)
         return F.array_contains(F.col("_mon"), F.month(day(i))) & F.when(F.col("_any_dom") | F.col("_any_dow"), dom & dow).otherwise(dom | dow)
 
+    def first_day(low: int, high: int) -> Column:
+        return F.get(F.filter(F.sequence(F.lit(low), F.lit(high)), ok), 0) if low <= high else F.lit(None).cast("int")
+
     minutes = F.array_sort(F.flatten(F.transform("_hour", lambda h: F.transform(F.col("_min"), lambda m: h * 60 + m))))
     now = F.hour(low) * 60 + F.minute(low)
-    rows = rows.withColumns({"_days": F.filter(offsets, ok), "_minutes": minutes})
-    left_today = F.filter(F.col("_minutes"), lambda m: m > now)
-    today = (F.element_at("_days", 1) == 0) & (F.size(left_today) > 0)
-    later = F.get(F.filter(F.col("_days"), lambda i: i > 0), 0)
-    offset = F.when(today, F.lit(0)).otherwise(later)
-    minute = F.when(today, F.get(left_today, 0)).otherwise(F.get("_minutes", 0))
+    rows = rows.withColumns({"_later": F.coalesce(first_day(1, min(366, horizon_days)), first_day(367, horizon_days)), "_minutes": minutes})
+    left_today = F.get(F.filter(F.col("_minutes"), lambda m: m > now), 0)
+    today = ok(F.lit(0)) & left_today.isNotNull()
+    offset = F.when(today, F.lit(0)).otherwise(F.col("_later"))
+    minute = F.when(today, left_today).otherwise(F.get("_minutes", 0))
     at = F.timestamp_seconds(F.unix_seconds(F.date_add(F.to_date(low), offset).cast("timestamp")) + minute * 60)
     return rows.select(*schedules.columns, at.alias("next_fire_at"))
 

@@ -21,11 +21,11 @@ def _(edges):
 
 @query(
     "i2_ready_steps", "dag_steps nation",
-    """WITH p AS (SELECT n_nationkey AS run_id, n_nationkey + 3 AS top FROM nation), s AS (SELECT DISTINCT step FROM dag_steps WHERE step <= 60)
+    """WITH p AS (SELECT n_nationkey AS run_id, n_nationkey + 3 AS top FROM nation), s AS (SELECT DISTINCT step FROM dag_steps)
        SELECT run_id, s.step FROM p, s WHERE s.step > top AND s.step <> 40 AND NOT EXISTS (SELECT 1 FROM dag_steps d WHERE d.step = s.step AND d.depends_on > top)""",
 )
 def _(edges, nation):
-    deps = edges.where("step <= 60").groupBy("step").agg(F.collect_set("depends_on").alias("depends"))
+    deps = edges.groupBy("step").agg(F.collect_set("depends_on").alias("depends"))
     progress = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS run_id", "sequence(0L, CAST(n_nationkey + 3 AS BIGINT)) AS completed", "array(40L) AS failed")
     return dag.ready_steps(deps, progress)
 
@@ -102,6 +102,18 @@ def _(orders):
     return found.select("run_id", "status", F.array_join("results", ",", "-").alias("results"), F.array_join("failed_items", ",").alias("failed_items"))
 
 
+@query(
+    "i5_map_step_errors", "orders",
+    """SELECT o_orderkey AS run_id, 'completed' AS status, CASE WHEN o_orderkey % 7 = 0 THEN '-' ELSE CAST(o_orderkey * 2 AS VARCHAR) END AS results,
+              CASE WHEN o_orderkey % 7 = 0 THEN '0:seventh' ELSE '' END AS item_errors FROM orders""",
+)
+def _(orders):
+    rows = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderkey").alias("item"))  # no list: a list of one
+    found = dag.map_step(rows, "run_id", "item", lambda x: x * 2, lambda x: x % 7 == 0, "continue", lambda x: F.lit("seventh"))
+    shown = F.transform("item_errors", lambda e: F.concat_ws(":", e["map_index"].cast("string"), e["map_error"]))
+    return found.select("run_id", "status", F.array_join("results", ",", "-").alias("results"), F.array_join(shown, ",").alias("item_errors"))
+
+
 @query("i6_on_failure", "task_runs", "SELECT run_key, CASE WHEN status = 'failed' THEN -1 ELSE attempt END AS result, false AS aborted FROM task_runs")
 def _(runs):
     rows = runs.select("run_key", F.col("attempt").alias("result"), F.when(F.col("status") == "failed", "boom").alias("error"))
@@ -123,27 +135,30 @@ def _(events):
     return dag.collect_steps(rows).select("run_id", F.array_join("results", ",").alias("results"))
 
 
-@query(
-    "i9_check_dag", "dag_steps",
-    """WITH bad AS (SELECT step FROM dag_steps WHERE depends_on = 7)
-       SELECT step, 'duplicate step' AS problem FROM (SELECT step FROM dag_steps WHERE step % 100 = 50 GROUP BY 1)
-       UNION ALL SELECT DISTINCT step, 'unknown dependency' FROM bad""",
-)
-def _(edges):
+_CHECKED = """WITH RECURSIVE bad AS (SELECT DISTINCT step FROM dag_steps WHERE depends_on = 7), r(step) AS (SELECT step FROM bad UNION SELECT d.step FROM r JOIN dag_steps d ON d.depends_on = r.step)
+       SELECT step, 'duplicate step' AS problem FROM (SELECT DISTINCT step FROM dag_steps WHERE step % 100 = 50)
+       UNION ALL SELECT step, 'unknown dependency' FROM bad UNION ALL SELECT step, 'cycle' FROM r ANTI JOIN bad USING (step)"""
+
+
+def _with_faults(edges):
     names = _steps(edges).where("step <> 7")
-    steps = names.unionByName(names.where("step % 100 = 50"))
-    return dag.check_dag(steps, edges).where("problem <> 'cycle'")
+    return names.unionByName(names.where("step % 100 = 50"))
 
 
-@query(
-    "i9_check_dag_all", "dag_steps",
-    """WITH RECURSIVE bad AS (SELECT DISTINCT step FROM dag_steps WHERE depends_on = 7), r(step) AS (SELECT step FROM bad UNION SELECT d.step FROM r JOIN dag_steps d ON d.depends_on = r.step)
-       SELECT step, 'duplicate step' AS problem FROM (SELECT DISTINCT step FROM dag_steps WHERE step % 100 = 50)
-       UNION ALL SELECT step, 'unknown dependency' FROM bad UNION ALL SELECT step, 'cycle' FROM r ANTI JOIN bad USING (step)""",
-)
+@query("i9_check_dag", "dag_steps", _CHECKED)
 def _(edges):
-    names = _steps(edges).where("step <> 7")
-    return dag.check_dag(names.unionByName(names.where("step % 100 = 50")), edges)
+    return dag.check_dag(_with_faults(edges), edges)
+
+
+@query("i9_check_dag_all", "dag_steps", _CHECKED)
+def _(edges):
+    return dag.check_dag(_with_faults(edges), edges)
+
+
+@query("i9_missing_fallback", "dag_steps", "SELECT DISTINCT step, 'missing fallback' AS problem FROM dag_steps WHERE step % 3 = 0 AND step % 2 = 0")
+def _(edges):
+    steps = edges.select("step").distinct().selectExpr("step", "CASE WHEN step % 3 = 0 THEN 'fallback' ELSE 'abort' END AS on_failure", "CASE WHEN step % 2 = 1 THEN 'x' END AS fallback")
+    return dag.check_dag(steps.unionByName(edges.where("depends_on = 0").selectExpr("0L AS step", "'abort' AS on_failure", "CAST(NULL AS STRING) AS fallback").distinct()), edges)
 
 
 @query(

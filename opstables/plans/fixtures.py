@@ -46,7 +46,7 @@ SELECT concat('cap-', CAST(o_custkey % 8 AS VARCHAR(20))) AS capability, o_order
 FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderkey % 13 <> 0""",
     "queue_config": """
 SELECT concat('cap-', CAST(n_nationkey AS VARCHAR(20))) AS capability, 100 * (1 + n_nationkey) AS max_queue_depth,
-       60 * n_nationkey AS max_concurrent
+       CASE WHEN n_nationkey % 2 = 1 THEN 10000000 * n_nationkey ELSE 60 * n_nationkey END AS max_concurrent
 FROM nation WHERE n_nationkey < 6""",
     "task_runs": """
 SELECT l_orderkey AS task_id,

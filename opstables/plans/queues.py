@@ -9,7 +9,8 @@ _LIMITS = """lim AS (SELECT capability, count(*) FILTER (queue_set = 'pending')
        any_value(CASE WHEN max_queue_depth > 0 THEN max_queue_depth ELSE 1000 END) AS max_queue_depth,
        any_value(CASE WHEN max_concurrent > 0 THEN max_concurrent ELSE 8 END) AS max_concurrent
      FROM queue_entries LEFT JOIN queue_config USING (capability) GROUP BY capability)"""
-_NOW = 800_060_000_000
+#: The moment that the queues are looked at from: some of the entries of every size of the data are ready then, others not.
+_NOW = 800_005_000_000
 
 
 @query("a4_queue_snapshot", "queue_entries queue_config", f"WITH {_LIMITS} SELECT * FROM lim")
@@ -39,11 +40,11 @@ def _(entries, config):
     return queue.fill_slots(entries, config, _NOW)
 
 
-_ARRIVALS = "arr AS (SELECT capability, task_id, epoch_us(created_at) AS seq FROM tasks WHERE task_id % 13 = 0)"
+_ARRIVALS = "arr AS (SELECT capability, task_id, epoch_us(created_at) AS seq FROM tasks)"
 
 
 def _arrivals(tasks):
-    return tasks.where("task_id % 13 = 0").select("capability", "task_id", F.unix_micros("created_at").alias("seq"))
+    return tasks.select("capability", "task_id", F.unix_micros("created_at").alias("seq"))
 
 
 @query(
@@ -121,7 +122,7 @@ def _(entries, tasks):
 @query(
     "u3_start_tasks", "queue_entries",
     """SELECT capability, task_id, CASE WHEN queue_set = 'pending' AND task_id % 10 = 0 THEN 'running' ELSE queue_set END AS queue_set,
-              CASE WHEN queue_set = 'pending' AND task_id % 10 = 0 THEN 800060000000 ELSE score END AS score FROM queue_entries""",
+              CASE WHEN queue_set = 'pending' AND task_id % 10 = 0 THEN 800005000000 ELSE score END AS score FROM queue_entries""",
 )
 def _(entries):
     return queue.start_tasks(entries, entries.where("task_id % 10 = 0"), _NOW)
@@ -129,11 +130,10 @@ def _(entries):
 
 @query(
     "u4_cancel_entries", "tasks queue_entries",
-    """SELECT t.capability, t.task_id, coalesce(min(queue_set), 'absent') AS removed_from FROM tasks t LEFT JOIN queue_entries q ON q.task_id = t.task_id AND q.capability = t.capability
-       WHERE t.task_id % 11 = 0 GROUP BY 1, 2""",
+    """SELECT t.capability, t.task_id, coalesce(min(queue_set), 'absent') AS removed_from FROM tasks t LEFT JOIN queue_entries q ON q.task_id = t.task_id AND q.capability = t.capability GROUP BY 1, 2""",
 )
 def _(tasks, entries):
-    return queue.cancel_entries(entries, tasks.where("task_id % 11 = 0").select("capability", "task_id"))
+    return queue.cancel_entries(entries, tasks.select("capability", "task_id"))
 
 
 @query(

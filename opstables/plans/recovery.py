@@ -57,7 +57,7 @@ def _(cache, leases):
         CASE WHEN attempt < max_retries THEN attempt + 1 ELSE attempt END AS attempt,
         CASE WHEN attempt < max_retries THEN least(600000, 10000 * CAST(pow(2, attempt) AS BIGINT)) END AS delay_ms,
         CASE WHEN attempt < max_retries THEN priority_rank END AS priority_rank,
-        CASE WHEN attempt >= max_retries THEN 'reconciler: stuck task, lock expired' END AS reason FROM stuck""",
+        CASE WHEN attempt >= max_retries THEN 'stuck_without_lease' END AS reason FROM stuck""",
 )
 def _(cache, leases):
     return R.stuck_disposition(R.stuck_tasks(cache, leases, _recent(cache), TASKS_AS_OF, cap=None))
@@ -112,9 +112,9 @@ def _(customer, tasks):
 @query(
     "c16_explain", "tasks leases task_cache",
     """SELECT t.task_id, l.task_id IS NOT NULL AS lease, c.task_id IS NOT NULL AS cached, true AS durable,
-              CASE WHEN t.status = 'running' AND l.task_id IS NULL THEN 'replay_or_repair' WHEN t.status IN ('failed', 'completed') THEN 'inspect_or_replay_callback' ELSE 'inspect' END AS recommended_action,
-              CASE WHEN l.task_id IS NULL THEN CASE WHEN t.status = 'running' THEN 'execution lease missing|task marked running but lease missing' ELSE 'execution lease missing' END
-                   ELSE 'no obvious inconsistency detected' END AS reasons
+              CASE WHEN t.status = 'running' AND l.task_id IS NULL THEN 'repair' WHEN t.status IN ('failed', 'completed') THEN 'check_callback' ELSE 'inspect' END AS recommended_action,
+              CASE WHEN l.task_id IS NULL THEN CASE WHEN t.status = 'running' THEN 'lease_missing|running_without_lease' ELSE 'lease_missing' END
+                   ELSE 'consistent' END AS reasons
        FROM tasks t LEFT JOIN leases l ON l.task_id = t.task_id LEFT JOIN task_cache c ON c.task_id = t.task_id""",
 )
 def _(tasks, leases, cache):
@@ -125,8 +125,8 @@ def _(tasks, leases, cache):
     "c17_task_debug", "tasks queue_entries",
     """WITH p AS (SELECT task_id, row_number() OVER (PARTITION BY capability ORDER BY score, task_id) AS position FROM queue_entries WHERE queue_set = 'pending')
        SELECT t.task_id, t.status, queue_set, q.capability, position,
-              CASE queue_set WHEN 'pending' THEN concat('Task is pending in ', q.capability, ' queue (position ', CAST(position AS VARCHAR), ').')
-                             WHEN 'running' THEN concat('Task is currently running in ', q.capability, '.') END AS recommendation
+              CASE queue_set WHEN 'pending' THEN concat('wait in ', q.capability, ' at place ', CAST(position AS VARCHAR))
+                             WHEN 'running' THEN concat('runs in ', q.capability) END AS recommendation
        FROM tasks t LEFT JOIN queue_entries q ON q.task_id = t.task_id LEFT JOIN p ON p.task_id = t.task_id""",
 )
 def _(tasks, entries):
@@ -148,6 +148,20 @@ def _(entries, config, nation):
     return R.overview(entries, config, breaker)
 
 
+@query(
+    "c18_overview_tenant", "queue_entries queue_config nation tasks",
+    """WITH b AS (SELECT concat('cap-', CAST(n_nationkey AS VARCHAR)) AS capability, CASE n_nationkey % 3 WHEN 0 THEN 'open' ELSE 'closed' END AS circuit_state FROM nation WHERE n_nationkey < 7),
+       l AS (SELECT capability, count(*) FILTER (queue_set = 'pending') AS pending, count(*) FILTER (queue_set = 'running') AS running,
+                    any_value(CASE WHEN max_concurrent > 0 THEN max_concurrent ELSE 8 END) AS max_concurrent FROM queue_entries LEFT JOIN queue_config USING (capability)
+             WHERE capability IN (SELECT capability FROM tasks WHERE tenant_id = 'tenant-4') GROUP BY 1)
+       SELECT capability, pending, running, max_concurrent, coalesce(circuit_state, 'closed') AS circuit_state, round(running / max_concurrent, 2) AS utilization,
+              CAST(sum(pending) OVER () AS BIGINT) AS total_pending, CAST(sum(running) OVER () AS BIGINT) AS total_running, 'critical' AS overall_status FROM l LEFT JOIN b USING (capability)""",
+)
+def _(entries, config, nation, tasks):
+    breaker = nation.where("n_nationkey < 7").selectExpr("concat('cap-', n_nationkey) AS capability", "CASE n_nationkey % 3 WHEN 0 THEN 'open' ELSE 'closed' END AS circuit_state")
+    return R.overview(entries, config, breaker, tasks.where("tenant_id = 'tenant-4'"), reachable=False)
+
+
 @query(
     "c19_replay_effects", "operator_actions",
     """WITH r AS (SELECT * FROM operator_actions WHERE action_type = 'task_replay_requested')
@@ -230,6 +244,30 @@ def _(tasks, events):
     return R.finalize(tasks, done)
 
 
+_DONE = """c AS (SELECT id * 7 AS task_id, CASE WHEN event = 'fail' THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN id % 2 = 0 THEN 'http://cb' ELSE '' END AS callback_url FROM task_events WHERE event IN ('complete', 'fail'))"""
+
+
+def _done(events):
+    return events.where("event IN ('complete', 'fail')").selectExpr("id * 7 AS task_id", "CASE WHEN event = 'fail' THEN 'failed' ELSE 'completed' END AS outcome", "CASE WHEN id % 2 = 0 THEN 'http://cb' ELSE '' END AS callback_url")
+
+
+@query(
+    "s9_outbox", "task_events",
+    f"""WITH {_DONE} SELECT task_id, callback_url, concat('{{"task_id":', CAST(task_id AS VARCHAR), ',"status":"', outcome, '","timestamp":', CAST(epoch_us(TIMESTAMP '{EVENTS_AS_OF}') // 1000000 AS VARCHAR), '}}') AS payload_json,
+        'pending' AS delivery_status, 0 AS attempt_count, epoch_us(TIMESTAMP '{EVENTS_AS_OF}') AS next_attempt_at FROM c WHERE callback_url <> ''""",
+)
+def _(events):
+    return R.finalize_outbox(_done(events), EVENTS_AS_OF)
+
+
+@query(
+    "s9_events", "task_events",
+    f"""WITH {_DONE} SELECT task_id, concat('task_', outcome) AS event_type, concat('{{"callback_url":"', callback_url, '"}}') AS event_payload, epoch_us(TIMESTAMP '{EVENTS_AS_OF}') AS created_at FROM c""",
+)
+def _(events):
+    return R.finalize_events(_done(events), EVENTS_AS_OF)
+
+
 @query(
     "t3_outbox_progress", "callback_outbox",
     f"""SELECT id, CASE WHEN id % 3 = 0 THEN 'delivered' WHEN attempt_count + 1 >= 8 THEN 'dead_letter' ELSE 'pending' END AS delivery_status, attempt_count + 1 AS attempt_count,
@@ -243,10 +281,10 @@ def _(outbox):
 @query(
     "s4_first_available", "task_cache tasks",
     """SELECT task_id, status, source FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY source) AS r FROM (
-         SELECT task_id, status, 0 AS source FROM task_cache UNION ALL SELECT task_id, status, 1 FROM tasks) WHERE task_id % 3 = 0) WHERE r = 1""",
+         SELECT task_id, status, 0 AS source FROM task_cache UNION ALL SELECT task_id, status, 1 FROM tasks)) WHERE r = 1""",
 )
 def _(cache, tasks):
-    return registry.first_available(tasks.where("task_id % 3 = 0"), "task_id", cache.select("task_id", "status"), tasks.select("task_id", "status"))
+    return registry.first_available(tasks, "task_id", cache.select("task_id", "status"), tasks.select("task_id", "status"))
 
 
 @query(
@@ -291,6 +329,20 @@ def _(tasks, clusters):
     return registry.select_cluster(tasks.selectExpr("task_id AS request_id", "tenant_id", "CAST(task_id % 10 AS INT) AS gpus"), clusters.withColumn("cluster_id", F.col("cluster_id").cast("bigint")))
 
 
+@query(
+    "c14_select_by_capability", "tasks clusters",
+    """WITH q AS (SELECT task_id AS request_id, CASE WHEN task_id % 6 <> 0 THEN tenant_id END AS tenant, CAST(task_id % 10 AS INT) AS gpus, CASE WHEN task_id % 4 <> 0 THEN capability END AS cap FROM tasks),
+            c AS (SELECT *, [concat('cap-', CAST(cluster_id % 8 AS VARCHAR)), concat('cap-', CAST(cluster_id % 5 AS VARCHAR))] AS can FROM clusters),
+            r AS (SELECT request_id, cluster_id, row_number() OVER (PARTITION BY request_id ORDER BY available_gpus DESC, available_cpus DESC, cluster_id) AS k
+                  FROM q JOIN c ON status = 'active' AND (gpus <= 0 OR available_gpus >= gpus) AND (tenant IS NULL OR c.tenant_id = '' OR c.tenant_id = tenant) AND (cap IS NULL OR list_contains(can, cap)))
+       SELECT q.request_id, cluster_id FROM q LEFT JOIN (SELECT * FROM r WHERE k = 1) x ON x.request_id = q.request_id""",
+)
+def _(tasks, clusters):
+    requests = tasks.selectExpr("task_id AS request_id", "CASE WHEN task_id % 6 <> 0 THEN tenant_id END AS tenant_id", "CAST(task_id % 10 AS INT) AS gpus", "CASE WHEN task_id % 4 <> 0 THEN capability END AS capability")
+    listed = clusters.withColumns({"cluster_id": F.col("cluster_id").cast("bigint"), "capabilities": F.expr("array(concat('cap-', cluster_id % 8), concat('cap-', cluster_id % 5))")})
+    return registry.select_cluster(requests, listed)
+
+
 @query(
     "c15_with_tenant", "schedules events",
     "SELECT event_id AS fire_id, user_id AS schedule_id, tenant_id FROM events LEFT JOIN schedules ON schedule_id = user_id",

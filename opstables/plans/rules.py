@@ -52,8 +52,8 @@ def _(actions):
 
 @query(
     "p12_force_verdict", "operator_actions",
-    f"""WITH q AS (SELECT {_OPS} FROM operator_actions), v AS (SELECT *, CASE WHEN actor_role NOT IN ('operator', 'admin') OR (operation <> 'pause_queue' AND actor_role <> 'admin') THEN 'insufficient role'
-          WHEN operation <> 'pause_queue' AND coalesce(reason, '') = '' THEN 'reason required for high-risk force operation' END AS error FROM q)
+    f"""WITH q AS (SELECT {_OPS} FROM operator_actions), v AS (SELECT *, CASE WHEN actor_role NOT IN ('operator', 'admin') OR (operation <> 'pause_queue' AND actor_role <> 'admin') THEN 'role_too_low'
+          WHEN operation <> 'pause_queue' AND coalesce(reason, '') = '' THEN 'reason_missing' END AS error FROM q)
         SELECT id, operation, error, error IS NULL AS ok, CASE WHEN error IS NULL THEN concat('force_', operation) END AS audit_action FROM v""",
 )
 def _(actions):
@@ -65,9 +65,9 @@ def _(actions):
     """WITH q AS (SELECT id AS request_id, id + 1 AS outbox_id, reason, actor_role FROM operator_actions),
        j AS (SELECT q.*, delivery_status AS s FROM q LEFT JOIN callback_outbox o ON o.id = outbox_id)
        SELECT request_id, outbox_id, s IS NOT NULL AND reason IS NOT NULL AND s <> 'pending' AND (s <> 'delivered' OR actor_role = 'admin') AS allowed,
-              CASE WHEN s IS NULL THEN 'callback outbox record not found' ELSE coalesce(nullif(concat_ws('|', CASE WHEN reason IS NULL THEN 'replay reason is required' END,
-                CASE WHEN s = 'pending' THEN 'callback is already pending delivery' END, CASE WHEN s = 'delivered' AND actor_role = 'admin' THEN 'admin override for replay of already-delivered callback' END,
-                CASE WHEN s = 'delivered' AND actor_role <> 'admin' THEN 'replay of already-delivered callback requires admin role' END), ''), 'allowed') END AS reasons FROM j""",
+              CASE WHEN s IS NULL THEN 'callback_unknown' ELSE coalesce(nullif(concat_ws('|', CASE WHEN reason IS NULL THEN 'reason_missing' END,
+                CASE WHEN s = 'pending' THEN 'already_pending' END, CASE WHEN s = 'delivered' AND actor_role = 'admin' THEN 'delivered_admin_override' END,
+                CASE WHEN s = 'delivered' AND actor_role <> 'admin' THEN 'delivered_needs_admin' END), ''), 'allowed') END AS reasons FROM j""",
 )
 def _(actions, outbox):
     requests = actions.selectExpr("id AS request_id", "id + 1 AS outbox_id", "reason", "actor_role")
@@ -81,14 +81,14 @@ def _(actions, outbox):
         j AS (SELECT id AS request_id, a.target_id AS task_id, reason, actor_role = 'admin' AS adm, l.task_id IS NOT NULL AS lease, coalesce(n, 0) AS n
               FROM operator_actions a LEFT JOIN leases l ON l.task_id = a.target_id LEFT JOIN n ON n.target_id = a.target_id)
         SELECT request_id, task_id, CASE WHEN n >= 3 THEN false WHEN lease THEN adm ELSE reason IS NOT NULL END AS allowed,
-               coalesce(nullif(concat_ws('|', CASE WHEN reason IS NULL THEN 'replay reason is required' END, CASE WHEN lease THEN 'active execution lease exists' END,
-                 CASE WHEN lease AND adm THEN 'admin override for force replay on active lease' END,
-                 CASE WHEN n >= 3 THEN concat('replay rate limit exceeded: ', CAST(n AS VARCHAR), '/3 replays in last 864000s') END), ''), 'allowed') AS reasons FROM j""",
+               coalesce(nullif(concat_ws('|', CASE WHEN reason IS NULL THEN 'reason_missing' END, CASE WHEN lease THEN 'lease_active' END,
+                 CASE WHEN lease AND adm THEN 'lease_admin_override' END,
+                 CASE WHEN n >= 3 THEN 'rate_exceeded' END), ''), 'allowed') AS reasons FROM j""",
 )
 def _(actions, leases):
     recent = R.recent_replays(actions, EVENTS_AS_OF, 864000)
     requests = actions.selectExpr("id AS request_id", "target_id AS task_id", "reason", "actor_role")
-    return policy.replay_verdict(requests, leases, recent, window=864000).withColumn("reasons", F.array_join("reasons", "|"))
+    return policy.replay_verdict(requests, leases, recent).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query(
@@ -101,7 +101,7 @@ def _(alerts):
 
 @query(
     "p16_route_alerts", "alerts",
-    """SELECT id, CASE severity WHEN 'critical' THEN 'infoflow,webhook' WHEN 'warning' THEN 'infoflow' ELSE 'webhook' END || CASE WHEN service = 'ops-api' AND severity = 'warning' THEN ',webhook' ELSE '' END
+    """SELECT id, CASE severity WHEN 'critical' THEN 'chat,webhook' WHEN 'warning' THEN 'chat' ELSE 'webhook' END || CASE WHEN service = 'ops-api' AND severity = 'warning' THEN ',webhook' ELSE '' END
               || CASE WHEN alertname = 'ServiceDown' THEN ',email' ELSE '' END AS channels FROM alerts""",
 )
 def _(alerts):
@@ -118,17 +118,40 @@ def _(alerts):
     return A.route_receiver(alerts).select("id", "receiver", "repeat_seconds")
 
 
-@query("p18_render_email", "alerts", "SELECT id, concat('[', upper(status), '] ', upper(severity), ': ', alertname) AS subject FROM alerts")
+@query(
+    "p16_extra_labels", "alerts",
+    "SELECT id, CASE severity WHEN 'critical' THEN 'pager' ELSE 'webhook' END || CASE WHEN fingerprint LIKE '%7' AND service = 'task-api' THEN ',email' ELSE '' END AS channels FROM alerts",
+)
+def _(alerts):
+    rows = alerts.withColumn("extra", F.create_map(F.lit("shard"), F.substring("fingerprint", -1, 1), F.lit("service"), F.lit("of the map")))
+    routed = A.route_alerts(rows, (({"shard": "7", "service": "task-api"}, "email"),), {"critical": ("pager",)})
+    return routed.select("id", F.array_join("channels", ",").alias("channels"))
+
+
+@query(
+    "p18_render_email", "alerts",
+    """SELECT id, concat('[', upper(status), '] ', upper(severity), ': ', alertname) AS subject,
+              concat_ws(chr(10), 'status: ' || status, 'severity: ' || severity, 'service: ' || service, 'since: ' || strftime(starts_at, '%Y-%m-%d %H:%M:%S'), 'summary: ' || alertname || ' fired',
+                        concat('labels: alertname=', alertname, ', severity=', severity, ', service=', service, ', fingerprint=', fingerprint)) AS body FROM alerts""",
+)
+def _(alerts):
+    return A.render_alert(alerts.withColumn("summary", F.concat("alertname", F.lit(" fired"))), "email")
+
+
+@query(
+    "p18_render_chat", "alerts",
+    "SELECT id, concat_ws(chr(10), concat(status, ' ', severity, ' ', alertname), 'service: ' || service, 'since: ' || strftime(starts_at, '%Y-%m-%d %H:%M:%S')) AS message FROM alerts",
+)
 def _(alerts):
-    return A.render_alert(alerts, "email")
+    return A.render_alert(alerts, "chat")
 
 
 @query(
     "p18_render_webhook", "alerts",
-    """SELECT id, concat('{"alertname":"', alertname, '","severity":"', severity, '","service":"', service, '","status":"', status, '","fingerprint":"', fingerprint, '"}') AS payload FROM alerts""",
+    """SELECT id, concat('{"alertname":"', alertname, '","severity":"', severity, '","service":"', service, '","fingerprint":"', fingerprint, '","status":"', status, '","starts_at":"', strftime(starts_at, '%Y-%m-%dT%H:%M:%S'), '"}') AS payload FROM alerts""",
 )
 def _(alerts):
-    return A.render_alert(alerts, "webhook")
+    return A.render_alert(alerts.withColumn("starts_at", F.date_format("starts_at", "yyyy-MM-dd'T'HH:mm:ss")), "webhook")
 
 
 @query(
@@ -146,21 +169,22 @@ def _(alerts, nation):
     return A.apply_silences(alerts, silences).select("id", "silenced_by")
 
 
+_INHIBIT = """WITH f AS (SELECT * FROM alerts WHERE status = 'firing'),
+       c AS (SELECT DISTINCT alertname, service FROM f WHERE severity = 'critical'), d AS (SELECT DISTINCT service FROM f WHERE alertname = 'ServiceDown')
+       SELECT id, alertname, severity, service FROM f WHERE NOT (severity = 'warning' AND (alertname, service) IN (SELECT (alertname, service) FROM c)) AND NOT (alertname <> 'ServiceDown' AND service IN (SELECT service FROM d))"""
+
+
 @query(
     "c12_inhibit", "alerts",
-    """WITH f AS (SELECT * FROM alerts WHERE status = 'firing' AND id % 50 < 3)
-       SELECT id, alertname, severity, service FROM f WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM f c WHERE c.severity = 'critical' AND c.alertname = f.alertname AND c.service = f.service))
-         AND NOT (alertname <> 'ServiceDown' AND EXISTS (SELECT 1 FROM f d WHERE d.alertname = 'ServiceDown' AND d.service = f.service))""",
+    _INHIBIT,
 )
 def _(alerts):
-    return A.inhibit(alerts.where("id % 50 < 3")).select("id", "alertname", "severity", "service")
+    return A.inhibit(alerts).select("id", "alertname", "severity", "service")
 
 
 @query(
     "c12_inhibit_all", "alerts",
-    """WITH f AS (SELECT * FROM alerts WHERE status = 'firing'),
-       c AS (SELECT DISTINCT alertname, service FROM f WHERE severity = 'critical'), d AS (SELECT DISTINCT service FROM f WHERE alertname = 'ServiceDown')
-       SELECT id, alertname, severity, service FROM f WHERE NOT (severity = 'warning' AND (alertname, service) IN (SELECT (alertname, service) FROM c)) AND NOT (alertname <> 'ServiceDown' AND service IN (SELECT service FROM d))""",
+    _INHIBIT,
 )
 def _(alerts):
     return A.inhibit(alerts).select("id", "alertname", "severity", "service")

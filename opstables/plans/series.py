@@ -129,6 +129,62 @@ def _(checks):
     return A.evaluate_rules(samples, [("TopHigh", "top", "value > 150", 86400, "warning"), ("TopCritical", "top", "value > 250", 0, "critical"), ("Other", "depth", "value > 1", 0, "info")])
 
 
+_RULES = ", ".join(f"('{a}', '{m}', '{op}', CAST({x} AS DOUBLE), {d}, '{sev}')" for a, m, op, x, d, sev in A.CATALOGUE)
+_SERVICE = "CASE WHEN user_id % 2 = 0 THEN 'task-api' ELSE 'ops-api' END"
+#: (label set, metric, value) over the sums of an hour: n, bad, done, top, q95, q99.
+_METRICS = (
+    ("service", "service_up", "CASE WHEN n = bad THEN 0 ELSE 1 END"),
+    ("service", "http_error_ratio", "bad / n"),
+    ("service", "http_p99", "q99 / 20"),
+    ("capability", "queue_depth", "20 * n"),
+    ("capability", "stalled_depth", "CASE WHEN done = 0 THEN 20 * n ELSE 0 END"),
+    ("capability", "task_failure_ratio", "bad / n"),
+    ("capability", "task_p95", "q95"),
+    ("store", "store_up", "CASE WHEN bad >= 4 THEN 0 ELSE 1 END"),
+    ("store", "store_breaker_state", "CASE WHEN bad >= 3 THEN 2 ELSE 0 END"),
+    ("store", "store_degraded", "CASE WHEN bad >= 2 THEN 1 ELSE 0 END"),
+    ("store", "store_degraded_queue", "60 * bad"),
+    ("store", "store_p95", "q95 / 1000"),
+    ("store", "db_idle", "CASE WHEN n >= 16 THEN 0 ELSE 16 - n END"),
+    ("store", "db_p95", "q95 / 100"),
+    ("service", "memory_mb", "5 * top"),
+)
+_LES = f"[{', '.join(map(str, M.BOUNDS))}, CAST('inf' AS DOUBLE)]"
+
+
+def _quantile_sql(q: float, name: str) -> str:
+    return f"""{name} AS (SELECT kind, labels, t, CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * ({q} * count - below) / (cumulative - below) END AS q FROM (
+       SELECT *, row_number() OVER (PARTITION BY kind, labels, t ORDER BY le) AS r FROM lagged WHERE cumulative >= {q} * count AND (below < {q} * count OR below = 0)) WHERE r = 1)"""
+
+
+@query(
+    "e18_rule_catalogue", "events",
+    f"""WITH b AS (SELECT 'service' AS kind, {_SERVICE} AS labels, * FROM events UNION ALL SELECT 'capability', concat('cap-', CAST(user_id % 8 AS VARCHAR)), * FROM events UNION ALL SELECT 'store', 'store', * FROM events),
+       e AS (SELECT kind, labels, epoch_us(CAST(ts AS TIMESTAMP)) // 3600000000 * 3600 AS t, event_type, value FROM b),
+       g AS (SELECT kind, labels, t, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type = 'purchase') AS done, max(value) AS top FROM e GROUP BY ALL),
+       h AS (SELECT kind, labels, t, le, count(*) FILTER (value <= le) AS cumulative, count(*) AS count FROM e, (SELECT unnest({_LES}) AS le) GROUP BY ALL),
+       lagged AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(cumulative) OVER w, 0) AS below FROM h WINDOW w AS (PARTITION BY kind, labels, t ORDER BY le)),
+       {_quantile_sql(0.95, 'p95')}, {_quantile_sql(0.99, 'p99')},
+       x AS (SELECT g.*, p95.q AS q95, p99.q AS q99 FROM g JOIN p95 USING (kind, labels, t) JOIN p99 USING (kind, labels, t)),
+       m AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, labels, t, CAST({v} AS DOUBLE) AS value FROM x WHERE kind = '{k}'" for k, m, v in _METRICS)}),
+       rules(alertname, metric, op, threshold, d, severity) AS (VALUES {_RULES}),
+       hits AS (SELECT *, CASE op WHEN '>' THEN value > threshold ELSE value = threshold END AS hit FROM m JOIN rules USING (metric)),
+       i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY alertname, labels ORDER BY t) AS run FROM hits)
+       SELECT alertname, severity, labels, min(t) AS starts_at, round(arg_max(value, t), 6) AS value FROM i WHERE hit GROUP BY alertname, severity, labels, d, run HAVING max(t) - min(t) >= d""",
+)
+def _(events):
+    labels = F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(x).alias("labels")) for k, x in (("service", _SERVICE), ("capability", "concat('cap-', user_id % 8)"), ("store", "'store'"))))
+    rows = events.select(F.inline(labels), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600000000 * 3600").alias("t"), "event_type", "value")
+    by = ["kind", "labels", "t"]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.max("value").alias("top"))
+    hist = M.histogram(rows, "value", by)
+    for q, name in ((0.95, "q95"), (0.99, "q99")):
+        sums = sums.join(M.bucket_quantile(hist, q, by).withColumnRenamed("quantile", name), by)
+    samples = F.array_compact(F.array(*(F.when(F.col("kind") == k, F.struct(F.lit(m).alias("metric"), F.expr(v).cast("double").alias("value"))) for k, m, v in _METRICS)))
+    found = A.evaluate_rules(sums.select("labels", "t", F.inline(samples)), [(a, m, f"value {op} {x}", d, s) for a, m, op, x, d, s in A.CATALOGUE])
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query("e19_notifications", "alerts")
 def _(alerts):
     return A.notifications(alerts)

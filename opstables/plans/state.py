@@ -10,6 +10,11 @@ _STREAK = """r AS (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY entity OR
   s AS (SELECT *, CASE WHEN ok THEN k ELSE 0 END AS consec_ok, CASE WHEN ok THEN 0 ELSE k END AS consec_fail FROM n)"""
 
 
+HEALTH_SQL = f"""WITH {_STREAK}, e AS (SELECT *, sum(CAST(consec_ok = 2 AS INT)) OVER (PARTITION BY entity ORDER BY ts, id) AS ep FROM s),
+        w AS (SELECT *, max(consec_fail) OVER (PARTITION BY entity, ep ORDER BY ts, id) AS worst FROM e)
+        SELECT entity, id, CASE WHEN worst >= 3 THEN 'unhealthy' WHEN worst >= 2 THEN 'degraded' ELSE 'healthy' END AS status FROM w"""
+
+
 @query("e9_streaks", "health_checks", f"WITH {_STREAK} SELECT entity, id, consec_ok, consec_fail FROM s")
 def _(checks):
     return fsm.streaks(checks, "entity", "ok", ["ts", "id"]).select("entity", "id", "consec_ok", "consec_fail")
@@ -17,9 +22,7 @@ def _(checks):
 
 @query(
     "e10_health_state", "health_checks",
-    f"""WITH {_STREAK}, e AS (SELECT *, sum(CAST(consec_ok = 2 AS INT)) OVER (PARTITION BY entity ORDER BY ts, id) AS ep FROM s),
-        w AS (SELECT *, max(consec_fail) OVER (PARTITION BY entity, ep ORDER BY ts, id) AS worst FROM e)
-        SELECT entity, id, CASE WHEN worst >= 3 THEN 'unhealthy' WHEN worst >= 2 THEN 'degraded' ELSE 'healthy' END AS status FROM w""",
+    HEALTH_SQL,
 )
 def _(checks):
     return fsm.health_state(checks, "entity", "ok", ["ts", "id"]).select("entity", "id", "status")
@@ -74,10 +77,12 @@ def _(tasks):
     return fsm.transition(tasks.withColumn("event", event), "status", "event").select("task_id", "next_state")
 
 
+NODE_EVENT = "CASE event WHEN 'enqueue' THEN 'reserve' WHEN 'start' THEN 'join' WHEN 'complete' THEN 'drain' WHEN 'fail' THEN 'offline' ELSE 'release' END"
+
+
 @query("e16_node_fsm", "task_events")
 def _(events):
-    names = "CASE event WHEN 'enqueue' THEN 'reserve' WHEN 'start' THEN 'join' WHEN 'complete' THEN 'drain' WHEN 'fail' THEN 'offline' ELSE 'release' END"
-    return fsm.replay_fsm(events.withColumn("event", F.expr(names)), "task_id", fsm.NODE_TABLE, "idle")
+    return fsm.replay_fsm(events.withColumn("event", F.expr(NODE_EVENT)), "task_id", fsm.NODE_TABLE, "idle")
 
 
 @query("e20_latest", "health_checks", "SELECT entity, id, ok FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, id DESC) AS r FROM health_checks) WHERE r = 1")
@@ -104,11 +109,11 @@ def _(checks):
 @query(
     "e23_coalesce_ticks", "health_checks",
     """WITH t AS (SELECT entity AS schedule_id, epoch_us(ts) // 1000000 AS t, (epoch_us(ts) // 1000000 + 3599) // 3600 * 3600 AS poll_at FROM health_checks)
-       SELECT schedule_id, poll_at, max(t) AS fire_at, count(*) - 1 AS missed FROM t WHERE poll_at % 7200 = 0 GROUP BY ALL""",
+       SELECT schedule_id, poll_at, max(t) AS fire_at, count(*) - 1 AS missed FROM t GROUP BY ALL""",
 )
 def _(checks):
     ticks = checks.select(F.col("entity").alias("schedule_id"), F.unix_seconds("ts").alias("t"))
-    polls = checks.select(F.expr("(unix_seconds(ts) + 3599) DIV 3600 * 3600").alias("poll_at")).distinct().where("poll_at % 7200 = 0")
+    polls = checks.select(F.expr("(unix_seconds(ts) + 3599) DIV 3600 * 3600").alias("poll_at")).distinct()
     return fsm.coalesce_ticks(ticks, polls, 3600)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opstables.operators import fsm
 from opstables.plans import fixtures
 from opstables.plans.registry import ORACLES, QUERIES, plain, query
+from opstables.plans.state import HEALTH_SQL, NODE_EVENT
 from opstables.sources.scratch import shared_dir
 from opstables.streaming import operators as T
 
@@ -44,42 +45,142 @@ def _events(s):
     return s.select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), F.expr(names).alias("event"), F.col("ts").cast("timestamp").alias("created_at"), "value")
 
 
+def _checks(s):
+    return s.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
+
+
+# a node that stays silent is offline, too, as far as the last event of all (the watermark) tells
+_LIVENESS = """WITH g AS (SELECT entity, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS p, lead(epoch_us(ts)) OVER w AS nx FROM health_checks WINDOW w AS (PARTITION BY entity ORDER BY ts))
+  SELECT entity AS node, t AS at, 'online' AS state FROM g WHERE p IS NULL OR t - p > 86400000000
+  UNION ALL SELECT entity, t + 86400000000, 'offline' FROM g WHERE coalesce(nx - t > 86400000000, (t + 86400000000) // 1000 < (SELECT max(t) // 1000 FROM g))"""
 _register(
-    "t1_liveness", "events",
-    lambda s: T.liveness(s.select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts")), 86400).withColumn("at", F.round(F.col("at") * 1_000_000).cast("bigint")), views="health_checks",
-    sql="""WITH g AS (SELECT entity, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY entity ORDER BY ts) AS p FROM health_checks)
-      SELECT entity AS node, t AS at, 'online' AS state FROM g WHERE p IS NULL OR t - p > 86400000000 UNION ALL SELECT entity, p + 86400000000, 'offline' FROM g WHERE t - p > 86400000000""",
+    "t1_liveness", "events", lambda s: T.liveness(_checks(s).withColumnRenamed("entity", "node"), 86400).withColumn("at", F.round(F.col("at") * 1_000_000).cast("bigint")), views="health_checks", sql=_LIVENESS,
 )
-_register("t6_limiter", "events", lambda s: T.limiter(s.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id")), 86400, 2))
+
+
+@query("t1_liveness_batch", "health_checks", _LIVENESS)
+def _(checks):
+    as_of = F.unix_micros(F.lit(checks.agg(F.max("ts")).first()[0]))  # one value
+    return T.liveness_batch(checks.withColumnRenamed("entity", "node"), 86400, as_of)
+
+
+_register("t6_limiter", "events", lambda s: T.limiter(_checks(s), 86400, 2))
+_register("t6_breaker", "events", lambda s: T.breaker(_checks(s), 2, 86400.0))
+_register("t6_client_breaker", "events", lambda s: T.client_breaker(_checks(s), 2, 43200.0))
+_register("t6_health", "events", lambda s: T.health(_checks(s)), views="health_checks", sql=HEALTH_SQL)
 _register("t6_task_machine", "events", lambda s: T.machine(_events(s).drop("value"), fsm.TASK_TABLE, "pending"))
+_register("t6_node_machine", "events", lambda s: T.machine(_events(s).drop("value").withColumn("event", F.expr(NODE_EVENT)), fsm.NODE_TABLE, "idle"))
 _register(
     "t8_alert_lifecycle", "events",
     lambda s: T.alert_lifecycle(s.select(F.col("user_id").cast("string").alias("labels"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 30).alias("on")), 86400),
 )
-_register("t5_idempotency", "events", lambda s: T.deduplicated(_events(s), "created_at", ["task_id", "event"], "3650 days").select("task_id", "event"), views="task_events", sql="SELECT DISTINCT task_id, event FROM task_events")
+_register("t5_idempotency", "events", lambda s: T.deduplicated(_events(s), "created_at", ["task_id", "event"], "300 seconds").select("task_id", "event"), views="task_events", sql="SELECT DISTINCT task_id, event FROM task_events")
 _register(
     "t7_windowed_counts", "events", lambda s: T.windowed_counts(_events(s), "created_at", ["event"], "1 hour"), mode="complete", views="task_events",
     sql="SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, created_at)) AS window_start, event, count(*) AS n FROM task_events GROUP BY ALL",
 )
+_register(
+    "t7_sliding_rates", "events", lambda s: T.windowed_rates(_events(s), "created_at", ["event"], "1 hour", "20 minutes").withColumn("rate", F.round("rate", 9)), mode="complete", views="task_events",
+    sql="""SELECT epoch_us(time_bucket(INTERVAL 20 MINUTE, created_at) - k * INTERVAL 20 MINUTE) AS window_start, event, round(count(*) / 3600, 9) AS rate FROM task_events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL""",
+)
+_BOUNDS = (5.0, 20.0, 60.0, 120.0)
+_register(
+    "t7_histograms", "events",
+    lambda s: T.windowed_histogram(_events(s), "created_at", "value", ["event"], _BOUNDS, "1 day").withColumn("le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))), mode="complete", views="",
+    sql=f"""WITH e AS (SELECT CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'requeue' END AS event, value, CAST(ts AS TIMESTAMP) AS made FROM events)
+       SELECT epoch_us(time_bucket(INTERVAL 1 DAY, made)) AS window_start, event, coalesce(nullif(CAST(le AS VARCHAR), 'inf'), '+Inf') AS le, count(*) FILTER (value <= le) AS cumulative, count(*) AS count
+       FROM e, (SELECT unnest([{', '.join(map(str, _BOUNDS))}, CAST('inf' AS DOUBLE)]) AS le) GROUP BY 1, 2, le""",
+)
 _register("t10_totals", "events", lambda s: T.totals(_events(s), ["event"]), mode="complete", views="task_events", sql="SELECT event, count(*) AS n FROM task_events GROUP BY event")
 _register(
     "t11_latest_status", "events", lambda s: T.latest_status(_events(s), "task_id", "event", ["created_at", "id"]), mode="complete", views="task_events",
     sql="SELECT task_id, event FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) AS r FROM task_events) WHERE r = 1",
 )
 
-_CHUNKS = """SELECT stream_id, seq, CASE WHEN is_done AND is_error THEN 'failed' WHEN is_done THEN 'completed' ELSE 'chunk' END AS status
-  FROM (SELECT *, coalesce(sum(CAST(is_done AS INT)) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM chunk_stream) WHERE ended = 0"""
+# every fifth turn ends a stream (in an error if a system says it), every fifth is no JSON; the gaps of some streams are over the idle time
+_CHUNK_COLUMNS = """conv_id AS stream_id, turn AS seq, 1704067200 + conv_id * 100 + turn * (5 + conv_id % 7 * 7) AS t,
+  CASE WHEN turn % 5 = 4 AND role = 'system' THEN '{"__done__":true,"__error__":"boom"}' WHEN turn % 5 = 4 THEN concat('{"__done__":true,"summary":{"turn":"', turn, '"}}')
+       WHEN turn % 5 = 2 THEN 'no json' ELSE concat('{"n":', turn, '}') END AS raw"""
+_CHUNKS = f"""WITH c AS (SELECT {_CHUNK_COLUMNS}, turn % 5 = 4 AS done, role = 'system' AS wrong FROM conversations),
+  x AS (SELECT *, lead(t) OVER w IS NULL AS latest, t > least(coalesce(lag(t) OVER w, t) + 30, min(t) OVER (PARTITION BY stream_id) + 3600) AS late, max(t) OVER () AS as_of FROM c WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
+  y AS (SELECT *, coalesce(max(CAST(done OR late AS INT)) OVER (PARTITION BY stream_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM x)
+  SELECT stream_id, CASE WHEN NOT late THEN seq END AS seq, CASE WHEN late OR (done AND wrong) THEN 'failed' WHEN done THEN 'completed' ELSE 'chunk' END AS status,
+         CASE WHEN late THEN 'idle' WHEN done AND wrong THEN 'boom' WHEN done THEN NULL WHEN raw = 'no json' THEN '{{"__raw__":"no json"}}' ELSE raw END AS payload,
+         CASE WHEN done AND NOT wrong AND NOT late THEN CAST(seq AS VARCHAR) END AS turn FROM y WHERE ended = 0
+  UNION ALL SELECT stream_id, NULL, 'failed', 'idle', NULL FROM y WHERE ended = 0 AND latest AND NOT done AND NOT late AND t + 30 < as_of"""
 
 
-@query("t4_chunks", "chunk_stream", _CHUNKS)
-def _(stream):
-    return T.chunks_batch(stream)
+def _chunk_rows(s):
+    return s.selectExpr(*map(str.strip, _CHUNK_COLUMNS.split(",", 3))).withColumn("ts", F.timestamp_seconds("t")).drop("t")
 
 
-_register(
-    "t4_chunk_stream", "conversations",
-    lambda s: T.chunks(s.selectExpr("conv_id AS stream_id", "turn AS seq", "turn % 5 = 4 AS is_done", "role = 'system' AS is_error")), views="chunk_stream", sql=_CHUNKS,
-)
+def _shown(found):
+    return found.select("stream_id", "seq", "status", "payload", F.try_element_at("summary", F.lit("turn")).alias("turn"))
+
+
+@query("t4_chunks", "conversations", _CHUNKS)
+def _(conversations):
+    rows = _chunk_rows(conversations)
+    as_of = F.lit(rows.agg(F.unix_seconds(F.max("ts"))).first()[0])  # one value
+    return _shown(T.chunks_batch(rows, as_of))
+
+
+_register("t4_chunk_stream", "conversations", lambda s: _shown(T.chunks(_chunk_rows(s))), sql=_CHUNKS)
+
+
+def _drained(writer, base: str) -> None:
+    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+def _t3(part: str):
+    """Delivery outcomes of the events, against the outbox: its rows (t3), or the dead letters that are retained (t12)."""
+
+    def run_it(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+        outbox = fixtures.view(spark, sf_dir, "callback_outbox")
+        outcomes = _stream(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id % 3 = 0 AS delivered")
+        _drained(T.outbox_updates(outcomes, lambda: outbox, fixtures.EVENTS_AS_OF, lambda df: df.write.mode("append").parquet(f"{base}/rows"), lambda df: df.write.mode("append").parquet(f"{base}/dead")), base)
+        if part == "rows":
+            return plain(spark.read.parquet(f"{base}/rows"))
+        letters = spark.read.parquet(f"{base}/dead").withColumn("died_at", F.expr("CASE WHEN id % 2 = 0 THEN died_at - INTERVAL 31 DAY ELSE died_at END"))
+        return plain(T.retained_dead_letters(letters, fixtures.EVENTS_AS_OF).select("id", "attempt_count"))
+
+    return run_it
+
+
+_T3_FROM = f"""SELECT id, CASE WHEN id % 3 = 0 THEN 'delivered' WHEN attempt_count + 1 >= 8 THEN 'dead_letter' ELSE 'pending' END AS delivery_status, attempt_count + 1 AS attempt_count,
+    CASE WHEN id % 3 <> 0 AND attempt_count + 1 < 8 THEN epoch_us(TIMESTAMP '{fixtures.EVENTS_AS_OF}') + [10, 30, 60, 300, 900, 1800, 3600][least(attempt_count + 1, 7)] * 1000000 END AS next_attempt_us
+    FROM callback_outbox WHERE delivery_status = 'pending'"""
+QUERIES["t3_outbox_stream"], QUERIES["t12_dead_letters"] = _t3("rows"), _t3("dead")
+ORACLES["t3_outbox_stream"] = fixtures.with_views(("callback_outbox",), _T3_FROM)
+ORACLES["t12_dead_letters"] = fixtures.with_views(("callback_outbox",), f"SELECT id, attempt_count FROM ({_T3_FROM}) WHERE delivery_status = 'dead_letter' AND id % 2 <> 0")
+
+
+def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks at the times of the events: the tasks that schedules give, and where the fired ones go next."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schedules = fixtures.view(spark, sf_dir, "schedules").withColumn("cron_expr", F.expr("CASE WHEN schedule_id % 2 = 0 THEN '30 6 1 * *' ELSE '0 0 29 2 *' END"))
+    ticks = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"))
+    _drained(T.cron_ticks(ticks, lambda: schedules, lambda df: df.write.parquet(f"{base}/fired"), lambda df: df.write.parquet(f"{base}/schedules")), base)
+    after = spark.read.parquet(f"{base}/schedules").select("schedule_id", "next_fire_at")
+    return plain(spark.read.parquet(f"{base}/fired").select("schedule_id", "tenant_id", "idempotency_key").join(after, "schedule_id"))
+
+
+QUERIES["t9_cron_ticks"] = _t9
+ORACLES["t9_cron_ticks"] = fixtures.with_views(
+    ("schedules",),
+    """SELECT schedule_id, tenant_id, concat('cron:', CAST(schedule_id AS VARCHAR), ':', CAST(epoch_us(last) // 60000000 * 60 AS VARCHAR)) AS idempotency_key,
+              CASE WHEN schedule_id % 2 = 0 THEN '2024-02-01T06:30:00' ELSE '2024-02-29T00:00:00' END AS next_fire_at
+       FROM schedules, (SELECT max(CAST(ts AS TIMESTAMP)) AS last FROM events) WHERE enabled AND try_cast(next_fire_at AS TIMESTAMP) <= date_trunc('second', last)""",
+)
+
+
+def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks that were acted on of late."""
+    return fixtures.view(spark, sf_dir, "orders").where("o_custkey % 9 = 0").selectExpr("o_orderkey AS task_id")
 
 
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +191,9 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority_rank", "CAST(o_orderkey % 5 AS INT) AS attempt", "CAST(o_custkey % 4 AS INT) AS max_retries", "CAST(o_orderdate AS TIMESTAMP) AS created_at",
     ).where("task_id % 7 <> 0")
     leases = fixtures.view(spark, sf_dir, "leases")
-    none = spark.range(0).withColumnRenamed("id", "task_id")
-    writer = T.stuck_actions(cache, leases, fixtures.TASKS_AS_OF, lambda df: df.write.mode("append").parquet(f"{base}/out"), lambda: none)
-    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    acted = orders_of(spark, sf_dir)
+    writer = T.stuck_actions(cache, leases, fixtures.TASKS_AS_OF, lambda df: df.write.mode("append").parquet(f"{base}/out"), lambda: acted)
+    _drained(writer, base)
     return spark.read.parquet(f"{base}/out").select("task_id", "action", "delay_ms")
 
 
@@ -103,5 +201,6 @@ QUERIES["t2_stuck_actions"] = _t2
 ORACLES["t2_stuck_actions"] = fixtures.with_views(
     ("task_cache", "leases"),
     f"""SELECT task_id, CASE WHEN attempt < max_retries THEN 'requeue' ELSE 'fail' END AS action, CASE WHEN attempt < max_retries THEN least(600000, 10000 * CAST(pow(2, attempt) AS BIGINT)) END AS delay_ms
-        FROM task_cache WHERE status IN ('running', 'queued') AND created_at <= TIMESTAMP '{fixtures.TASKS_AS_OF}' - INTERVAL 300 SECOND AND task_id NOT IN (SELECT task_id FROM leases)""",
+        FROM task_cache WHERE status IN ('running', 'queued') AND created_at <= TIMESTAMP '{fixtures.TASKS_AS_OF}' - INTERVAL 300 SECOND AND task_id NOT IN (SELECT task_id FROM leases)
+          AND task_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 9 = 0)""",
 )

@@ -23,11 +23,16 @@ DAG_SCHEMA = "dag_id string, tenant_id string, steps array<struct<step_name: str
 LOG_SCHEMA = "timestamp string, level string, logger string, message string, module string, lineno int"
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A durable table with its declared schema; fmt jdbc takes url, dbtable and, to read in parallel, partitionColumn and bounds as options."""
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """A durable table with its declared schema (or that given).
+
+    fmt jdbc takes the URL as its path, dbtable and, to read in parallel, partitionColumn and bounds as options; the
+    declared types are what the driver's are read as (customSchema).
+    """
+    declared = schema or SCHEMAS[name]
     if fmt == "jdbc":
-        return spark.read.format("jdbc").options(url=path, **options).load()
-    return spark.read.schema(SCHEMAS[name]).options(**options).format(fmt).load(path)
+        return spark.read.format("jdbc").options(url=path, customSchema=declared, **options).load().select(*(c.split()[0] for c in declared.split(", ")))
+    return spark.read.schema(declared).options(**options).format(fmt).load(path)
 
 
 def parse_cache_snapshot(df: DataFrame, raw: str, schema: str) -> DataFrame:

@@ -7,113 +7,214 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from opstables.operators import reconcile
+from opstables.operators import fsm, metrics, reconcile, schedule
+from opstables.operators.runs import Step
+from opstables.sources.tables import live
 
 
-def fold(sdf: DataFrame, key: str, time: str, fields: list[str], step: Callable[[dict, dict], tuple[dict, list]], schema: str) -> DataFrame:
-    """Rows that `step(state, event) -> (state, rows)` gives over each key's events, in time order within a batch; state is a JSON object.
+def fold(
+    sdf: DataFrame, key: str, time: str, fields: list[str], step: Step, start: Any, schema: str, *,
+    due: Callable[[Any], float | None], expired: Callable[[Any], tuple[Any, list[tuple]]] = lambda s: (None, []), delay: str = "0 seconds",
+) -> DataFrame:
+    """The key and the rows of schema that `step(state, time, *fields) -> (state, rows)` gives over each key's events, in time order within a batch.
 
-    schema: of the rows, the key first.
+    due(state) is the moment, in seconds of event time, at which expired(state) gives more rows and the state
+    after (None drops it): state doesn't outlive its use.  Events later than the watermark (delay) are dropped; those
+    of a batch are sorted by time and fields, whatever order they arrive in; an event that comes a batch late, but
+    within the delay, is folded when it comes.  State is kept as JSON.
     """
+    given = StructType([sdf.schema[key], *StructType.fromDDL(schema).fields])
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else {}
-        out: list = []
-        for e in pd.concat(list(batches)).sort_values([time, *fields]).to_dict("records"):
-            e[time] = e[time].timestamp() if hasattr(e[time], "timestamp") else e[time]
-            now, rows = step(now, e)
-            out += [(k[0], *r) for r in rows]
-        state.update((json.dumps(now),))
-        yield pd.DataFrame(out, columns=[x.strip().split(" ")[0].rstrip(":") for x in schema.split(",")])
+        now = json.loads(state.get[0]) if state.exists else start
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            now, out = expired(now)
+        else:
+            events = pd.concat(list(batches)).sort_values(["_us", *fields], kind="stable")
+            for row in zip((events["_us"] / 1e6).tolist(), *(events[c].tolist() for c in fields), strict=True):
+                # what was due before the event comes first
+                while (moment := due(now)) is not None and row[0] > moment:
+                    now, rows = expired(now)
+                    out += rows
+                    if now is None:
+                        now = start
+                        break
+                now, rows = step(now, *row)
+                out += rows
+        moment = None if now is None else due(now)
+        if now is None:
+            state.remove()
+        else:
+            state.update((json.dumps(now),))
+            if moment is not None:
+                state.setTimeoutTimestamp(max(int(moment * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], *r) for r in out], columns=given.names)
+
+    rows = sdf.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("_us"), *fields)
+    return rows.groupBy(key).applyInPandasWithState(run, given, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    rows = sdf.select(key, time, *fields)
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+def liveness(heartbeats: DataFrame, timeout: int = 60, delay: str = "0 seconds") -> DataFrame:
+    """(node, at, state): online at a first beat, offline when none came for timeout seconds (a timer, so a node that stays silent is told, too), online at the next."""
 
+    def step(s: list | None, at: float) -> tuple[list, list[tuple]]:
+        last = max(at, s[0]) if s else at
+        return [last, True], [] if s and s[1] else [(at, "online")]
 
-def liveness(heartbeats: DataFrame, timeout: int = 60) -> DataFrame:
-    """(node, at, state): a gap of more than timeout seconds before a beat means that the node was offline from the end of the timeout, and is back."""
+    return fold(
+        heartbeats, "node", "ts", [], step, None, "at double, state string", delay=delay,
+        due=lambda s: s[0] + timeout if s and s[1] else None, expired=lambda s: ([s[0], False], [(s[0] + timeout, "offline")]),
+    )
 
-    def step(s: dict, e: dict) -> tuple[dict, list]:
-        last, at = s.get("last"), e["ts"]
-        rows = [] if last is not None else [(at, "online")]
-        if last is not None and at - last > timeout:
-            rows = [(last + timeout, "offline"), (at, "online")]
-        return {"last": at if last is None else max(at, last)}, rows
 
-    return fold(heartbeats, "node", "ts", [], step, "node long, at double, state string")
+def liveness_batch(heartbeats: DataFrame, timeout: int, as_of: Column) -> DataFrame:
+    """T1, as a batch: the same rows up to as_of (in microseconds), at in microseconds."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("node").orderBy("_t")
+    rows = heartbeats.select("node", t.alias("_t")).withColumns({"_before": F.lag("_t").over(w), "_next": F.lead("_t").over(w)})
+    silent = F.col("_t") + timeout * 1_000_000
+    back = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > timeout * 1_000_000)
+    gone = F.coalesce(F.col("_next") > silent, silent < as_of)
+    both = F.array_compact(F.array(F.when(back, F.struct(F.col("_t").alias("at"), F.lit("online").alias("state"))), F.when(gone, F.struct(silent.alias("at"), F.lit("offline").alias("state")))))
+    return rows.select("node", F.inline(both))
 
 
 def limiter(requests: DataFrame, window: int = 60, most: int = 100) -> DataFrame:
-    """The sliding-window limiter; state holds the admissions of the window, at most `most`."""
+    """The sliding-window limiter (E13); state holds the admissions of the window, at most `most`, and goes when they have left it."""
+    one = fsm.limiter_step(window, most)
 
-    def step(s: dict, e: dict) -> tuple[dict, list]:
-        held = [t for t in s.get("held", []) if t > int(e["ts"]) - window]
-        ok = len(held) < most
-        if ok and int(e["ts"]) not in held:
-            held.append(int(e["ts"]))
-        return {"held": held}, [(int(e["id"]), ok)]
+    def step(s: list, at: float, id: int) -> tuple[list, list[tuple]]:
+        s, rows = one(s, int(at), id)
+        return s, [(int(r[0]), r[1]) for r in rows]
 
-    return fold(requests, "entity", "ts", ["id"], step, "entity long, id long, allowed boolean")
+    return fold(requests, "entity", "ts", ["id"], step, [], "id long, allowed boolean", due=lambda s: max(s) + window + 1 if s else None)
 
 
 def machine(events: DataFrame, table: dict[tuple[str, str], str], initial: str) -> DataFrame:
-    """A state machine; illegal events change nothing."""
+    """A state machine of tasks or nodes (E15, E16); illegal events change nothing.  A state is kept for good."""
+    one = fsm.machine_step(table)
+
+    def step(s: str, at: float, id: int, event: str) -> tuple[str, list[tuple]]:
+        s, rows = one(s, at, int(id), event)
+        return s, [(i, prev, to, legal) for i, _, prev, to, legal in rows]
+
+    return fold(events, "task_id", "created_at", ["id", "event"], step, initial, "id long, prev string, next string, legal boolean", due=lambda s: None)
+
 
-    def step(s: dict, e: dict) -> tuple[dict, list]:
-        state = s.get("state", initial)
-        to = table.get((state, e["event"]))
-        return {"state": to or state}, [(int(e["id"]), state, to or state, to is not None)]
+def breaker(outcomes: DataFrame, threshold: int = 10, open_s: float = 60.0) -> DataFrame:
+    """The capability breaker (E11); its state goes when its failures are forgotten."""
+    return fold(outcomes, "entity", "ts", ["id", "ok"], fsm.breaker_step(threshold, open_s), fsm.BREAKER_START, fsm.BREAKER_ROWS, due=lambda s: max(s[1] + 4 * open_s, s[2]) if s[1] >= 0 else None)
 
-    return fold(events, "task_id", "created_at", ["id", "event"], step, "task_id long, id long, prev string, next string, legal boolean")
+
+def client_breaker(outcomes: DataFrame, threshold: int = 5, reset_s: float = 30.0) -> DataFrame:
+    """The client breaker (E12); counts don't expire, so its state is kept for good."""
+    return fold(outcomes, "entity", "ts", ["id", "ok"], fsm.client_breaker_step(threshold, reset_s), fsm.CLIENT_BREAKER_START, fsm.CLIENT_BREAKER_ROWS, due=lambda s: None)
+
+
+def health(checks: DataFrame, unhealthy: int = 3, healthy: int = 2) -> DataFrame:
+    """Health (E10)."""
+    return fold(checks, "entity", "ts", ["id", "ok"], fsm.health_step(unhealthy, healthy), fsm.HEALTH_START, "id long, status string", due=lambda s: None)
 
 
 def alert_lifecycle(evals: DataFrame, for_s: int) -> DataFrame:
     """(labels, at, state): inactive, pending while a condition holds, firing once it has for for_s seconds, resolved when it ends."""
 
-    def step(s: dict, e: dict) -> tuple[dict, list]:
-        state, since = s.get("state", "inactive"), s.get("since", e["ts"])
-        if not e["on"]:
-            return {"state": "inactive"}, [(e["ts"], "resolved")] if state == "firing" else []
+    def step(s: list, at: float, on: bool) -> tuple[list, list[tuple]]:
+        state, since = s
+        if not on:
+            return ["inactive", None], [(at, "resolved")] if state == "firing" else []
+        rows = []
         if state == "inactive":
-            state, since = "pending", e["ts"]
-            rows = [(e["ts"], "pending")]
-        else:
-            rows = []
-        if state == "pending" and e["ts"] - since >= for_s:
+            state, since = "pending", at
+            rows.append((at, "pending"))
+        if state == "pending" and at - since >= for_s:
             state = "firing"
-            rows.append((e["ts"], "firing"))
-        return {"state": state, "since": since}, rows
+            rows.append((at, "firing"))
+        return [state, since], rows
 
-    return fold(evals, "labels", "ts", ["on"], step, "labels string, at double, state string")
+    return fold(evals, "labels", "ts", ["on"], step, ["inactive", None], "at double, state string", due=lambda s: None)
 
 
-def chunks(stream: DataFrame, max_chunks: int = 100_000) -> DataFrame:
-    """T4: (stream_id, seq, status): chunks until the first end mark; that row tells how the stream ended."""
+#: A stream ends when no chunk comes for IDLE seconds, or at TOTAL seconds after its first.
+IDLE, TOTAL, MAX_CHUNKS = 30, 3600, 100_000
 
-    def step(s: dict, e: dict) -> tuple[dict, list]:
-        if s.get("ended"):
-            return s, []
-        n = s.get("n", 0) + 1
-        if e["is_done"]:
-            return {"ended": True}, [(int(e["seq"]), "failed" if e["is_error"] else "completed")]
-        if n >= max_chunks:
-            return {"ended": True}, [(int(e["seq"]), "failed")]
-        return {"n": n}, [(int(e["seq"]), "chunk")]
 
-    return fold(stream, "stream_id", "seq", ["is_done", "is_error"], step, "stream_id long, seq long, status string")
+def chunks(stream: DataFrame, idle: int = IDLE, total: int = TOTAL, max_chunks: int = MAX_CHUNKS, delay: str = "0 seconds") -> DataFrame:
+    """T4: (stream_id, seq, status, payload, summary): the chunks of stream (stream_id, seq, ts, raw) until each ends.
 
+    raw is JSON; what isn't is wrapped as {"__raw__": ...}.  A chunk with __done__ ends its stream: completed, with its
+    summary, or failed if it carries __error__.  Silence for idle seconds, total seconds since the first chunk (both by
+    event-time timers, seq is null then) or max_chunks chunks fail it.  The end of a stream is
+    remembered for total seconds after its last chunk.
+    """
 
-def chunks_batch(stream: DataFrame) -> DataFrame:
-    """T4, as a batch: rows up to each stream's first end mark."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    ends = F.coalesce(F.sum(F.col("is_done").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    status = F.when(F.col("is_done") & F.col("is_error"), "failed").when(F.col("is_done"), "completed").otherwise("chunk")
-    return stream.withColumn("_ends", ends).where("_ends = 0").select("stream_id", "seq", status.alias("status"))
+    def step(s: list | None, at: float, seq: int, raw: str) -> tuple[list, list[tuple]]:
+        first, last, n, ended = s or [at, at, 0, False]
+        if ended:
+            return [first, at, n, True], []
+        if n >= max_chunks:
+            return [first, at, n, True], [(None, "failed", "too many chunks", None)]
+        try:
+            chunk = json.loads(raw)
+        except (TypeError, ValueError):
+            chunk = {"__raw__": raw}
+        if not isinstance(chunk, dict):
+            chunk = {"__raw__": raw}
+        if not chunk.get("__done__"):
+            return [first, at, n + 1, False], [(seq, "chunk", raw if "__raw__" not in chunk else json.dumps(chunk, ensure_ascii=False, separators=(",", ":")), None)]
+        if chunk.get("__error__"):
+            return [first, at, n + 1, True], [(seq, "failed", str(chunk["__error__"]), None)]
+        return [first, at, n + 1, True], [(seq, "completed", None, {k: str(v) for k, v in (chunk.get("summary") or {}).items()})]
+
+    def due(s: list | None) -> float | None:
+        return None if s is None else s[1] + total if s[3] else min(s[1] + idle, s[0] + total)
+
+    def expired(s: list) -> tuple[list | None, list[tuple]]:
+        if s[3]:
+            return None, []
+        return [s[0], s[1], s[2], True], [(None, "failed", "timeout" if s[0] + total <= s[1] + idle else "idle", None)]
+
+    return fold(stream, "stream_id", "ts", ["seq", "raw"], step, None, "seq long, status string, payload string, summary map<string,string>", due=due, expired=expired, delay=delay)
+
+
+def chunks_batch(stream: DataFrame, as_of: Column, idle: int = IDLE, total: int = TOTAL, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """T4, as a batch over all chunks up to as_of (in seconds): each stream's rows until its first end."""
+    w = Window.partitionBy("stream_id").orderBy("ts", "seq")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    parsed = F.try_parse_json("raw")
+    kind = F.try_variant_get(parsed, "$", "map<string,variant>")
+    done = F.coalesce(F.try_variant_get(parsed, "$.__done__", "boolean"), F.lit(False))
+    rows = stream.select("stream_id", "seq", "ts", "raw", t.alias("_t"), kind.isNotNull().alias("_json"), done.alias("_done"), F.try_variant_get(parsed, "$.__error__", "string").alias("_error"), F.try_variant_get(parsed, "$.summary", "map<string,string>").alias("_summary"))
+    first = F.min("_t").over(Window.partitionBy("stream_id"))
+    limit = F.least(F.coalesce(F.lag("_t").over(w), F.col("_t")) + idle, F.col("_first") + total)
+    rows = rows.withColumn("_first", first).withColumns({"_n": F.row_number().over(w), "_late": F.col("_t") > limit, "_limit": limit, "_last": F.lead("_t").over(w).isNull()})
+    ends = F.col("_done") | F.col("_late") | (F.col("_n") > max_chunks)
+    rows = rows.withColumn("_end", ends).withColumn("_ended", F.coalesce(F.max(F.col("_end").cast("int")).over(earlier), F.lit(0))).where("_ended = 0")
+    reason = F.when(F.col("_first") + total <= F.col("_before") + idle, "timeout").otherwise("idle")
+    before = F.coalesce(F.lag("_t").over(w), F.col("_t"))
+    rows = rows.withColumn("_before", before)
+
+    def item(seq: Column, status: str, payload: Column, summary: Column | None = None) -> Column:
+        return F.struct(seq.alias("seq"), F.lit(status).alias("status"), payload.alias("payload"), (F.lit(None).cast("map<string,string>") if summary is None else summary).alias("summary"))
+
+    none = F.lit(None).cast("bigint")
+    wrapped = F.when(F.col("_json"), F.col("raw")).otherwise(F.to_json(F.struct(F.col("raw").alias("__raw__"))))
+    own = (
+        F.when(F.col("_late"), item(none, "failed", reason)).when(F.col("_n") > max_chunks, item(none, "failed", F.lit("too many chunks")))
+        .when(F.col("_done") & (F.coalesce("_error", F.lit("")) != ""), item(F.col("seq"), "failed", F.col("_error")))
+        .when(F.col("_done"), item(F.col("seq"), "completed", F.lit(None).cast("string"), F.coalesce("_summary", F.create_map().cast("map<string,string>")))).otherwise(item(F.col("seq"), "chunk", wrapped))
+    )
+    silent = F.least(F.col("_t") + idle, F.col("_first") + total)
+    after = F.when(F.col("_last") & ~F.col("_end") & (silent < as_of), item(none, "failed", F.when(F.col("_first") + total <= F.col("_t") + idle, "timeout").otherwise("idle")))
+    return rows.select("stream_id", F.inline(F.array_compact(F.array(own, after))))
 
 
 def deduplicated(sdf: DataFrame, time: str, keys: list[str], delay: str = "300 seconds") -> DataFrame:
@@ -123,10 +224,25 @@ def deduplicated(sdf: DataFrame, time: str, keys: list[str], delay: str = "300 s
 
 def windowed_counts(sdf: DataFrame, time: str, labels: list[str], length: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts per window and labels; later rows than the watermark are dropped."""
-    win = F.window(time, length, slide) if slide else F.window(time, length)
+    win = F.window(time, length, slide) if slide else F.window(time, length)  # a row is in length / slide windows
     return sdf.withWatermark(time, delay).groupBy(win, *labels).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *labels, "n")
 
 
+def windowed_rates(sdf: DataFrame, time: str, labels: list[str], length: str = "5 minutes", slide: str | None = "15 seconds", delay: str = "10 minutes") -> DataFrame:
+    """Events a second, per (sliding) window and labels."""
+    counts = windowed_counts(sdf, time, labels, length, slide, delay)
+    seconds = F.lit(float(pd.Timedelta(length).total_seconds()))
+    return counts.select("window_start", *labels, (F.col("n") / seconds).alias("rate"))
+
+
+def windowed_histogram(sdf: DataFrame, time: str, value: str, labels: list[str], bounds: tuple[float, ...] = metrics.BOUNDS, length: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Cumulative buckets (+Inf last) per (sliding) window and labels, as A9."""
+    win = F.window(time, length, slide) if slide else F.window(time, length)
+    rows = sdf.withWatermark(time, delay).withColumn("window", win)
+    found = metrics.histogram(rows, value, ["window", *labels], bounds)
+    return found.select(F.col("window.start").alias("window_start"), *labels, "le", "cumulative", "count")
+
+
 def totals(sdf: DataFrame, labels: list[str]) -> DataFrame:
     """Counts kept up to date (output mode complete or update)."""
     return sdf.groupBy(*labels).agg(F.count("*").alias("n"))
@@ -137,34 +253,52 @@ def latest_status(sdf: DataFrame, key: str, value: str, order: list[str]) -> Dat
     return sdf.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def stuck_actions(cache: DataFrame, leases: DataFrame, as_of: str, sink: Callable[[DataFrame], Any], seen: Callable[[], DataFrame]) -> DataStreamWriter:
-    """On every batch of cache rows the stuck tasks' dispositions go to sink; seen gives the tasks acted on of late."""
+def stuck_actions(cache: DataFrame, leases: DataFrame, as_of: str, sink: Callable[[DataFrame], Any], seen: Callable[[], DataFrame], cap: int | None = None) -> DataStreamWriter:
+    """On every batch of cache rows the stuck tasks' dispositions go to sink, one row a task; seen gives the tasks acted on of late (300 s), which are passed over."""
 
     def act(batch: DataFrame, _: int) -> None:
-        sink(reconcile.stuck_disposition(reconcile.stuck_tasks(batch, leases, seen(), as_of, cap=None)))
+        once = batch.dropDuplicates(["task_id"])
+        sink(reconcile.stuck_disposition(reconcile.stuck_tasks(once, leases, seen(), as_of, cap=cap)))
 
     return cache.writeStream.foreachBatch(act)
 
 
+#: How long dead letters are kept, in seconds.
+DEAD_LETTER_TTL = 30 * 86400
+
+
+def retained_dead_letters(dead: DataFrame, as_of: str, ttl: int = DEAD_LETTER_TTL, time: str = "died_at") -> DataFrame:
+    """Dead letters younger than 30 days."""
+    return live(dead, time, ttl, as_of)
+
+
 def outbox_updates(outcomes: DataFrame, outbox: Callable[[], DataFrame], as_of: str, sink: Callable[[DataFrame], Any], dead: Callable[[DataFrame], Any]) -> DataStreamWriter:
-    """Delivery outcomes advance the outbox; dead letters go to a sink of their own, too."""
+    """Delivery outcomes advance the outbox; dead letters go to a sink of their own, too, with the time (died_at) from which they are retained."""
 
     def act(batch: DataFrame, _: int) -> None:
         rows = reconcile.outbox_progress(outbox(), batch, as_of).persist()
         sink(rows)
-        dead(rows.where("delivery_status = 'dead_letter'"))
+        dead(rows.where("delivery_status = 'dead_letter'").withColumn("died_at", F.lit(as_of).cast("timestamp")))
         rows.unpersist()
 
     return outcomes.writeStream.foreachBatch(act)
 
 
-def cron_ticks(ticks: DataFrame, schedules: Callable[[], DataFrame], sink: Callable[[DataFrame], Any]) -> DataStreamWriter:
-    """On every batch of ticks (timestamp) the schedules due by the last one give their tasks; ticks missed between are one fire."""
-    from opstables.operators import schedule
+def cron_ticks(ticks: DataFrame, schedules: Callable[[], DataFrame], sink: Callable[[DataFrame], Any], save: Callable[[DataFrame], Any]) -> DataStreamWriter:
+    """On every batch of ticks (timestamp) the schedules due by the last one give their tasks; ticks missed between are one fire.
+
+    save gets all schedules with next_fire_at of the fired ones moved to their next fire after that tick, so
+    that the next batch doesn't fire them again.  A batch that is run again gives the same idempotency keys.
+    """
 
     def act(batch: DataFrame, _: int) -> None:
         last = batch.agg(F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss")).first()[0]
         if last:
-            sink(schedule.fire(schedule.due_schedules(schedules(), last), last))
+            known = schedules()
+            due = schedule.due_schedules(known, last)
+            sink(schedule.fire(due, last))
+            at = schedule.next_fire(due.drop("next_fire_at"), "cron_expr", last).select("schedule_id", F.date_format("next_fire_at", "yyyy-MM-dd'T'HH:mm:ss").alias("_next"), F.lit(True).alias("_fired"))
+            moved = known.join(at, "schedule_id", "left")
+            save(moved.withColumn("next_fire_at", F.when(F.col("_fired"), F.col("_next")).otherwise(F.col("next_fire_at"))).select(*known.columns))
 
     return ticks.writeStream.foreachBatch(act)

@@ -186,6 +186,123 @@ def test_lineage_chain(spark):
     assert got == {i: (i // 50 * 50, i % 50) for i in range(200)}
 
 
+def test_lineage_of_cycles(spark):
+    parents = {1: 3, 2: 1, 3: 2, 4: 4, 5: 4, 6: 3, 7: None, 8: 7, 9: 77, 10: 9}
+    edges = spark.createDataFrame(list(parents.items()), "id bigint, from_id bigint")
+    got = {r.node: (r.root, r.depth) for r in dag.lineage(edges).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 5, 6), (None, None)), 7: (7, 0), 8: (7, 1), 9: (77, 1), 10: (77, 2)}
+
+
+def test_a_hot_key_is_folded_in_time(spark):
+    import time
+
+    df = spark.range(200_000).selectExpr("CAST(id % 100 = 99 AS bigint) AS entity", "id", "timestamp_seconds(1704067200 + id) AS ts", "id % 3 <> 0 AS ok")
+    began = time.perf_counter()
+    assert fsm.breaker_timeline(df, "entity", 3, 20.0).where("state = 'closed'").count() > 0
+    assert fsm.rate_limit(df, "entity", 60, 10).where("allowed").count() > 30_000
+    assert time.perf_counter() - began < 60
+
+
+def test_folds_of_an_empty_table_and_null_keys(spark):
+    empty = spark.createDataFrame([], "entity bigint, id bigint, ts timestamp, ok boolean")
+    assert fsm.breaker_timeline(empty, "entity").count() == 0
+    rows = spark.createDataFrame([(None, 1, START, False), (None, 2, START, None), (5, 3, START, False)], empty.schema)
+    got = {(r.entity, r.id): (r.state, r.failures) for r in fsm.breaker_timeline(rows, "entity", threshold=2).collect()}
+    assert got == {(None, 1): ("closed", 1), (None, 2): ("open", 0), (5, 3): ("closed", 1)}
+
+
+def test_health_step_equals_closed_form_and_any_threshold(spark):
+    rng = random.Random(2)
+    oks = [rng.random() < 0.5 for _ in range(60)]
+    for unhealthy, healthy in ((3, 2), (2, 1), (5, 3)):
+        state, out = fsm.HEALTH_START, []
+        for i, ok in enumerate(oks):
+            state, rows = fsm.health_step(unhealthy, healthy)(state, i, i, ok)
+            out += [(s,) for _, s in rows]
+        assert out == model_health(oks, unhealthy, healthy)
+
+
+def test_node_machine(spark):
+    names = ["reserve", "join", "offline", "join", "release", "reserve"]
+    df = spark.createDataFrame([(0, i, START + datetime.timedelta(seconds=i), n) for i, n in enumerate(names)], "task_id bigint, id bigint, created_at timestamp, event string")
+    got = by_id(fsm.replay_fsm(df, "task_id", fsm.NODE_TABLE, "idle"), "task_id", "next", "legal")[0]
+    assert got == [("reserved", True), ("joined", True), ("offline", True), ("offline", False), ("idle", True), ("reserved", True)]
+
+
+def test_scale_advice(spark):
+    rows = [("a", t, u) for t, u in [(0, 0.9), (100, 0.95), (300, 0.9), (500, 0.1), (700, 0.1), (1000, 0.5)]] + [("b", 0, None)]
+    df = spark.createDataFrame(rows, "capability string, t bigint, utilization double")
+    got = {r.t: (r.advice, r.delta) for r in fsm.scale_advice(df, "capability").collect()}
+    assert got == {0: ("up", 1), 100: ("hold", 0), 300: ("up", 1), 500: ("hold", 0), 700: ("down", -1), 1000: ("hold", 0)}
+
+
+def test_backoff_by_hand(spark):
+    from opstables.plans import catalog
+
+    rows = catalog.QUERIES["f6_backoff"](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and all(rows.where(F.col(c).isNull()).count() == 0 for c in rows.columns)
+
+
+def test_next_fire_beyond_a_year_and_never(spark):
+    from opstables.operators import schedule
+
+    crons = {"0 0 29 2 *": "2028-02-29 00:00:00", "0 0 30 2 *": None, "30 12 1 3 *": "2024-03-01 12:30:00", "* * * * *": "2024-03-01 00:01:00", "0 0 1 3 *": "2025-03-01 00:00:00"}
+    df = spark.createDataFrame([(c,) for c in crons], "cron string")
+    got = {r.cron: None if r.next_fire_at is None else str(r.next_fire_at) for r in schedule.next_fire(df, "cron", "2024-03-01 00:00:00").collect()}
+    assert got == crons
+    far = schedule.next_fire(spark.createDataFrame([("0 0 29 2 *",)], "cron string"), "cron", "2096-03-01 00:00:00").first()
+    assert str(far.next_fire_at) == "2104-02-29 00:00:00"
+
+
+def test_silences_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = random.Random(1)
+    pick = lambda *v: rng.choice(v)
+    day = lambda d: START + datetime.timedelta(days=d)
+    rows = [(i, pick("a", "b", None), pick("critical", "info", None), pick("x", "y"), day(rng.randrange(10))) for i in range(80)]
+    quiet = [(i, pick("a", "b", None), pick("critical", "info", None), pick("x", "y", None), day(rng.randrange(8)), day(9)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, alertname string, severity string, service string, starts_at timestamp")
+    s = spark.createDataFrame(quiet, "silence_id int, alertname string, severity string, service string, created_at timestamp, expires_at timestamp")
+    want = {}
+    for i, *labels, at in rows:
+        hits = [q[0] for q in quiet if all(m is None or m == v for m, v in zip(q[1:4], labels, strict=True)) and q[4] <= at < q[5]]
+        want[i] = min(hits, default=None)
+    for bound in (10_000, 0):
+        monkeypatch.setattr(alerts, "BROADCAST_SILENCES", bound)
+        assert {r.id: r.silenced_by for r in alerts.apply_silences(df, s).collect()} == want
+
+
+def test_map_step_of_scalars_and_errors(spark):
+    df = spark.createDataFrame([(1, [1, 2, 7]), (2, [])], "run_id int, items array<int>")
+    got = dag.map_step(df, "run_id", "items", lambda x: x * 2, lambda x: x == 7, "continue", lambda x: F.concat(F.lit("no "), x.cast("string"))).collect()
+    assert [(r.run_id, r.status, r.results, r.failed_items, [tuple(e) for e in r.item_errors]) for r in got] == [(1, "completed", [2, 4, None], [2], [(2, "no 7")])]
+    one = dag.map_step(spark.createDataFrame([(1, 5)], "run_id int, items int"), "run_id", "items", lambda x: x + 1, lambda x: F.lit(False)).first()
+    assert one.results == [6] and one.item_errors == []
+
+
+def test_running_sums_in_pieces(spark):
+    from opstables.operators import ranks
+
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(40), i, rng.choice([-1, 1])) for i in range(1500)] + [("cold", 1, 1, 5)]
+    got = {(r.k, r.id): r.s for r in ranks.split_sum(spark.createDataFrame(rows, "k string, v int, id int, d bigint"), ["k"], "v", ["id"], "d", "s", 8).collect()}
+    for key in ("hot", "cold"):
+        total = 0
+        for _, i, d in sorted((v, i, d) for k, v, i, d in rows if k == key):
+            total += d
+            assert got[key, i] == total
+
+
+def test_tables_of_a_block_are_removed(spark):
+    import os
+
+    from opstables.sources import scratch
+
+    with scratch.owned(spark) as made:
+        kept, gone = scratch.stored(spark.range(3).toDF("x"), "t"), scratch.stored(spark.range(3).toDF("x"), "t")
+        path = made.pop(0)
+    assert kept.count() == 3 and os.path.exists(path) and gone.inputFiles() and not os.path.exists(gone.inputFiles()[0].removeprefix("file:"))
+
+
 def test_branch_null_rules(spark):
     df = spark.createDataFrame([(1, None), (2, 5)], "id int, x int")
     assert [r.taken for r in dag.branch(df, "x > 7").orderBy("id").collect()] == [True, False]
@@ -207,6 +324,8 @@ def test_notifications_wait_group_and_repeat(spark):
     base = int(START.replace(tzinfo=datetime.timezone.utc).timestamp())
     got = sorted((r.sent_at - base, r.n) for r in alerts.notifications(df).collect())
     assert got == [(30, 2), (330, 1), (1000, 1)]
+    got = sorted((r.sent_at - base, r.n) for r in alerts.notifications(df, repeat=400).collect())
+    assert got == [(30, 2), (330, 1), (730, 0), (1030, 1)]
 
 
 def test_workers(spark):

@@ -1,8 +1,10 @@
 """Streams run over files until these are read, compared with their batch twins."""
 
 import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from opstables.operators import fsm, ranks
 from opstables.plans import fixtures, streams
@@ -43,14 +45,110 @@ def test_outbox_updates_and_dead_letters(spark, tmp_path):
     assert [r.id for r in dead] == [2]
 
 
-def test_cron_ticks_fire_once(spark, tmp_path):
-    schedules = spark.createDataFrame([(1, "t", True, "2024-01-01T00:00:00"), (2, "t", True, None), (3, "t", False, "2024-01-01T00:00:00")], "schedule_id bigint, tenant_id string, enabled boolean, next_fire_at string")
-    ticks = [(datetime.datetime(2024, 1, 1, 0, m),) for m in range(3)]
-    spark.createDataFrame(ticks, "timestamp timestamp").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("timestamp timestamp").parquet(str(tmp_path / "in"))
+def batches(spark, tmp_path, name, schema, *parts):
+    """A stream that takes each part, in order, as a batch of its own."""
+    import os
+
+    path, seen = f"{tmp_path}/{name}", set()
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for f in set(os.listdir(path)) - seen:
+            os.utime(f"{path}/{f}", (0, 1_500_000_000 + i * 100))
+            seen.add(f)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+
+def at(seconds):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+
+
+BASE = 1704067200
+
+
+def test_silent_nodes_go_offline_by_a_timer(spark, tmp_path):
+    stream = batches(spark, tmp_path, "in", "node long, ts timestamp", [(1, at(0)), (2, at(10)), (2, at(30))], [(2, at(200))], [(3, at(230)), (2, at(260)), (2, at(320))])
+    got = sorted((r.node, r.at - BASE, r.state) for r in streams.run(spark, T.liveness(stream, 60)).collect())
+    assert got == [(1, 0, "online"), (1, 60, "offline"), (2, 10, "online"), (2, 90, "offline"), (2, 200, "online"), (3, 230, "online"), (3, 290, "offline")]
+
+
+def test_a_node_comes_back(spark, tmp_path):
+    stream = batches(spark, tmp_path, "in", "node long, ts timestamp", [(1, at(0)), (9, at(100))], [(9, at(300)), (1, at(310))], [(9, at(320))])
+    got = sorted((r.at - BASE, r.state) for r in streams.run(spark, T.liveness(stream, 60)).where("node = 1").collect())
+    assert got == [(0, "online"), (60, "offline"), (310, "online")]
+
+
+def test_chunk_streams_end(spark, tmp_path):
+    done, error = '{"__done__": true, "summary": {"n": 3}}', '{"__done__": true, "__error__": "bad"}'
+    rows = [(1, 0, at(0), '{"a":1}'), (1, 1, at(5), "not json"), (1, 2, at(9), done), (1, 3, at(10), '{"late":1}')]
+    rows += [(2, 0, at(0), "[1]"), (2, 1, at(3), error)] + [(3, 0, at(0), "{}"), (3, 1, at(50), "{}")]
+    rows += [(4, i, at(i * 20), "{}") for i in range(8)] + [(5, i, at(i), "{}") for i in range(7)]
+    later = [(6, 0, at(500), "{}")]
+    stream = batches(spark, tmp_path, "in", "stream_id long, seq long, ts timestamp, raw string", rows, later)
+    kwargs = {"idle": 30, "total": 100, "max_chunks": 6}
+    got = sorted((r.stream_id, -1 if r.seq is None else r.seq, r.status, r.payload, tuple((r.summary or {}).items())) for r in streams.run(spark, T.chunks(stream, **kwargs)).collect())
+    batch = spark.createDataFrame([*rows, *later], "stream_id long, seq long, ts timestamp, raw string")
+    twin = sorted((r.stream_id, -1 if r.seq is None else r.seq, r.status, r.payload, tuple((r.summary or {}).items())) for r in T.chunks_batch(batch, F.lit(BASE + 500), **kwargs).collect())
+    assert got == [
+        (1, 0, "chunk", '{"a":1}', ()), (1, 1, "chunk", '{"__raw__":"not json"}', ()), (1, 2, "completed", None, (("n", "3"),)),
+        (2, 0, "chunk", '{"__raw__":"[1]"}', ()), (2, 1, "failed", "bad", ()), (3, -1, "failed", "idle", ()), (3, 0, "chunk", "{}", ()),
+        (4, -1, "failed", "timeout", ()), *((4, i, "chunk", "{}", ()) for i in range(6)), (5, -1, "failed", "too many chunks", ()), *((5, i, "chunk", "{}", ()) for i in range(6)), (6, 0, "chunk", "{}", ()),
+    ]
+    assert twin == got
+
+
+@pytest.mark.parametrize("name", ["breaker", "client_breaker", "health"])
+def test_streaming_folds_equal_batch_folds(spark, tmp_path, name):
+    rng = random.Random(5)
+    rows = sorted([(rng.randrange(6), at(rng.randrange(4000)), i, rng.random() < 0.5) for i in range(300)], key=lambda r: r[1])
+    schema = "entity long, ts timestamp, id long, ok boolean"
+    parts = [rows[i : i + 75] for i in range(0, 300, 75)]
+    batch = spark.createDataFrame(rows, schema)
+    build = {"breaker": lambda s: T.breaker(s, 2, 60.0), "client_breaker": lambda s: T.client_breaker(s, 2, 30.0), "health": T.health}[name]
+    twin = {"breaker": lambda d: fsm.breaker_timeline(d, "entity", 2, 60.0), "client_breaker": lambda d: fsm.client_breaker_timeline(d, "entity", 2, 30.0), "health": lambda d: fsm.health_state(d, "entity", "ok", ["ts", "id"])}[name](batch)
+    got = streams.run(spark, build(batches(spark, tmp_path, "in", schema, *parts)))
+    assert sorted(got.collect()) == sorted(twin.select(*got.columns).collect())
+
+
+def test_node_machine_stream_equals_batch(spark):
+    from opstables.plans import catalog
+
+    got = catalog.QUERIES["t6_node_machine"](spark, SMALL)
+    want = catalog.QUERIES["e16_node_fsm"](spark, SMALL).select(*got.columns)
+    assert got.count() > 0 and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_repeats_within_the_delay_are_dropped_and_later_ones_are_not(spark, tmp_path):
+    stream = batches(spark, tmp_path, "in", "k long, ts timestamp", [(1, at(0)), (1, at(1))], [(1, at(200)), (2, at(800))], [(9, at(900))], [(1, at(1000))])
+    got = sorted((r.k, r.ts) for r in streams.run(spark, T.deduplicated(stream, "ts", ["k"])).collect())
+    assert [k for k, _ in got] == [1, 1, 2, 9]
+
+
+def test_stuck_actions_are_deduplicated(spark, tmp_path):
+    schema = "task_id bigint, capability string, status string, priority_rank int, attempt int, max_retries int, created_at timestamp"
+    stuck = [(i, "c", "running", 1, 0, 2, at(0)) for i in range(4)]
+    stream = batches(spark, tmp_path, "in", schema, [*stuck, stuck[0]], stuck)
+    acted = []
+    leases = spark.createDataFrame([(3,)], "task_id bigint")
+    seen = lambda: spark.createDataFrame([(t,) for t in acted], "task_id bigint")
+    drained(T.stuck_actions(stream, leases, "2024-01-01 01:00:00", lambda df: acted.extend(r.task_id for r in df.collect()), seen), tmp_path / "c")
+    assert sorted(acted) == [0, 1, 2]
+
+
+def test_dead_letters_are_retained_for_30_days(spark):
+    rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2023, 12, 1))], "id int, died_at timestamp")
+    assert [r.id for r in T.retained_dead_letters(rows, "2024-01-05 00:00:00").collect()] == [1]
+
+
+def test_cron_ticks_fire_once_and_move_on(spark, tmp_path):
+    schema = "schedule_id bigint, tenant_id string, enabled boolean, next_fire_at string, cron_expr string"
+    table = [(1, "t", True, "2024-01-01T00:00:00", "*/10 * * * *"), (2, "t", True, None, "* * * * *"), (3, "t", False, "2024-01-01T00:00:00", "* * * * *"), (4, "t", True, "2024-01-01T00:01:00", "0 0 31 2 *")]
+    state = {"rows": table}
+    stream = batches(spark, tmp_path, "in", "timestamp timestamp", [(at(60 * m),) for m in range(3)], [(at(180),)], [(at(600),)])
     fired = []
-    drained(T.cron_ticks(stream, lambda: schedules, lambda df: fired.extend(df.collect())), tmp_path / "c")
-    assert [(r.schedule_id, r.idempotency_key) for r in fired] == [(1, "cron:1:1704067320")]
+    save = lambda df: state.update(rows=[tuple(r) for r in df.collect()])
+    drained(T.cron_ticks(stream, lambda: spark.createDataFrame(state["rows"], schema), lambda df: fired.extend(df.collect()), save), tmp_path / "c")
+    assert sorted((r.schedule_id, r.idempotency_key) for r in fired) == [(1, "cron:1:1704067320"), (1, "cron:1:1704067800"), (4, "cron:4:1704067320")]
+    assert {r[0]: r[3] for r in state["rows"]} == {1: "2024-01-01T00:20:00", 2: None, 3: "2024-01-01T00:00:00", 4: None}
 
 
 def test_declared_tables(spark, tmp_path):
