@@ -1,7 +1,7 @@
 """Byte-level BPE by replaying merges over many words at once.
 
-A slice's distinct words that are not remembered yet are replayed together: an inverted index
-leads from a token pair to the positions where it stands; ranks are taken in rising order, all
+A task numbers the distinct words of its documents and replays all new ones together: an inverted
+index leads from a token pair to the positions where it stands; ranks are taken in rising order, all
 words that hold a pair of that rank merge it in one step, and only the neighbours of merged
 positions are looked up anew.  Each word's merges come in the order in which they would come
 if it were encoded alone: at any step its least rank, leftmost first.  All positions of a rank
@@ -9,15 +9,18 @@ in a word are merged in one step, up to the first whose merge makes a pair of lo
 runs take time in proportion to their length.
 
 The vocabulary of a whole corpus fits no broadcast, and bringing its ids back to the texts would
-shuffle more than the texts; so words are replayed in the task that reads them.  A task remembers
-encoded words (up to a bound; dropping them costs time, not results), so a word is merged once,
-however often it stands in the text.  Documents are encoded where they are read: nothing is shuffled.
+shuffle more than the texts; so words are replayed in the task that reads them, once in a task
+however often they stand there (up to a bound; dropping them costs time, not results).  Texts
+wait, as numbers of words, until some WAITING_BYTES of them are there.  Documents are encoded where
+they are read: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from opstables.llm.common import list_array, slices, text_col, utf8
 
-#: Words (and bytes of them) that a task remembers.
-REMEMBERED_WORDS, REMEMBERED_BYTES = 300_000, 30_000_000
+#: Words (and bytes of them) that a task remembers; bytes of text that wait for a replay; bytes of words replayed together.
+REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 30_000_000
+WAITING_BYTES, REPLAYED_BYTES = 24_000_000, 3_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -75,9 +79,9 @@ class Merges:
         raw = np.frombuffer(b"".join(words), np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words))
         n, ends = len(raw), np.cumsum(size)
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         token = self.bytes[raw]
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         rank = np.full(n + 1, _NONE)  # of the pair that starts here
         rank[: n - 1] = self.byte_pairs[raw[:-1], raw[1:]]
         following[ends - 1] = n  # n stands for no neighbour
@@ -109,14 +113,15 @@ class Merges:
                     heapq.heappush(queue, of)
                 pairs[of].append(key)
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while queue:
             r = heapq.heappop(queue)
             parts = [part for key in pairs.pop(r) for part in index.pop(key)]
-            at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
-            at = at[rank[at] == r]
+            at = np.concatenate(parts) if len(parts) > 1 else parts[0]
+            at = np.sort(at[rank[at] == r])
             if not len(at):
                 continue
+            at = at[np.append(True, at[1:] != at[:-1])]
             # leftmost first: in a run of overlapping pairs every other one is merged
             touches = np.zeros(len(at), bool)
             touches[1:] = following[at[:-1]] == at[1:]
@@ -132,9 +137,10 @@ class Merges:
             lower = np.minimum(left_rank, right_rank) < r
             if lower.any():  # a word goes on after its first such merge only when the lower pair has had its turn
                 own = word[taken]
-                first = np.full(len(words), n)
+                first = np.full(len(words), n, np.int32)
                 np.minimum.at(first, own[lower], taken[lower])
-                taken = taken[taken <= first[own]]
+                goes_on = taken <= first[own]
+                taken, left_rank, right_rank, left, merged_left = (x[goes_on] for x in (taken, left_rank, right_rank, left, merged_left))
             gone = following[taken]
             right = following[gone]
             token[taken] = r
@@ -143,36 +149,78 @@ class Merges:
             following[taken] = right
             has = right < n
             before[right[has]] = taken[has]
-            left = before[taken]
-            left = left[left < n]
-            changed = np.union1d(taken, left)
-            after = following[changed]
-            rank[changed] = np.where(after < n, self._search(token[changed], token[np.minimum(after, n - 1)]), _NONE)
-            enter(np.concatenate([changed, at[rank[at] == r]]))
+            # a merge that the next one follows at once makes a pair with it, not with what stood there
+            rank[taken] = right_rank
+            rank[taken[:-1][merged_left[1:]]] = left_rank[1:][merged_left[1:]]
+            alone = (left < n) & ~merged_left
+            left = left[alone]
+            rank[left] = left_rank[alone]
+            enter(np.concatenate([taken, left, at[rank[at] == r]]))
         kept = token[alive].astype(np.int32).tobytes()
         stops = (4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))).tolist()
         return [kept[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
+class _Words:
+    """Numbered words and their token ids."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids, self.ends, self.bytes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+
+    def replay(self) -> None:
+        """Encodes the words that have numbers and no ids yet."""
+        known = sum(map(len, self.ends)) - 1
+        new = [w.encode() for w in itertools.islice(self.number, known, None)]
+        total = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        self.bytes += int(total[-1]) if len(new) else 0
+        at = 0
+        while at < len(new):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + REPLAYED_BYTES, side="right")))
+            found = self.merges.encode(new[at:stop])
+            self.ids.append(np.frombuffer(b"".join(found), np.int32))
+            self.ends.append(self.ends[-1][-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+            at = stop
+
+    def spell(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each document, all their ids) for documents of so many words."""
+        if len(self.ids) > 1:
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        start, ends = self.ends[0][codes], self.ends[0][codes + 1]
+        stops = np.concatenate([[0], np.cumsum(ends - start)])
+        places = np.arange(stops[-1]) + np.repeat(start - stops[:-1], ends - start)
+        return np.diff(stops[np.concatenate([[0], np.cumsum(sizes)])]), self.ids[0][places]
+
+
 def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    merges, split = Merges(ranks), regex.compile(pattern)
-    known: dict[str, bytes] = {}
+    words, split = _Words(Merges(ranks)), regex.compile(pattern)
+    waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     held = 0
+
+    def spelled() -> Iterator[pa.RecordBatch]:
+        words.replay()
+        for ids, sizes, codes in waiting:
+            lengths, values = words.spell(codes, sizes)
+            yield pa.RecordBatch.from_arrays([ids, list_array(lengths, pa.array(values))], names=["doc_id", "ids"])
+        waiting.clear()
+        if len(words.number) > REMEMBERED_WORDS or words.bytes > REMEMBERED_BYTES:
+            words.clear()
+
     for batch in batches:
         for part in slices(batch):
             docs = [split.findall(text) for text in part.column("text").to_pylist()]
-            new = list(set().union(*docs).difference(known))
-            raw = [w.encode() for w in new]
-            if len(known) + len(new) > REMEMBERED_WORDS or held + sum(map(len, raw)) > REMEMBERED_BYTES:
-                known, held = {}, 0
-                new = list(set().union(*docs))
-                raw = [w.encode() for w in new]
-            held += sum(map(len, raw))
-            known.update(zip(new, merges.encode(raw), strict=True))
-            ids = [b"".join([known[w] for w in words]) for words in docs]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(lengths, values)], names=["doc_id", "ids"])
+            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+            codes = np.fromiter(map(words.number.__getitem__, itertools.chain.from_iterable(docs)), np.int32, int(sizes.sum()))
+            waiting.append((pa.array(part.column("doc_id").to_pylist(), pa.int64()), sizes, codes))
+            held += part.column("text").nbytes
+            if held > WAITING_BYTES or len(words.number) > REMEMBERED_WORDS:
+                yield from spelled()
+                held = 0
+    yield from spelled()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
