@@ -89,10 +89,15 @@ def repair_tx(tx_log: DataFrame, tasks: DataFrame, cache: DataFrame, max_retries
 
 
 def submit(requests: DataFrame, tasks: DataFrame) -> DataFrame:
-    """A request (request_id, tenant_id, idempotency_key) with a known tenant and key gets the earliest task of that key; without a key it is new."""
+    """A request (request_id, tenant_id, idempotency_key) with a known tenant and key gets the earliest task of that key; without a key it is new.
+
+    Of requests that bring the same new key, the one of the least request_id makes the task and the others reuse it.
+    """
     first = tasks.where("idempotency_key IS NOT NULL").groupBy("tenant_id", "idempotency_key").agg(F.min_by("task_id", F.struct("created_at", "task_id")).alias("known_id"))
-    found = requests.join(first, ["tenant_id", "idempotency_key"], "left")
-    return found.select("request_id", F.coalesce(F.col("known_id").cast("string"), scalars.cron_task_id(F.col("idempotency_key"))).alias("task_id"), F.col("known_id").isNotNull().alias("idempotent_reused"))
+    new = requests.where("idempotency_key IS NOT NULL").groupBy("tenant_id", "idempotency_key").agg(F.min("request_id").alias("maker"))
+    found = requests.join(first, ["tenant_id", "idempotency_key"], "left").join(new, ["tenant_id", "idempotency_key"], "left")
+    reused = F.col("known_id").isNotNull() | F.coalesce(F.col("request_id") > F.col("maker"), F.lit(False))
+    return found.select("request_id", F.coalesce(F.col("known_id").cast("string"), scalars.cron_task_id(F.col("idempotency_key"))).alias("task_id"), reused.alias("idempotent_reused"))
 
 
 def explain(tasks: DataFrame, leases: DataFrame, cache: DataFrame) -> DataFrame:

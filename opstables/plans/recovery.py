@@ -101,7 +101,7 @@ def _(events, tasks, cache):
     "c9_idempotent_submit", "customer tasks",
     """WITH q AS (SELECT c_custkey AS request_id, concat('tenant-', CAST(c_custkey % 12 AS VARCHAR)) AS tenant_id, concat('key-', CAST(c_custkey % 60 AS VARCHAR)) AS k FROM customer),
             f AS (SELECT tenant_id, idempotency_key AS k, task_id, row_number() OVER (PARTITION BY tenant_id, idempotency_key ORDER BY created_at, task_id) AS r FROM tasks WHERE idempotency_key IS NOT NULL)
-       SELECT request_id, coalesce(CAST(task_id AS VARCHAR), concat('cron-', left(k, 60), '-', left(sha256(k), 16))) AS task_id, task_id IS NOT NULL AS idempotent_reused
+       SELECT request_id, coalesce(CAST(task_id AS VARCHAR), concat('cron-', left(k, 60), '-', left(sha256(k), 16))) AS task_id, task_id IS NOT NULL OR request_id > min(request_id) OVER (PARTITION BY tenant_id, k) AS idempotent_reused
        FROM q LEFT JOIN (SELECT * FROM f WHERE r = 1) USING (tenant_id, k)""",
 )
 def _(customer, tasks):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opstables.operators import alerts as A
 from opstables.operators import metrics as M
+from opstables.plans import recursion
 from opstables.plans.registry import query
 
 
@@ -185,6 +186,6 @@ def _(events):
     return found.withColumn("value", F.round("value", 6))
 
 
-@query("e19_notifications", "alerts")
+@query("e19_notifications", "alerts", recursion.notifications())
 def _(alerts):
     return A.notifications(alerts)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from opstables.operators import fsm
+from opstables.plans import recursion
 from opstables.plans.registry import query
 
 _STREAK = """r AS (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY entity ORDER BY ts, id) THEN 0 ELSE 1 END AS f FROM health_checks),
@@ -41,27 +42,27 @@ def _(checks):
     return usable_capabilities(fsm.latest(states, "entity", ["ts", "id"])).select("entity", "status")
 
 
-@query("e11_breaker_timeline", "health_checks")
+@query("e11_breaker_timeline", "health_checks", recursion.breaker(2, 86400))
 def _(checks):
     return fsm.breaker_timeline(checks, "entity", threshold=2, open_s=86400)
 
 
-@query("e12_client_breaker_timeline", "health_checks")
+@query("e12_client_breaker_timeline", "health_checks", recursion.client_breaker(2, 43200))
 def _(checks):
     return fsm.client_breaker_timeline(checks, "entity", threshold=2, reset_s=43200)
 
 
-@query("e13_rate_limit", "health_checks")
+@query("e13_rate_limit", "health_checks", recursion.limiter(86400, 2))
 def _(checks):
     return fsm.rate_limit(checks, "entity", window=86400, most=2)
 
 
-@query("e14_concurrency_timeline", "health_checks")
+@query("e14_concurrency_timeline", "health_checks", recursion.concurrency())
 def _(checks):
     return fsm.concurrency_timeline(checks, "entity")
 
 
-@query("e15_replay_fsm", "task_events")
+@query("e15_replay_fsm", "task_events", recursion.machine(*recursion.TASKS))
 def _(events):
     return fsm.replay_fsm(events, "task_id")
 
@@ -77,12 +78,9 @@ def _(tasks):
     return fsm.transition(tasks.withColumn("event", event), "status", "event").select("task_id", "next_state")
 
 
-NODE_EVENT = "CASE event WHEN 'enqueue' THEN 'reserve' WHEN 'start' THEN 'join' WHEN 'complete' THEN 'drain' WHEN 'fail' THEN 'offline' ELSE 'release' END"
-
-
-@query("e16_node_fsm", "task_events")
+@query("e16_node_fsm", "task_events", recursion.machine(*recursion.NODES))
 def _(events):
-    return fsm.replay_fsm(events.withColumn("event", F.expr(NODE_EVENT)), "task_id", fsm.NODE_TABLE, "idle")
+    return fsm.replay_fsm(events.withColumn("event", F.expr(recursion.NODE_EVENT)), "task_id", fsm.NODE_TABLE, "idle")
 
 
 @query("e20_latest", "health_checks", "SELECT entity, id, ok FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, id DESC) AS r FROM health_checks) WHERE r = 1")
@@ -100,7 +98,7 @@ def _(events):
     return fsm.durations(events, "task_id", "enqueue", ("complete", "fail"))
 
 
-@query("e22_scale_advice", "health_checks")
+@query("e22_scale_advice", "health_checks", recursion.scale(7200))
 def _(checks):
     snapshots = checks.groupBy("capability", F.expr("unix_seconds(ts) DIV 3600 * 3600").alias("t")).agg((F.avg("duration_seconds") / 100).alias("utilization"))
     return fsm.scale_advice(snapshots, "capability", cooldown=7200)

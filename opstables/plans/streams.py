@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opstables.operators import fsm
-from opstables.plans import fixtures
+from opstables.plans import fixtures, recursion
 from opstables.plans.registry import ORACLES, QUERIES, plain, query
-from opstables.plans.state import HEALTH_SQL, NODE_EVENT
+from opstables.plans.state import HEALTH_SQL
 from opstables.sources.scratch import shared_dir
 from opstables.streaming import operators as T
 
@@ -64,15 +64,15 @@ def _(checks):
     return T.liveness_batch(checks.withColumnRenamed("entity", "node"), 86400, as_of)
 
 
-_register("t6_limiter", "events", lambda s: T.limiter(_checks(s), 86400, 2))
-_register("t6_breaker", "events", lambda s: T.breaker(_checks(s), 2, 86400.0))
-_register("t6_client_breaker", "events", lambda s: T.client_breaker(_checks(s), 2, 43200.0))
+_register("t6_limiter", "events", lambda s: T.limiter(_checks(s), 86400, 2), views="health_checks", sql=recursion.limiter(86400, 2, "entity, id, allowed"))
+_register("t6_breaker", "events", lambda s: T.breaker(_checks(s), 2, 86400.0), views="health_checks", sql=recursion.breaker(2, 86400))
+_register("t6_client_breaker", "events", lambda s: T.client_breaker(_checks(s), 2, 43200.0), views="health_checks", sql=recursion.client_breaker(2, 43200))
 _register("t6_health", "events", lambda s: T.health(_checks(s)), views="health_checks", sql=HEALTH_SQL)
-_register("t6_task_machine", "events", lambda s: T.machine(_events(s).drop("value"), fsm.TASK_TABLE, "pending"))
-_register("t6_node_machine", "events", lambda s: T.machine(_events(s).drop("value").withColumn("event", F.expr(NODE_EVENT)), fsm.NODE_TABLE, "idle"))
+_register("t6_task_machine", "events", lambda s: T.machine(_events(s).drop("value"), fsm.TASK_TABLE, "pending"), views="task_events", sql=recursion.machine(*recursion.TASKS, columns=recursion.SHOWN))
+_register("t6_node_machine", "events", lambda s: T.machine(_events(s).drop("value").withColumn("event", F.expr(recursion.NODE_EVENT)), fsm.NODE_TABLE, "idle"), views="task_events", sql=recursion.machine(*recursion.NODES, columns=recursion.SHOWN))
 _register(
     "t8_alert_lifecycle", "events",
-    lambda s: T.alert_lifecycle(s.select(F.col("user_id").cast("string").alias("labels"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 30).alias("on")), 86400),
+    lambda s: T.alert_lifecycle(s.select(F.col("user_id").cast("string").alias("labels"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 30).alias("on")), 86400), sql=recursion.lifecycle(86400),
 )
 _register("t5_idempotency", "events", lambda s: T.deduplicated(_events(s), "created_at", ["task_id", "event"], "300 seconds").select("task_id", "event"), views="task_events", sql="SELECT DISTINCT task_id, event FROM task_events")
 _register(

@@ -51,6 +51,17 @@ def _(outbox):
     return outbox.select("id", S.step_backoff(F.lit(1.0), n, 7).alias("step_s"), S.client_backoff(n).alias("client_s"))
 
 
+@query(
+    "f6_client_backoff", "callback_outbox",
+    "SELECT id, least(0.1 * pow(2, attempt_count), 30) AS client_s, least(pow(2, attempt_count), 60) AS least_s, least(1.2 * pow(2, attempt_count), 60) AS most_s, true AS within FROM callback_outbox",
+)
+def _(outbox):
+    n = F.col("attempt_count")
+    bounds = (F.least(F.pow(F.lit(2.0), n), F.lit(60.0)), F.least(F.lit(1.2) * F.pow(F.lit(2.0), n), F.lit(60.0)))
+    step = S.step_backoff(F.lit(1.0), n, 7)
+    return outbox.select("id", S.client_backoff(n).alias("client_s"), bounds[0].alias("least_s"), bounds[1].alias("most_s"), step.between(*bounds).alias("within"))
+
+
 @query(
     "f7_cron_task_id", "tasks",
     """SELECT task_id, concat('cron-', left(replace(k, ':', '-'), 60), '-', left(sha256(k), 16)) AS cron_id FROM (SELECT task_id, concat('cron:', CAST(task_id AS VARCHAR), ':', repeat('x', CAST(task_id % 80 AS INT))) AS k FROM tasks)""",

@@ -237,10 +237,23 @@ def test_scale_advice(spark):
 
 
 def test_backoff_by_hand(spark):
-    from opstables.plans import catalog
+    from opstables.plans import catalog, fixtures
+
+    rows = catalog.QUERIES["f6_backoff"](spark, "/root/testdata/sf0.001").collect()
+    attempts = {r.id: r.attempt_count for r in fixtures.view(spark, "/root/testdata/sf0.001", "callback_outbox").collect()}
+    assert len(rows) == len(attempts) and len({r.step_s for r in rows}) > 50  # jitter
+    for r in rows:
+        n = attempts[r.id]
+        assert r.client_s == min(0.1 * 2**n, 30) and min(2**n, 60) <= r.step_s <= min(1.2 * 2**n, 60)
+
+
+def test_requests_of_a_batch_share_a_new_key(spark):
+    from opstables.operators import reconcile
 
-    rows = catalog.QUERIES["f6_backoff"](spark, "/root/testdata/sf0.001")
-    assert rows.count() > 0 and all(rows.where(F.col(c).isNull()).count() == 0 for c in rows.columns)
+    requests = spark.createDataFrame([(1, "t", "a"), (2, "t", "a"), (3, "t", "b"), (4, "u", "a"), (5, "t", None), (6, "t", None)], "request_id bigint, tenant_id string, idempotency_key string")
+    tasks = spark.createDataFrame([(9, "t", "b", START)], "task_id bigint, tenant_id string, idempotency_key string, created_at timestamp")
+    got = {r.request_id: (r.task_id, r.idempotent_reused) for r in reconcile.submit(requests, tasks).collect()}
+    assert got[1][0] == got[2][0] and [got[i][1] for i in range(1, 7)] == [False, True, True, False, False, False] and got[3][0] == "9"
 
 
 def test_next_fire_beyond_a_year_and_never(spark):
