@@ -1,18 +1,19 @@
-"""Byte-level BPE by replaying merges over many words at once.
-
-A task numbers the distinct words of its documents and replays all new ones together: an inverted
-index leads from a token pair to the positions where it stands; ranks are taken in rising order, all
-words that hold a pair of that rank merge it in one step, and only the neighbours of merged
-positions are looked up anew.  Each word's merges come in the order in which they would come
-if it were encoded alone: at any step its least rank, leftmost first.  All positions of a rank
-in a word are merged in one step, up to the first whose merge makes a pair of lower rank, so
-runs take time in proportion to their length.
-
-The vocabulary of a whole corpus fits no broadcast, and bringing its ids back to the texts would
-shuffle more than the texts; so words are replayed in the task that reads them, once in a task
-however often they stand there (up to a bound; dropping them costs time, not results).  Texts
-wait, as numbers of words, until some WAITING_BYTES of them are there.  Documents are encoded where
-they are read: nothing is shuffled.
+"""Byte-level BPE by replaying merges over the vocabulary of a whole corpus.
+
+The words of all texts that are not tokens themselves are counted over the corpus.  The most frequent
+ones (a bounded number of bounded words) are replayed together, partition by partition of the
+vocabulary: an inverted index leads from a token pair to the positions where it stands; ranks are
+taken in rising order, all words that hold a pair of that rank merge it in one step, and only the
+neighbours of merged positions are looked up anew.  Each word's merges come in the order in which
+they would come if it were encoded alone: at any step its least rank, leftmost first.  All positions
+of a rank in a word are merged in one step, up to the first whose merge makes a pair of lower rank,
+so runs take time in proportion to their length.
+
+The encoded words are broadcast: their size is bounded by construction.  The rest of a corpus's words
+(rare ones, most of them in one text) fit no broadcast, and bringing their ids back to the texts would
+shuffle more than the texts; a task replays them in the same way, all its new words at a time, and
+remembers them up to a bound (dropping them costs time, not results).  Texts wait, as numbers of words,
+until some WAITING_BYTES of them are there.  Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from opstables.llm.common import list_array, slices, text_col, utf8
 
+#: Words of the corpus that are broadcast, and bytes of the longest.
+VOCABULARY_WORDS, VOCABULARY_BYTES = 250_000, 48
 #: Words (and bytes of them) that a task remembers; bytes of text that wait for a replay; bytes of words replayed together.
-REMEMBERED_WORDS, REMEMBERED_BYTES = 400_000, 30_000_000
-WAITING_BYTES, REPLAYED_BYTES = 24_000_000, 3_000_000
+REMEMBERED_WORDS, REMEMBERED_BYTES = 250_000, 30_000_000
+WAITING_BYTES, REPLAYED_BYTES = 16_000_000, 1_500_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -161,16 +164,58 @@ class Merges:
         return [kept[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
+#: Words, the ids of all of them, where each one's ids end (0 first).
+Vocabulary = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], tokens: frozenset[bytes], pattern: str) -> Iterator[pa.RecordBatch]:
+    """(word, n): words that are no tokens and not too long, counted in parts of a task."""
+    split, counts = regex.compile(pattern), Counter()
+
+    def found() -> pa.RecordBatch:
+        rows = [(w, n) for w, n in counts.items() if len(b := w.encode()) <= VOCABULARY_BYTES and b not in tokens]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for part in slices(batch):
+            for text in part.column("text").to_pylist():
+                counts.update(split.findall(text))
+            if len(counts) > REMEMBERED_WORDS:
+                yield found()
+    yield found()
+
+
+def corpus_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY_WORDS) -> Vocabulary:
+    """The corpus's most frequent words (ties by the word) with their ids, replayed by partitions of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, of fixed size
+    rows = docs.select(text_col().alias("text"))
+    counted = rows.mapInArrow(lambda it: _counted(it, frozenset(shared.value), pattern), "word string, n long")
+    words = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = Merges(shared.value)
+        for batch in batches:
+            found = merges.encode([w.encode() for w in batch.column("word").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.binary())], names=["word", "ids"])
+
+    encoded = words.select("word").repartition("word").mapInArrow(replay, "word string, ids binary").toArrow()  # most rows of bounded size
+    found = encoded.column("ids").to_pylist()
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+    return encoded.column("word").to_pylist(), np.frombuffer(b"".join(found), np.int32), ends
+
+
 class _Words:
-    """Numbered words and their token ids."""
+    """Numbered words and their token ids; those of the corpus's vocabulary come first and stay."""
 
-    def __init__(self, merges: Merges) -> None:
-        self.merges = merges
+    def __init__(self, merges: Merges, vocabulary: Vocabulary) -> None:
+        self.merges, self.vocabulary = merges, vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-        self.ids, self.ends, self.bytes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        words, ids, ends = self.vocabulary
+        self.number: defaultdict[str, int] = defaultdict(itertools.count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.ids, self.ends, self.bytes = [ids], [ends], 0
 
     def replay(self) -> None:
         """Encodes the words that have numbers and no ids yet."""
@@ -196,8 +241,8 @@ class _Words:
         return np.diff(stops[np.concatenate([[0], np.cumsum(sizes)])]), self.ids[0][places]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    words, split = _Words(Merges(ranks)), regex.compile(pattern)
+def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    words, split = _Words(Merges(ranks), vocabulary), regex.compile(pattern)
     waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -207,7 +252,7 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
             lengths, values = words.spell(codes, sizes)
             yield pa.RecordBatch.from_arrays([ids, list_array(lengths, pa.array(values))], names=["doc_id", "ids"])
         waiting.clear()
-        if len(words.number) > REMEMBERED_WORDS or words.bytes > REMEMBERED_BYTES:
+        if len(words.number) > len(vocabulary[0]) + REMEMBERED_WORDS or words.bytes > REMEMBERED_BYTES:
             words.clear()
 
     for batch in batches:
@@ -217,20 +262,27 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
             codes = np.fromiter(map(words.number.__getitem__, itertools.chain.from_iterable(docs)), np.int32, int(sizes.sum()))
             waiting.append((pa.array(part.column("doc_id").to_pylist(), pa.int64()), sizes, codes))
             held += part.column("text").nbytes
-            if held > WAITING_BYTES or len(words.number) > REMEMBERED_WORDS:
+            if held > WAITING_BYTES or len(words.number) > len(vocabulary[0]) + REMEMBERED_WORDS:
                 yield from spelled()
                 held = 0
     yield from spelled()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY_WORDS) -> DataFrame:
     """doc_id, ids (array of int): one row for each row of docs, whole texts, no special tokens.
 
-    Each match of the pattern is encoded by itself.  Null and empty texts give an empty array.
+    Each match of the pattern is encoded by itself.  Null and empty texts give an empty array.  most: the
+    words of the corpus that are encoded beforehand (the time depends on it, not the ids).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, of fixed size
+    spark = docs.sparkSession.sparkContext
+    shared = spark.broadcast((ranks, corpus_vocabulary(docs, ranks, pattern, most)))  # a file of fixed size, and at most `most` bounded words
     rows = docs.select("doc_id", text_col().alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, shared.value, pattern), "doc_id long, ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, vocabulary = shared.value
+        return _encode(batches, table, pattern, vocabulary)
+
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
