@@ -82,7 +82,7 @@ def repeat_words(w: Column) -> Column:
         steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    hashes = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: window_hash(x, F.get(w, i + 1), F.get(w, i + 2)))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: window_hash(*window(i)))
     several = bound(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(repeated(hs)))
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(several)
 
@@ -157,11 +157,15 @@ def cascade(rules: list[Rule], known: dict[str, Column]) -> Column:
 
 
 def with_features(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Adds the features, and those they are computed from, as columns; docs has a column text without nulls."""
-    for name in _missing(names, {"text": F.col("text")}):
-        needs, of = FEATURES[name]
-        docs = docs.withColumn(name, of(*map(F.col, needs)))
-    return docs
+    """Adds the features as columns; docs has a column text without nulls.
+
+    All are computed in one projection, so neither the text nor its words are copied from step to step.
+    """
+    if not names:
+        return docs
+    text = {"text": F.col("text")}
+    found = with_known(text, _missing(names, text), lambda k: F.struct(*(k[n].alias(n) for n in names)))
+    return docs.withColumn("_found", found).select(*docs.columns, *(F.col(f"_found.{n}").alias(n) for n in names))
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -203,5 +207,5 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, show: tup
     """
     order = [rule for rule, _, _ in rule_order(docs, rules)]
     rows = with_features(docs.select("doc_id", text_col().alias("text")), show)
-    known = {c: F.col(c) for c in ("text", *_missing(show, {"text": F.col("text")}))}
+    known = {c: F.col(c) for c in ("text", *show)}
     return rows.select("doc_id", *show, cascade(order, known).alias("kept"))
