@@ -12,8 +12,8 @@ Two ways to the blocks:
 * ``shingles``: bands of minimum shingle hashes, for radii that no pigeonhole serves.  With 16
   bands of 4, texts of similarity 0.8 meet in a block with probability 0.9998.
 
-Equal fingerprints are one member, whatever their number.  A block of more than TILE members is
-split into tiles and the pairs of tiles, so no task gets more than two tiles; from a block come
+Equal fingerprints are one member, whatever their number.  A pigeonhole block of more than TILE members
+is split by further parts of the fingerprint; one that is still larger (or of shingles) into tiles and the pairs of tiles, so no task gets more than two tiles; from a block come
 the edges of its local components (fewer than it has members), never its pairs.
 
 With a percent, such a component only says which members to verify.  Equal sets of distinct shingles
@@ -285,6 +285,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _split_hot(keys: DataFrame, how: Sketching) -> DataFrame:
+    """keys (key, rep, fp) with the blocks of more than TILE members split further, where that loses no link.
+
+    Pigeonhole blocks only: of the 64 bits in three parts, fingerprints within 2 bits agree in one at least,
+    so a member of a hot block goes to three smaller ones, not to as many pairs of tiles as there are tiles.
+    """
+    if how.blocks != "pigeonhole":
+        return keys
+    hot = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("key", F.lit(True).alias("hot")), "hot-blocks")
+    small = fits_broadcast(hot.count(), 16)
+    digits = F.hex("fp")
+    high, low = (F.conv(F.substring(digits, at, 8), 16, 10).cast("long") for at in (1, 9))
+    parts = (F.shiftright(high, 10), F.shiftleft(high.bitwiseAND(F.lit(1023)), 11).bitwiseOR(F.shiftright(low, 21)), low.bitwiseAND(F.lit(2**21 - 1)))
+    # two blocks whose hashes clash are one: more comparisons, the same links
+    finer = F.array(*(F.xxhash64("key", F.lit(i), part) for i, part in enumerate(parts)))
+    marked = keys.join(F.broadcast(hot) if small else hot, "key", "left")
+    return marked.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), "rep", "fp")
+
+
 def _sets(batches: Iterator[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -355,7 +374,7 @@ def near_groups(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     gathered = equal.groupBy(*kind).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
     # the numbers are stored with the members, so they are given once
     members = stored(gathered.withColumn("rep", F.monotonically_increasing_id()), "members")
-    keys = members.select(F.explode("blocks").alias("key"), "rep", "fp")
+    keys = _split_hot(members.select(F.explode("blocks").alias("key"), "rep", "fp"), how)
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
