@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opstables.llm.common import SPACES, keyed, same_row, slices, utf8
+from opstables.llm.common import SPACES, keyed, same_row, slices, stored, utf8
 
 _STRIP = SPACES.encode()
 _PLACES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32())])
@@ -93,7 +93,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     A document that keeps none of them has no row.  Lines that are too short aren't in the bitmaps.
     """
     rows = keyed(docs).mapInArrow(lambda it: _places(it, min_chars), "hi long, lo long, doc_id long, text_key long, pos int")
-    ordered = rows.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo", "doc_id", "pos")
+    # ranges are cut by a sample: what it is taken from is stored, so that texts are read once
+    ordered = stored(rows, "line-places").repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo", "doc_id", "pos")
     first = ordered.mapInArrow(_first, "doc_id long, text_key long, pos int")
     return first.groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("at")).select("doc_id", "text_key", _bitmap("at").alias("keep"))
 
