@@ -1,8 +1,9 @@
 """Exact dedup by progressive refinement: length, then the hash of a prefix, then the full hash.
 
-Only texts whose length and prefix hash several rows share are hashed whole.  The
-shuffles carry lengths and hashes, never texts, as long as the surviving keys fit a
-broadcast (their size is checked); beyond that the survivors are found by a shuffled join.
+Only texts whose length and prefix hash several rows share are hashed whole, as long as the
+surviving keys fit a broadcast (their size is checked); beyond that all texts are hashed where they
+are read, and the survivors are found by a shuffled join.  The shuffles carry lengths and hashes,
+never texts.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ def duplicate_groups(docs: DataFrame, digests: bool = False) -> DataFrame:
     by_length = rows.groupBy("len", "prefix").agg(F.count("*").alias("n"))  # partial sums: a hot length or prefix is a row a task
     lengths = by_length.groupBy("len").agg(F.sum("n").alias("len_n")).where("len_n > 1").select("len")
     survivors = stored(by_length.where("n > 1").join(lengths, "len", "left_semi").select("len", "prefix", F.lit(True).alias("again")), "exact-keys")
-    small = fits_broadcast(survivors.count(), 32)
-    marked = rows.join(F.broadcast(survivors) if small else survivors, ["len", "prefix"], "left")
     sha = F.sha2("text", 256)
-    hashed = marked.select("doc_id", F.when(F.col("again"), sha).alias("full"), (sha if digests else F.when(F.col("again"), sha)).alias("text_sha256"))
+    if fits_broadcast(survivors.count(), 32):
+        marked = rows.join(F.broadcast(survivors), ["len", "prefix"], "left")
+        hashed = marked.select("doc_id", F.when(F.col("again"), sha).alias("full"), (sha if digests else F.when(F.col("again"), sha)).alias("text_sha256"))
+    else:  # hashing costs less than bringing texts to their keys
+        marked = rows.select("doc_id", "len", "prefix", sha.alias("sha")).join(survivors, ["len", "prefix"], "left")
+        hashed = marked.select("doc_id", F.when(F.col("again"), F.col("sha")).alias("full"), (F.col("sha") if digests else F.when(F.col("again"), F.col("sha"))).alias("text_sha256"))
     groups = stored(
         hashed.where("full IS NOT NULL").groupBy("full").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"),
         "exact-groups",
