@@ -270,9 +270,12 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty, empty["source"], empty["lang"]).count() == 0
 
 
-def test_simhash_components(docs, empty):
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_simhash_components(docs, empty, monkeypatch, tile):
     import xxhash
 
+    monkeypatch.setattr(simhash, "TILE", tile)  # 2: nearly all blocks are split, and then tiled
+
     fps, ids = {}, []
     for d, t in texts():
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
@@ -444,9 +447,29 @@ def test_bpe_round_trip(docs, empty):
 
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).collect()
     want = counted((d, tuple(reference.encode_ordinary(t)), t) for d, t in texts())
-    assert counted((r.doc_id, tuple(r.ids), bytes(r.decoded).decode()) for r in got) == want
+    for most in (bpe.VOCABULARY_WORDS, 40, 0):
+        got = bpe.decode(bpe.encode(docs, ranks, P.PATTERN, most), ranks).collect()
+        assert counted((r.doc_id, tuple(r.ids), bytes(r.decoded).decode()) for r in got) == want
+
+
+def test_bpe_vocabulary_is_of_the_corpus(docs, empty, monkeypatch):
+    """The most frequent words that are no tokens, with their ids; and tasks that forget words give the same ids."""
+    import public_tokenizers as P
+    import regex
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    n = collections.Counter(w for _, t in texts() for w in regex.findall(P.PATTERN, t) if w.encode() not in ranks and len(w.encode()) <= bpe.VOCABULARY_BYTES)
+    words, ids, ends = bpe.corpus_vocabulary(docs, ranks, P.PATTERN, 50)
+    assert set(words) == {w for w, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:50] if k > 1}
+    assert all(ids[a:b].tolist() == reference.encode_ordinary(w) for w, a, b in zip(words, ends[:-1], ends[1:], strict=True))
+    assert len(bpe.corpus_vocabulary(empty, ranks, P.PATTERN)[0]) == 0
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 20)
+    table = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    out = [r for b in bpe._encode(iter(table.to_batches(max_chunksize=7)), ranks, P.PATTERN, (words, ids, ends)) for r in b.to_pylist()]
+    assert counted((r["doc_id"], tuple(r["ids"])) for r in out) == counted((d, tuple(reference.encode_ordinary(t))) for d, t in texts())
     assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
 
 

@@ -90,7 +90,8 @@ def test_pipeline_content(spark):
     import corpus_pipeline
     from opstables.llm import secrets
 
-    docs = stored(documents(spark, SMALL), "test")
+    planted = spark.createDataFrame([(900001, "a text that holds\ntoken = q7Zr9KxW2mVb4TnY8sLd\nof one owner", "en", "s", 60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = stored(documents(spark, SMALL).unionByName(planted), "test")
     stages = dict(corpus_pipeline.STAGES)
     rows = {r.doc_id: r for r in docs.collect()}
     assert len(rows) == docs.count()
@@ -155,6 +156,39 @@ def test_pipeline_content(spark):
     assert size == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for d, t in want.items()}
 
 
+def test_near_copies_found_and_left_alone(spark):
+    """Recall and precision of the pipeline's near copies over whole tables, by brute force over all pairs that share a shingle."""
+    from opstables.llm import simhash
+
+    docs = documents(spark, "/root/testdata/sf0.01")
+    sets, holders = {}, collections.defaultdict(list)
+    for r in docs.collect():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "").split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}
+    for d, x in sets.items():
+        for shingle in x:
+            holders[shingle].append(d)
+    common = collections.Counter((a, b) for ids in holders.values() for i, a in enumerate(ids) for b in ids[i + 1 :] if a < b)
+    linked = {(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in sorted(linked):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    empty = sorted(d for d, x in sets.items() if not x)
+    for d in empty[1:]:
+        root[find(d)] = empty[0]
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(docs, simhash.NEAR_COPIES).collect()}
+    found = sum(group[a] == group[b] for a, b in linked)
+    assert len(linked) > 50 and found == len(linked)  # recall 1 on these tables
+    assert group == {d: find(d) for d in sets}  # and nothing else is grouped
+
+
 def test_pipeline_takes_awkward_documents(spark):
     import corpus_pipeline
 
