@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from opstables.llm import classifier, lines, packing, secrets, simhash
 from opstables.llm.common import carried, documents, fits_broadcast, restored, stored, text_col
 from opstables.llm.queries import QUALITY_THRESHOLD, quality_model
+from opstables.sources.scratch import owned
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's own tables, and its predecessor's, are removed once its result is stored."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else stored(docs, "stage"), sf_dir)
+    with owned(spark) as before:
+        for _, stage in STAGES[:-1]:
+            with owned(spark) as made:
+                docs = stored(stage(spark, docs, sf_dir), "stage")
+                before.append(made.pop())
+        # packing is lazy and reads the last of them: that one stays
+        docs = STAGES[-1][1](spark, docs, sf_dir)
+        before.pop()
     return docs
