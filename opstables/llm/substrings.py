@@ -1,39 +1,47 @@
 """Substring dedup over a de Bruijn graph of word k-mers, compacted to paths.
 
-A window of k words is an edge from its first k-1 words to its last k-1.  Of every edge that
-several documents hold, the smallest doc_id is the source; elsewhere the words it covers go.
+Nodes are runs of k-1 words; a window of k words is an edge from its first k-1 words to its last k-1.
+Of every edge that several documents hold, the smallest doc_id is the source; elsewhere the words
+that it covers go.
 
 1. Anchors.  Equal windows have the same least inner 5-gram.  Only windows whose anchor
    several documents hold can be repeated; all others are done.  Anchors are a fifth of the
    windows, and each travels as two hashes' worth of bytes.
-2. Edges.  The remaining windows are grouped by a 96-bit hash of their words: the group's
-   least doc_id, with a position in it, is the edge's source coordinate.
-3. Paths.  An edge and the next one in their source are on one nonbranching path if the first
-   is always followed by the second and that is always led to by the first (the group knows
-   whether one word stands before, and one after, all occurrences).  Paths are compacted to a
-   start and a length in coordinates of the source, and joined back to the source documents.
-4. Verification.  A document recomputes its windows; a window stays if its words' hash is that
-   of a window at the coordinates of one of its own paths, else it is a copy and goes.
-
-All groupings have partial aggregates, so a passage that a third of all documents hold is a
-row a task; what comes back goes to source documents only and is bounded by their length.
+2. Edges.  The remaining windows are brought together by their two nodes, in waves (each is a part of the
+   nodes, so only a part of the windows is in shuffle files at once).  An edge's occurrence
+   with the least doc_id gives its source coordinates; those in later documents are copies.
+3. Paths.  Each node's in- and out-degree is counted over the distinct repeated edges; at a node with one
+   of either, the edge after it continues the edge before it.  Edges that continue one another in a
+   source's order are one segment; segments that continue one another across sources are joined to
+   paths by pointer doubling, whose rounds are bounded, so that cycles end.
+4. Copies.  A document's copies are runs along the source coordinates, cut where segments end.
+   A source spells each piece asked for (a hash of its words at these coordinates), and the words of a
+   copy go only if they are spelled alike; so a clash of node hashes removes nothing.
+
+Hot passages: an edge's occurrences are streamed through a window, which spills; all later tables are
+bounded by the documents' own lengths or by the number of copied windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opstables.llm.common import keyed, list_array, slices, stored, utf8
+from opstables.llm.common import fits_broadcast, keyed, slices, stored, utf8
+from opstables.operators.dag import lineage
+from opstables.sources.scratch import owned
 
 WINDOW, ANCHOR = 13, 5
 _SLICE = 2_000_000
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Parts in which the windows are brought together.
+WAVES = 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,7 +79,7 @@ class Words:
         at = self.windows(k)
         if not len(at):
             return at, np.zeros(0, np.uint64)
-        least = _hashes(self.hash, inner, _BASE[0])
+        least = _hashes(self.hash, inner, _BASE)
         width, n = 1, k - inner + 1
         while width * 2 <= n:
             least = np.minimum(least[:-width], least[width:])
@@ -80,15 +88,6 @@ class Words:
             least = np.minimum(least[: len(least) - (n - width)], least[n - width :])
         return at, least[at]
 
-    def beside(self, at: np.ndarray, k: int) -> np.ndarray:
-        """16 bits each of the word before and the word after each window; 0 where the text begins or ends."""
-        ends, starts = self.start + self.size, self.start
-        short = (self.hash >> np.uint64(48)).astype(np.int64) | 1
-        last = len(short) - 1
-        before = np.where(at > starts[self.doc[at]], short[np.maximum(at - 1, 0)], 0)
-        after = np.where(at + k < ends[self.doc[at]], short[np.minimum(at + k, last)], 0)
-        return (before << 16 | after).astype(np.uint32).view(np.int32)
-
     def ordinals(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """The number, within its text, of the run of windows of equal anchor that each window is in."""
         doc = self.doc[at]
@@ -140,99 +139,176 @@ def _lists(column: pa.Array) -> list:
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, after, doc_id, place): the nodes of each window that may be repeated, and where it stands."""
     for batch in batches:
         for part in slices(batch, most=_SLICE):
             w = Words(utf8(part.column("text")))
             at = _candidates(w, _lists(part.column("own_runs")))
             if not len(at):
                 continue
-            doc = w.doc[at]
-            hi, lo = (_hashes(w.hash, WINDOW, base)[at].view(np.int64) for base in _BASE)
-            # the place of a window: which of the texts of its doc_id (there is one, as a rule), and the position in it
+            doc, node = w.doc[at], _hashes(w.hash, WINDOW - 1, _BASE).view(np.int64)
+            # which of the texts of its doc_id (there is one, as a rule), and the position in it
             place = (np.repeat(part.column("tag").to_numpy().astype(np.int64), w.size)[at] << 32) | (at - w.start[doc])
-            names = ["hi", "lo", "doc_id", "place", "beside"]
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo.astype(np.int32)), part.column("doc_id").take(pa.array(doc)), pa.array(place), pa.array(w.beside(at, WINDOW))], names=names)
+            names = ["before", "after", "doc_id", "place"]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1]), part.column("doc_id").take(pa.array(doc)), pa.array(place)], names=names)
+
 
+def _runs(batches: Iterator[pa.RecordBatch], follows: str) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, place, {follows}_doc, {follows}_place) sorted by doc_id and place: (first row of each run, n).
 
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, starts, lengths): a source document's edges, compacted to paths."""
+    A row goes on if it stands one place after the row before it, of the same document, and, for
+    "src", if so do its source coordinates; for "prev", if these are the row before.  A run that
+    a batch cuts is given as two.
+    """
+    names = ["doc_id", "place", f"{follows}_doc", f"{follows}_place"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, place = (batch.column(c).to_numpy() for c in names[:2])
+        other_doc, other = (batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in names[2:])
+        first = np.ones(len(doc), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        kept = np.flatnonzero(first)  # rows that repeat a document's text bring the same places again
+        doc, place, other_doc, other = doc[kept], place[kept], other_doc[kept], other[kept]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+        if follows == "src":
+            new[1:] |= (other_doc[1:] != other_doc[:-1]) | (other[1:] != other[:-1] + 1)
+        else:
+            new[1:] |= (other_doc[1:] != doc[:-1]) | (other[1:] != place[:-1])
+        heads = np.flatnonzero(new)
+        rows = batch.select(names).take(pa.array(kept[heads]))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(np.append(heads, len(doc))))], names=[*names, "n"])
+
+
+def _spelling(words: list[bytes], pos: int, n: int) -> bytes:
+    """A hash of the words that n windows from pos on cover; words hold no white space, so a space joins them unambiguously."""
+    return xxhash.xxh3_128_digest(b" ".join(words[pos : pos + n + WINDOW - 1]))
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src_doc, src_place, n, spelling) for the pieces that are asked of each source text."""
     for batch in batches:
-        starts, lengths = [], []
-        for pos, alone in zip(_lists(batch.column("at")), _lists(batch.column("alone")), strict=True):
-            order = np.argsort(pos, kind="stable")
-            pos, alone = pos[order], alone[order]
-            new = np.ones(len(pos), bool)
-            new[1:] = (pos[1:] != pos[:-1] + 1) | (alone[:-1] & 1 == 0) | (alone[1:] & 2 == 0)
-            cut = np.flatnonzero(new)
-            starts.append(pos[cut])
-            lengths.append(np.diff(np.append(cut, len(pos))).astype(np.int32))
-        sizes = np.fromiter(map(len, starts), np.int64, len(starts))
-        flat = [pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32()) for x in (starts, lengths)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *(list_array(sizes, x) for x in flat)], names=["doc_id", "tag", "starts", "lengths"])
+        for part in slices(batch, most=_SLICE):
+            out: list[tuple[int, int, int, bytes]] = []
+            for doc, text, wanted in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), part.column("wanted").to_pylist(), strict=True):
+                words = text.split()
+                out += [(doc, x["src_place"], x["n"], _spelling(words, x["src_place"] & 0xFFFFFFFF, x["n"])) for x in wanted]
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src_doc", "src_place", "n", "spelling"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, most=_SLICE):
-            w = Words(utf8(part.column("text")))
-            at = _candidates(w, _lists(part.column("own_runs")))
-            gone = np.zeros(len(w.hash) + 1, np.int64)
-            if len(at):
-                # the windows at the coordinates of a text's own paths, and all that equal one of them, stay
-                own = np.zeros(len(w.hash), bool)
-                for i, (starts, lengths) in enumerate(zip(_lists(part.column("starts")), _lists(part.column("lengths")), strict=True)):
-                    if starts is not None:
-                        first = np.repeat(starts.astype(np.int64) - (np.cumsum(lengths) - lengths), lengths)
-                        own[w.start[i] + first + np.arange(len(first))] = True
-                doc = w.doc[at]
-                hi, lo = (_hashes(w.hash, WINDOW, base)[at].view(np.int64) for base in _BASE)
-                lo = lo.astype(np.int32)
-                order = np.lexsort((lo, hi, doc))
-                new = np.ones(len(at), bool)
-                new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-                stays = np.logical_or.reduceat(own[at[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-                copies = at[order[~stays]]
-                known = np.asarray([x is not None for x in part.column("doc_id").to_pylist()])
-                copies = copies[known[w.doc[copies]]]
-                np.add.at(gone, copies, 1)
-                np.add.at(gone, copies + WINDOW, -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            removed, texts = [], []
-            for i, words in enumerate(w.words):
-                mine = covered[w.start[i] : w.start[i] + len(words)]
-                k = int(mine.sum())
-                removed.append(k)
-                texts.append(b" ".join([x for x, g in zip(words, mine.tolist(), strict=True) if not g] if k else words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array(w.size), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                names=["doc_id", "text_key", "n_words", "n_removed", "kept_text"],
-            )
+            n_words, removed, paths, texts = [], [], [], []
+            for text, pieces in zip(utf8(part.column("text")), part.column("pieces").to_pylist(), strict=True):
+                words = text.split()
+                n_words.append(len(words))
+                gone, found = np.zeros(len(words) + 1, np.int64), set()
+                for x in pieces or ():
+                    if _spelling(words, x["pos"], x["n"]) == x["spelling"]:
+                        gone[x["pos"]] += 1
+                        gone[x["pos"] + x["n"] + WINDOW - 1] -= 1
+                        found.add(x["path"])
+                if found:
+                    covered = np.cumsum(gone)[:-1] > 0
+                    words = [w for w, g in zip(words, covered.tolist(), strict=True) if not g]
+                removed.append(n_words[-1] - len(words))
+                paths.append(len(found))
+                texts.append(b" ".join(words).decode())
+            values = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(paths, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *values], names=["doc_id", "text_key", "n_words", "n_removed", "n_paths", "kept_text"])
+
+
+def occurrences(edges: DataFrame) -> DataFrame:
+    """Of edges that several documents hold: the source's occurrence (is_source, with its nodes) and those in later documents, with source coordinates."""
+    same = Window.partitionBy("before", "after").orderBy("doc_id", "place")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = edges.select(
+        "*", F.first("doc_id").over(same).alias("src_doc"), F.first("place").over(same).alias("src_place"), F.last("doc_id").over(whole).alias("last"), (F.row_number().over(same) == 1).alias("is_source")
+    ).where("last > src_doc AND (is_source OR doc_id > src_doc)")
+    nodes = (F.when(F.col("is_source"), F.col(c)).alias(c) for c in ("before", "after"))
+    return rows.select("doc_id", "place", "src_doc", "src_place", "is_source", *nodes)
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """Distinct edges (doc_id, place: source coordinates; before, after: nodes) as segments: (src_doc, src_place, n, path).
+
+    path: the number of the first segment of the nonbranching path that a segment is part of.
+    """
+    ends = edges.select("doc_id", "place", F.inline(F.array(F.struct(F.col("before").alias("node"), F.lit(False).alias("enters")), F.struct(F.col("after").alias("node"), F.lit(True).alias("enters")))))
+    at = Window.partitionBy("node")
+    n_in, n_out = F.count_if("enters").over(at), F.count_if(~F.col("enters")).over(at)
+    only = F.max(F.when(F.col("enters"), F.struct("doc_id", "place"))).over(at)
+    leaving = ends.select("doc_id", "place", "enters", F.when((n_in == 1) & (n_out == 1), only).alias("prev")).where("NOT enters")
+    # an edge of one node leads to itself
+    rows = leaving.select("doc_id", "place", F.when(F.struct("doc_id", "place") != F.col("prev"), F.col("prev")).alias("prev")).select("doc_id", "place", F.col("prev.doc_id").alias("prev_doc"), F.col("prev.place").alias("prev_place"))
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    runs = ordered.mapInArrow(lambda it: _runs(it, "prev"), "doc_id long, place long, prev_doc long, prev_place long, n long")
+    segments = stored(runs.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    lasts = segments.select(F.col("segment").alias("from_id"), F.col("doc_id").alias("last_doc"), (F.col("place") + F.col("n") - 1).alias("last_place"))
+    links = segments.join(lasts, (F.col("prev_doc") == F.col("last_doc")) & (F.col("prev_place") == F.col("last_place")), "left").select(F.col("segment").alias("id"), "from_id")
+    roots = lineage(links)  # those on cycles have none, and are paths of their own
+    named = segments.join(roots, segments["segment"] == roots["node"])
+    return named.select(F.col("doc_id").alias("src_doc"), F.col("place").alias("src_place"), "n", F.coalesce("root", "segment").alias("path"))
+
+
+def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows (src_place, n, ...) for each chunk of source places that they reach into."""
+    return rows.withColumn("chunk", F.explode(F.sequence(F.expr(f"src_place DIV {chunk}"), F.expr(f"(src_place + n - 1) DIV {chunk}"))))
+
+
+def cut_at_segments(copies: DataFrame, segments: DataFrame, chunk: int = 4096) -> DataFrame:
+    """copies (doc_id, place, src_doc, src_place, n) in pieces that lie within one segment each, with its path.
+
+    They meet by chunks of the source, so no copy meets more of a source than it copies, and some.
+    """
+    by_chunk = _chunks(segments, chunk).groupBy("src_doc", "chunk").agg(F.collect_list(F.struct(F.col("src_place").alias("at"), F.col("n").alias("length"), "path")).alias("segments"))
+    met = _chunks(copies, chunk).join(by_chunk, ["src_doc", "chunk"])
+    low, high = F.greatest("src_place", "at", F.col("chunk") * chunk), F.least(F.expr("src_place + n"), F.expr("at + length"), (F.col("chunk") + 1) * chunk)
+    near = F.filter("segments", lambda s: (s["at"] < F.expr("src_place + n")) & (s["at"] + s["length"] > F.col("src_place")))
+    pieces = met.select("doc_id", "place", "src_doc", "src_place", "n", "chunk", F.inline(near)).withColumns({"low": low, "high": high}).where("low < high")
+    return pieces.select("doc_id", F.expr("place + (low - src_place)").alias("place"), "src_doc", F.col("low").alias("src_place"), F.expr("high - low").alias("n"), "path")
+
+
+def _tag(place: str) -> Column:
+    return F.shiftright(place, 32).cast("int")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, n_removed, kept_text: one row for each row of docs.
+    """doc_id, text_key, n_words, n_removed, n_paths, kept_text: one row for each row of docs.
 
     Words are runs of other characters than white space, unchanged; kept ones are joined by one
     space.  A word goes if it is in a window of 13 words whose words also start in a document
-    with a smaller doc_id (on the input, not on what is left).  Texts of fewer words, empty and
-    null ones stay as they are, and so do rows without doc_id.  Rows that repeat a doc_id with
-    another text are copies of one of them, where they share windows.
+    with a smaller doc_id (on the input, not on what is left); n_paths: the paths that the removed
+    windows are on.  Texts of fewer words, empty and null ones stay as they are, and so do rows without
+    doc_id.  Rows that share a doc_id, repeated or with another text, remove nothing from each other.
     """
+    spark = docs.sparkSession
     d = keyed(docs).withColumn("tag", F.col("text_key").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    anchors = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, tag int, run int")
+    known = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text")
+    anchors = known.mapInArrow(_anchor_rows, "anchor long, doc_id long, tag int, run int")
     held = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("tag").alias("tag"), F.min("run").alias("run"))
     # an anchor of a single run: no window with it stands anywhere else
     lone = held.where("n = 1").groupBy("doc_id", "tag").agg(F.collect_list("run").alias("own_runs"))
-    own = stored(lone, "own-anchors")
-    texts = d.where("doc_id IS NOT NULL").select("doc_id", "tag", "text").join(own, ["doc_id", "tag"], "left")
-    edges = texts.mapInArrow(_edge_rows, "hi long, lo int, doc_id long, place long, beside int")
-    sources = edges.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.bit_or("beside").bitwiseXOR(F.bit_and("beside")).alias("differ"))
-    # 1: one word follows all occurrences of the edge; 2: one word leads to all of them
-    alone = F.when(F.col("differ").bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) + F.when(F.shiftrightunsigned("differ", 16) == 0, 2).otherwise(0)
-    placed = sources.select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"), alone.alias("alone"))
-    placed = stored(placed, "edges")  # the texts' and windows' shuffle files go before the next ones come
-    by_source = placed.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"), F.collect_list("alone").alias("alone"))
-    paths = by_source.mapInArrow(_compact, "doc_id long, tag int, starts array<int>, lengths array<int>")
-    known = stored(own.join(paths, ["doc_id", "tag"], "full"), "paths")
-    both = d.join(known, ["doc_id", "tag"], "left").select("doc_id", "text_key", "text", "own_runs", "starts", "lengths")
-    return both.mapInArrow(_remove, "doc_id long, text_key long, n_words long, n_removed long, kept_text string")
+    with owned(spark) as made:
+        own = stored(lone, "own-anchors")
+        edges = stored(known.join(own, ["doc_id", "tag"], "left").mapInArrow(_edge_rows, "before long, after long, doc_id long, place long"), "edges")
+        waves = [stored(occurrences(edges.where(F.pmod("before", F.lit(WAVES)) == i)), "occurrences") for i in range(WAVES)]
+        del made[2:]  # the first two go
+    found = reduce(DataFrame.unionByName, waves)
+    segments = stored(compact(found.where("is_source").select("doc_id", "place", "before", "after")), "paths")
+    ordered = found.where("NOT is_source").select("doc_id", "place", "src_doc", "src_place").repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    copies = stored(ordered.mapInArrow(lambda it: _runs(it, "src"), "doc_id long, place long, src_doc long, src_place long, n long"), "copies")
+    pieces = stored(cut_at_segments(copies, segments), "pieces")
+    asked = pieces.select("src_doc", "src_place", "n").distinct()
+    wanted = stored(asked.groupBy("src_doc", _tag("src_place").alias("src_tag")).agg(F.collect_list(F.struct("src_place", "n")).alias("wanted")), "wanted")
+    small = fits_broadcast(wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0], 32)
+    sources = known.join(F.broadcast(wanted) if small else wanted, (F.col("doc_id") == F.col("src_doc")) & (F.col("tag") == F.col("src_tag"))).select("doc_id", "text", "wanted")
+    spelled = sources.mapInArrow(_spelled, "src_doc long, src_place long, n long, spelling binary").distinct()
+    piece = F.struct(F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("pos"), "n", "spelling", "path")
+    checked = pieces.join(spelled, ["src_doc", "src_place", "n"]).groupBy("doc_id", _tag("place").alias("tag")).agg(F.collect_list(piece).alias("pieces"))
+    both = d.join(stored(checked, "passages"), ["doc_id", "tag"], "left").select("doc_id", "text_key", "text", "pieces")
+    return both.mapInArrow(_remove, "doc_id long, text_key long, n_words long, n_removed long, n_paths long, kept_text string")
