@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opstables.llm.common import list_array, slices, text_col, utf8
+from opstables.llm.common import list_array, slices, text_col
 
 #: Words of the corpus that are broadcast, and bytes of the longest.
 VOCABULARY_WORDS, VOCABULARY_BYTES = 250_000, 48

@@ -13,7 +13,6 @@ from opstables.sources.scratch import stored as stored  # the operators take it
 
 #: White space in the sense of all operators here: space and \x09 to \x0D (what bytes.split() splits at).
 SPACES = " \t\n\x0b\x0c\r"
-SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Text that one step of a Python worker holds at a time, in bytes (one longer text is taken alone).
 SLICE_BYTES = 4_000_000
 #: Largest table, in bytes, that an operator broadcasts; a larger one is joined by a shuffle.

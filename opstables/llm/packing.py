@@ -13,7 +13,6 @@ that even rows that repeat each other are spread; a pool is packed by one task.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 

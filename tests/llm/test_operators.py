@@ -108,6 +108,77 @@ def test_substrings(docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_rows_that_share_a_doc_id_remove_nothing_from_each_other(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(7, a + " " + b), (7, b + " " + a), (7, a + " " + b), (9, "x " + a), (None, a), (None, a), (3, None)]
+    got = counted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == counted([(7, 80, 0), (7, 80, 0), (7, 80, 0), (9, 41, 40), (None, 40, 0), (None, 40, 0), (3, 0, 0)])
+
+
+def test_copies_from_many_sources(spark):
+    """Texts made of passages of each other, loops and runs of one word among them, against brute force."""
+    rng = random.Random(13)
+    passages = [prose(rng, rng.randrange(5, 60), 500) for _ in range(12)] + ["la " * 40, "one two three " * 20]
+    rows = [(i, " ".join(rng.choice(passages) for _ in range(rng.randrange(1, 7)))) for i in range(120)]
+    first, want = {}, {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    for d, t in rows:
+        w = t.split()
+        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(13)}
+        want[d] = (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 3000
+
+
+def test_paths_are_compacted_at_nodes_of_one_way_in_and_out(spark):
+    """Edges by their source coordinates and nodes: chains within and across sources, branches, cycles."""
+    edges = {
+        (1, 0): (0, 1), (1, 1): (1, 2), (2, 5): (2, 3), (2, 6): (3, 4), (3, 9): (4, 5),  # one path over three sources
+        (4, 0): (10, 11), (4, 1): (11, 12), (5, 0): (11, 13),  # a node with two ways out
+        (6, 0): (20, 21), (6, 1): (21, 22), (7, 0): (29, 21),  # a node with two ways in
+        (8, 0): (30, 31), (9, 0): (31, 30), (10, 3): (40, 40),  # a cycle of two sources, an edge of one node
+        (11, 0): (50, 51), (11, 2): (60, 61),
+    }
+    df = spark.createDataFrame([(d, p, a, b) for (d, p), (a, b) in edges.items()], "doc_id long, place long, before long, after long")
+    rows = substrings.compact(df).collect()
+    assert sorted((r.src_doc, r.src_place, r.n) for r in rows) == [(1, 0, 2), (2, 5, 2), (3, 9, 1), (4, 0, 1), (4, 1, 1), (5, 0, 1), (6, 0, 1), (6, 1, 1), (7, 0, 1), (8, 0, 1), (9, 0, 1), (10, 3, 1), (11, 0, 1), (11, 2, 1)]
+    path = {r.src_doc: r.path for r in rows}
+    assert path[1] == path[2] == path[3]
+    assert len({r.path for r in rows}) == len(rows) - 2
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_copies_are_cut_where_segments_end(spark, chunk):
+    rng = random.Random(chunk)
+    segments, at = [], {}
+    for doc in range(3):
+        place = 0
+        while place < 60:
+            n = rng.randrange(1, 9)
+            segments.append((doc, place, n, len(segments) * 10))
+            at.update({(doc, place + k): len(segments) * 10 - 10 for k in range(n)})
+            place += n
+    copies = [(100 + i, rng.randrange(50), d, s, rng.randrange(1, 60 - s + 1)) for i in range(30) for d, s in [(rng.randrange(3), rng.randrange(55))]]
+    c = spark.createDataFrame(copies, "doc_id long, place long, src_doc long, src_place long, n long")
+    s = spark.createDataFrame(segments, "src_doc long, src_place long, n long, path long")
+    got = counted((r.doc_id, r.place + k, r.src_doc, r.src_place + k, r.path) for r in substrings.cut_at_segments(c, s, chunk).collect() for k in range(r.n))
+    assert got == counted((d, p + k, sd, sp + k, at[sd, sp + k]) for d, p, sd, sp, n in copies for k in range(n))
+
+
+def test_words_that_are_spelled_otherwise_stay():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(30))
+    right, wrong = substrings._spelling(text.encode().split(), 2, 3), substrings._spelling(text.replace("w9", "w8").encode().split(), 2, 3)
+    rows = [{"doc_id": 1, "text_key": 5, "text": text, "pieces": [{"pos": 2, "n": 3, "spelling": x, "path": 4}]} for x in (right, wrong)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    assert [r["n_removed"] for b in substrings._remove(iter([batch])) for r in b.to_pylist()] == [15, 0]
+
+
 def test_shards(docs, empty):
     got = sharding.interleaved_shards(docs, 4).collect()
     assert len(got) == len(documents())
@@ -559,6 +630,7 @@ def test_results_do_not_depend_on_the_broadcast_bound(spark, docs, monkeypatch):
         labels = docs.where("doc_id < 130").select("doc_id", (F.col("doc_id") % 2).alias("label"))
         return [
             counted(exact.duplicate_groups(docs, digests=True).collect()),
+            counted(substrings.dedup_substrings(docs).select("doc_id", "n_removed", "kept_text").collect()),
             counted(simhash.near_groups(docs).select("doc_id", "component_id", "is_first").collect()),
             counted(simhash.near_groups(docs, simhash.NEAR_COPIES).select("doc_id", "component_id", "is_first").collect()),
             counted(secrets.redact_live(docs, secrets.find_secrets(docs, docs["source"], docs["lang"])).select("doc_id", "text").collect()),
