@@ -50,6 +50,10 @@ def ready_steps(deps: DataFrame, progress: DataFrame) -> DataFrame:
     return ready_after(deps.select("step"), deps.select("step", F.explode("depends").alias("depends_on")), progress.select("run_id"), completed, failed)
 
 
+#: Steps without dependencies that are listed in the plan; if there are more, every run is paired with them by a join.
+FIRST_STEPS = 1_000
+
+
 def ready_after(steps: DataFrame, edges: DataFrame, runs: DataFrame, completed: DataFrame, failed: DataFrame) -> DataFrame:
     """I2 over rows: steps (step), edges (step, depends_on), runs (run_id), completed and failed (run_id, step).
 
@@ -59,8 +63,13 @@ def ready_after(steps: DataFrame, edges: DataFrame, runs: DataFrame, completed:
     declared = deps.groupBy("step").agg(F.count("*").alias("n"))
     met = completed.distinct().withColumnRenamed("step", "depends_on").join(deps, "depends_on").groupBy("run_id", "step").agg(F.count("*").alias("k"))
     waited = met.join(declared, "step").where("k = n").select("run_id", "step").join(steps.select("step").distinct(), "step", "left_semi").select("run_id", "step")
-    # each pair is a result, but for those that ran
-    free = runs.select("run_id").distinct().crossJoin(steps.select("step").distinct().join(declared, "step", "left_anti"))
+    bare = steps.select("step").distinct().join(declared, "step", "left_anti")
+    first = [F.lit(r["step"]) for r in bare.limit(FIRST_STEPS + 1).collect()]
+    runs = runs.select("run_id").distinct()
+    if len(first) <= FIRST_STEPS:
+        free = runs.select("run_id", F.explode(F.array(*first).cast(ArrayType(steps.schema["step"].dataType))).alias("step"))
+    else:
+        free = runs.crossJoin(bare)  # each pair is a result, but for those that ran
     return waited.unionByName(free).join(completed.unionByName(failed), ["run_id", "step"], "left_anti")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opstables.operators.audit import top_per_key
@@ -40,29 +40,24 @@ def select_cluster(requests: DataFrame, clusters: DataFrame) -> DataFrame:
     """C14: for each request (request_id, gpus, tenant_id and, if it has them, capability) the active, visible cluster with the most free GPUs, then CPUs.
 
     A request without a tenant sees all clusters, one with a tenant its own and the public ones; one that names a
-    capability sees the clusters that list it.  Requests are many, clusters few: those are grouped by their
-    tenant, ranked once and joined as one array per tenant (broadcast if there are few).
+    capability sees the clusters that list it.  If the cluster with the most GPUs has too few, all have: so the best one
+    of each tenant and capability is enough, a partial aggregate that requests meet by equi-joins.
     """
     can = F.col("capabilities") if "capabilities" in clusters.columns else F.array().cast("array<string>")
-    active = clusters.where("status = 'active'").select("tenant_id", F.struct("available_gpus", "available_cpus", (-F.col("cluster_id")).alias("neg_id"), can.alias("can")).alias("c"))
-    best = F.sort_array(F.collect_list("c"), asc=False)
-    by_tenant = active.groupBy(F.col("tenant_id").alias("tenant_key")).agg(best.alias("own"))
-    shared = active.agg(best.alias("all"), F.sort_array(F.collect_list(F.when(F.coalesce("tenant_id", F.lit("")) == "", F.col("c"))), asc=False).alias("public"))  # one row
-    rows = requests.join(if_small(by_tenant, 10_000), (F.col("tenant_id") == F.col("tenant_key")) & (F.col("tenant_id") != ""), "left").join(F.broadcast(shared), how="left")
-
-    def fits(x: Column) -> Column:
-        enough = (F.coalesce("gpus", F.lit(0)) <= 0) | (x["available_gpus"] >= F.col("gpus"))
-        if "capability" not in requests.columns:
-            return enough
-        return enough & ((F.coalesce("capability", F.lit("")) == "") | F.array_contains(x["can"], F.col("capability")))
-
-    def first(c: Column) -> Column:
-        return F.get(F.filter(c, fits), 0)
-
-    key = F.struct  # clusters compare by GPUs, CPUs and number
-    picked = [F.when(x.isNotNull(), key(x["available_gpus"], x["available_cpus"], x["neg_id"].alias("neg_id"))) for x in (first(F.col("own")), first(F.col("public")), first(F.col("all")))]
-    chosen = F.when(F.coalesce("tenant_id", F.lit("")) == "", picked[2]).otherwise(F.greatest(picked[0], picked[1]))
-    return rows.select("request_id", (-chosen["neg_id"]).alias("cluster_id"))
+    best = F.max(F.struct("available_gpus", "available_cpus", "neg_id"))  # the least number on ties
+    listed = clusters.where("status = 'active'").select(
+        F.coalesce("tenant_id", F.lit("")).alias("tenant"), "available_gpus", "available_cpus", (-F.col("cluster_id")).alias("neg_id"),
+        F.explode(F.array_union(F.array(F.lit("")), F.coalesce(can, F.array().cast("array<string>")))).alias("cap"),
+    )
+    by_tenant = listed.groupBy("tenant", "cap").agg(best.alias("own"))
+    public = by_tenant.where("tenant = ''").select("cap", F.col("own").alias("public"))
+    everyone = listed.groupBy("cap").agg(best.alias("any"))
+    cap = F.coalesce("capability", F.lit("")) if "capability" in requests.columns else F.lit("")
+    rows = requests.select("request_id", F.coalesce("gpus", F.lit(0)).alias("gpus"), F.coalesce("tenant_id", F.lit("")).alias("tenant"), cap.alias("cap"))
+    rows = rows.join(if_small(by_tenant.where("tenant <> ''")), ["tenant", "cap"], "left").join(if_small(public), "cap", "left").join(if_small(everyone), "cap", "left")
+    chosen = F.when(F.col("tenant") == "", F.col("any")).otherwise(F.greatest("own", "public"))
+    fits = (F.col("gpus") <= 0) | (chosen["available_gpus"] >= F.col("gpus"))
+    return rows.select("request_id", F.when(fits, -chosen["neg_id"]).alias("cluster_id"))
 
 
 def with_tenant(fires: DataFrame, schedules: DataFrame) -> DataFrame:

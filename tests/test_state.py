@@ -130,6 +130,35 @@ def test_ready_steps_by_brute_force(spark):
     assert any(s > 60 and deps[s] for _, s in want)
 
 
+def test_first_steps_are_paired_either_way(spark, monkeypatch):
+    steps = spark.createDataFrame([(s,) for s in range(6)], "step bigint")
+    edges = spark.createDataFrame([(3, 0), (4, 1), (4, 2)], "step bigint, depends_on bigint")
+    runs = spark.createDataFrame([(1,), (2,), (2,)], "run_id bigint")
+    done, failed = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 2)], "run_id bigint, step bigint"), spark.createDataFrame([(2, 5)], "run_id bigint, step bigint")
+    for bound in (1_000, 0):
+        monkeypatch.setattr(dag, "FIRST_STEPS", bound)
+        found = dag.ready_after(steps, edges, runs, done, failed)
+        assert sorted((r.run_id, r.step) for r in found.collect()) == [(1, 2), (1, 3), (1, 5), (2, 0), (2, 4)]
+        if bound:
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join Cross" not in plan and "Join Inner\n" not in plan
+
+
+def test_cluster_choice_by_brute_force(spark):
+    from opstables.operators import registry
+
+    rng = random.Random(2)
+    clusters = [(i, rng.choice(["active", "active", "offline"]), rng.randrange(9), rng.randrange(4), rng.choice(["", "a", "b", None]), rng.choice([[], ["x"], ["x", "y"], None])) for i in range(25)]
+    requests = [(i, rng.choice([0, -1, 3, 8, 9, None]), rng.choice(["a", "b", "c", "", None]), rng.choice(["x", "y", "z", "", None])) for i in range(80)]
+    want = {}
+    for i, gpus, tenant, cap in requests:
+        fit = [(-g, -c, n) for n, state, g, c, t, can in clusters if state == "active" and ((gpus or 0) <= 0 or g >= gpus) and (not cap or cap in (can or [])) and (not tenant or (t or "") in ("", tenant))]
+        want[i] = min(fit)[2] if fit else None
+    c = spark.createDataFrame(clusters, "cluster_id bigint, status string, available_gpus int, available_cpus int, tenant_id string, capabilities array<string>")
+    r = spark.createDataFrame(requests, "request_id int, gpus int, tenant_id string, capability string")
+    assert {x.request_id: x.cluster_id for x in registry.select_cluster(r, c).collect()} == want
+
+
 def test_ready_steps_reach_the_whole_graph(spark):
     from opstables.plans import catalog
 
