@@ -7,8 +7,8 @@ that it covers go.
 1. Anchors.  Equal windows have the same least inner 5-gram.  Only windows whose anchor
    several documents hold can be repeated; all others are done.  Anchors are a fifth of the
    windows, and each travels as two hashes' worth of bytes.
-2. Edges.  The remaining windows are brought together by their two nodes, in waves (each is a part of the
-   nodes, so only a part of the windows is in shuffle files at once).  An edge's occurrence
+2. Edges.  The remaining windows (once for each text that repeats one) are brought together by their two
+   nodes, in waves (each is a part of the nodes, so only a part of the windows is in shuffle files at once).  An edge's occurrence
    with the least doc_id gives its source coordinates; those in later documents are copies.
 3. Paths.  Each node's in- and out-degree is counted over the distinct repeated edges; at a node with one
    of either, the edge after it continues the edge before it.  Edges that continue one another in a
@@ -138,19 +138,40 @@ def _lists(column: pa.Array) -> list:
     return [x.values.to_numpy() if x.is_valid else None for x in column]
 
 
+def _firsts(before: np.ndarray, after: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list]:
+    """Of windows in order: those that stand first in their text, and for each the others of it that equal it (an empty list if none does)."""
+    mixed = _mix((before.view(np.uint64) * _BASE) ^ after.view(np.uint64) + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(mixed, kind="stable")
+    again = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+    if not len(again):
+        return np.arange(len(doc)), []
+    some = np.sort(np.union1d(order[again], order[again + 1]))
+    by = some[np.lexsort((some, after[some], before[some], doc[some]))]
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[by[1:]] != doc[by[:-1]]) | (before[by[1:]] != before[by[:-1]]) | (after[by[1:]] != after[by[:-1]])
+    groups = {int(g[0]): g[1:] for g in np.split(by, np.flatnonzero(new)[1:]) if len(g) > 1}
+    later = np.zeros(len(doc), bool)
+    later[by[~new]] = True
+    first = np.flatnonzero(~later)
+    return first, [groups.get(int(i)) for i in first]
+
+
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(before, after, doc_id, place): the nodes of each window that may be repeated, and where it stands."""
+    """(before, after, doc_id, place, more): the nodes of each window that may be repeated, where it stands first in its text, and where else."""
     for batch in batches:
         for part in slices(batch, most=_SLICE):
             w = Words(utf8(part.column("text")))
             at = _candidates(w, _lists(part.column("own_runs")))
             if not len(at):
                 continue
-            doc, node = w.doc[at], _hashes(w.hash, WINDOW - 1, _BASE).view(np.int64)
+            node = _hashes(w.hash, WINDOW - 1, _BASE).view(np.int64)
             # which of the texts of its doc_id (there is one, as a rule), and the position in it
-            place = (np.repeat(part.column("tag").to_numpy().astype(np.int64), w.size)[at] << 32) | (at - w.start[doc])
-            names = ["before", "after", "doc_id", "place"]
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1]), part.column("doc_id").take(pa.array(doc)), pa.array(place)], names=names)
+            place = (np.repeat(part.column("tag").to_numpy().astype(np.int64), w.size)[at] << 32) | (at - w.start[w.doc[at]])
+            first, more = _firsts(node[at], node[at + 1], w.doc[at])
+            at = at[first]
+            others = pa.array([place[x] if x is not None else None for x in more], pa.list_(pa.int64())) if more else pa.nulls(len(at), pa.list_(pa.int64()))
+            names = ["before", "after", "doc_id", "place", "more"]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1]), part.column("doc_id").take(pa.array(w.doc[at])), pa.array(place[first]), others], names=names)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], follows: str) -> Iterator[pa.RecordBatch]:
@@ -227,10 +248,12 @@ def occurrences(edges: DataFrame) -> DataFrame:
     same = Window.partitionBy("before", "after").orderBy("doc_id", "place")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = edges.select(
-        "*", F.first("doc_id").over(same).alias("src_doc"), F.first("place").over(same).alias("src_place"), F.last("doc_id").over(whole).alias("last"), (F.row_number().over(same) == 1).alias("is_source")
+        "before", "after", "doc_id", "place", "more", F.first("doc_id").over(same).alias("src_doc"), F.first("place").over(same).alias("src_place"), F.last("doc_id").over(whole).alias("last"), (F.row_number().over(same) == 1).alias("is_source")
     ).where("last > src_doc AND (is_source OR doc_id > src_doc)")
     nodes = (F.when(F.col("is_source"), F.col(c)).alias(c) for c in ("before", "after"))
-    return rows.select("doc_id", "place", "src_doc", "src_place", "is_source", *nodes)
+    # a text that repeats the edge is one row up to here, so a hot edge has no more rows than there are texts with it
+    places = F.when(F.col("is_source") | F.col("more").isNull(), F.array("place")).otherwise(F.array_append("more", F.col("place")))
+    return rows.select("doc_id", F.explode(places).alias("place"), "src_doc", "src_place", "is_source", *nodes)
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -295,7 +318,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     lone = held.where("n = 1").groupBy("doc_id", "tag").agg(F.collect_list("run").alias("own_runs"))
     with owned(spark) as made:
         own = stored(lone, "own-anchors")
-        edges = stored(known.join(own, ["doc_id", "tag"], "left").mapInArrow(_edge_rows, "before long, after long, doc_id long, place long"), "edges")
+        edges = stored(known.join(own, ["doc_id", "tag"], "left").mapInArrow(_edge_rows, "before long, after long, doc_id long, place long, more array<long>"), "edges")
         waves = [stored(occurrences(edges.where(F.pmod("before", F.lit(WAVES)) == i)), "occurrences") for i in range(WAVES)]
         del made[2:]  # the first two go
     found = reduce(DataFrame.unionByName, waves)
@@ -305,9 +328,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     pieces = stored(cut_at_segments(copies, segments), "pieces")
     asked = pieces.select("src_doc", "src_place", "n").distinct()
     wanted = stored(asked.groupBy("src_doc", _tag("src_place").alias("src_tag")).agg(F.collect_list(F.struct("src_place", "n")).alias("wanted")), "wanted")
-    small = fits_broadcast(wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0], 32)
+    small = fits_broadcast(wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0], 80)
     sources = known.join(F.broadcast(wanted) if small else wanted, (F.col("doc_id") == F.col("src_doc")) & (F.col("tag") == F.col("src_tag"))).select("doc_id", "text", "wanted")
     spelled = sources.mapInArrow(_spelled, "src_doc long, src_place long, n long, spelling binary").distinct()
+    spelled = F.broadcast(spelled) if small else spelled  # a hot piece meets its copies where they are
     piece = F.struct(F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("pos"), "n", "spelling", "path")
     checked = pieces.join(spelled, ["src_doc", "src_place", "n"]).groupBy("doc_id", _tag("place").alias("tag")).agg(F.collect_list(piece).alias("pieces"))
     both = d.join(stored(checked, "passages"), ["doc_id", "tag"], "left").select("doc_id", "text_key", "text", "pieces")

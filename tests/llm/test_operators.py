@@ -169,6 +169,18 @@ def test_copies_are_cut_where_segments_end(spark, chunk):
     assert got == counted((d, p + k, sd, sp + k, at[sd, sp + k]) for d, p, sd, sp, n in copies for k in range(n))
 
 
+def test_windows_that_a_text_repeats_are_one_row():
+    rng = np.random.default_rng(4)
+    before, after, doc = rng.integers(0, 4, 300), rng.integers(0, 4, 300), np.sort(rng.integers(0, 5, 300))
+    first, more = substrings._firsts(before, after, doc)
+    groups = collections.defaultdict(list)
+    for i, key in enumerate(zip(doc.tolist(), before.tolist(), after.tolist(), strict=True)):
+        groups[key].append(i)
+    assert {int(i): [] if m is None else m.tolist() for i, m in zip(first, more, strict=True)} == {g[0]: g[1:] for g in groups.values()}
+    first, more = substrings._firsts(np.arange(5), np.arange(5), np.zeros(5, np.int64))
+    assert first.tolist() == [0, 1, 2, 3, 4] and more == []
+
+
 def test_words_that_are_spelled_otherwise_stay():
     import pyarrow as pa
 
