@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opstables.llm.common import list_array, slices, text_col
+from opstables.llm.common import list_array, slices, stored, text_col
 
 #: Words of the corpus that are broadcast, and bytes of the longest.
 VOCABULARY_WORDS, VOCABULARY_BYTES = 250_000, 48
@@ -187,11 +187,22 @@ def _counted(batches: Iterator[pa.RecordBatch], tokens: frozenset[bytes], patter
 
 
 def corpus_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = VOCABULARY_WORDS) -> Vocabulary:
-    """The corpus's most frequent words (ties by the word) with their ids, replayed by partitions of the vocabulary."""
+    """The corpus's most frequent words with their ids, replayed by partitions of the vocabulary.
+
+    Words are taken by classes of like counts (16 to a doubling), the largest first, as long as they are at
+    most `most`: so no task sorts the vocabulary, and the classes are some hundreds, whatever the corpus.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, of fixed size
     rows = docs.select(text_col().alias("text"))
     counted = rows.mapInArrow(lambda it: _counted(it, frozenset(shared.value), pattern), "word string, n long")
-    words = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    several = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stored(several.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")), "word-counts")
+    limit, left = 1 << 30, most
+    for r in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["class"]):
+        if r["words"] > left:
+            break
+        limit, left = r["class"], left - r["words"]
+    words = counts.where(F.col("class") >= limit)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(shared.value)
