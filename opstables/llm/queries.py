@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, substrings
+from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, spelling, substrings
 from opstables.llm.common import documents
 
 
@@ -49,6 +47,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers  # only this operator needs it
+
     ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
     return decoded.select(
@@ -100,9 +100,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier, op13_spelling_variants)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial
@@ -191,5 +195,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 100 * n_symbols > 5 * word_chars OR 100 * n_marks > 10 * word_chars OR 100 * n_upper > 60 * word_chars
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)) AS kept
 FROM b
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(0, 8) AS BIGINT[])),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) AS h
+  FROM counted, crc_table
+), damaged AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), judged AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root, n FROM judged
+  UNION ALL SELECT f.word, j.form, j.form_n FROM followed f JOIN judged j ON f.root = j.word WHERE j.form IS NOT NULL
+)
+SELECT j.word, form, root, j.n, n_near, form_n FROM judged j JOIN (SELECT word, max_by(root, n) AS root FROM followed GROUP BY word) USING (word)
 """,
 }
