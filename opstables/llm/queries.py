@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, spelling, substrings
+from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, spelling, substrings, warc
 from opstables.llm.common import documents
 
 
@@ -100,13 +100,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier, op13_spelling_variants)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier, op12_warc, op13_spelling_variants)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial
@@ -195,6 +200,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 100 * n_symbols > 5 * word_chars OR 100 * n_marks > 10 * word_chars OR 100 * n_upper > 60 * word_chars
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)) AS kept
 FROM b
+""",
+    "op12_warc": """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND (page_id IS NULL OR page_id > first) AS again FROM p)
 """,
     "op13_spelling_variants": r"""
 WITH RECURSIVE crc_table AS (
