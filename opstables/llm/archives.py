@@ -72,10 +72,10 @@ def _directory(ranges: Ranges) -> tuple[int, int, int]:
         raise ValueError("not a ZIP file: no end record")
     entries, size, start = struct.unpack("<10xHII", tail[at : at + 20])
     end = tail_at + at
-    if entries == _ALL16 or size == _ALL32 or start == _ALL32:
-        locator = ranges.read(end - 20, 20) if end >= 20 else b""
-        if locator[:4] != LOCATOR64:
-            raise ValueError("no ZIP64 locator before an end record that needs one")
+    locator = ranges.read(end - 20, 20) if end >= 20 else b""
+    if locator[:4] != LOCATOR64 and (entries == _ALL16 or size == _ALL32 or start == _ALL32):
+        raise ValueError("no ZIP64 locator before an end record that needs one")
+    if locator[:4] == LOCATOR64:
         # something may lie before the package: then the record stands just before its locator
         for end in (int.from_bytes(locator[8:16], "little"), end - 20 - 56):
             if 0 <= end <= ranges.size - 56 and (record := ranges.read(end, 56))[:4] == END64:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstables.llm import bpe, classifier, exact, lines, packing, quality_rules, secrets, sharding, simhash, spelling, substrings, warc
-from opstables.llm.common import documents
+from opstables.llm import bpe, classifier, conversations, exact, lines, packing, quality_rules, secrets, sharding, simhash, spelling, substrings, warc
+from opstables.llm.common import documents, stored
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversations.damaged(given)
+    audits = stored(conversations.audits(rows), "audits")
+    texts = conversations.digests(conversations.repaired(rows, audits))
+    by_conv = lambda df: df.withColumn("conv", F.col("conv_id")).drop("conv_id")
+    out = given.select("conv_id").distinct()
+    for found in (by_conv(audits), by_conv(texts)):
+        out = out.join(found, out["conv_id"].eqNullSafe(found["conv"]), "left").drop("conv")
+    counts = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -111,7 +124,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier, op12_warc, op13_spelling_variants)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_simhash_near_dedup, op5_byte_level_bpe, op6_substring_dedup, op7_exact_dedup, op8_line_dedup, op9_quality_rules, op10_quality_classifier, op11_conversation_repair, op12_warc, op13_spelling_variants)
 }
 
 # crc32 by the usual table of 256 entries, built from its polynomial
