@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import uuid
 import zipfile
@@ -34,8 +35,10 @@ from opstables.sources.scratch import shared_dir
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64_000_000, 20_000
 #: Payloads of fewer bytes are written again each time.
 REVISIT_BYTES = 100
-#: Records that start in the same so many bytes of a package are read by one task.
-RANGE_BYTES = 16_000_000
+#: Packages of more bytes are read by several tasks: records that start in the same RANGE_BYTES by one.
+LARGE_BYTES, RANGE_BYTES = 256_000_000, 16_000_000
+#: Tasks that read, at most.
+MOST_TASKS = 100_000
 #: Fixed values of the formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -165,9 +168,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def record_index(manifest: DataFrame) -> DataFrame:
-    """archive, member, start, length: where each record of the packages (column archive) lies."""
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(_entries, _ENTRIES)
+def record_index(manifest: DataFrame, tasks: int) -> DataFrame:
+    """archive, member, start, length: where each record of the packages (column archive) lies, in order within a package."""
+    return manifest.select("archive").repartition(tasks).mapInArrow(_entries, _ENTRIES)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -220,12 +223,19 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 def read_records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """page_id, url, record_type, refers_to, record_id, refers_to_record, payload_bytes, payload_digest, payload: one row for each record.
 
-    A record is checked against its header's length and digest.  Bytes and digest of a revisit are those of the payload that it
+    A task reads whole packages, by their order in the index; those of over LARGE_BYTES are read by several, in ranges.  manifest: archive
+    (URI) and bytes of each.  A record is checked against its header's length and digest.  Bytes and digest of a revisit are those of the payload that it
     stands for, as its header states; payload is null for revisits, and for all records unless payloads is set.
     """
-    where = record_index(manifest)
-    near = where.repartition("archive", F.expr(f"start DIV {RANGE_BYTES}")).sortWithinPartitions("archive", "start")
-    return near.mapInArrow(lambda it: _read(it, payloads), _RECORDS)
+    large = F.col("bytes") > LARGE_BYTES
+    n, n_large, bytes_large = manifest.agg(F.count("*"), F.count_if(large), F.coalesce(F.sum(F.when(large, F.col("bytes"))), F.lit(0))).first()
+    # numbers of tasks are given: the rows are few, what they name is not
+    where = record_index(manifest.where(~large), min(n - n_large, MOST_TASKS) or 1)
+    if n_large:
+        apart = record_index(manifest.where(large), min(n_large, MOST_TASKS))
+        parts = min(math.ceil(bytes_large / LARGE_BYTES), MOST_TASKS)
+        where = where.unionByName(apart.repartition(parts, "archive", F.expr(f"start DIV {RANGE_BYTES}")).sortWithinPartitions("archive", "start"))
+    return where.mapInArrow(lambda it: _read(it, payloads), _RECORDS)
 
 
 def read_pages(manifest: DataFrame) -> DataFrame:

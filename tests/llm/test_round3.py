@@ -105,6 +105,8 @@ def page_rows():
 @pytest.mark.parametrize(("records", "limit"), [(20_000, 32_000_000), (13, -1)])
 def test_archives_round_trip(spark, monkeypatch, records, limit):
     monkeypatch.setattr(warc, "ARCHIVE_RECORDS", records)
+    monkeypatch.setattr(warc, "LARGE_BYTES", 10**9 if limit > 0 else 5000)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
     monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     rows = page_rows()
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, first int").repartition(4)
