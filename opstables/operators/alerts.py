@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opstables.operators.ordered import pieces
 from opstables.operators.runs import fold_sorted
 
 #: Channels by severity, where route_alerts is given none.
@@ -160,11 +161,15 @@ def alert_store_status(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count("*").alias("total"), F.max("starts_at").alias("last_ts"))
 
 
+def _islands(evals: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that are on, with the number of rows before that are not, which all rows of a run share."""
+    off = F.when(F.col("on"), 0).otherwise(1).cast("long")
+    return pieces(evals, keys, "t").running_sum(["t"], {"_i": off}).plain().where("on")
+
+
 def for_duration(evals: DataFrame, keys: list[str], for_s: int) -> DataFrame:
     """Evals (keys, t in seconds, on): runs of evaluations that are all on and last for_s seconds or longer."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    island = F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w)
-    runs = evals.withColumn("_i", island).where("on").groupBy(*keys, "_i").agg(F.min("t").alias("since"), F.max("t").alias("until"))
+    runs = _islands(evals, keys).groupBy(*keys, "_i").agg(F.min("t").alias("since"), F.max("t").alias("until"))
     return runs.where(F.col("until") - F.col("since") >= for_s).select(*keys, "since", "until")
 
 
@@ -175,8 +180,7 @@ def evaluate_rules(samples: DataFrame, rules: list[tuple[str, str, str, int, str
     """
     tests = F.array(*(F.struct(F.lit(a).alias("alertname"), F.lit(s).alias("severity"), F.lit(d).alias("for_s"), F.coalesce((F.col("metric") == m) & F.expr(p), F.lit(False)).alias("on"), (F.col("metric") == m).alias("applies")) for a, m, p, d, s in rules))
     evals = samples.select("labels", "t", "value", F.inline(tests)).where("applies")
-    w = Window.partitionBy("alertname", "labels").orderBy("t")
-    runs = evals.withColumn("_i", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w)).where("on")
+    runs = _islands(evals, ["alertname", "labels"])
     spans = runs.groupBy("alertname", "severity", "labels", "for_s", "_i").agg(F.min("t").alias("starts_at"), F.max("t").alias("until"), F.max_by("value", "t").alias("value"))
     return spans.where("until - starts_at >= for_s").select("alertname", "severity", "labels", "starts_at", "value")
 

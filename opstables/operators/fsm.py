@@ -1,7 +1,9 @@
 """State over ordered events per key: streaks, health, breakers, limiters, state machines, durations.
 
-Closed forms over windows where they exist; else a fold that streams each key's events in order and holds
-its state only.  The steps of the folds are plain functions of (state, event), which streams use as well.
+Closed forms over windows where they exist.  Machines and clamped counters are compositions of functions of the state, one
+an event, composed in pieces of a key (ordered.py).  The others forget: after a quiet time nothing of what was before
+matters, so a key's events are cut there, and each segment is folded by itself, in order, holding its state only.
+The steps of the folds are plain functions of (state, event), which streams use as well.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opstables.operators.ordered import Pieces, pieces
 from opstables.operators.runs import Step, fold_sorted
 
 #: Legal transitions of tasks and of nodes.
@@ -153,38 +156,65 @@ LIMITER_ROWS = "id bigint, allowed boolean, remaining bigint, retry_after bigint
 MACHINE_ROWS = "id bigint, event string, prev string, next string, legal boolean"
 
 
+def _fold_segments(held: Pieces, order: list[str], fresh: Column, fields: list[str], start: Any, step: Step, schema: str) -> DataFrame:
+    """The fold of rows that begins anew where fresh holds: there, the state before is as good as the first one."""
+    cut = held.running_sum(order, {"_segment": F.coalesce(fresh, F.lit(False)).cast("long")})
+    return fold_sorted(cut.plain(), [*held.keys, "_segment"], order, fields, start, step, schema).drop("_segment")
+
+
 def breaker_timeline(outcomes: DataFrame, key: str, threshold: int = 10, open_s: float = 60.0) -> DataFrame:
     """Outcomes (key, ts, id, ok): state after each.  Open after threshold failures since the last success;
     while open, failures count for nothing; after open_s it is closed with no failures.  Failures are forgotten 4 * open_s after the last.
     A null outcome counts as a failure.
     """
-    rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
-    return fold_sorted(rows, [key], ["t", "id"], ["ok"], BREAKER_START, breaker_step(threshold, open_s), BREAKER_ROWS)
+    rows = outcomes.select(key, _seconds().alias("t"), "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    order = ["t", "id"]
+    seen = pieces(rows, [key], "t").last_before(order, {"_prev": F.struct("t", "ok"), "_failed": F.when(~F.col("ok"), F.col("t"))})
+    # all is forgotten, or a success came last and nothing of the last open_s can have opened it
+    quiet = (F.col("t") - F.col("_prev.t") >= 4 * open_s) | (F.col("_prev.ok") & (F.col("_failed").isNull() | (F.col("t") - F.col("_failed") >= open_s)))
+    return _fold_segments(seen, order, quiet, ["ok"], BREAKER_START, breaker_step(threshold, open_s), BREAKER_ROWS)
 
 
 def client_breaker_timeline(outcomes: DataFrame, key: str, threshold: int = 5, reset_s: float = 30.0) -> DataFrame:
     """Whether each call is allowed, and the state after it.  Open at threshold failures without a success between; a call more than
     reset_s after the last failure makes it half-open, where a success closes and a failure opens it.
     """
-    rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
-    return fold_sorted(rows, [key], ["t", "id"], ["ok"], CLIENT_BREAKER_START, client_breaker_step(threshold, reset_s), CLIENT_BREAKER_ROWS)
+    rows = outcomes.select(key, _seconds().alias("t"), "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    order = ["t", "id"]
+    held = pieces(rows, [key], "t").last_before(order, {"_failed": F.when(~F.col("ok"), F.col("t"))})
+    # a success that was surely allowed closes it, whatever was before
+    closes = F.col("ok") & (F.col("_failed").isNull() | (F.col("t") - F.col("_failed") > reset_s))
+    held = held.last_before(order, {"_closed": F.struct(closes.alias("by"))})
+    return _fold_segments(held, order, F.col("_closed.by"), ["ok"], CLIENT_BREAKER_START, client_breaker_step(threshold, reset_s), CLIENT_BREAKER_ROWS)
 
 
 def rate_limit(requests: DataFrame, key: str, window: int = 60, most: int = 100, collapse_same_second: bool = True) -> DataFrame:
     """Admitted if fewer than most admissions lie in the last window seconds; only admissions count (by default those of one second as one)."""
     rows = requests.select(key, F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "id")
-    return fold_sorted(rows, [key], ["t", "id"], [], [], limiter_step(window, most, collapse_same_second), LIMITER_ROWS)
+    order = ["t", "id"]
+    held = pieces(rows, [key], "t").last_before(order, {"_prev": F.col("t")})
+    return _fold_segments(held, order, F.col("t") - F.col("_prev") >= window, [], [], limiter_step(window, most, collapse_same_second), LIMITER_ROWS)
 
 
 def concurrency_timeline(outcomes: DataFrame, key: str, baseline: int = 8, down: int = 1) -> DataFrame:
-    """A failure lowers the limit (to 1 at least), a success raises it by 1 up to the baseline."""
-    rows = outcomes.select(key, _seconds().alias("t"), "id", "ok")
+    """A failure lowers the limit (to 1 at least), a success raises it by 1 up to the baseline.
+
+    An outcome is a shift with bounds, and so are outcomes in a row.
+    """
+    rows = outcomes.select(key, _seconds().alias("t"), "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    far = 2**40
 
-    def step(v: int, t: float, id: int, ok: bool) -> tuple[int, list[tuple]]:
-        v = min(baseline, v + 1) if ok else max(1, v - down)
-        return v, [(id, v)]
+    def shift(by: Column, low: Column, high: Column) -> Column:
+        return F.struct(by.cast("long").alias("by"), low.cast("long").alias("low"), high.cast("long").alias("high"))
 
-    return fold_sorted(rows, [key], ["t", "id"], ["ok"], baseline, step, "id bigint, max_concurrent int")
+    def bounded(x: Column, f: Column) -> Column:
+        return F.greatest(f["low"], F.least(f["high"], x + f["by"]))
+
+    own = F.when(F.col("ok"), shift(F.lit(1), F.lit(-far), F.lit(baseline))).otherwise(shift(F.lit(-down), F.lit(1), F.lit(far)))
+    both = lambda f, g: shift(f["by"] + g["by"], bounded(f["low"], g), bounded(f["high"], g))
+    before = pieces(rows, [key], "t").composed_before(["t", "id"], own, both, shift(F.lit(0), F.lit(-far), F.lit(far)), "_before").plain()
+    limit = bounded(bounded(F.lit(baseline), F.col("_before")), own)
+    return before.select(key, "id", limit.cast("int").alias("max_concurrent"))
 
 
 def _next_state(table: dict[tuple[str, str], str], state: Column, event: Column) -> Column:
@@ -193,9 +223,22 @@ def _next_state(table: dict[tuple[str, str], str], state: Column, event: Column)
 
 
 def replay_fsm(events: DataFrame, key: str, table: dict[tuple[str, str], str] = TASK_TABLE, initial: str = "pending", time: str = "created_at") -> DataFrame:
-    """Each event's state before and after; an illegal event changes nothing and is flagged."""
+    """Each event's state before and after; an illegal event changes nothing and is flagged.
+
+    An event is a map from states to states, as an array of their numbers; such maps are composed.
+    """
     rows = events.select(key, _seconds(time).alias("t"), "id", "event")
-    return fold_sorted(rows, [key], ["t", "id"], ["event"], initial, machine_step(table), MACHINE_ROWS)
+    states = sorted({initial, *(a for a, _ in table), *table.values()})
+    numbers = lambda to: F.array(*(F.lit(states.index(to(s))).cast("tinyint") for s in states))
+    unchanged = numbers(lambda s: s)
+    maps = F.create_map(*(x for e in sorted({e for _, e in table}) for x in (F.lit(e), numbers(lambda s, e=e: table.get((s, e), s)))))
+    own = F.coalesce(F.try_element_at(maps, F.col("event")), unchanged)
+    both = lambda f, g: F.transform(f, lambda x: F.get(g, x))
+    before = pieces(rows, [key], "t").composed_before(["t", "id"], own, both, unchanged, "_before").plain()
+    prev = F.get(F.array(*map(F.lit, states)), F.get(F.col("_before"), F.lit(states.index(initial))))
+    to = _next_state(table, F.col("prev"), F.col("event"))
+    shown = before.select(key, "id", "event", prev.alias("prev")).withColumn("_to", to)
+    return shown.select(key, "id", "event", "prev", F.coalesce("_to", "prev").alias("next"), F.col("_to").isNotNull().alias("legal"))
 
 
 def transition(df: DataFrame, state: str, event: str, table: dict[tuple[str, str], str] = TASK_TABLE) -> DataFrame:
@@ -226,8 +269,11 @@ def scale_advice(snapshots: DataFrame, key: str, up: float = 0.8, down: float =
             return last, [(t, "hold", 0)]
         return t, [(t, "up" if wants > 0 else "down", wants)]
 
-    rows = snapshots.where("utilization IS NOT NULL")
-    return fold_sorted(rows, [key], ["t"], ["utilization"], -1_000_000_000, step, "t bigint, advice string, delta int")
+    rows = snapshots.where("utilization IS NOT NULL").select(key, "t", "utilization")
+    wants = (F.col("utilization") >= up) | (F.col("utilization") <= down)
+    held = pieces(rows, [key], "t").last_before(["t"], {"_wanted": F.when(wants, F.col("t"))})
+    # no advice can be as young as that where none was wanted for so long
+    return _fold_segments(held, ["t"], wants & (F.col("t") - F.col("_wanted") >= cooldown), ["utilization"], -1_000_000_000, step, "t bigint, advice string, delta int")
 
 
 def coalesce_ticks(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:

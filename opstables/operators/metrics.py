@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opstables.operators.ordered import pieces
 from opstables.operators.ranks import split_rank, split_sum
 
 #: Upper bounds of the duration histogram's buckets, in seconds.
@@ -49,16 +52,17 @@ def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return stats.withColumn("tps", F.col("n") / (F.col("_s") / 1000)).drop("_s")
 
 
-def _increases(samples: DataFrame, labels: list[str]) -> DataFrame:
-    w = Window.partitionBy(*labels).orderBy("t")
-    before = F.lag("value").over(w)
-    return samples.withColumn("_inc", F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value")))
-
-
 def counter_increase(samples: DataFrame, labels: list[str], range_s: int) -> DataFrame:
-    """Growth of a counter over the last range_s seconds at each sample (labels, t in seconds, value); a fall is a reset to 0."""
-    w = Window.partitionBy(*labels).orderBy("t").rangeBetween(-(range_s - 1), 0)
-    return _increases(samples, labels).select(*labels, "t", F.sum("_inc").over(w).alias("increase"))
+    """Growth of a counter over the last range_s seconds at each sample (labels, t in seconds, value); a fall is a reset to 0.
+
+    Labels with many samples are cut into pieces of time; each has the last sample before it, and copies of the rows that its windows reach back to.
+    """
+    held = pieces(samples.select(*labels, "t", "value"), labels, "t").last_before(["t"], {"_before": F.struct("value")})
+    before = F.col("_before.value")
+    inc = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
+    near = replace(held, rows=held.rows.withColumn("_inc", inc).drop("_before", "value")).with_halo(range_s)
+    w = Window.partitionBy(*labels, "_piece").orderBy("t").rangeBetween(-(range_s - 1), 0)
+    return near.rows.withColumn("increase", F.sum("_inc").over(w)).where(~F.col("_halo")).select(*labels, "t", "increase")
 
 
 def counter_rate(samples: DataFrame, labels: list[str], range_s: int) -> DataFrame:
