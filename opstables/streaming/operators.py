@@ -3,62 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from opstables.operators import fsm, metrics, reconcile, schedule
-from opstables.operators.runs import Step
 from opstables.sources.tables import live
-
-
-def fold(
-    sdf: DataFrame, key: str, time: str, fields: list[str], step: Step, start: Any, schema: str, *,
-    due: Callable[[Any], float | None], expired: Callable[[Any], tuple[Any, list[tuple]]] = lambda s: (None, []), delay: str = "0 seconds",
-) -> DataFrame:
-    """The key and the rows of schema that `step(state, time, *fields) -> (state, rows)` gives over each key's events, in time order within a batch.
-
-    due(state) is the moment, in seconds of event time, at which expired(state) gives more rows and the state
-    after (None drops it): state doesn't outlive its use.  Events later than the watermark (delay) are dropped; those
-    of a batch are sorted by time and fields, whatever order they arrive in; an event that comes a batch late, but
-    within the delay, is folded when it comes.  State is kept as JSON.
-    """
-    given = StructType([sdf.schema[key], *StructType.fromDDL(schema).fields])
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else start
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            now, out = expired(now)
-        else:
-            events = pd.concat(list(batches)).sort_values(["_us", *fields], kind="stable")
-            for row in zip((events["_us"] / 1e6).tolist(), *(events[c].tolist() for c in fields), strict=True):
-                # what was due before the event comes first
-                while (moment := due(now)) is not None and row[0] > moment:
-                    now, rows = expired(now)
-                    out += rows
-                    if now is None:
-                        now = start
-                        break
-                now, rows = step(now, *row)
-                out += rows
-        moment = None if now is None else due(now)
-        if now is None:
-            state.remove()
-        else:
-            state.update((json.dumps(now),))
-            if moment is not None:
-                state.setTimeoutTimestamp(max(int(moment * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=given.names)
-
-    rows = sdf.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("_us"), *fields)
-    return rows.groupBy(key).applyInPandasWithState(run, given, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+from opstables.streaming.state import fold
 
 
 def liveness(heartbeats: DataFrame, timeout: int = 60, delay: str = "0 seconds") -> DataFrame:
@@ -69,7 +24,7 @@ def liveness(heartbeats: DataFrame, timeout: int = 60, delay: str = "0 seconds")
         return [last, True], [] if s and s[1] else [(at, "online")]
 
     return fold(
-        heartbeats, "node", "ts", [], step, None, "at double, state string", delay=delay,
+        heartbeats, "node", "ts", [], step, None, "seen double, online boolean", "at double, state string", delay=delay,
         due=lambda s: s[0] + timeout if s and s[1] else None, expired=lambda s: ([s[0], False], [(s[0] + timeout, "offline")]),
     )
 
@@ -86,7 +41,7 @@ def liveness_batch(heartbeats: DataFrame, timeout: int, as_of: Column) -> DataFr
     return rows.select("node", F.inline(both))
 
 
-def limiter(requests: DataFrame, window: int = 60, most: int = 100) -> DataFrame:
+def limiter(requests: DataFrame, window: int = 60, most: int = 100, delay: str = "0 seconds") -> DataFrame:
     """The sliding-window limiter (E13); state holds the admissions of the window, at most `most`, and goes when they have left it."""
     one = fsm.limiter_step(window, most)
 
@@ -94,10 +49,10 @@ def limiter(requests: DataFrame, window: int = 60, most: int = 100) -> DataFrame
         s, rows = one(s, int(at), id)
         return s, [(int(r[0]), r[1]) for r in rows]
 
-    return fold(requests, "entity", "ts", ["id"], step, [], "id long, allowed boolean", due=lambda s: max(s) + window + 1 if s else None)
+    return fold(requests, "entity", "ts", ["id"], step, [], "held array<long>", "id long, allowed boolean", due=lambda s: max(s) + window + 1 if s else None, delay=delay)
 
 
-def machine(events: DataFrame, table: dict[tuple[str, str], str], initial: str) -> DataFrame:
+def machine(events: DataFrame, table: dict[tuple[str, str], str], initial: str, delay: str = "0 seconds") -> DataFrame:
     """A state machine of tasks or nodes (E15, E16); illegal events change nothing.  A state is kept for good."""
     one = fsm.machine_step(table)
 
@@ -105,25 +60,31 @@ def machine(events: DataFrame, table: dict[tuple[str, str], str], initial: str)
         s, rows = one(s, at, int(id), event)
         return s, [(i, prev, to, legal) for i, _, prev, to, legal in rows]
 
-    return fold(events, "task_id", "created_at", ["id", "event"], step, initial, "id long, prev string, next string, legal boolean", due=lambda s: None)
+    return fold(events, "task_id", "created_at", ["id", "event"], step, initial, "state string", "id long, prev string, next string, legal boolean", due=lambda s: None, delay=delay)
 
 
-def breaker(outcomes: DataFrame, threshold: int = 10, open_s: float = 60.0) -> DataFrame:
+def breaker(outcomes: DataFrame, threshold: int = 10, open_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
     """The capability breaker (E11); its state goes when its failures are forgotten."""
-    return fold(outcomes, "entity", "ts", ["id", "ok"], fsm.breaker_step(threshold, open_s), fsm.BREAKER_START, fsm.BREAKER_ROWS, due=lambda s: max(s[1] + 4 * open_s, s[2]) if s[1] >= 0 else None)
+    return fold(
+        outcomes, "entity", "ts", ["id", "ok"], fsm.breaker_step(threshold, open_s), fsm.BREAKER_START, "failures int, failed double, until double", fsm.BREAKER_ROWS,
+        due=lambda s: max(s[1] + 4 * open_s, s[2]) if s[1] >= 0 else None, delay=delay,
+    )
 
 
-def client_breaker(outcomes: DataFrame, threshold: int = 5, reset_s: float = 30.0) -> DataFrame:
+def client_breaker(outcomes: DataFrame, threshold: int = 5, reset_s: float = 30.0, delay: str = "0 seconds") -> DataFrame:
     """The client breaker (E12); counts don't expire, so its state is kept for good."""
-    return fold(outcomes, "entity", "ts", ["id", "ok"], fsm.client_breaker_step(threshold, reset_s), fsm.CLIENT_BREAKER_START, fsm.CLIENT_BREAKER_ROWS, due=lambda s: None)
+    return fold(
+        outcomes, "entity", "ts", ["id", "ok"], fsm.client_breaker_step(threshold, reset_s), fsm.CLIENT_BREAKER_START, "failures int, failed double, state string", fsm.CLIENT_BREAKER_ROWS,
+        due=lambda s: None, delay=delay,
+    )
 
 
-def health(checks: DataFrame, unhealthy: int = 3, healthy: int = 2) -> DataFrame:
+def health(checks: DataFrame, unhealthy: int = 3, healthy: int = 2, delay: str = "0 seconds") -> DataFrame:
     """Health (E10)."""
-    return fold(checks, "entity", "ts", ["id", "ok"], fsm.health_step(unhealthy, healthy), fsm.HEALTH_START, "id long, status string", due=lambda s: None)
+    return fold(checks, "entity", "ts", ["id", "ok"], fsm.health_step(unhealthy, healthy), fsm.HEALTH_START, "status string, good int, bad int", "id long, status string", due=lambda s: None, delay=delay)
 
 
-def alert_lifecycle(evals: DataFrame, for_s: int) -> DataFrame:
+def alert_lifecycle(evals: DataFrame, for_s: int, delay: str = "0 seconds") -> DataFrame:
     """(labels, at, state): inactive, pending while a condition holds, firing once it has for for_s seconds, resolved when it ends."""
 
     def step(s: list, at: float, on: bool) -> tuple[list, list[tuple]]:
@@ -139,7 +100,7 @@ def alert_lifecycle(evals: DataFrame, for_s: int) -> DataFrame:
             rows.append((at, "firing"))
         return [state, since], rows
 
-    return fold(evals, "labels", "ts", ["on"], step, ["inactive", None], "at double, state string", due=lambda s: None)
+    return fold(evals, "labels", "ts", ["on"], step, ["inactive", None], "state string, since double", "at double, state string", due=lambda s: None, delay=delay)
 
 
 #: A stream ends when no chunk comes for IDLE seconds, or at TOTAL seconds after its first.
@@ -181,7 +142,7 @@ def chunks(stream: DataFrame, idle: int = IDLE, total: int = TOTAL, max_chunks:
             return None, []
         return [s[0], s[1], s[2], True], [(None, "failed", "timeout" if s[0] + total <= s[1] + idle else "idle", None)]
 
-    return fold(stream, "stream_id", "ts", ["seq", "raw"], step, None, "seq long, status string, payload string, summary map<string,string>", due=due, expired=expired, delay=delay)
+    return fold(stream, "stream_id", "ts", ["seq", "raw"], step, None, "first double, seen double, n long, ended boolean", "seq long, status string, payload string, summary map<string,string>", due=due, expired=expired, delay=delay)
 
 
 def chunks_batch(stream: DataFrame, as_of: Column, idle: int = IDLE, total: int = TOTAL, max_chunks: int = MAX_CHUNKS) -> DataFrame:

@@ -168,3 +168,64 @@ def test_split_rank_with_a_hot_key_and_ties(spark, pieces):
     for key in ("hot", "cold"):
         order = sorted((v, i) for k, v, i in rows if k == key)
         assert all(got[key, i] == (n, len(order)) for n, (_, i) in enumerate(order, 1))
+
+
+@pytest.mark.parametrize("name", ["breaker", "client_breaker", "health", "limiter", "machine"])
+def test_rows_in_any_order_within_the_delay(spark, tmp_path, name):
+    """Each row comes up to 300 s after rows of its own time: what is given equals the batch twin's result."""
+    rng = random.Random(17)
+    events = ["enqueue", "start", "complete", "fail", "requeue", "none"]
+    rows = [(rng.randrange(5), at(rng.randrange(4000)), i, rng.random() < 0.5, rng.choice(events)) for i in range(400)]
+    came = sorted(rows, key=lambda r: r[1] + datetime.timedelta(seconds=rng.uniform(0, 300)))
+    assert came != sorted(rows, key=lambda r: r[1])
+    schema = "entity long, ts timestamp, id long, ok boolean, event string"
+    stream = batches(spark, tmp_path, "in", schema, *(came[i : i + 100] for i in range(0, 400, 100)), [(99, at(10_000), 1, True, "none")])
+    batch = spark.createDataFrame(rows, schema)
+    as_tasks = lambda df: df.withColumnsRenamed({"entity": "task_id", "ts": "created_at"})
+    late = "301 seconds"
+    got, want = {
+        "breaker": lambda: (T.breaker(stream, 2, 60.0, late), fsm.breaker_timeline(batch, "entity", 2, 60.0)),
+        "client_breaker": lambda: (T.client_breaker(stream, 2, 30.0, late), fsm.client_breaker_timeline(batch, "entity", 2, 30.0)),
+        "health": lambda: (T.health(stream, delay=late), fsm.health_state(batch, "entity", "ok", ["ts", "id"])),
+        "limiter": lambda: (T.limiter(stream, 60, 2, late), fsm.rate_limit(batch, "entity", 60, 2)),
+        "machine": lambda: (T.machine(as_tasks(stream), fsm.TASK_TABLE, "pending", late), fsm.replay_fsm(as_tasks(batch), "task_id")),
+    }[name]()
+    found = streams.run(spark, got)
+    key = found.columns[0]
+    assert sorted(found.where(f"{key} <> 99").collect()) == sorted(want.select(*got.columns).collect())
+
+
+def test_liveness_and_alerts_in_any_order(spark, tmp_path):
+    rng = random.Random(18)
+    beats = [(rng.randrange(4), at(rng.randrange(5000))) for _ in range(120)]
+    came = sorted(beats, key=lambda r: r[1] + datetime.timedelta(seconds=rng.uniform(0, 200)))
+    stream = batches(spark, tmp_path, "beats", "node long, ts timestamp", *(came[i : i + 30] for i in range(0, 120, 30)), [(99, at(20_000))])
+    got = streams.run(spark, T.liveness(stream, 60, "201 seconds")).where("node <> 99")
+    want = T.liveness_batch(spark.createDataFrame(beats, "node long, ts timestamp"), 60, F.lit((BASE + 19_000) * 1_000_000))
+    assert sorted((r.node, r.at, r.state) for r in got.collect()) == sorted((r.node, r.at / 1e6, r.state) for r in want.collect())
+
+    evals = [("a", at(t), (t // 100) % 3 < 2) for t in range(0, 3000, 10)]
+    came = sorted(evals, key=lambda r: r[1] + datetime.timedelta(seconds=rng.uniform(0, 200)))
+    stream = batches(spark, tmp_path, "evals", "labels string, ts timestamp, on boolean", *(came[i : i + 60] for i in range(0, 300, 60)), [("z", at(20_000), False)])
+    got = sorted((r.at - BASE, r.state) for r in streams.run(spark, T.alert_lifecycle(stream, 50, "201 seconds")).where("labels = 'a'").collect())
+    assert got == sorted(x for t in range(0, 3000, 300) for x in ((t, "pending"), (t + 50, "firing"), (t + 200, "resolved")) if x[0] < 3000)
+
+
+def test_a_hot_key_of_a_stream_is_read_by_slots(spark, tmp_path, monkeypatch):
+    from opstables.streaming import state
+
+    n = 60_000
+    rows = spark.range(n).selectExpr("CAST(1 AS BIGINT) AS entity", f"timestamp_seconds({BASE} + (id * 7919) % {n}) AS ts", "id", "id % 3 <> 0 AS ok").repartition(3)
+    rows.write.parquet(str(tmp_path / "hot"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "hot"))
+    got = streams.run(spark, T.breaker(stream, 3, 20.0))
+    assert n / state.SLOT_SECONDS == 100  # slots, read one by one
+    want = fsm.breaker_timeline(rows, "entity", 3, 20.0)
+    assert got.count() == n and got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+def test_late_rows_are_dropped_and_state_goes(spark, tmp_path):
+    schema = "entity long, ts timestamp, id long, ok boolean"
+    stream = batches(spark, tmp_path, "in", schema, [(1, at(0), 1, False), (1, at(100), 2, False)], [(2, at(5000), 4, True)], [(1, at(10), 3, False)], [(1, at(6000), 5, False)])
+    got = sorted((r.id, r.state, r.failures) for r in streams.run(spark, T.breaker(stream, 3, 60.0)).collect())
+    assert got == [(1, "closed", 1), (2, "closed", 2), (4, "closed", 0), (5, "closed", 1)]
