@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from opstables.operators.conditions import Conditions, Term
 from opstables.sources.scratch import stored
 
 
@@ -73,9 +74,10 @@ def ready_after(steps: DataFrame, edges: DataFrame, runs: DataFrame, completed:
     return waited.unionByName(free).join(completed.unionByName(failed), ["run_id", "step"], "left_anti")
 
 
-def branch(df: DataFrame, predicate: str, name: str = "taken") -> DataFrame:
-    """A condition on columns; what can't be decided (a null) is taken.  For == with nulls on both sides use <=>."""
-    return df.withColumn(name, F.coalesce(F.expr(predicate), F.lit(True)))
+def branch(df: DataFrame, condition: Callable[[Conditions], Term], name: str = "taken") -> DataFrame:
+    """Whether a row takes a branch: where its condition is true, and where it can't be computed (see Conditions for what can't)."""
+    term = condition(Conditions(df))
+    return df.withColumn(name, F.coalesce(term.failed, F.lit(True)) | term.truth())
 
 
 def map_inputs(df: DataFrame, mapping: dict[str, str], context: str = "context", results: str = "results") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from opstables.functions import scalars
 from opstables.operators.queue import limits, positions
@@ -36,10 +37,27 @@ def queue_restore(tasks: DataFrame, entries: DataFrame, as_of_ms: int) -> DataFr
     return lost.select("capability", "task_id", scalars.score(F.col("priority_rank"), F.lit(as_of_ms)).alias("score"))
 
 
+#: The states that a task ends in; the record by which a lost task is compensated.
+ENDED = ("completed", "failed", "cancelled")
+TX_PREFIX, TX_OPERATION, TX_STATUS, TX_ERROR = "reconciler-", "create_task", "failed", "detected by reconciler phase1"
+
+
 def missing_durable(cache: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Ended tasks that only the cache knows."""
-    ended = cache.where(F.col("status").isin("completed", "failed"))
-    return ended.join(tasks, "task_id", "left_anti").select("task_id", "tenant_id", "status", F.concat(F.lit("tx-"), F.col("task_id").cast("string")).alias("tx_id"))
+    """Ended tasks (status in any case) that only the cache knows: the durable rows to add, and each one's compensation record.
+
+    output_data: the cache's output (a text, map, list or struct; if it has such a column) as JSON, null if it is empty.  The record (tx_) says that the durable side is written and the cache's isn't.
+    """
+    ended = cache.where(F.lower("status").isin(*ENDED)).join(tasks.select("task_id").where("task_id IS NOT NULL").distinct(), "task_id", "left_anti").where("task_id IS NOT NULL")
+    output: Column = F.lit(None).cast("string")
+    if "output" in cache.columns:
+        alone = F.to_json(F.array("output"))  # a text isn't JSON by itself
+        output = F.substring(alone, F.lit(2), F.length(alone) - 2) if cache.schema["output"].dataType == StringType() else F.to_json("output")
+        output = F.when(~output.isin('""', "{}", "[]", "null"), output)
+    return ended.select(
+        "task_id", F.coalesce("tenant_id", F.lit("")).alias("tenant_id"), "status", output.alias("output_data"),
+        F.concat(F.lit(TX_PREFIX), F.left(F.col("task_id").cast("string"), F.lit(8))).alias("tx_id"), F.lit(TX_OPERATION).alias("tx_operation"), F.lit(TX_STATUS).alias("tx_status"),
+        F.lit(True).alias("tx_durable_written"), F.lit(False).alias("tx_cache_written"), F.lit(TX_ERROR).alias("tx_error"),
+    )
 
 
 def stuck_tasks(cache: DataFrame, leases: DataFrame, recent: DataFrame, as_of: str, max_age: int = 300, cap: int | None = 20) -> DataFrame:
@@ -222,9 +240,12 @@ def finalize_events(completions: DataFrame, as_of: str) -> DataFrame:
 
 
 def outbox_progress(outbox: DataFrame, outcomes: DataFrame, as_of: str, max_attempts: int = 8) -> DataFrame:
-    """T3, as a batch: a delivery ends its row; a failure waits by the ladder or, after max_attempts, is dead."""
+    """T3, as a batch: a delivery ends its row; a failure waits by the ladder or, after max_attempts, is dead.
+
+    outcomes: id, delivered and, if there is such a column, tries (1 else).
+    """
     rows = outbox.where("delivery_status = 'pending'").join(outcomes, "id")
-    n = F.col("attempt_count") + 1
+    n = (F.col("attempt_count") + (F.col("tries") if "tries" in outcomes.columns else 1)).cast("int")
     dead = n >= max_attempts
     status = F.when(F.col("delivered"), "delivered").when(dead, "dead_letter").otherwise("pending")
     wait = F.when(~F.col("delivered") & ~dead, F.unix_micros(F.lit(as_of).cast("timestamp")) + scalars.callback_delay(n).cast("bigint") * 1_000_000)

@@ -46,9 +46,24 @@ def _(lines, edges):
     return dag.ready_after(_steps(edges), edges, lines.select("run_id"), completed, lines.where("failed").selectExpr("run_id", "part AS step"))
 
 
-@query("i3_branch", "tasks", "SELECT task_id, coalesce(timeout_seconds > 600 AND callback_url LIKE 'http://cb/1%', true) AS taken FROM tasks")
+# numbers are texts in a row's map: some aren't numbers, some aren't there, and every seventh row has no map
+_I3 = """r AS (SELECT task_id, timeout_seconds, callback_url, task_id % 7 <> 0 AS has, CASE task_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN NULL ELSE CAST(task_id % 10 AS VARCHAR) END AS n, status FROM tasks)"""
+
+
+@query(
+    "i3_branch", "tasks",
+    f"""WITH {_I3} SELECT task_id, timeout_seconds IS NULL OR (timeout_seconds > 600 AND coalesce(contains(callback_url, 'http://cb/1'), false)) AS taken,
+          NOT has OR n IS NULL OR try_cast(n AS INT) IS NULL OR CAST(try_cast(n AS INT) AS INT) > 3 AS taken_by_number,
+          NOT has OR status IN ('queued', 'running') OR n IS NULL AS taken_by_state, false AS taken_by_missing FROM r""",
+)
 def _(tasks):
-    return dag.branch(tasks, "timeout_seconds > 600 AND callback_url LIKE 'http://cb/1%'").select("task_id", "taken")
+    entries = F.map_from_arrays(F.array(F.lit("n"), F.lit("status")), F.array(F.expr("CASE task_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN NULL ELSE CAST(task_id % 10 AS STRING) END"), F.col("status")))
+    rows = tasks.withColumn("ctx", F.when(F.col("task_id") % 7 != 0, entries)).withColumn("number", F.expr("try_cast(ctx['n'] AS INT)"))
+    rows = dag.branch(rows, lambda c: c.every(c.compare(c.name("timeout_seconds"), ">", 600), c.member("http://cb/1", c.name("callback_url"))))
+    rows = dag.branch(rows, lambda c: c.compare(c.name("number"), ">", 3), "taken_by_number")
+    rows = dag.branch(rows, lambda c: c.some(c.member(c.name("ctx.status"), ["queued", "running"]), c.compare(c.name("ctx.n"), "==", None)), "taken_by_state")
+    rows = dag.branch(rows, lambda c: c.every(c.compare(c.name("nowhere"), "==", "x"), c.negated(c.name("nowhere"))), "taken_by_missing")
+    return rows.select("task_id", "taken", "taken_by_number", "taken_by_state", "taken_by_missing")
 
 
 @query(

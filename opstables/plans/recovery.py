@@ -31,11 +31,15 @@ def _(tasks, entries):
 
 @query(
     "c3_missing_durable", "tasks task_cache",
-    """SELECT task_id, tenant_id, status, concat('tx-', CAST(task_id AS VARCHAR)) AS tx_id FROM task_cache c
-       WHERE status IN ('completed', 'failed') AND task_id NOT IN (SELECT task_id FROM tasks WHERE task_id % 5 <> 0)""",
+    """WITH c AS (SELECT * REPLACE (CASE WHEN task_id % 4 = 0 AND status = 'queued' THEN 'Cancelled' ELSE status END AS status), CASE WHEN task_id % 3 = 0 THEN concat('say "', CAST(attempt AS VARCHAR), '"') WHEN task_id % 3 = 1 THEN '' END AS output FROM task_cache)
+       SELECT task_id, tenant_id, status, CASE WHEN output <> '' THEN concat('"say \\"', CAST(attempt AS VARCHAR), '\\""') END AS output_data, concat('reconciler-', left(CAST(task_id AS VARCHAR), 8)) AS tx_id,
+              'create_task' AS tx_operation, 'failed' AS tx_status, true AS tx_durable_written, false AS tx_cache_written, 'detected by reconciler phase1' AS tx_error
+       FROM c WHERE lower(status) IN ('completed', 'failed', 'cancelled') AND task_id NOT IN (SELECT task_id FROM tasks WHERE task_id % 5 <> 0)""",
 )
 def _(tasks, cache):
-    return R.missing_durable(cache, tasks.where("task_id % 5 <> 0"))
+    output = F.expr("""CASE WHEN task_id % 3 = 0 THEN concat('say "', attempt, '"') WHEN task_id % 3 = 1 THEN '' END""")
+    ended = cache.withColumns({"output": output, "status": F.expr("CASE WHEN task_id % 4 = 0 AND status = 'queued' THEN 'Cancelled' ELSE status END")})
+    return R.missing_durable(ended, tasks.where("task_id % 5 <> 0"))
 
 
 _STUCK = f"""stuck AS (SELECT * FROM task_cache WHERE status IN ('running', 'queued') AND (created_at IS NULL OR created_at <= TIMESTAMP '{TASKS_AS_OF}' - INTERVAL 300 SECOND)

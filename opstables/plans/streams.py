@@ -10,6 +10,7 @@ from opstables.plans import fixtures, recursion
 from opstables.plans.registry import ORACLES, QUERIES, plain, query
 from opstables.plans.state import HEALTH_SQL
 from opstables.sources.scratch import shared_dir
+from opstables.sources.upserts import KeyedTable
 from opstables.streaming import operators as T
 
 
@@ -92,11 +93,6 @@ _register(
        FROM e, (SELECT unnest([{', '.join(map(str, _BOUNDS))}, CAST('inf' AS DOUBLE)]) AS le) GROUP BY 1, 2, le""",
 )
 _register("t10_totals", "events", lambda s: T.totals(_events(s), ["event"]), mode="complete", views="task_events", sql="SELECT event, count(*) AS n FROM task_events GROUP BY event")
-_register(
-    "t11_latest_status", "events", lambda s: T.latest_status(_events(s), "task_id", "event", ["created_at", "id"]), mode="complete", views="task_events",
-    sql="SELECT task_id, event FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) AS r FROM task_events) WHERE r = 1",
-)
-
 # every fifth turn ends a stream (in an error if a system says it), every fifth is no JSON; the gaps of some streams are over the idle time
 _CHUNK_COLUMNS = """conv_id AS stream_id, turn AS seq, 1704067200 + conv_id * 100 + turn * (5 + conv_id % 7 * 7) AS t,
   CASE WHEN turn % 5 = 4 AND role = 'system' THEN '{"__done__":true,"__error__":"boom"}' WHEN turn % 5 = 4 THEN concat('{"__done__":true,"summary":{"turn":"', turn, '"}}')
@@ -135,38 +131,69 @@ def _drained(writer, base: str) -> None:
         raise q.exception()
 
 
+def _in_batches(spark: SparkSession, base: str, *parts: DataFrame) -> DataFrame:
+    """A stream that takes each part as a batch of its own, in order."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _t11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each with events of all times; the last one by time stays."""
+    base = _folder(spark)
+    events = _events(spark.read.parquet(f"{sf_dir}/events.parquet")).drop("value")
+    table = KeyedTable(spark, f"{base}/latest", ["task_id"], ("created_at", "id"))
+    stream = _in_batches(spark, base, *(events.where(f"id % 3 = {i}") for i in (2, 0, 1)))
+    _drained(T.latest_table(stream, table, ["task_id", "event", "created_at", "id"]), base)
+    return table.read().select("task_id", "event")
+
+
+QUERIES["t11_latest_status"] = _t11
+ORACLES["t11_latest_status"] = fixtures.with_views(
+    ("task_events",), "SELECT task_id, event FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) AS r FROM task_events) WHERE r = 1"
+)
+
+
 def _t3(part: str):
-    """Delivery outcomes of the events, against the outbox: its rows (t3), or the dead letters that are retained (t12)."""
+    """Three batches of delivery outcomes of all callbacks against the outbox: its rows after them (t3), or the dead letters that are retained (t12)."""
 
     def run_it(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-        outbox = fixtures.view(spark, sf_dir, "callback_outbox")
-        outcomes = _stream(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id % 3 = 0 AS delivered")
-        _drained(T.outbox_updates(outcomes, lambda: outbox, fixtures.EVENTS_AS_OF, lambda df: df.write.mode("append").parquet(f"{base}/rows"), lambda df: df.write.mode("append").parquet(f"{base}/dead")), base)
+        base = _folder(spark)
+        outbox, dead = KeyedTable(spark, f"{base}/outbox", ["id"]), KeyedTable(spark, f"{base}/dead", ["id"])
+        outbox.merge(fixtures.view(spark, sf_dir, "callback_outbox").select("id", "delivery_status", F.col("attempt_count").cast("int").alias("attempt_count"), F.lit(None).cast("bigint").alias("next_attempt_us")))
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        outcomes = _in_batches(spark, base, *(events.selectExpr("event_id AS id", f"(event_id + {i}) % 5 = 0 AS delivered") for i in range(3)))
+        _drained(T.outbox_updates(outcomes, outbox, fixtures.EVENTS_AS_OF, dead), base)
         if part == "rows":
-            return plain(spark.read.parquet(f"{base}/rows"))
-        letters = spark.read.parquet(f"{base}/dead").withColumn("died_at", F.expr("CASE WHEN id % 2 = 0 THEN died_at - INTERVAL 31 DAY ELSE died_at END"))
+            return outbox.read()
+        letters = dead.read().withColumn("died_at", F.expr("CASE WHEN id % 2 = 0 THEN died_at - INTERVAL 31 DAY ELSE died_at END"))
         return plain(T.retained_dead_letters(letters, fixtures.EVENTS_AS_OF).select("id", "attempt_count"))
 
     return run_it
 
 
-_T3_FROM = f"""SELECT id, CASE WHEN id % 3 = 0 THEN 'delivered' WHEN attempt_count + 1 >= 8 THEN 'dead_letter' ELSE 'pending' END AS delivery_status, attempt_count + 1 AS attempt_count,
-    CASE WHEN id % 3 <> 0 AND attempt_count + 1 < 8 THEN epoch_us(TIMESTAMP '{fixtures.EVENTS_AS_OF}') + [10, 30, 60, 300, 900, 1800, 3600][least(attempt_count + 1, 7)] * 1000000 END AS next_attempt_us
-    FROM callback_outbox WHERE delivery_status = 'pending'"""
+# batch i delivers the ids of which 5 divides id + i; the eighth attempt is the last
+_T3_FROM = f"""SELECT id, CASE WHEN delivery_status <> 'pending' THEN delivery_status WHEN d <= 2 AND d <= p THEN 'delivered' WHEN p <= 2 THEN 'dead_letter' ELSE 'pending' END AS delivery_status,
+    CAST(attempt_count + CASE WHEN delivery_status <> 'pending' THEN 0 ELSE least(d, p, 2) + 1 END AS INT) AS attempt_count,
+    CASE WHEN delivery_status = 'pending' AND d > 2 AND p > 2 THEN epoch_us(TIMESTAMP '{fixtures.EVENTS_AS_OF}') + CAST([10, 30, 60, 300, 900, 1800, 3600][least(attempt_count + 3, 7)] AS BIGINT) * 1000000 END AS next_attempt_us
+    FROM (SELECT *, (5 - id % 5) % 5 AS d, greatest(0, 7 - attempt_count) AS p FROM callback_outbox)"""
 QUERIES["t3_outbox_stream"], QUERIES["t12_dead_letters"] = _t3("rows"), _t3("dead")
 ORACLES["t3_outbox_stream"] = fixtures.with_views(("callback_outbox",), _T3_FROM)
-ORACLES["t12_dead_letters"] = fixtures.with_views(("callback_outbox",), f"SELECT id, attempt_count FROM ({_T3_FROM}) WHERE delivery_status = 'dead_letter' AND id % 2 <> 0")
+ORACLES["t12_dead_letters"] = fixtures.with_views(("callback_outbox",), f"SELECT id, attempt_count FROM ({_T3_FROM}) WHERE delivery_status = 'dead_letter' AND id % 2 <> 0 AND id IN (SELECT id FROM callback_outbox WHERE delivery_status = 'pending')")
 
 
 def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks at the times of the events: the tasks that schedules give, and where the fired ones go next."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schedules = fixtures.view(spark, sf_dir, "schedules").withColumn("cron_expr", F.expr("CASE WHEN schedule_id % 2 = 0 THEN '30 6 1 * *' ELSE '0 0 29 2 *' END"))
-    ticks = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"))
-    _drained(T.cron_ticks(ticks, lambda: schedules, lambda df: df.write.parquet(f"{base}/fired"), lambda df: df.write.parquet(f"{base}/schedules")), base)
-    after = spark.read.parquet(f"{base}/schedules").select("schedule_id", "next_fire_at")
-    return plain(spark.read.parquet(f"{base}/fired").select("schedule_id", "tenant_id", "idempotency_key").join(after, "schedule_id"))
+    """Ticks at the times of the events, in two batches of the same latest tick: the tasks that schedules give, once, and where the fired ones go next."""
+    base = _folder(spark)
+    schedules, fired = KeyedTable(spark, f"{base}/schedules", ["schedule_id"]), KeyedTable(spark, f"{base}/fired", ["idempotency_key"])
+    schedules.merge(fixtures.view(spark, sf_dir, "schedules").withColumn("cron_expr", F.expr("CASE WHEN schedule_id % 2 = 0 THEN '30 6 1 * *' ELSE '0 0 29 2 *' END")))
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"))
+    _drained(T.cron_ticks(_in_batches(spark, base, ticks, ticks), schedules, fired), base)
+    return fired.read().select("schedule_id", "tenant_id", "idempotency_key").join(schedules.read().select("schedule_id", "next_fire_at"), "schedule_id")
 
 
 QUERIES["t9_cron_ticks"] = _t9
@@ -184,17 +211,13 @@ def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    orders = _stream(spark, sf_dir, "orders")
-    cache = orders.selectExpr(
-        "o_orderkey AS task_id", "concat('cap-', o_custkey % 8) AS capability", "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status",
-        "CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority_rank", "CAST(o_orderkey % 5 AS INT) AS attempt", "CAST(o_custkey % 4 AS INT) AS max_retries", "CAST(o_orderdate AS TIMESTAMP) AS created_at",
-    ).where("task_id % 7 <> 0")
-    leases = fixtures.view(spark, sf_dir, "leases")
-    acted = orders_of(spark, sf_dir)
-    writer = T.stuck_actions(cache, leases, fixtures.TASKS_AS_OF, lambda df: df.write.mode("append").parquet(f"{base}/out"), lambda: acted)
-    _drained(writer, base)
-    return spark.read.parquet(f"{base}/out").select("task_id", "action", "delay_ms")
+    """The cache in two batches that share a third of the tasks, which are acted on once."""
+    base = _folder(spark)
+    cache = fixtures.view(spark, sf_dir, "task_cache").drop("tenant_id", "callback_url")
+    actions = KeyedTable(spark, f"{base}/actions", ["task_id"])
+    stream = _in_batches(spark, base, cache.where("task_id % 3 <> 0"), cache.where("task_id % 3 <> 1"))
+    _drained(T.stuck_actions(stream, fixtures.view(spark, sf_dir, "leases"), lambda: fixtures.TASKS_AS_OF, actions, lambda: orders_of(spark, sf_dir)), base)
+    return actions.read().select("task_id", "action", "delay_ms")
 
 
 QUERIES["t2_stuck_actions"] = _t2

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from opstables.operators import fsm, metrics, reconcile, schedule
 from opstables.sources.tables import live
+from opstables.sources.upserts import KeyedTable
 from opstables.streaming.state import fold
 
 
@@ -214,12 +214,29 @@ def latest_status(sdf: DataFrame, key: str, value: str, order: list[str]) -> Dat
     return sdf.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def stuck_actions(cache: DataFrame, leases: DataFrame, as_of: str, sink: Callable[[DataFrame], Any], seen: Callable[[], DataFrame], cap: int | None = None) -> DataStreamWriter:
-    """On every batch of cache rows the stuck tasks' dispositions go to sink, one row a task; seen gives the tasks acted on of late (300 s), which are passed over."""
+def latest_table(sdf: DataFrame, table: KeyedTable, columns: list[str]) -> DataStreamWriter:
+    """Each key's last row by the table's order, merged batch by batch; the stream keeps no state, and a batch that is run again changes nothing."""
+    return sdf.select(*columns).writeStream.foreachBatch(lambda batch, n: table.merge(batch, n))
 
-    def act(batch: DataFrame, _: int) -> None:
+
+#: For how long a task that was acted on is passed over, in seconds.
+ACTED_S = 300
+
+
+def stuck_actions(cache: DataFrame, leases: DataFrame, as_of: Callable[[], str], actions: KeyedTable, seen: Callable[[], DataFrame] | None = None, cap: int | None = None) -> DataStreamWriter:
+    """On every batch of cache rows the stuck tasks' dispositions are added to actions (by task_id), with the time acted_at.
+
+    Tasks that stand there for less than ACTED_S seconds, and those that seen gives, are passed over.
+    """
+
+    def act(batch: DataFrame, n: int) -> None:
+        now = as_of()
+        columns = reconcile.stuck_disposition(batch.limit(0)).withColumn("acted_at", F.lit(now).cast("timestamp"))
+        recent = live(actions.read(columns.schema), "acted_at", ACTED_S, now).select("task_id")
+        recent = recent if seen is None else recent.unionByName(seen().select("task_id"))
         once = batch.dropDuplicates(["task_id"])
-        sink(reconcile.stuck_disposition(reconcile.stuck_tasks(once, leases, seen(), as_of, cap=cap)))
+        found = reconcile.stuck_disposition(reconcile.stuck_tasks(once, leases, recent, now, cap=cap))
+        actions.merge(found.withColumn("acted_at", F.lit(now).cast("timestamp")), n)
 
     return cache.writeStream.foreachBatch(act)
 
@@ -233,33 +250,38 @@ def retained_dead_letters(dead: DataFrame, as_of: str, ttl: int = DEAD_LETTER_TT
     return live(dead, time, ttl, as_of)
 
 
-def outbox_updates(outcomes: DataFrame, outbox: Callable[[], DataFrame], as_of: str, sink: Callable[[DataFrame], Any], dead: Callable[[DataFrame], Any]) -> DataStreamWriter:
-    """Delivery outcomes advance the outbox; dead letters go to a sink of their own, too, with the time (died_at) from which they are retained."""
+def outbox_updates(outcomes: DataFrame, outbox: KeyedTable, as_of: str, dead: KeyedTable) -> DataStreamWriter:
+    """Delivery outcomes advance the outbox (by id) from what earlier batches left; several of a batch count each.
+
+    Dead letters go to a table of their own, too, with the time (died_at) from which they are retained; they are written first, so a
+    batch that broke off between the two is whole when it is run again.
+    """
 
-    def act(batch: DataFrame, _: int) -> None:
-        rows = reconcile.outbox_progress(outbox(), batch, as_of).persist()
-        sink(rows)
-        dead(rows.where("delivery_status = 'dead_letter'").withColumn("died_at", F.lit(as_of).cast("timestamp")))
+    def act(batch: DataFrame, n: int) -> None:
+        if outbox.has(n):
+            return
+        told = batch.groupBy("id").agg(F.max("delivered").alias("delivered"), F.count("*").alias("tries"))
+        rows = reconcile.outbox_progress(outbox.read(), told, as_of).persist()
+        dead.merge(rows.where("delivery_status = 'dead_letter'").withColumn("died_at", F.lit(as_of).cast("timestamp")), n)
+        outbox.update(rows, n)
         rows.unpersist()
 
     return outcomes.writeStream.foreachBatch(act)
 
 
-def cron_ticks(ticks: DataFrame, schedules: Callable[[], DataFrame], sink: Callable[[DataFrame], Any], save: Callable[[DataFrame], Any]) -> DataStreamWriter:
+def cron_ticks(ticks: DataFrame, schedules: KeyedTable, fired: KeyedTable) -> DataStreamWriter:
     """On every batch of ticks (timestamp) the schedules due by the last one give their tasks; ticks missed between are one fire.
 
-    save gets all schedules with next_fire_at of the fired ones moved to their next fire after that tick, so
-    that the next batch doesn't fire them again.  A batch that is run again gives the same idempotency keys.
+    fired (by idempotency_key) is written first, then the next_fire_at of the fired ones in schedules (by
+    schedule_id), so that the next batch doesn't fire them again.  A batch that is run again gives the same keys.
     """
 
-    def act(batch: DataFrame, _: int) -> None:
+    def act(batch: DataFrame, n: int) -> None:
         last = batch.agg(F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-        if last:
-            known = schedules()
-            due = schedule.due_schedules(known, last)
-            sink(schedule.fire(due, last))
-            at = schedule.next_fire(due.drop("next_fire_at"), "cron_expr", last).select("schedule_id", F.date_format("next_fire_at", "yyyy-MM-dd'T'HH:mm:ss").alias("_next"), F.lit(True).alias("_fired"))
-            moved = known.join(at, "schedule_id", "left")
-            save(moved.withColumn("next_fire_at", F.when(F.col("_fired"), F.col("_next")).otherwise(F.col("next_fire_at"))).select(*known.columns))
+        if last and not schedules.has(n):
+            due = schedule.due_schedules(schedules.read(), last)
+            fired.merge(schedule.fire(due, last), n)
+            at = schedule.next_fire(due.drop("next_fire_at"), "cron_expr", last)
+            schedules.update(at.select("schedule_id", F.date_format("next_fire_at", "yyyy-MM-dd'T'HH:mm:ss").alias("next_fire_at")), n)
 
     return ticks.writeStream.foreachBatch(act)

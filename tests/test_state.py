@@ -345,10 +345,38 @@ def test_tables_of_a_block_are_removed(spark):
     assert kept.count() == 3 and os.path.exists(path) and gone.inputFiles() and not os.path.exists(gone.inputFiles()[0].removeprefix("file:"))
 
 
-def test_branch_null_rules(spark):
-    df = spark.createDataFrame([(1, None), (2, 5)], "id int, x int")
-    assert [r.taken for r in dag.branch(df, "x > 7").orderBy("id").collect()] == [True, False]
-    assert [r.taken for r in dag.branch(df, "x <=> NULL").orderBy("id").collect()] == [True, False]
+def test_branches_that_cannot_be_decided_are_taken(spark):
+    rows = [(1, None, "abc", {"n": 5}, ["a"]), (2, 5, "", None, None), (3, 9, "x", {}, ["a", None])]
+    df = spark.createDataFrame(rows, "id int, x int, s string, m map<string,int>, l array<string>")
+
+    def taken(condition):
+        return [r.taken for r in dag.branch(df, condition).orderBy("id").collect()]
+
+    assert taken(lambda c: c.compare(c.name("x"), ">", 7)) == [True, False, True]
+    assert taken(lambda c: c.negated(c.compare(c.name("x"), ">", 7))) == [True, True, False]  # the failure stays one
+    assert taken(lambda c: c.compare(c.name("x"), "==", None)) == [True, False, False]
+    assert taken(lambda c: c.compare(c.name("s"), ">", 3)) == [True] * 3 and taken(lambda c: c.compare(c.name("s"), "==", 3)) == [False] * 3
+    assert taken(lambda c: c.compare(c.name("gone"), "!=", 1)) == [True] * 3 and taken(lambda c: c.name("gone")) == [False] * 3
+    assert taken(lambda c: c.compare(c.name("m.n"), "==", 5)) == [True, True, False]
+    assert taken(lambda c: c.compare(c.name("x.n"), "==", 5)) == [True] * 3 and taken(lambda c: c.compare(c.name("gone.n"), "==", 5)) == [True] * 3
+    assert taken(lambda c: c.member(c.name("s"), ["abc", "x"])) == [True, False, True]
+    assert taken(lambda c: c.member(None, c.name("l"))) == [False, False, True]
+    assert taken(lambda c: c.member("a", c.name("l"), negated=True)) == [False, False, False]
+    assert taken(lambda c: c.member("b", c.name("l"), negated=True)) == [True, False, True]
+    assert taken(lambda c: c.member("b", c.name("s"))) == [True, False, False] and taken(lambda c: c.member("n", c.name("m"))) == [True, False, False]
+    assert taken(lambda c: c.member(1, c.name("x"))) == [False] * 3 and taken(lambda c: c.member(1, c.name("s"), negated=True)) == [False] * 3
+    assert taken(lambda c: c.every(c.compare(1, "==", 2), c.compare(c.name("x"), "<", 7))) == [True, False, False]  # null fails, whatever the rest
+    assert taken(lambda c: c.some(c.name("s"), c.name("m"))) == [True, False, True]
+    assert taken(lambda c: c.compare(True, "==", 1)) == [True] * 3
+
+
+def test_tasks_missing_from_the_durable_table(spark):
+    from opstables.operators import reconcile
+
+    cache = spark.createDataFrame([("a-long-task-id", "t", "Cancelled", {"k": "v"}), ("b", None, "failed", {}), ("c", "t", "completed", None), ("d", "t", "running", None), (None, "t", "failed", None)], "task_id string, tenant_id string, status string, output map<string,string>")
+    tasks = spark.createDataFrame([("c",), (None,)], "task_id string")
+    got = {r.task_id: (r.tenant_id, r.status, r.output_data, r.tx_id) for r in reconcile.missing_durable(cache, tasks).collect()}
+    assert got == {"a-long-task-id": ("t", "Cancelled", '{"k":"v"}', "reconciler-a-long-t"), "b": ("", "failed", None, "reconciler-b")}
 
 
 def test_scan_limit_hides_ready_entries(spark):

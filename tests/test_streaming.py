@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from opstables.operators import fsm, ranks
 from opstables.plans import fixtures, streams
 from opstables.sources import tables
+from opstables.sources.upserts import KeyedTable
 from opstables.streaming import operators as T
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,14 +36,52 @@ def test_limiter_stream_equals_batch(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_outbox_updates_and_dead_letters(spark, tmp_path):
-    outbox = spark.createDataFrame([(1, "pending", 0), (2, "pending", 7), (3, "pending", 1), (4, "delivered", 1)], "id bigint, delivery_status string, attempt_count int")
-    spark.createDataFrame([(1, True), (2, False), (3, False), (4, False)], "id bigint, delivered boolean").write.parquet(str(tmp_path / "in"))
-    outcomes = spark.readStream.schema("id bigint, delivered boolean").parquet(str(tmp_path / "in"))
-    rows, dead = [], []
-    drained(T.outbox_updates(outcomes, lambda: outbox, "2024-01-01 00:00:00", lambda df: rows.extend(df.collect()), lambda df: dead.extend(df.collect())), tmp_path / "c")
-    assert {r.id: (r.delivery_status, r.attempt_count) for r in rows} == {1: ("delivered", 1), 2: ("dead_letter", 8), 3: ("pending", 2)}
-    assert [r.id for r in dead] == [2]
+def test_outbox_goes_on_across_batches(spark, tmp_path):
+    """Three batches; one callback fails twice, in one of them; the others fail on, or end.  A batch that is run again changes nothing."""
+    outbox, dead = KeyedTable(spark, f"{tmp_path}/outbox", ["id"]), KeyedTable(spark, f"{tmp_path}/dead", ["id"])
+    schema = "id bigint, delivery_status string, attempt_count int, next_attempt_us bigint, url string"
+    outbox.merge(spark.createDataFrame([(1, "pending", 0, None, "a"), (2, "pending", 6, None, "b"), (3, "pending", 1, None, "c"), (4, "delivered", 1, None, "d"), (5, "pending", 0, None, "e")], schema))
+    parts = [[(1, False), (2, False), (3, False), (4, False)], [(2, False), (1, False), (9, True)], [(1, True), (2, False), (5, False), (5, False)]]
+    outcomes = batches(spark, tmp_path, "in", "id bigint, delivered boolean", *parts)
+    drained(T.outbox_updates(outcomes, outbox, "2024-01-01 00:00:00", dead), tmp_path / "c")
+
+    def state():
+        return {r.id: (r.delivery_status, r.attempt_count, r.url) for r in outbox.read().collect()}
+
+    want = {1: ("delivered", 3, "a"), 2: ("dead_letter", 8, "b"), 3: ("pending", 2, "c"), 4: ("delivered", 1, "d"), 5: ("pending", 2, "e")}
+    assert state() == want and [r.id for r in dead.read().collect()] == [2]
+    again = spark.createDataFrame([(3, "delivered", 99)], "id bigint, delivery_status string, attempt_count int")
+    assert not outbox.update(again, 2) and not outbox.merge(again, 0) and state() == want
+    drained(T.outbox_updates(outcomes, outbox, "2024-01-01 00:00:00", dead), tmp_path / "lost checkpoint")
+    assert state() == want
+
+
+def test_keyed_tables(spark, tmp_path, monkeypatch):
+    import random
+
+    from opstables.sources import upserts
+
+    monkeypatch.setattr(upserts, "COMPACT", 4)
+    plain, ordered = KeyedTable(spark, f"{tmp_path}/p", ["k"]), KeyedTable(spark, f"{tmp_path}/o", ["k"], ("t",))
+    with pytest.raises(ValueError, match="no rows yet"):
+        plain.read()
+    assert plain.read("k int, t int").count() == 0
+    rng, by_commit, by_time = random.Random(3), {}, {}
+    for batch in range(9):
+        rows = [(k, rng.randrange(1000)) for k in rng.sample(range(20), 6)] + [(None, batch)]
+        df = spark.createDataFrame(rows, "k int, t int")
+        assert plain.merge(df, batch) and ordered.merge(df, batch)
+        assert not plain.merge(df.withColumn("t", F.lit(-1)), batch)
+        by_commit |= dict(rows)
+        by_time |= {k: max(t, by_time.get(k, t)) for k, t in rows}
+    assert {r.k: r.t for r in plain.read().collect()} == by_commit
+    assert {r.k: r.t for r in ordered.read().collect()} == by_time
+    assert len(plain.last()["parts"]) < 4
+    assert plain.vacuum() > 0 and {r.k: r.t for r in plain.read().collect()} == by_commit
+    stale = plain.last()
+    plain.merge(spark.createDataFrame([(1, 5)], "k int, t int"))
+    with pytest.raises(RuntimeError, match="already"):
+        plain._commit(stale | {"version": stale["version"] + 1})
 
 
 def batches(spark, tmp_path, name, schema, *parts):
@@ -124,14 +163,18 @@ def test_repeats_within_the_delay_are_dropped_and_later_ones_are_not(spark, tmp_
 
 
 def test_stuck_actions_are_deduplicated(spark, tmp_path):
+    """A task is acted on once in 300 s, by the stream's own record of its actions, and again later."""
     schema = "task_id bigint, capability string, status string, priority_rank int, attempt int, max_retries int, created_at timestamp"
-    stuck = [(i, "c", "running", 1, 0, 2, at(0)) for i in range(4)]
-    stream = batches(spark, tmp_path, "in", schema, [*stuck, stuck[0]], stuck)
-    acted = []
+    stuck = [(i, "c", "running", 1, 0, 2, at(0)) for i in range(5)]
+    stream = batches(spark, tmp_path, "in", schema, [*stuck, stuck[0]], stuck, stuck)
+    clock = iter(["2024-01-01 01:00:00", "2024-01-01 01:04:00", "2024-01-01 01:06:00"])
     leases = spark.createDataFrame([(3,)], "task_id bigint")
-    seen = lambda: spark.createDataFrame([(t,) for t in acted], "task_id bigint")
-    drained(T.stuck_actions(stream, leases, "2024-01-01 01:00:00", lambda df: acted.extend(r.task_id for r in df.collect()), seen), tmp_path / "c")
-    assert sorted(acted) == [0, 1, 2]
+    actions = KeyedTable(spark, f"{tmp_path}/actions", ["task_id"])
+    seen = lambda: spark.createDataFrame([(4,)], "task_id bigint")
+    counts, merge = [], actions.merge
+    actions.merge = lambda df, n: (counts.append(sorted(r.task_id for r in df.collect())), merge(df, n))
+    drained(T.stuck_actions(stream, leases, lambda: next(clock), actions, seen), tmp_path / "c")
+    assert counts == [[0, 1, 2], [], [0, 1, 2]]
 
 
 def test_dead_letters_are_retained_for_30_days(spark):
@@ -142,13 +185,12 @@ def test_dead_letters_are_retained_for_30_days(spark):
 def test_cron_ticks_fire_once_and_move_on(spark, tmp_path):
     schema = "schedule_id bigint, tenant_id string, enabled boolean, next_fire_at string, cron_expr string"
     table = [(1, "t", True, "2024-01-01T00:00:00", "*/10 * * * *"), (2, "t", True, None, "* * * * *"), (3, "t", False, "2024-01-01T00:00:00", "* * * * *"), (4, "t", True, "2024-01-01T00:01:00", "0 0 31 2 *")]
-    state = {"rows": table}
+    schedules, fired = KeyedTable(spark, f"{tmp_path}/schedules", ["schedule_id"]), KeyedTable(spark, f"{tmp_path}/fired", ["idempotency_key"])
+    schedules.merge(spark.createDataFrame(table, schema))
     stream = batches(spark, tmp_path, "in", "timestamp timestamp", [(at(60 * m),) for m in range(3)], [(at(180),)], [(at(600),)])
-    fired = []
-    save = lambda df: state.update(rows=[tuple(r) for r in df.collect()])
-    drained(T.cron_ticks(stream, lambda: spark.createDataFrame(state["rows"], schema), lambda df: fired.extend(df.collect()), save), tmp_path / "c")
-    assert sorted((r.schedule_id, r.idempotency_key) for r in fired) == [(1, "cron:1:1704067320"), (1, "cron:1:1704067800"), (4, "cron:4:1704067320")]
-    assert {r[0]: r[3] for r in state["rows"]} == {1: "2024-01-01T00:20:00", 2: None, 3: "2024-01-01T00:00:00", 4: None}
+    drained(T.cron_ticks(stream, schedules, fired), tmp_path / "c")
+    assert sorted((r.schedule_id, r.idempotency_key) for r in fired.read().collect()) == [(1, "cron:1:1704067320"), (1, "cron:1:1704067800"), (4, "cron:4:1704067320")]
+    assert {r.schedule_id: r.next_fire_at for r in schedules.read().collect()} == {1: "2024-01-01T00:20:00", 2: None, 3: "2024-01-01T00:00:00", 4: None}
 
 
 def test_declared_tables(spark, tmp_path):
