@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opstables.operators.ordered import pieces
 from opstables.operators.runs import fold_sorted
+from opstables.sources.scratch import stored
 
 #: Channels by severity, where route_alerts is given none.
 CHANNELS = {"critical": ("chat", "webhook"), "warning": ("chat",), "info": ("webhook",)}
@@ -119,7 +119,9 @@ def render_alert(alerts: DataFrame, channel: str) -> DataFrame:
 def apply_silences(alerts: DataFrame, silences: DataFrame) -> DataFrame:
     """C11: the first silence (a null field matches anything, from created_at up to expires_at) that covers each alert.
 
-    Few silences are broadcast; more are joined by the fields that they set, one equi-join for each set of fields.
+    Few silences are broadcast; more are found by an index of intervals: a silence stands in the one or two bins, of the least power of
+    two that its length fits in, that it touches; an alert looks in the bin of its time for each of these sizes (at most 63),
+    together with the fields that the silences set.  So every pair that is tried has its keys in common, and most match.
     """
     fields = ("alertname", "severity", "service")
     s = silences.select(F.col("silence_id"), *(F.col(c).alias(f"_{c}") for c in fields), "created_at", "expires_at")
@@ -130,12 +132,26 @@ def apply_silences(alerts: DataFrame, silences: DataFrame) -> DataFrame:
             covers = covers & (F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
         matches = alerts.join(F.broadcast(s), covers).select("id", "silence_id")
     else:
+        begin, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("created_at", "expires_at"))
+        binned = s.where("expires_at > created_at").withColumns({"_begin": begin, "_last": end - 1})
+        # the bits of the length less one: that power of two isn't below the length
+        binned = binned.withColumn("_size", F.when(F.col("_last") == F.col("_begin"), 0).otherwise(F.length(F.bin(F.col("_last") - F.col("_begin")))))
+        binned = binned.withColumn("_bin", F.explode(F.expr("sequence(shiftright(_begin, _size), shiftright(_last, _size))"))).drop("_begin", "_last")
+        binned = stored(binned, "silences")
+        kinds = {}  # the sizes in use of each set of fields
+        for r in binned.groupBy("_size", *(F.col(f"_{c}").isNotNull().alias(c) for c in fields)).count().collect():  # at most 8 * 63 rows
+            kinds.setdefault(tuple(r[c] for c in fields), []).append(r["_size"])
         matches = None
-        for kind in product((False, True), repeat=len(fields)):
-            own = s.where(reduce(and_, (F.col(f"_{c}").isNotNull() if has else F.col(f"_{c}").isNull() for c, has in zip(fields, kind, strict=True))))
-            on = reduce(and_, (F.col(f"_{c}") == F.col(c) for c, has in zip(fields, kind, strict=True) if has), in_time)
-            part = alerts.join(own, on).select("id", "silence_id")
+        times = alerts.select("id", *fields, "starts_at", F.unix_micros(F.col("starts_at").cast("timestamp")).alias("_t"))
+        for kind, sizes in kinds.items():
+            own = binned.where(reduce(and_, (F.col(f"_{c}").isNotNull() if has else F.col(f"_{c}").isNull() for c, has in zip(fields, kind, strict=True))))
+            looks = times.withColumn("_in", F.explode(F.array(*map(F.lit, sorted(sizes))))).withColumn("_at", F.expr("shiftright(_t, _in)"))
+            on = (F.col("_in") == F.col("_size")) & (F.col("_at") == F.col("_bin")) & in_time
+            on = reduce(and_, (F.col(f"_{c}") == F.col(c) for c, has in zip(fields, kind, strict=True) if has), on)
+            part = looks.join(own, on).select("id", "silence_id")
             matches = part if matches is None else matches.unionByName(part)
+        if matches is None:
+            return alerts.withColumn("silenced_by", F.lit(None).cast(silences.schema["silence_id"].dataType))
     hits = matches.groupBy("id").agg(F.min("silence_id").alias("silenced_by"))
     return alerts.join(hits, "id", "left")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -14,38 +14,112 @@ from opstables.operators.conditions import Conditions, Term
 from opstables.sources.scratch import stored
 
 
+#: Rounds that one job takes, and jobs after which the counts that they stored are joined to one table.
+ROUNDS_A_JOB, COMPACT_ROUNDS = 2, 8
+
+
+def _heads(steps: DataFrame, deps: DataFrame, declared: DataFrame) -> DataFrame:
+    """(step, head, dist): steps that wait for one step only are so many places behind the head of their chain; others are heads themselves."""
+    one = deps.join(declared.where("n = 1"), "step").select(F.col("step").alias("id"), F.col("depends_on").alias("from_id"))
+    rows = steps.join(one.withColumnRenamed("id", "step"), "step", "left").select(F.col("step").alias("id"), "from_id")
+    return lineage(rows).select(F.col("node").alias("step"), F.col("root").alias("head"), F.col("depth").alias("dist"))
+
+
 def waves(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """(step, wave): 1 without dependencies, else one more than the latest of them; null on a cycle or behind an unknown step.
 
-    A step enters a round when as many of its dependencies are resolved as it declares.  Only the frontier and
-    pending counts move in a round; there are as many rounds as waves, each stored in the shared folder.
+    Chains of steps with one dependency are first folded into their heads by doubling pointers, so they take rounds by the
+    logarithm of their length.  Between heads, a round takes the frontier, the heads that became ready; it stores the
+    new counts of the heads that wait for these, and nothing else.  Counts of many rounds are joined now and then.
     """
     deps = stored(edges.select("step", "depends_on").distinct(), "deps")
     declared = deps.groupBy("step").agg(F.count("*").alias("n"))
     names = steps.select("step").distinct()
-    state = stored(names.join(declared, "step", "left").na.fill(0, ["n"]), "waves")
-    done: list[DataFrame] = []
-    wave = 0
+    heads = stored(_heads(names, deps, declared), "heads")
+    own = heads.where("head = step").select("step")
+    known = heads.select(F.col("step").alias("depends_on"), F.col("head").alias("waits_for"), "dist")
+    # of several dependencies in one chain, the last counts; what has no head is never there
+    waits = deps.join(own, "step", "left_semi").join(known, "depends_on", "left").groupBy("step", "waits_for").agg(F.max("dist").alias("dist"))
+    waits = stored(waits.withColumn("n", F.count("*").over(Window.partitionBy("step"))), "waits")
+    frontier = stored(own.join(declared, "step", "left_anti").select("step", F.lit(1).cast("long").alias("wave")), "waves")
+    done, counts = [frontier], []
+
+    def met_by(ready: DataFrame, earlier: list[DataFrame]) -> DataFrame:
+        """The heads that wait for the ready ones: what they have met so far, and where that puts them."""
+        met = waits.join(ready.select(F.col("step").alias("waits_for"), "wave"), "waits_for")
+        met = met.select("step", F.lit(1).cast("long").alias("k"), (F.col("wave") + F.col("dist") + 1).alias("wave"), "n", F.lit(True).alias("_new"))
+        if earlier:
+            met = met.unionByName(reduce(DataFrame.unionByName, earlier).withColumn("_new", F.lit(False)))
+        found = met.groupBy("step").agg(
+            F.count_if("_new") + F.coalesce(F.max(F.when(~F.col("_new"), F.col("k"))), F.lit(0)), F.max("wave"), F.max("n"), F.bool_or("_new")
+        ).toDF("step", "k", "wave", "n", "_new")
+        return found.where("_new").drop("_new")
+
     while True:
-        frontier = state.where("n = 0").select("step")
+        # some rounds in one job; each counts on those before
+        parts, ready, earlier = [], frontier, list(counts)
+        for i in range(ROUNDS_A_JOB):
+            met = met_by(ready, earlier)
+            parts.append(met.withColumn("_round", F.lit(i)))
+            ready = met.where("k = n").select("step", "wave")
+            earlier.append(met.where("k < n"))
+        new = stored(reduce(DataFrame.unionByName, parts), "waves")
+        frontier = new.where(F.col("k") == F.col("n")).where(F.col("_round") == ROUNDS_A_JOB - 1).select("step", "wave")
+        done.append(new.where("k = n").select("step", "wave"))
+        counts.append(new.where("k < n").drop("_round"))
         if frontier.isEmpty():
             break
-        wave += 1
-        done.append(frontier.withColumn("wave", F.lit(wave)))
-        if len(done) == 64:
-            done = [stored(reduce(DataFrame.unionByName, done), "waves")]
-        released = deps.join(frontier.withColumnRenamed("step", "depends_on"), "depends_on", "left_semi").groupBy("step").agg(F.count("*").alias("k"))
-        state = stored(state.where("n > 0").join(released, "step", "left").select("step", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")), "waves")
-    resolved = reduce(DataFrame.unionByName, done) if done else state.limit(0).select("step", F.lit(0).alias("wave"))
-    return names.join(resolved, "step", "left")
+        if len(counts) == COMPACT_ROUNDS:
+            ended = reduce(DataFrame.unionByName, done)
+            open_counts = reduce(DataFrame.unionByName, counts).join(ended.select("step"), "step", "left_anti")
+            done, counts = [stored(ended, "waves")], [stored(open_counts.groupBy("step").agg(F.max("k").alias("k"), F.max("wave").alias("wave"), F.max("n").alias("n")), "waves")]
+    found = reduce(DataFrame.unionByName, done).select(F.col("step").alias("head"), F.col("wave").alias("first"))
+    return names.join(heads.join(found, "head").select("step", (F.col("first") + F.col("dist")).cast("int").alias("wave")), "step", "left")
+
+
+#: Rounds in which steps at the ends of the graph are cut off before components are sought.
+TRIMS = 8
+
+
+def cycle_steps(edges: DataFrame) -> DataFrame:
+    """(step): the steps that lie on a cycle of (step, depends_on): members of strongly connected components, and steps that wait for themselves.
+
+    Ends are trimmed; then each step takes the largest name that reaches it (its colour), and from the step
+    of that name, back along the dependencies of its colour, are the members of its component.  They leave, and the rest
+    is coloured anew.  A round is a step's distance; every pass finds a component for each colour.
+    """
+    left = stored(edges.select("step", "depends_on").distinct(), "cycles")
+    found = [left.where("step = depends_on").select("step")]
+    for _ in range(TRIMS):
+        inner = left.join(left.select(F.col("step").alias("depends_on")).distinct(), "depends_on", "left_semi")
+        inner = stored(inner.join(left.select(F.col("depends_on").alias("step")).distinct(), "step", "left_semi"), "cycles")
+        n, left = left.count(), inner
+        if inner.count() == n:
+            break
+    while not left.isEmpty():
+        colour = stored(left.select("step").unionByName(left.select(F.col("depends_on").alias("step"))).distinct().withColumn("colour", F.col("step")), "colours")
+        changed = colour
+        while not changed.isEmpty():
+            offers = left.join(changed.withColumnsRenamed({"step": "depends_on", "colour": "offer"}), "depends_on").groupBy("step").agg(F.max("offer").alias("offer"))
+            both = stored(colour.join(offers, "step", "left").select("step", F.greatest("colour", "offer").alias("colour"), F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("new")), "colours")
+            colour, changed = both.select("step", "colour"), both.where("new").select("step", "colour")
+        inside = left.join(colour, "step").join(colour.withColumnsRenamed({"step": "depends_on", "colour": "c"}), "depends_on").where("colour = c")
+        inside = stored(inside.select("step", "depends_on", "colour"), "cycles")
+        members = frontier = stored(colour.where("step = colour").select("step"), "members")
+        while not frontier.isEmpty():
+            back = inside.join(frontier, "step", "left_semi").select(F.col("depends_on").alias("step")).distinct()
+            frontier = stored(back.join(members, "step", "left_anti"), "members")
+            members = members.unionByName(frontier)
+        members = stored(members.join(colour, "step"), "members")
+        sizes = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(members.join(sizes, "colour", "left_semi").select("step"))
+        rest = left.join(members.select("step"), "step", "left_anti")
+        left = stored(rest.join(members.select(F.col("step").alias("depends_on")), "depends_on", "left_anti"), "cycles")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def ready_steps(deps: DataFrame, progress: DataFrame) -> DataFrame:
     """Deps (step, depends array), progress (run_id, completed array, failed array): steps not yet run whose dependencies are complete."""
-    if progress.isStreaming:
-        rows = progress.join(deps)
-        ready = F.size(F.array_except("depends", "completed")) == 0
-        return rows.where(ready & ~F.array_contains("completed", F.col("step")) & ~F.array_contains("failed", F.col("step"))).select("run_id", "step")
     completed = progress.select("run_id", F.explode("completed").alias("step"))
     failed = progress.select("run_id", F.explode("failed").alias("step"))
     return ready_after(deps.select("step"), deps.select("step", F.explode("depends").alias("depends_on")), progress.select("run_id"), completed, failed)
@@ -137,12 +211,19 @@ def collect_steps(results: DataFrame, run: str = "run_id", order: str = "seq", v
 
 
 def check_dag(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(step, problem): repeated steps, dependencies on unknown steps, steps on or behind a cycle; if steps has on_failure and fallback, fallbacks that are missing."""
+    """(step, problem): repeated steps, dependencies on unknown steps, steps on a cycle, and steps blocked behind one or behind an unknown
+    step; if steps has on_failure and fallback, fallbacks that are missing.
+    """
     names = steps.select("step").distinct()
     twice = steps.groupBy("step").count().where("count > 1").select("step", F.lit("duplicate step").alias("problem"))
     unknown = edges.join(names.withColumnRenamed("step", "depends_on"), "depends_on", "left_anti").select("step", F.lit("unknown dependency").alias("problem")).distinct()
-    stuck = waves(steps, edges).where("wave IS NULL").select("step").join(unknown.select("step"), "step", "left_anti").select("step", F.lit("cycle").alias("problem"))
-    found = twice.unionByName(unknown).unionByName(stuck)
+    stuck = stored(waves(steps, edges).where("wave IS NULL").select("step"), "stuck")
+    found = twice.unionByName(unknown)
+    if not stuck.isEmpty():
+        among = edges.select("step", "depends_on").join(stuck, "step", "left_semi").join(stuck.withColumnRenamed("step", "depends_on"), "depends_on", "left_semi")
+        cycle = cycle_steps(among)
+        blocked = stuck.join(cycle, "step", "left_anti").join(unknown.select("step"), "step", "left_anti")
+        found = found.unionByName(cycle.withColumn("problem", F.lit("cycle"))).unionByName(blocked.withColumn("problem", F.lit("blocked")))
     if not {"on_failure", "fallback"} <= set(steps.columns):
         return found
     bare = steps.where("on_failure = 'fallback' AND fallback IS NULL").select("step", F.lit("missing fallback").alias("problem")).distinct()

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opstables.operators.ordered import Pieces, pieces
+from opstables.operators.ordered import Pieces, as_of, pieces
 from opstables.operators.runs import Step, fold_sorted
 
 #: Legal transitions of tasks and of nodes.
@@ -286,12 +286,8 @@ def coalesce_ticks(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:
 def coalesce_to_polls(ticks: DataFrame, polls: DataFrame, every: int) -> DataFrame:
     """E23 with polls left out: each tick counts at the first poll at or after it; ticks after the last poll aren't due yet.
 
-    Polls (one row each, whatever the schedules) stand in order in one task; ticks meet them by the buckets of `every` seconds they cover.
+    `every` tells nothing here: polls may come at any times.  Ticks and polls are matched in one order, in pieces of time.
     """
-    at = polls.select("poll_at").distinct().withColumn("since", F.lag("poll_at").over(Window.orderBy("poll_at")))
-    bucket = lambda c: F.expr(f"({c} + {every - 1}) DIV {every}")
-    spans = at.withColumn("bucket", F.explode(F.sequence(F.coalesce(bucket("since"), bucket("poll_at")), bucket("poll_at"))))
-    first = at.agg(F.min("poll_at").alias("first"))
-    rows = ticks.crossJoin(F.broadcast(first)).withColumn("bucket", F.greatest(bucket("t"), bucket("first")))
-    due = rows.join(spans, "bucket").where("t <= poll_at AND (since IS NULL OR t > since)")
+    at = polls.select("poll_at").where("poll_at IS NOT NULL").distinct()
+    due = as_of(ticks, at, [], "t", "poll_at", {}, "poll_at", after=True).where("poll_at IS NOT NULL")
     return due.groupBy("schedule_id", "poll_at").agg(F.max("t").alias("fire_at"), (F.count("*") - 1).alias("missed"))

@@ -147,3 +147,19 @@ def pieces(df: DataFrame, keys: list[str], at: str) -> Pieces:
     rows = _join(df, cuts, keys)
     piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))
     return Pieces(rows.withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece)), keys, at, most)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: dict[str, str], name: str, after: bool = False) -> DataFrame:
+    """left with the last row of right (one for each of its keys and times) at or before each, or the first at or after it: its time as name, and values (column of right -> new name); null if there is none.
+
+    Both sides stand in one order, right rows first among equals; a piece has the last right row of the pieces before.
+    """
+    own = F.struct(*(F.col(c) for c in left.columns)).alias("_left")
+    sign = -1 if after else 1
+    rows = left.select(*keys, (F.col(at) * sign).alias("_at"), F.lit(1).alias("_side"), own)
+    found = F.struct(F.col(right_at).alias("_time"), *(F.col(c).alias(new) for c, new in values.items())).alias("_right")
+    marks = right.where(F.col(right_at).isNotNull()).select(*keys, (F.col(right_at) * sign).alias("_at"), F.lit(0).alias("_side"), found)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    seen = pieces(both, keys, "_at").last_before(["_at", "_side"], {"_seen": F.col("_right")}).plain().where("_side = 1")
+    near = F.when(F.col("_at").isNotNull(), F.col("_seen"))
+    return seen.select("_left.*", near["_time"].alias(name), *(near[new].alias(new) for new in values.values()))

@@ -150,24 +150,28 @@ def _(events):
     return dag.collect_steps(rows).select("run_id", F.array_join("results", ",").alias("results"))
 
 
-_CHECKED = """WITH RECURSIVE bad AS (SELECT DISTINCT step FROM dag_steps WHERE depends_on = 7), r(step) AS (SELECT step FROM bad UNION SELECT d.step FROM r JOIN dag_steps d ON d.depends_on = r.step)
+# step 7 isn't there, and 20 and 40 wait for each other: members of the cycle are those that 20 leads to and that lead to 20
+_CHECKED = """WITH RECURSIVE e AS (SELECT step, depends_on FROM dag_steps UNION SELECT 20, 40), bad AS (SELECT DISTINCT step FROM e WHERE depends_on = 7),
+       later(step) AS (SELECT 20 UNION SELECT e.step FROM later JOIN e ON e.depends_on = later.step), prior(step) AS (SELECT 20 UNION SELECT e.depends_on FROM prior JOIN e ON e.step = prior.step),
+       ring AS (SELECT step FROM later SEMI JOIN prior USING (step)), r(step) AS (SELECT step FROM bad UNION SELECT step FROM ring UNION SELECT e.step FROM r JOIN e ON e.depends_on = r.step)
        SELECT step, 'duplicate step' AS problem FROM (SELECT DISTINCT step FROM dag_steps WHERE step % 100 = 50)
-       UNION ALL SELECT step, 'unknown dependency' FROM bad UNION ALL SELECT step, 'cycle' FROM r ANTI JOIN bad USING (step)"""
+       UNION ALL SELECT step, 'unknown dependency' FROM bad UNION ALL SELECT step, 'cycle' FROM ring UNION ALL SELECT step, 'blocked' FROM r ANTI JOIN bad USING (step) ANTI JOIN ring USING (step)"""
 
 
-def _with_faults(edges):
+def _checked(edges):
     names = _steps(edges).where("step <> 7")
-    return names.unionByName(names.where("step % 100 = 50"))
+    ring = edges.limit(1).selectExpr("20L AS step", "40L AS depends_on")
+    return dag.check_dag(names.unionByName(names.where("step % 100 = 50")), edges.unionByName(ring))
 
 
 @query("i9_check_dag", "dag_steps", _CHECKED)
 def _(edges):
-    return dag.check_dag(_with_faults(edges), edges)
+    return _checked(edges)
 
 
 @query("i9_check_dag_all", "dag_steps", _CHECKED)
 def _(edges):
-    return dag.check_dag(_with_faults(edges), edges)
+    return _checked(edges)
 
 
 @query("i9_missing_fallback", "dag_steps", "SELECT DISTINCT step, 'missing fallback' AS problem FROM dag_steps WHERE step % 3 = 0 AND step % 2 = 0")
@@ -212,3 +216,15 @@ def _(tasks, runs):
 def _(edges):
     deps = edges.groupBy("step").agg(F.collect_set("depends_on").alias("depends"))
     return deps.select("step", (F.size(F.array_except("depends", F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long")))) == 0).alias("ready"))
+
+
+@query(
+    "u2_deps_done_table", "lineitem dag_steps",
+    """WITH done AS (SELECT DISTINCT l_suppkey AS run_id, l_partkey AS step FROM lineitem UNION SELECT DISTINCT l_suppkey, 0 FROM lineitem), near AS (SELECT DISTINCT run_id, d.step FROM done JOIN dag_steps d ON d.depends_on = done.step),
+       lacks AS (SELECT n.run_id, n.step FROM near n JOIN dag_steps d USING (step) ANTI JOIN done ON done.run_id = n.run_id AND done.step = d.depends_on)
+       SELECT run_id, step FROM near EXCEPT SELECT run_id, step FROM lacks EXCEPT SELECT run_id, step FROM done""",
+)
+def _(lines, edges):
+    runs = lines.selectExpr("CAST(l_suppkey AS BIGINT) AS run_id")
+    done = lines.selectExpr("CAST(l_suppkey AS BIGINT) AS run_id", "CAST(l_partkey AS BIGINT) AS step").unionByName(runs.selectExpr("run_id", "0L AS step"))
+    return dag.ready_after(_steps(edges), edges, runs, done, done.limit(0))

@@ -115,7 +115,34 @@ def test_waves_with_cycle_and_unknown(spark):
     got = {r.step: r.wave for r in dag.waves(steps, edges).collect()}
     assert got == {"a": 1, "b": 2, "c": 3, "d": None, "x": None, "y": None, "z": None}
     problems = {(r.step, r.problem) for r in dag.check_dag(steps, edges).collect()}
-    assert problems == {("z", "unknown dependency"), ("x", "cycle"), ("y", "cycle"), ("d", "cycle")}
+    assert problems == {("z", "unknown dependency"), ("x", "cycle"), ("y", "cycle"), ("d", "blocked")}
+
+
+def test_waves_of_long_chains(spark):
+    """2,000 steps in a row, and a comb of them, take rounds by the logarithm of the chain, not by its length."""
+    import time
+
+    chain = [(i, i - 1) for i in range(1, 2000)]
+    comb = [(5000, 1500), (5000, 700), (5001, 5000), (5002, 5001), (5002, 1999)]
+    edges = spark.createDataFrame(chain + comb, "step bigint, depends_on bigint")
+    steps = edges.select("step").union(edges.select("depends_on")).distinct()
+    began = time.perf_counter()
+    got = {r.step: r.wave for r in dag.waves(steps, edges).collect()}
+    assert got == {**{i: i + 1 for i in range(2000)}, 5000: 1502, 5001: 1503, 5002: 2001}
+    assert time.perf_counter() - began < 120
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycle_steps_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(45)} | {(100, 101), (101, 102), (102, 100), (103, 100), (101, 104), (104, 105), (105, 104), (106, 106), (None, 3)}
+    reach = {}
+    for _ in range(60):
+        reach = {s: {d for a, d in edges if a == s} | set().union(*(reach.get(d, set()) for a, d in edges if a == s)) for s, _ in edges}
+    want = {s for s in reach if s in reach[s]}
+    assert {100, 101, 102, 104, 105, 106} <= want and 103 not in want
+    got = [r.step for r in dag.cycle_steps(spark.createDataFrame(list(edges), "step bigint, depends_on bigint")).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_ready_steps_by_brute_force(spark):
@@ -202,7 +229,12 @@ def test_check_dag_by_brute_force(spark):
     while ready := {s for s in stuck if all(d in good for a, d in edges if a == s)}:
         good |= ready
         stuck -= ready
-    want = {(3, "duplicate step"), (55, "unknown dependency")} | {(s, "cycle") for s in stuck - {55}}
+    reach = {s: {d for a, d in edges if a == s} for s in names}
+    for _ in names:
+        reach = {s: ds | set().union(*(reach.get(d, set()) for d in ds)) for s, ds in reach.items()}
+    cycle = {s for s in names if s in reach[s]}
+    assert {20, 30, 41} <= cycle < stuck
+    want = {(3, "duplicate step"), (55, "unknown dependency")} | {(s, "cycle" if s in cycle else "blocked") for s in stuck - {55}}
     got = dag.check_dag(spark.createDataFrame([(s,) for s in [*names, 3]], "step bigint"), spark.createDataFrame(sorted(edges), "step bigint, depends_on bigint")).collect()
     assert sorted((r.step, r.problem) for r in got) == sorted(want) and len(want) > 5
     found = catalog.QUERIES["i9_check_dag_all"](spark, "/root/testdata/sf0.001")
@@ -313,6 +345,50 @@ def test_silences_beyond_the_broadcast_bound(spark, monkeypatch):
         assert {r.id: r.silenced_by for r in alerts.apply_silences(df, s).collect()} == want
 
 
+@pytest.mark.parametrize("pieces", [10**6, 30])
+def test_as_of_by_brute_force(spark, monkeypatch, pieces):
+    from opstables.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_A_PIECE", pieces)
+    rng = random.Random(9)
+    left = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([rng.randrange(500), 100, 480])) for i in range(300)]
+    right = [(k, rng.choice([rng.randrange(100), 200 + rng.randrange(100)]), f"v{i}") for i, k in enumerate(rng.choices(["a", "c", None], k=80))]
+    right = list({(k, t): (k, t, v) for k, t, v in right}.values())  # one row a key and time
+    a, b = spark.createDataFrame(left, "k string, id int, t long"), spark.createDataFrame(right, "k string, t long, v string")
+    for after in (False, True):
+        got = {r.id: (r.at, r.v) for r in ordered.as_of(a, b, ["k"], "t", "t", {"v": "v"}, "at", after).collect()}
+        want = {}
+        for k, i, t in left:
+            near = [(u, v) for h, u, v in right if h == k and (u >= t if after else u <= t)]
+            want[i] = (min(near) if after else max(near)) if near else (None, None)
+        assert got == want
+    times = sorted({t for _, t, _ in right})
+    got = {r.id: r.at for r in ordered.as_of(a, b.select("t").distinct(), [], "t", "t", {}, "at").collect()}
+    assert got == {i: max((u for u in times if u <= t), default=None) for _, i, t in left}
+
+
+def test_silences_by_dyadic_bins(spark, monkeypatch):
+    """Many silences of all lengths and fields, and the plan: no pairs but by equal keys."""
+    monkeypatch.setattr(alerts, "BROADCAST_SILENCES", -1)
+    rng = random.Random(10)
+    pick = lambda xs: rng.choice(xs)
+    rows = [(i, pick("AB"), pick(["critical", "warning"]), pick(["s", "t"]), START + datetime.timedelta(seconds=rng.randrange(100_000))) for i in range(200)]
+    quiet = []
+    for i in range(150):
+        begin = rng.randrange(100_000)
+        end = begin + rng.choice([-5, 0, 1, 30, 3000, 50_000, 10**7])
+        quiet.append((i, pick([None, "A", "B"]), pick([None, "critical"]), pick([None, None, "t"]), START + datetime.timedelta(seconds=begin), pick([START + datetime.timedelta(seconds=end)] * 9 + [None])))
+    df = spark.createDataFrame(rows, "id int, alertname string, severity string, service string, starts_at timestamp")
+    silences = spark.createDataFrame(quiet, "silence_id int, alertname string, severity string, service string, created_at timestamp, expires_at timestamp")
+    found = alerts.apply_silences(df, silences)
+    want = {}
+    for i, *fields, t in rows:
+        want[i] = min((s for s, *f, a, b in quiet if b and a <= t < b and all(x is None or x == y for x, y in zip(f, fields, strict=True))), default=None)
+    assert {r.id: r.silenced_by for r in found.collect()} == want and 20 < sum(x is not None for x in want.values()) < 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_map_step_of_scalars_and_errors(spark):
     df = spark.createDataFrame([(1, [1, 2, 7]), (2, [])], "run_id int, items array<int>")
     got = dag.map_step(df, "run_id", "items", lambda x: x * 2, lambda x: x == 7, "continue", lambda x: F.concat(F.lit("no "), x.cast("string"))).collect()
