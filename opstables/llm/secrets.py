@@ -43,6 +43,7 @@ _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: An example has this many owners, or stands in this many repositories, at least.
 COPIED_OWNERS, COPIED_REPOS = 3, 5
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|redacted|test|xxxx|0000|1234", re.IGNORECASE)
 
 SPANS = "array<struct<kind: string, start: int, end: int, value: binary, random: boolean>>"
@@ -56,16 +57,34 @@ def looks_random(value: str) -> bool:
     return entropy >= 3 and any(c.isdigit() for c in value) and not _PLACEHOLDER.search(value)
 
 
+def _signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the jwt pattern, by one pass over the runs between dots: each start in a long run would be tried anew by the pattern itself."""
+    for m in _DOTTED.finditer(text):
+        runs, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(runs):
+            start, step = runs[i].find("eyJ"), 1
+            if 0 <= start < len(runs[i]) - 3 and runs[i + 1].startswith("eyJ") and len(runs[i + 1]) > 3 and runs[i + 2]:
+                step = 3
+                yield at + start, at + sum(map(len, runs[i : i + 3])) + 2
+            at += sum(len(r) + 1 for r in runs[i : i + step])
+            i += step
+
+
+def _matches(kind: str, pattern: re.Pattern[str], group: int, text: str) -> Iterator[tuple[int, int, str]]:
+    if kind == "jwt":
+        return ((a, b, text[a:b]) for a, b in _signed_tokens(text))
+    return ((m.start(), m.end(), m[group]) for m in (_LONG_HEX if kind == "hex" else pattern).finditer(text))
+
+
 def find_spans(text: str) -> list[dict]:
     """The spans of all kinds, leftmost and not overlapping within a kind, by start and kind; offsets in code points."""
     low, found = text.lower(), []
     for kind, (pattern, group, least, signs) in KINDS.items():
         if signs and not any(s in low for s in signs):
             continue
-        for m in (_LONG_HEX if kind == "hex" else pattern).finditer(text):
-            value = m[group]
+        for start, end, value in _matches(kind, pattern, group, text):
             if len(value) >= least:
-                found.append({"kind": kind, "start": m.start(), "end": m.end(), "value": xxhash.xxh3_128_digest(value.encode()), "random": looks_random(value)})
+                found.append({"kind": kind, "start": start, "end": end, "value": xxhash.xxh3_128_digest(value.encode()), "random": looks_random(value)})
     return sorted(found, key=lambda s: (s["start"], _ORDER[s["kind"]]))
 
 

@@ -14,7 +14,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from opstables.llm import archives, common, conversations, grammar, queries, spelling, warc
+from opstables.llm import archives, common, conversations, grammar, queries, secrets, spelling, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -378,3 +378,24 @@ def test_conversations_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     audits = conversations.audits(conversations.damaged(none))
     assert audits.count() == 0 and conversations.digests(conversations.repaired(none, audits)).count() == 0
+
+
+# --- secrets ---
+
+
+def test_signed_tokens_are_those_of_the_pattern():
+    rng = random.Random(13)
+    pattern = secrets.KINDS["jwt"][0]
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "a", "-", " ", "é", "eyJab.eyJcd.x"]) for _ in range(rng.randrange(25)))
+        assert list(secrets._signed_tokens(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJa.", "eyJa.eyJb.", "token ", "token=", "AKIA", "0a", "ghp_", "xoxb-", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----a ", "secret" + " " * 50, "A ", "-"])
+def test_a_megabyte_of_any_start_is_scanned_in_time(piece):
+    import time
+
+    text = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    secrets.find_spans(text)
+    assert time.perf_counter() - began < 5
