@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opstables.operators.audit import top_per_key
-from opstables.operators.ranks import if_small, split_rank
+from opstables.operators.ordered import as_of
+from opstables.operators.ranks import split_rank
+from opstables.sources.scratch import stored
 
 #: A score is rank * RANK_UNIT + milliseconds.
 RANK_UNIT = 10**13
@@ -70,18 +72,44 @@ def admit_slots(arrivals: DataFrame, entries: DataFrame, config: DataFrame) -> D
     return rows.select("capability", F.col("task_id").alias("slot_id"), fits.alias("acquired"))
 
 
-def greedy_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each request, idle nodes by GPUs, largest first, while the total before a node is below the need.
+def node_order(nodes: DataFrame) -> DataFrame:
+    """Idle nodes with GPUs in the order in which they are taken, largest first: place (from 1), node_id, gpus and running_gpus, the total before the node.
 
-    The running totals don't depend on the request, so they are made once: the total of all larger sizes (one row a
-    size) and the place among nodes of the same size.  Requests are broadcast if they are few.
+    The total of all larger sizes (one row a size) and the place among nodes of the same size make the totals; no task sees all nodes.
     """
     idle = nodes.where("state = 'idle' AND gpus > 0").select("node_id", "gpus")
-    sizes = idle.groupBy("gpus").agg(F.sum("gpus").alias("_sum"))
-    larger = sizes.select("gpus", F.coalesce(F.sum("_sum").over(Window.orderBy(F.col("gpus").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = split_rank(idle, ["gpus"], "node_id", [], "_place")
-    totals = placed.join(larger, "gpus").select("node_id", "gpus", (F.col("_before") + (F.col("_place") - 1) * F.col("gpus")).alias("running_gpus"))
-    return totals.join(if_small(requests), F.col("running_gpus") < F.col("required_gpus")).select("request_id", "node_id", "gpus", "running_gpus")
+    sizes = idle.groupBy("gpus").agg(F.sum("gpus").alias("_sum"), F.count("*").alias("_count"))
+    w = Window.orderBy(F.col("gpus").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    larger = sizes.select("gpus", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("_sum", "_count")))
+    placed = split_rank(idle, ["gpus"], "node_id", [], "_place").join(larger, "gpus")
+    return placed.select((F.col("_count_before") + F.col("_place")).alias("place"), "node_id", "gpus", (F.col("_sum_before") + (F.col("_place") - 1) * F.col("gpus")).alias("running_gpus"))
+
+
+def _cuts(requests: DataFrame, order: DataFrame) -> DataFrame:
+    # totals are whole and rise from node to node, so the last node with a total below the need is the last one up to ceil(need) - 1
+    asked = requests.select("request_id", "required_gpus", (F.ceil("required_gpus").cast("bigint") - 1).alias("_below"))
+    at = as_of(asked, order, [], "_below", "running_gpus", {"place": "_place", "gpus": "_gpus"}, "_before")
+    taken = F.coalesce(F.col("_before") + F.col("_gpus"), F.lit(0))
+    return at.select("request_id", "required_gpus", F.coalesce("_place", F.lit(0)).alias("n_nodes"), taken.alias("taken_gpus"), F.coalesce(taken >= F.col("required_gpus"), F.lit(False)).alias("met"))
+
+
+def node_cuts(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """E6, a row a request: the first n_nodes of node_order are its nodes, taken_gpus their total, met whether that is enough.
+
+    Requests are placed among the running totals by an as-of join in pieces; nothing is paired.  A null need takes no
+    node and isn't met; one of 0 or less takes none and is.
+    """
+    return _cuts(requests, node_order(nodes))
+
+
+def greedy_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """E6 as pairs: for each request, idle nodes by GPUs, largest first, while the total before a node is below the need.
+
+    The pairs are the places up to each request's cut, joined with the node order by place.
+    """
+    order = stored(node_order(nodes), "node-order")
+    places = _cuts(requests, order).where("n_nodes > 0").select("request_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_nodes"))).alias("place"))
+    return places.join(order, "place").select("request_id", "node_id", "gpus", "running_gpus")
 
 
 def least_loaded(workers: DataFrame, next_idx: int) -> DataFrame:

@@ -77,6 +77,18 @@ def _(nodes, region):
     return queue.greedy_nodes(region.selectExpr("CAST(r_regionkey AS BIGINT) AS request_id", "7 + 20 * r_regionkey AS required_gpus"), nodes)
 
 
+@query(
+    "e6_node_cuts", "nodes orders",
+    """WITH t AS (SELECT gpus, coalesce(CAST(sum(gpus) OVER (ORDER BY gpus DESC, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS running_gpus
+                  FROM nodes WHERE state = 'idle' AND gpus > 0),
+            q AS (SELECT o_orderkey AS request_id, o_totalprice / 1000 - 5 AS required_gpus FROM orders)
+       SELECT request_id, round(required_gpus, 6) AS required_gpus, count(gpus) AS n_nodes, CAST(coalesce(sum(gpus), 0) AS BIGINT) AS taken_gpus, coalesce(sum(gpus), 0) >= required_gpus AS met
+       FROM q LEFT JOIN t ON running_gpus < required_gpus GROUP BY request_id, q.required_gpus""",
+)
+def _(nodes, orders):
+    return queue.node_cuts(orders.selectExpr("o_orderkey AS request_id", "o_totalprice / 1000 - 5 AS required_gpus"), nodes).withColumn("required_gpus", F.round("required_gpus", 6))
+
+
 @query(
     "e7_least_loaded", "nodes",
     """WITH w AS (SELECT cluster_id AS pool, node_id AS idx, gpus AS pending, count(*) OVER (PARTITION BY cluster_id) AS n FROM nodes),

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from opstables.operators import alerts as A
 from opstables.operators import metrics as M
+from opstables.operators import vectors as V
+from opstables.operators.ranks import split_sum
 from opstables.plans import recursion
 from opstables.plans.registry import query
 
@@ -83,6 +85,30 @@ def _(tasks):
     return M.ratio_ignoring(tasks, "status", "failed", ["capability", "tenant_id"]).withColumn("ratio", F.round("ratio", 9))
 
 
+@query(
+    "c21_failure_rate", "events",
+    """WITH g AS (SELECT concat('cap-', CAST(user_id % 8 AS VARCHAR)) AS capability, CASE WHEN user_id % 3 > 0 THEN concat('tenant-', CAST(user_id % 3 AS VARCHAR)) END AS tenant_id, event_type AS status,
+              epoch_us(CAST(ts AS TIMESTAMP)) // 3600000000 * 3600 AS t, count(*) AS n FROM events GROUP BY ALL),
+       c AS (SELECT *, sum(n) OVER (PARTITION BY capability, tenant_id, status, t // 604800 ORDER BY t) AS total FROM g),
+       i AS (SELECT *, CASE WHEN lag(total) OVER w IS NULL THEN 0 WHEN total >= lag(total) OVER w THEN total - lag(total) OVER w ELSE total END AS inc FROM c WINDOW w AS (PARTITION BY capability, tenant_id, status ORDER BY t)),
+       r AS (SELECT *, sum(inc) OVER (PARTITION BY capability, tenant_id, status ORDER BY t RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) / 21600 AS rate FROM i),
+       d AS (SELECT capability, tenant_id, t, sum(rate) AS rate FROM r GROUP BY ALL)
+       SELECT r.capability, r.tenant_id, r.status, r.t, round(r.rate / d.rate, 9) AS value FROM r JOIN d ON r.capability = d.capability AND r.tenant_id IS NOT DISTINCT FROM d.tenant_id AND r.t = d.t
+       WHERE r.status = 'error' AND d.rate > 0 AND r.rate / d.rate > 0.05""",
+)
+def _(events):
+    """Counters by capability, tenant and status, hourly, that start anew each week: rate of the failed / ignoring(status) group_left sum without(status) of all > 0.05."""
+    by = ["capability", "tenant_id", "status"]
+    tenant = F.expr("CASE WHEN user_id % 3 > 0 THEN concat('tenant-', user_id % 3) ELSE '' END")  # an empty label is none
+    counts = events.groupBy(F.expr("concat('cap-', user_id % 8)").alias("capability"), tenant.alias("tenant_id"), F.col("event_type").alias("status"), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600000000 * 3600").alias("t")).agg(F.count("*").alias("n"))
+    week = counts.withColumn("week", F.expr("t DIV 604800"))
+    counters = split_sum(week, [*by, "week"], "t", [], "n", "value")
+    rates = V.labelled(M.counter_rate(counters, by, 21600), by, "t", "rate")
+    failed = rates.where(F.col("labels")["status"] == "error")
+    ratios = V.match(failed, V.total(rates, without=("status",)), "/", ignoring=("status",), group="left")
+    return V.compare(ratios, ">", 0.05).select(*(F.try_element_at("labels", F.lit(c)).alias(c) for c in by), "t", F.round("value", 9).alias("value"))
+
+
 @query("a19_throughput", "health_checks", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, capability, count(*) AS n FROM health_checks GROUP BY ALL")
 def _(checks):
     return M.throughput(checks, "ts", "1 hour", ["capability"])
