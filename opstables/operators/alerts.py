@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opstables.operators.ordered import pieces
+from opstables.operators.ranks import if_small
 from opstables.operators.runs import fold_sorted
 from opstables.sources.scratch import stored
 
@@ -23,6 +24,9 @@ RECEIVERS = (
     ("info", None, "default-webhook", 21600),
 )
 DEFAULT_RECEIVER, DEFAULT_REPEAT = "default-webhook", 43200
+#: Seconds that a new group of the routes above waits, in their order; of all others; between later notifications.
+ROUTE_WAITS = (10, 10, 15, 30, 30)
+DEFAULT_WAIT, GROUP_INTERVAL = 30, 300
 #: The most silences that are broadcast.
 BROADCAST_SILENCES = 10_000
 
@@ -225,3 +229,94 @@ def notifications(alerts: DataFrame, wait: int = 30, interval: int = 300, repeat
         return (due, sent, n + 1), out
 
     return fold_sorted(rows, ["alertname", "severity", "service"], ["t"], [], (None, None, 0), step, "sent_at bigint, n bigint", lambda s: [(s[0], s[2])])
+
+
+def routes(spark: SparkSession) -> DataFrame:
+    """The routing tree as a table: place, severity and alertname (null: any), receiver, wait_s, interval_s, repeat_s."""
+    rows = [(i, severity, name, to, wait, GROUP_INTERVAL, repeat) for i, ((severity, name, to, repeat), wait) in enumerate(zip(RECEIVERS, ROUTE_WAITS, strict=True))]
+    rows.append((len(rows), None, None, DEFAULT_RECEIVER, DEFAULT_WAIT, GROUP_INTERVAL, DEFAULT_REPEAT))
+    return spark.createDataFrame(rows, "place int, severity string, alertname string, receiver string, wait_s bigint, interval_s bigint, repeat_s bigint")
+
+
+def _route_of_groups(groups: DataFrame, tree: DataFrame) -> DataFrame:
+    """The first route of each group (alertname, severity, service): one of four joins on what the route names, the least place of them."""
+    route = F.struct("place", "receiver", "wait_s", "interval_s", "repeat_s").alias("_route")
+    found = None
+    for names in ((), ("severity",), ("alertname",), ("severity", "alertname")):
+        own = reduce(and_, (F.col(c).isNotNull() if c in names else F.col(c).isNull() for c in ("severity", "alertname")))
+        best = tree.where(own).select(*names, route).groupBy(*names).agg(F.min("_route").alias("_route"))
+        part = groups.join(if_small(best), list(names)) if names else groups.crossJoin(F.broadcast(best))  # at most one row
+        part = part.select("alertname", "severity", "service", "_route")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("alertname", "severity", "service").agg(F.min("_route").alias("_route")).where("_route IS NOT NULL").select("alertname", "severity", "service", "_route.*")
+
+
+def _next_tick(t: Column, first: Column, interval: Column) -> Column:
+    """The first of first, first + interval, ... that is not before t."""
+    return first + F.greatest(F.ceil((t - first) / interval), F.lit(0)).cast("bigint") * interval
+
+
+def routed_notifications(alerts: DataFrame, tree: DataFrame, as_of: int | None = None) -> DataFrame:
+    """E19 with routes: what each group (alertname, severity, service) is told, when, by which receiver.
+
+    alerts: id, alertname, severity, service, fingerprint, status (firing or resolved), starts_at: the changes of each fingerprint (in
+    order of time, then id; a repeated status changes nothing).  tree: as routes gives it.  A group opens when its first alert
+    fires, and is looked at after its route's wait and then every interval: a look that finds alerts that began since the last notification
+    tells of them ("firing", n of them); one that finds nothing new tells again ("repeat") when repeat seconds have passed; the first
+    that finds all resolved tells that, if anything was told before ("resolved"), and closes the group, which then is silent.
+    Open groups repeat up to as_of (seconds; null: the last change of all).  Rows without a time, and groups of no route, are passed over.
+
+    Changes are counted by second before anything else, so what follows sees seconds: running counts of the firing give the spans
+    in which a group fires (pieces of time, no task per group).  Whether a span finds the group of the one before still open
+    depends on when that was opened: a fold over spans, cut wherever a group is surely closed.  Looks and repeats then are
+    arithmetic.
+    """
+    group = ["alertname", "severity", "service"]
+    changes = alerts.where("status IN ('firing', 'resolved') AND starts_at IS NOT NULL").select(
+        *(F.coalesce(c, F.lit("")).alias(c) for c in group), F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), "id", F.unix_seconds(F.col("starts_at").cast("timestamp")).alias("t"), F.unix_micros(F.col("starts_at").cast("timestamp")).alias("_at"), (F.col("status") == "firing").alias("_on")
+    )
+    seen = pieces(changes, [*group, "fingerprint"], "_at").last_before(["_at", "id"], {"_was": F.col("_on")}).plain()
+    was = F.coalesce("_was", F.lit(False))
+    turns = seen.where(F.col("_on") != was)
+    seconds = stored(turns.groupBy(*group, "t").agg(F.sum(F.when(F.col("_on"), 1).otherwise(-1)).alias("_step"), F.count_if("_on").alias("_new")), "alert-seconds")
+
+    counted = pieces(seconds, group, "t").running_sum(["t"], {"_active": F.col("_step")})
+    opens = (F.col("_active") > 0) & (F.col("_active") == F.col("_step"))
+    lived = stored(counted.running_sum(["t"], {"_span": F.when(opens, 1).otherwise(0)}).plain().where("_active > 0 OR _step < 0"), "alert-spans")
+    spans = lived.groupBy(*group, "_span").agg(F.min("t").alias("start"), F.max(F.when(F.col("_active") == 0, F.col("t"))).alias("end"))
+    spans = spans.join(if_small(_route_of_groups(spans.select(*group).distinct(), tree)), group)
+    # a pause that is no shorter than wait and interval holds a look
+    paused = pieces(spans, group, "start").last_before(["start"], {"_ended": F.struct("end")})
+    closed = F.col("start") - F.col("_ended.end") > F.greatest("wait_s", "interval_s")
+    cut = paused.running_sum(["start"], {"_cut": F.when(closed, 1).otherwise(0)}).plain()
+
+    def step(open_at: tuple | None, start: int, span: int, end: int | None, wait: int, interval: int) -> tuple[tuple | None, list[tuple]]:
+        if open_at is not None:
+            opened, ended = open_at
+            first = opened + wait
+            look = first + max(0, -((first - ended) // interval)) * interval
+            if start > look:
+                open_at = None
+        opened = start if open_at is None else open_at[0]
+        return (opened, end), [(span, opened)]
+
+    opened = stored(fold_sorted(cut, [*group, "_cut"], ["start"], ["_span", "end", "wait_s", "interval_s"], None, step, "_span bigint, opened bigint").drop("_cut").join(spans, [*group, "_span"]), "alert-groups")
+    first, interval = F.col("opened") + F.col("wait_s"), F.col("interval_s")
+    by = [*group, "opened"]
+    route = ["receiver", "wait_s", "interval_s", "repeat_s"]
+    last = lived.agg(F.max("t").alias("_last")) if as_of is None else None
+    lives = opened.groupBy(*by, *route).agg(F.max("end").alias("_end"), F.count_if(F.col("end").isNull()).alias("_open"))
+    lives = lives.withColumn("_close", F.when(F.col("_open") == 0, _next_tick(F.col("_end"), first, interval)))
+    lives = lives.withColumn("_until", F.lit(as_of).cast("bigint")) if last is None else lives.crossJoin(F.broadcast(last)).withColumnRenamed("_last", "_until")
+    lives = lives.where("_close IS NULL OR _close > opened + wait_s")
+    news = lived.where("_new > 0").join(opened.select(*by, "_span"), [*group, "_span"]).groupBy(*by, "t").agg(F.sum("_new").alias("_new"))
+    looks = news.join(lives, by).withColumn("sent_at", _next_tick(F.col("t"), first, interval))
+    told = looks.groupBy(*by, "receiver", "interval_s", "repeat_s", "sent_at", "_close", "_until").agg(F.sum("_new").alias("n")).where("_close IS NULL OR sent_at < _close")
+    following = F.lead("sent_at").over(Window.partitionBy(*by).orderBy("sent_at"))
+    every = F.ceil(F.col("repeat_s") / interval).cast("bigint") * interval
+    told = told.withColumns({"_next": F.coalesce(following, "_close", F.col("_until") + 1), "_every": every})
+    again = F.greatest(F.expr("(_next - sent_at - 1) DIV _every"), F.lit(0))
+    shown = told.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), again)))
+    sent = shown.select(*group, "receiver", (F.col("sent_at") + F.col("_i") * F.col("_every")).alias("sent_at"), F.when(F.col("_i") == 0, "firing").otherwise("repeat").alias("kind"), F.when(F.col("_i") == 0, F.col("n")).otherwise(0).alias("n"))
+    ends = lives.where("_close IS NOT NULL").select(*group, "receiver", F.col("_close").alias("sent_at"), F.lit("resolved").alias("kind"), F.lit(0).cast("bigint").alias("n"))
+    return sent.unionByName(ends)

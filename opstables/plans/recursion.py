@@ -115,6 +115,43 @@ def notifications(wait: int = 30, interval: int = 300, repeat: int = 43200) -> s
     )
 
 
+def routed_notifications(tree: list[tuple]) -> str:
+    """tree: (place, severity, alertname, receiver, wait, interval, repeat), null for any."""
+    def text(v: object) -> str:
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    rows = ", ".join(f"({', '.join(map(text, r))})" for r in tree)
+    group = "alertname, severity, service"
+    turns = f"""SELECT {group}, epoch_us(starts_at) // 1000000 AS t, CASE WHEN is_on THEN 1 ELSE -1 END AS step FROM (SELECT *, status = 'firing' AS is_on,
+      coalesce(lag(status = 'firing') OVER (PARTITION BY {group}, fingerprint ORDER BY starts_at, id), false) AS was FROM alerts WHERE status IN ('firing', 'resolved')) WHERE is_on <> was"""
+    seconds = f"SELECT {group}, t, sum(step) AS step, count(*) FILTER (step = 1) AS fresh FROM ({turns}) GROUP BY ALL"
+    counted = f"SELECT *, sum(step) OVER (PARTITION BY {group} ORDER BY t) AS active FROM ({seconds})"
+    lived = f"SELECT * FROM (SELECT *, sum(CASE WHEN active > 0 AND active = step THEN 1 ELSE 0 END) OVER (PARTITION BY {group} ORDER BY t) AS span FROM ({counted})) WHERE active > 0 OR step < 0"
+    spans = f"SELECT {group}, span, min(t) AS t, max(t) FILTER (active = 0) AS fin FROM ({lived}) GROUP BY ALL"
+    routed = f"""SELECT concat_ws('|', {', '.join(f's.{c}' for c in group.split(', '))}) AS g, s.*, span AS id, x.* EXCLUDE (severity, alertname) FROM ({spans}) s
+      JOIN (VALUES {rows}) x(place, severity, alertname, receiver, wait, every, again) ON (x.severity IS NULL OR x.severity = s.severity) AND (x.alertname IS NULL OR x.alertname = s.alertname)
+      QUALIFY row_number() OVER (PARTITION BY s.alertname, s.severity, s.service, span ORDER BY place) = 1"""
+    none = "CAST(NULL AS BIGINT)"
+
+    def look(t: str, opened: str, of: str = "") -> str:
+        return f"({opened} + {of}wait + CAST(greatest(ceil(({t} - {opened} - {of}wait) / {of}every), 0) AS BIGINT) * {of}every)"
+
+    return fold_sql(
+        routed, "g", {"opened": none, "ended": none},
+        [{"seen": look("ended_", "opened_")}, {"opened": "CASE WHEN opened_ IS NULL OR t > seen THEN t ELSE opened_ END", "ended": "fin"}],
+        f""", lived AS ({lived}),
+  lives AS (SELECT g, {group}, opened, receiver, wait, every, again, CASE WHEN bool_and(fin IS NOT NULL) THEN max(fin) END AS fin FROM s GROUP BY ALL),
+  closed AS (SELECT *, CASE WHEN fin IS NOT NULL THEN {look('fin', 'opened')} END AS close FROM lives),
+  kept AS (SELECT * FROM closed WHERE close IS NULL OR close > opened + wait),
+  told AS (SELECT k.*, {look('l.t', 'k.opened', 'k.')} AS sent, sum(l.fresh) AS n FROM kept k JOIN s ON s.g = k.g AND s.opened = k.opened JOIN lived l ON l.alertname = s.alertname AND l.severity = s.severity AND l.service = s.service AND l.span = s.span
+           WHERE l.fresh > 0 GROUP BY ALL),
+  nexts AS (SELECT *, coalesce(lead(sent) OVER (PARTITION BY g, opened ORDER BY sent), close, (SELECT max(t) FROM lived) + 1) AS following, CAST(ceil(again / every) AS BIGINT) * every AS pace FROM told WHERE close IS NULL OR sent < close)
+  SELECT {group}, receiver, sent AS sent_at, 'firing' AS kind, n FROM nexts
+  UNION ALL SELECT {group}, receiver, sent + i * pace, 'repeat', 0 FROM (SELECT *, unnest(range(1, 1 + greatest((following - sent - 1) // pace, 0))) AS i FROM nexts)
+  UNION ALL SELECT {group}, receiver, close, 'resolved', 0 FROM kept WHERE close IS NOT NULL""",
+    )
+
+
 def lifecycle(for_s: int) -> str:
     return fold_sql(
         'SELECT CAST(user_id AS VARCHAR) AS labels, event_id AS id, value > 30 AS "on", CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1000000 AS t FROM events', "labels",

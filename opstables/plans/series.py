@@ -215,3 +215,12 @@ def _(events):
 @query("e19_notifications", "alerts", recursion.notifications())
 def _(alerts):
     return A.notifications(alerts)
+
+
+_TREE = [(i, sev, name, to, wait, A.GROUP_INTERVAL, again) for i, ((sev, name, to, again), wait) in enumerate(zip(A.RECEIVERS, A.ROUTE_WAITS, strict=True))]
+_TREE.append((len(_TREE), None, None, A.DEFAULT_RECEIVER, A.DEFAULT_WAIT, A.GROUP_INTERVAL, A.DEFAULT_REPEAT))
+
+
+@query("e19_routed_notifications", "alerts", recursion.routed_notifications(_TREE))
+def _(alerts):
+    return A.routed_notifications(alerts, A.routes(alerts.sparkSession))
