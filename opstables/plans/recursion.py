@@ -165,6 +165,23 @@ def lifecycle(for_s: int) -> str:
     )
 
 
+def alert_changes(rules: list[tuple[str, str, int, str]], length: int) -> str:
+    """Windows of length seconds that the last event has passed, by rules, through the alert machine."""
+    us = length * 1_000_000
+    windows = f"""SELECT concat('cap-', CAST(user_id % 8 AS VARCHAR)) AS capability, (epoch_us(CAST(ts AS TIMESTAMP)) // {us} + 1) * {length} AS t, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, avg(value) AS mean
+      FROM events GROUP BY ALL HAVING t * 1000 <= (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000 FROM events)"""
+    evals = " UNION ALL ".join(f"""SELECT capability || '|{a}' AS g, capability, '{a}' AS alertname, '{s}' AS severity, {d} AS hold, t, t AS id, {p} AS "on" FROM ({windows})""" for a, p, d, s in rules)
+    return fold_sql(
+        evals, "g", {"state": "'inactive'", "since": "CAST(NULL AS BIGINT)"},
+        [
+            {"began": "CASE WHEN state_ = 'inactive' THEN t ELSE since_ END"},
+            {"state": """CASE WHEN NOT "on" THEN 'inactive' WHEN state_ = 'firing' OR t - began >= hold THEN 'firing' ELSE 'pending' END""", "since": 'CASE WHEN "on" THEN began END'},
+        ],
+        """SELECT alertname, severity, capability, t AS at, 'resolved' AS state FROM s WHERE state_ = 'firing' AND state = 'inactive' UNION ALL SELECT alertname, severity, capability, t, 'pending' FROM s WHERE state_ = 'inactive' AND state <> 'inactive'
+  UNION ALL SELECT alertname, severity, capability, t, 'firing' FROM s WHERE state = 'firing' AND state_ <> 'firing'""",
+    )
+
+
 NODE_EVENT = "CASE event WHEN 'enqueue' THEN 'reserve' WHEN 'start' THEN 'join' WHEN 'complete' THEN 'drain' WHEN 'fail' THEN 'offline' ELSE 'release' END"
 TASKS, NODES = (fsm.TASK_TABLE, "pending"), (fsm.NODE_TABLE, "idle", NODE_EVENT)
 #: What the streams of the same machines show.

@@ -75,6 +75,14 @@ _register(
     "t8_alert_lifecycle", "events",
     lambda s: T.alert_lifecycle(s.select(F.col("user_id").cast("string").alias("labels"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 30).alias("on")), 86400), sql=recursion.lifecycle(86400),
 )
+_CHAIN = [("Slow", "mean > 52", 21600, "warning"), ("Failing", "bad / n > 0.3", 0, "critical")]
+_register(
+    "t8_alert_changes", "events",
+    lambda s: T.alert_changes(
+        s.select(F.expr("concat('cap-', user_id % 8)").alias("capability"), F.col("ts").cast("timestamp").alias("at"), "event_type", "value"), "at", ["capability"],
+        {"n": F.count("*"), "bad": F.count_if(F.col("event_type") == "error"), "mean": F.avg("value")}, _CHAIN, "6 hours", delay="0 seconds",
+    ).withColumn("at", F.col("at").cast("bigint")), sql=recursion.alert_changes(_CHAIN, 21600),
+)
 _register("t5_idempotency", "events", lambda s: T.deduplicated(_events(s), "created_at", ["task_id", "event"], "300 seconds").select("task_id", "event"), views="task_events", sql="SELECT DISTINCT task_id, event FROM task_events")
 _register(
     "t7_windowed_counts", "events", lambda s: T.windowed_counts(_events(s), "created_at", ["event"], "1 hour"), mode="complete", views="task_events",

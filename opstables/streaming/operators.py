@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StringType, StructField, StructType
 
 from opstables.operators import fsm, metrics, reconcile, schedule
 from opstables.sources.tables import live
@@ -84,23 +85,47 @@ def health(checks: DataFrame, unhealthy: int = 3, healthy: int = 2, delay: str =
     return fold(checks, "entity", "ts", ["id", "ok"], fsm.health_step(unhealthy, healthy), fsm.HEALTH_START, "status string, good int, bad int", "id long, status string", due=lambda s: None, delay=delay)
 
 
-def alert_lifecycle(evals: DataFrame, for_s: int, delay: str = "0 seconds") -> DataFrame:
-    """(labels, at, state): inactive, pending while a condition holds, firing once it has for for_s seconds, resolved when it ends."""
+def alert_lifecycle(evals: DataFrame, for_s: int | None, delay: str | None = "0 seconds", key: str = "labels", time: str = "ts") -> DataFrame:
+    """(key, at, state): inactive, pending while a condition holds, firing once it has for for_s seconds, resolved when it ends.
 
-    def step(s: list, at: float, on: bool) -> tuple[list, list[tuple]]:
+    for_s None: evals has it as a column.  Only pending and firing alerts have a state.
+    """
+
+    def step(s: list, at: float, on: bool, hold: int) -> tuple[list | None, list[tuple]]:
         state, since = s
         if not on:
-            return ["inactive", None], [(at, "resolved")] if state == "firing" else []
+            return None, [(at, "resolved")] if state == "firing" else []
         rows = []
         if state == "inactive":
             state, since = "pending", at
             rows.append((at, "pending"))
-        if state == "pending" and at - since >= for_s:
+        if state == "pending" and at - since >= hold:
             state = "firing"
             rows.append((at, "firing"))
         return [state, since], rows
 
-    return fold(evals, "labels", "ts", ["on"], step, ["inactive", None], "state string, since double", "at double, state string", due=lambda s: None, delay=delay)
+    held = (F.col("for_s") if for_s is None else F.lit(for_s)).cast("bigint")
+    return fold(evals.withColumn("for_s", held), key, time, ["on", "for_s"], step, ["inactive", None], "state string, since double", "at double, state string", due=lambda s: None, delay=delay)
+
+
+def alert_changes(sdf: DataFrame, time: str, labels: list[str], values: dict[str, Column], rules: list[tuple[str, str, int, str]], length: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """T7, E18 and T8 in one query: (alertname, severity, labels, at, state), at in seconds, as alerts change.
+
+    values are aggregates of each window and label set; a window is evaluated once, when the watermark passes its end, by all
+    rules (alertname, predicate over values, seconds that it must hold, severity; null is false), and the results go to the alert
+    machine in the order of the windows' ends.  Rows later than delay are dropped before the windows.  State: windows that the
+    watermark hasn't passed, and alerts that are pending or firing.  A label set without rows in a window isn't evaluated there.
+    """
+    win = F.window(time, length, slide) if slide else F.window(time, length)
+    sums = sdf.withWatermark(time, delay).groupBy(win, *labels).agg(*(c.alias(n) for n, c in values.items()))
+    timed = sums.select(F.window_time("window").alias("_at"), *labels, *values)
+    tests = F.array(*(F.struct(F.lit(a).alias("alertname"), F.lit(s).alias("severity"), F.lit(d).cast("bigint").alias("for_s"), F.coalesce(F.expr(p), F.lit(False)).alias("on")) for a, p, d, s in rules))
+    evals = timed.select("_at", *labels, F.inline(tests))
+    own = StructType([StructField("alertname", StringType()), StructField("severity", StringType()), *(evals.schema[c] for c in labels)])
+    keyed = evals.select(F.to_json(F.struct("alertname", "severity", *labels)).alias("_key"), "_at", "on", "for_s")
+    changes = alert_lifecycle(keyed, None, None, "_key", "_at")
+    # a window's time is a microsecond before its end
+    return changes.select(F.from_json("_key", own).alias("_of"), F.round(F.col("at") + 1e-6, 5).alias("at"), "state").select("_of.*", "at", "state")
 
 
 #: A stream ends when no chunk comes for IDLE seconds, or at TOTAL seconds after its first.

@@ -152,7 +152,7 @@ class OrderedFold(StatefulProcessor):
 
 def fold(
     sdf: DataFrame, key: str, time: str, fields: list[str], step: Step, start: Any, state: str, schema: str, *,
-    due: Callable[[Any], float | None], expired: Callable[[Any], tuple[Any, list[tuple]]] = lambda s: (None, []), delay: str = "0 seconds",
+    due: Callable[[Any], float | None], expired: Callable[[Any], tuple[Any, list[tuple]]] = lambda s: (None, []), delay: str | None = "0 seconds",
 ) -> DataFrame:
     """The key and the rows of schema that `step(state, time, *fields) -> (state, rows)` gives over each key's events, in the order of time and fields.
 
@@ -160,10 +160,10 @@ def fold(
     delay give what they give in order; later ones are dropped.  The watermark counts milliseconds: an event of its own
     millisecond that comes a batch late is folded when it comes.  state: names and types of what start and step hold (one name: the value
     itself).  due(state) is the moment, in seconds of event time, at which expired(state) gives more rows and the state after (None drops
-    it).  State is kept by RocksDB, for which the session is set.
+    it).  delay None: sdf comes from a stateful operator, and time has that one's watermark.  State is kept by RocksDB, for which the session is set.
     """
     sdf.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
-    rows = sdf.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("us"), *fields)
+    rows = (sdf if delay is None else sdf.withWatermark(time, delay)).select(key, time, F.unix_micros(time).alias("us"), *fields)
     given = StructType([sdf.schema[key], *StructType.fromDDL(schema).fields])
     kinds: dict[str, DataType] = {"us": LongType(), **{c: sdf.schema[c].dataType for c in fields}}
     processor = OrderedFold(kinds, given.names, step, start, state, due, expired)

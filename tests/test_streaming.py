@@ -271,3 +271,27 @@ def test_late_rows_are_dropped_and_state_goes(spark, tmp_path):
     stream = batches(spark, tmp_path, "in", schema, [(1, at(0), 1, False), (1, at(100), 2, False)], [(2, at(5000), 4, True)], [(1, at(10), 3, False)], [(1, at(6000), 5, False)])
     got = sorted((r.id, r.state, r.failures) for r in streams.run(spark, T.breaker(stream, 3, 60.0)).collect())
     assert got == [(1, "closed", 1), (2, "closed", 2), (4, "closed", 0), (5, "closed", 1)]
+
+
+def test_windows_rules_and_alerts_in_one_query(spark, tmp_path):
+    """20 batches: a busy minute in three fires by its count; rows within the delay count in their window, later ones don't; the state stays small."""
+    schema = "label string, ts timestamp"
+    minutes = range(0, 60)
+    parts = []
+    for k in range(20):
+        own = [m for m in minutes if m // 3 == k]
+        parts.append([("a", at(m * 60 + i * 5)) for m in own for i in range(8 if m % 6 < 4 else 1)] + ([("a", at(own[0] * 60 - 30))] if k else []))
+    parts[10].append(("a", at(0)))  # far too late, in a busy minute that was told long ago
+    parts.append([(None, at(90_000))])
+    stream = batches(spark, tmp_path, "in", schema, *parts)
+    out = T.alert_changes(stream, "ts", ["label"], {"n": F.count("*")}, [("Busy", "n > 5", 120, "warning"), ("Never", "n > 1000", 0, "info")], "1 minute", delay="2 minutes")
+    base = str(tmp_path / "out")
+    q = out.writeStream.format("parquet").option("checkpointLocation", base + "-c").trigger(availableNow=True).start(base)
+    q.awaitTermination()
+    assert q.exception() is None
+    got = sorted((r.at - BASE, r.label, r.alertname, r.severity, r.state) for r in spark.read.parquet(base).collect())
+    want = [(t, "a", "Busy", "warning", s) for m in range(0, 60, 6) for t, s in ((m * 60 + 60, "pending"), (m * 60 + 180, "firing"), (m * 60 + 300, "resolved"))]
+    assert got == sorted(want)
+    progress = [p for p in q.recentProgress if p.stateOperators]
+    assert len(progress) >= 20 and all(op.numRowsTotal <= 12 for p in progress for op in p.stateOperators)
+    assert sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators) >= 1
