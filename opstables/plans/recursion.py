@@ -168,8 +168,8 @@ def lifecycle(for_s: int) -> str:
 def alert_changes(rules: list[tuple[str, str, int, str]], length: int) -> str:
     """Windows of length seconds that the last event has passed, by rules, through the alert machine."""
     us = length * 1_000_000
-    windows = f"""SELECT concat('cap-', CAST(user_id % 8 AS VARCHAR)) AS capability, (epoch_us(CAST(ts AS TIMESTAMP)) // {us} + 1) * {length} AS t, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, avg(value) AS mean
-      FROM events GROUP BY ALL HAVING t * 1000 <= (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000 FROM events)"""
+    windows = f"""SELECT * FROM (SELECT concat('cap-', CAST(user_id % 8 AS VARCHAR)) AS capability, (epoch_us(CAST(ts AS TIMESTAMP)) // {us} + 1) * {length} AS t, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, avg(value) AS mean
+      FROM events GROUP BY 1, 2) WHERE t * 1000 <= (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000 FROM events)"""
     evals = " UNION ALL ".join(f"""SELECT capability || '|{a}' AS g, capability, '{a}' AS alertname, '{s}' AS severity, {d} AS hold, t, t AS id, {p} AS "on" FROM ({windows})""" for a, p, d, s in rules)
     return fold_sql(
         evals, "g", {"state": "'inactive'", "since": "CAST(NULL AS BIGINT)"},
