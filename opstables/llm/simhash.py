@@ -13,7 +13,7 @@ Two ways to the blocks:
   bands of 4, texts of similarity 0.8 meet in a block with probability 0.9998.
 
 Equal fingerprints are one member, whatever their number.  A pigeonhole block of more than TILE members
-is split by further parts of the fingerprint; one that is still larger (or of shingles) into tiles and the pairs of tiles, so no task gets more than two tiles; from a block come
+is split by parts of the bits that its key leaves free; one that is still larger (or of shingles) into tiles and the pairs of tiles, so no task gets more than two tiles; from a block come
 the edges of its local components (fewer than it has members), never its pairs.
 
 With a percent, such a component only says which members to verify.  Equal sets of distinct shingles
@@ -285,21 +285,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+#: The 16-bit parts, from the lowest, that a pigeonhole key does not fix: the key's number, as _pigeonhole_keys gives it, -> two parts.
+_FREE = tuple(tuple(sorted(set(range(4)) - set(pair))) for pair in itertools.combinations(range(4), 2))
+
+
 def _split_hot(keys: DataFrame, how: Sketching) -> DataFrame:
     """keys (key, rep, fp) with the blocks of more than TILE members split further, where that loses no link.
 
-    Pigeonhole blocks only: of the 64 bits in three parts, fingerprints within 2 bits agree in one at least,
-    so a member of a hot block goes to three smaller ones, not to as many pairs of tiles as there are tiles.
+    Pigeonhole blocks only: the key fixes 32 of the 64 bits; of the other 32 in three parts (11, 11 and 10 bits), fingerprints
+    within 2 bits agree in one at least.  So a member of a hot block goes to three of 5,120 smaller ones, not to as many
+    pairs of tiles as there are tiles.
     """
     if how.blocks != "pigeonhole":
         return keys
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("key", F.lit(True).alias("hot")), "hot-blocks")
     small = fits_broadcast(hot.count(), 16)
     digits = F.hex("fp")
-    high, low = (F.conv(F.substring(digits, at, 8), 16, 10).cast("long") for at in (1, 9))
-    parts = (F.shiftright(high, 10), F.shiftleft(high.bitwiseAND(F.lit(1023)), 11).bitwiseOR(F.shiftright(low, 21)), low.bitwiseAND(F.lit(2**21 - 1)))
-    # two blocks whose hashes clash are one: more comparisons, the same links
-    finer = F.array(*(F.xxhash64("key", F.lit(i), part) for i, part in enumerate(parts)))
+    parts = [F.conv(F.substring(digits, at, 4), 16, 10).cast("long") for at in (13, 9, 5, 1)]  # from the lowest
+    number = F.shiftright("key", 32)
+    free = F.element_at(F.array(*(F.shiftleft(parts[b], 16).bitwiseOR(parts[a]) for a, b in _FREE)), (number + 1).cast("int"))
+    # the free bits are part of the key, so only like parts meet; two blocks whose hashes clash are one: more comparisons, the same links
+    cuts = ((0, 11), (11, 11), (22, 10))
+    finer = F.array(*(F.xxhash64("key", F.lit(i), F.shiftright(free, at).bitwiseAND(F.lit(2**width - 1))) for i, (at, width) in enumerate(cuts)))
     marked = keys.join(F.broadcast(hot) if small else hot, "key", "left")
     return marked.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), "rep", "fp")
 

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +355,32 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty, empty["source"], empty["lang"]).count() == 0
 
 
+def test_simhash_hot_blocks_are_split(spark):
+    """Members that agree in the 32 bits of a key, whichever: their finer blocks are small, and lose no pair within 2 bits."""
+    rng = np.random.default_rng(4)
+    n, rows = 6000, []
+    for number, (a, b) in enumerate(itertools.combinations(range(4), 2)):
+        fixed = {a: 0x1234, b: 0xFEDC}
+        free = rng.integers(0, 2**16, (n, 4))
+        for k in range(0, 200, 2):  # planted neighbours, 2 bits apart in a free part
+            free[k + 1] = free[k]
+            c = next(p for p in range(4) if p not in fixed)
+            free[k + 1, c] ^= (1 << (k % 16)) | (1 << ((k + 5) % 16))
+        for i in range(n):
+            x = sum(int(fixed.get(p, free[i, p])) << 16 * p for p in range(4))
+            fp = x.to_bytes(8, "big")
+            assert simhash._pigeonhole_keys(fp)[number] == number << 32 | 0x1234 << 16 | 0xFEDC
+            rows.append((number << 32 | 0x1234 << 16 | 0xFEDC, number * n + i, bytearray(fp)))
+    keys = spark.createDataFrame(pd.DataFrame(rows, columns=["key", "rep", "fp"]), "key long, rep long, fp binary")
+    finer = collections.defaultdict(set)
+    for r in simhash._split_hot(keys, simhash.Sketching()).collect():
+        finer[r.key].add(r.rep)
+    assert len(rows) == 6 * n and sum(map(len, finer.values())) == 3 * len(rows)
+    assert max(map(len, finer.values())) < 40  # 6,000 members of 1,024 or 2,048 values
+    together = {(m, m + 1) for block in finer.values() for m in block if m + 1 in block}
+    assert all((number * n + k, number * n + k + 1) in together for number in range(6) for k in range(0, 200, 2))
+
+
 @pytest.mark.parametrize("tile", [2, 1024])
 def test_simhash_components(docs, empty, monkeypatch, tile):
     import xxhash
