@@ -90,6 +90,29 @@ def route_alerts(alerts: DataFrame, rules: tuple[tuple[dict[str, str], str], ...
     return alerts.withColumn("channels", F.array_distinct(F.concat(own, extra)))
 
 
+def route_by_rules(alerts: DataFrame, rules: DataFrame, labels: tuple[str, ...] = ("alertname", "severity", "service", "fingerprint")) -> DataFrame:
+    """P16 with rules as a table (rule_id, match map<string,string>, channel): alerts with channels, the severity's first, then those of matching rules by name, each once.
+
+    A rule is found by the one of its labels that the fewest rules name, then tested on the others; an empty match fits all alerts, a null match
+    or value none.  A label is a column or, where that is null, an entry of the map `extra` (if alerts has one).
+    """
+    pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in labels if c in alerts.columns)), lambda e: e["value"].isNotNull())
+    own = F.map_from_entries(pairs)
+    if "extra" in alerts.columns:
+        more = F.coalesce(F.col("extra"), F.create_map().cast("map<string,string>"))
+        own = F.map_concat(own, F.map_filter(more, lambda k, v: ~F.array_contains(F.map_keys(own), k)))
+    named = rules.select("rule_id", "match", "channel", F.explode(F.map_entries("match")).alias("_e")).select("rule_id", F.map_entries("match").alias("_match"), "channel", "_e")
+    uses = named.groupBy("_e").agg(F.count("*").alias("_uses"))
+    anchors = named.join(uses, "_e").groupBy("rule_id", "_match", "channel").agg(F.min_by("_e", F.struct("_uses", "_e")).alias("_e")).drop("rule_id")
+    looks = alerts.select("id", own.alias("_own")).select("id", "_own", F.explode(F.map_entries("_own")).alias("_e"))
+    fits = F.forall("_match", lambda e: F.coalesce(F.try_element_at("_own", e["key"]) == e["value"], F.lit(False)))
+    found = looks.join(if_small(anchors), "_e").where(fits).groupBy("id").agg(F.collect_set("channel").alias("_found"))
+    always = rules.where(F.size("match") == 0).agg(F.collect_set("channel").alias("_always"))  # one row
+    rows = route_alerts(alerts, ()).join(found, "id", "left").crossJoin(F.broadcast(always))
+    extra = F.array_sort(F.array_union(F.coalesce("_found", F.array().cast("array<string>")), F.col("_always")))
+    return rows.withColumn("channels", F.array_union("channels", extra)).drop("_found", "_always")
+
+
 def route_receiver(alerts: DataFrame) -> DataFrame:
     """The first receiver of the tree that matches, and how often it hears again."""
     receiver, repeat = None, None

@@ -207,3 +207,16 @@ def _(alerts):
 @query("s11_trim_history", "alerts", "SELECT id FROM alerts ORDER BY starts_at DESC, id DESC LIMIT 1000")
 def _(alerts):
     return audit.newest_alerts(alerts, 1000).select("id")
+
+
+@query(
+    "p16_route_by_rules", "alerts nation",
+    """WITH r AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'rule-' || CAST(n_nationkey % 6 AS VARCHAR) END AS a, CASE WHEN n_nationkey % 3 = 0 THEN 'ops-api' END AS s, 'team-' || CAST(n_nationkey % 5 AS VARCHAR) AS channel
+                      FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0),
+            m AS (SELECT id, list_sort(list(DISTINCT channel)) AS found FROM alerts JOIN r ON (a IS NULL OR a = alertname) AND (s IS NULL OR s = service) GROUP BY id)
+       SELECT id, array_to_string(list_concat(CASE severity WHEN 'critical' THEN ['chat', 'webhook'] WHEN 'warning' THEN ['chat'] ELSE ['webhook'] END, coalesce(found, [])), ',') AS channels FROM alerts LEFT JOIN m USING (id)""",
+)
+def _(alerts, nation):
+    named = F.expr("map_filter(map('alertname', CASE WHEN n_nationkey % 2 = 0 THEN concat('rule-', n_nationkey % 6) END, 'service', CASE WHEN n_nationkey % 3 = 0 THEN 'ops-api' END), (k, v) -> v IS NOT NULL)")
+    rules = nation.where("n_nationkey % 2 = 0 OR n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("rule_id"), named.alias("match"), F.expr("concat('team-', n_nationkey % 5)").alias("channel"))
+    return A.route_by_rules(alerts, rules).select("id", F.array_join("channels", ",").alias("channels"))

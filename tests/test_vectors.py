@@ -79,3 +79,12 @@ def test_node_cuts_pair_nothing(spark, monkeypatch):
     assert {r.request_id: r.n_nodes for r in df.collect()} == {i: sum(s < i for s in starts) for i in range(900)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_routing_rules_as_a_table(spark):
+    from opstables.operators import alerts
+
+    rows = spark.createDataFrame([(1, "A", "critical", "s", {"team": "x"}), (2, "A", "info", None, {"service": "s"}), (3, None, None, "t", None)], "id bigint, alertname string, severity string, service string, extra map<string,string>")
+    rules = [(1, {"alertname": "A", "service": "s"}, "pager"), (2, {"team": "x"}, "mail"), (3, {}, "log"), (4, None, "never"), (5, {"service": None}, "never"), (6, {"alertname": "A", "team": "y"}, "never"), (7, {"severity": "critical"}, "chat"), (8, {"service": "s"}, "log")]
+    got = {r.id: r.channels for r in alerts.route_by_rules(rows, spark.createDataFrame(rules, "rule_id bigint, match map<string,string>, channel string")).collect()}
+    assert got == {1: ["chat", "webhook", "log", "mail", "pager"], 2: ["webhook", "log", "pager"], 3: ["webhook", "log"]}
