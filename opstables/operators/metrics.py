@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +53,27 @@ def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def counter_increase(samples: DataFrame, labels: list[str], range_s: int) -> DataFrame:
     """Growth of a counter over the last range_s seconds at each sample (labels, t in seconds, value); a fall is a reset to 0.
 
-    Labels with many samples are cut into pieces of time; each has the last sample before it, and copies of the rows that its windows reach back to.
+    Labels with many samples are cut into pieces of time; each has the last sample before it.  A window is the end of one
+    block of range_s seconds and the beginning of the next: running sums from both ends of the blocks, one of each a sample, so
+    that the work doesn't grow with the samples in a window.  Nothing is subtracted, and no task has more than a block.
     """
     held = pieces(samples.select(*labels, "t", "value"), labels, "t").last_before(["t"], {"_before": F.struct("value")})
     before = F.col("_before.value")
     inc = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
-    near = replace(held, rows=held.rows.withColumn("_inc", inc).drop("_before", "value")).with_halo(range_s)
-    w = Window.partitionBy(*labels, "_piece").orderBy("t").rangeBetween(-(range_s - 1), 0)
-    return near.rows.withColumn("increase", F.sum("_inc").over(w)).where(~F.col("_halo")).select(*labels, "t", "increase")
+    rows = held.plain().select(*labels, "t", inc.alias("_inc"), F.floor(F.col("t") / range_s).alias("_piece"))
+    block = Window.partitionBy(*labels, "_piece")
+
+    def summed(order: Column) -> Column:
+        return F.sum("_inc").over(block.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+
+    rows = rows.select(*labels, "t", "_piece", summed(F.col("t").asc()).alias("_head"), summed(F.col("t").desc()).alias("_tail"))
+    # a sample's tail counts in the next block, up to where its time leaves the window
+    own = F.struct("t", "_piece", "_head", F.lit(None).cast("double").alias("_tail"), F.lit(1).alias("_side"))
+    later = F.struct((F.col("t") + (range_s - 1)).alias("t"), (F.col("_piece") + 1).alias("_piece"), F.lit(None).cast("double").alias("_head"), "_tail", F.lit(0).alias("_side"))
+    both = rows.select(*labels, F.inline(F.array(own, later))).where("_side = 1 OR t IS NOT NULL")
+    nearest = F.last("_tail", ignorenulls=True).over(block.orderBy(F.col("t").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0))
+    increase = F.coalesce(F.col("_head") + F.col("_rest"), "_head", "_rest")
+    return both.withColumn("_rest", nearest).where("_side = 1").select(*labels, "t", increase.alias("increase"))
 
 
 def counter_rate(samples: DataFrame, labels: list[str], range_s: int) -> DataFrame:

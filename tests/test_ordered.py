@@ -115,6 +115,18 @@ def test_counters(spark, cut, reach):
     assert out == want
 
 
+def test_windows_of_counters_are_running_sums(spark):
+    """No frame slides: a window of 25,000 samples costs a sample no more than one of two."""
+    samples = spark.range(50_000).selectExpr("'a' AS k", "id AS t", "CAST(id % 1000 AS DOUBLE) AS value")
+    df = metrics.counter_increase(samples.union(spark.sql("SELECT 'b', CAST(NULL AS BIGINT), 1D UNION ALL SELECT 'b', 3L, 2D")), ["k"], 25_000)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$" in plan and "RangeFrame, -" not in plan
+    # 999 of 1,000 samples grow by one, the first of a thousand falls to 0
+    want = {t: (t + 1 - -(-(t + 1) // 1000)) - (max(0, t - 24_999) - -(-max(0, t - 24_999) // 1000)) for t in range(0, 50_000, 997)}
+    assert {r.t: r.increase for r in df.where("k = 'a' AND t % 997 = 0").collect()} == want
+    assert {(r.t, r.increase) for r in df.where("k = 'b'").collect()} == {(None, 0.0), (3, 1.0)}
+
+
 def test_durations_and_rules(spark, cut):
     rng = random.Random(7)
     rows = [(k, t, rng.random() < 0.8) for k, n in (("a", 800), ("b", 20), (None, 50)) for t in range(n)]
