@@ -328,6 +328,18 @@ def test_next_fire_beyond_a_year_and_never(spark):
     assert str(far.next_fire_at) == "2104-02-29 00:00:00"
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_next_fire_of_a_pattern_is_worked_out_once(spark, monkeypatch, most):
+    from opstables.operators import ranks, schedule
+
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", most)
+    crons = spark.range(20_000).selectExpr("id", "element_at(array('0 0 30 2 *', '*/15 * * * *', NULL, '30 6 1 * *'), CAST(id % 4 + 1 AS INT)) AS cron")
+    df = schedule.next_fire(crons, "cron", "2024-01-31 12:00:00")
+    assert df.columns == ["id", "cron", "next_fire_at"] and "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.cron, str(r.next_fire_at), r["n"]) for r in df.groupBy("cron", "next_fire_at").agg(F.count("*").alias("n")).collect()}
+    assert got == {("0 0 30 2 *", "None", 5000), ("*/15 * * * *", "2024-01-31 12:15:00", 5000), (None, "None", 5000), ("30 6 1 * *", "2024-02-01 06:30:00", 5000)}
+
+
 def test_silences_beyond_the_broadcast_bound(spark, monkeypatch):
     rng = random.Random(1)
     pick = lambda *v: rng.choice(v)
