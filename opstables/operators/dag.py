@@ -14,6 +14,11 @@ from opstables.operators.conditions import Conditions, Term
 from opstables.sources.scratch import stored
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """A stored table whose joins are by shuffles: broadcasts would pass it through the driver, again in every round."""
+    return stored(df, label).hint("merge")
+
+
 #: Rounds that one job takes, and jobs after which the counts that they stored are joined to one table.
 ROUNDS_A_JOB, COMPACT_ROUNDS = 2, 8
 
@@ -21,7 +26,7 @@ ROUNDS_A_JOB, COMPACT_ROUNDS = 2, 8
 def _heads(steps: DataFrame, deps: DataFrame, declared: DataFrame) -> DataFrame:
     """(step, head, dist): steps that wait for one step only are so many places behind the head of their chain; others are heads themselves."""
     one = deps.join(declared.where("n = 1"), "step").select(F.col("step").alias("id"), F.col("depends_on").alias("from_id"))
-    rows = steps.join(one.withColumnRenamed("id", "step"), "step", "left").select(F.col("step").alias("id"), "from_id")
+    rows = steps.join(one.withColumnRenamed("id", "step").hint("merge"), "step", "left").select(F.col("step").alias("id"), "from_id")
     return lineage(rows).select(F.col("node").alias("step"), F.col("root").alias("head"), F.col("depth").alias("dist"))
 
 
@@ -32,16 +37,16 @@ def waves(steps: DataFrame, edges: DataFrame) -> DataFrame:
     logarithm of their length.  Between heads, a round takes the frontier, the heads that became ready; it stores the
     new counts of the heads that wait for these, and nothing else.  Counts of many rounds are joined now and then.
     """
-    deps = stored(edges.select("step", "depends_on").distinct(), "deps")
+    deps = _kept(edges.select("step", "depends_on").distinct(), "deps")
     declared = deps.groupBy("step").agg(F.count("*").alias("n"))
     names = steps.select("step").distinct()
-    heads = stored(_heads(names, deps, declared), "heads")
+    heads = _kept(_heads(names, deps, declared), "heads")
     own = heads.where("head = step").select("step")
     known = heads.select(F.col("step").alias("depends_on"), F.col("head").alias("waits_for"), "dist")
     # of several dependencies in one chain, the last counts; what has no head is never there
     waits = deps.join(own, "step", "left_semi").join(known, "depends_on", "left").groupBy("step", "waits_for").agg(F.max("dist").alias("dist"))
-    waits = stored(waits.withColumn("n", F.count("*").over(Window.partitionBy("step"))), "waits")
-    frontier = stored(own.join(declared, "step", "left_anti").select("step", F.lit(1).cast("long").alias("wave")), "waves")
+    waits = _kept(waits.withColumn("n", F.count("*").over(Window.partitionBy("step"))), "waits")
+    frontier = _kept(own.join(declared, "step", "left_anti").select("step", F.lit(1).cast("long").alias("wave")), "waves")
     done, counts = [frontier], []
 
     def met_by(ready: DataFrame, earlier: list[DataFrame]) -> DataFrame:
@@ -63,7 +68,7 @@ def waves(steps: DataFrame, edges: DataFrame) -> DataFrame:
             parts.append(met.withColumn("_round", F.lit(i)))
             ready = met.where("k = n").select("step", "wave")
             earlier.append(met.where("k < n"))
-        new = stored(reduce(DataFrame.unionByName, parts), "waves")
+        new = _kept(reduce(DataFrame.unionByName, parts), "waves")
         frontier = new.where(F.col("k") == F.col("n")).where(F.col("_round") == ROUNDS_A_JOB - 1).select("step", "wave")
         done.append(new.where("k = n").select("step", "wave"))
         counts.append(new.where("k < n").drop("_round"))
@@ -71,10 +76,11 @@ def waves(steps: DataFrame, edges: DataFrame) -> DataFrame:
             break
         if len(counts) == COMPACT_ROUNDS:
             ended = reduce(DataFrame.unionByName, done)
-            open_counts = reduce(DataFrame.unionByName, counts).join(ended.select("step"), "step", "left_anti")
-            done, counts = [stored(ended, "waves")], [stored(open_counts.groupBy("step").agg(F.max("k").alias("k"), F.max("wave").alias("wave"), F.max("n").alias("n")), "waves")]
+            open_counts = reduce(DataFrame.unionByName, counts).join(ended.select("step").hint("merge"), "step", "left_anti")
+            done, counts = [_kept(ended, "waves")], [_kept(open_counts.groupBy("step").agg(F.max("k").alias("k"), F.max("wave").alias("wave"), F.max("n").alias("n")), "waves")]
     found = reduce(DataFrame.unionByName, done).select(F.col("step").alias("head"), F.col("wave").alias("first"))
-    return names.join(heads.join(found, "head").select("step", (F.col("first") + F.col("dist")).cast("int").alias("wave")), "step", "left")
+    placed = heads.join(found, "head").select("step", (F.col("first") + F.col("dist")).cast("int").alias("wave"))
+    return names.join(placed.hint("merge"), "step", "left")
 
 
 #: Rounds in which steps at the ends of the graph are cut off before components are sought.
@@ -88,33 +94,33 @@ def cycle_steps(edges: DataFrame) -> DataFrame:
     of that name, back along the dependencies of its colour, are the members of its component.  They leave, and the rest
     is coloured anew.  A round is a step's distance; every pass finds a component for each colour.
     """
-    left = stored(edges.select("step", "depends_on").distinct(), "cycles")
+    left = _kept(edges.select("step", "depends_on").distinct(), "cycles")
     found = [left.where("step = depends_on").select("step")]
     for _ in range(TRIMS):
         inner = left.join(left.select(F.col("step").alias("depends_on")).distinct(), "depends_on", "left_semi")
-        inner = stored(inner.join(left.select(F.col("depends_on").alias("step")).distinct(), "step", "left_semi"), "cycles")
+        inner = _kept(inner.join(left.select(F.col("depends_on").alias("step")).distinct(), "step", "left_semi"), "cycles")
         n, left = left.count(), inner
         if inner.count() == n:
             break
     while not left.isEmpty():
-        colour = stored(left.select("step").unionByName(left.select(F.col("depends_on").alias("step"))).distinct().withColumn("colour", F.col("step")), "colours")
+        colour = _kept(left.select("step").unionByName(left.select(F.col("depends_on").alias("step"))).distinct().withColumn("colour", F.col("step")), "colours")
         changed = colour
         while not changed.isEmpty():
             offers = left.join(changed.withColumnsRenamed({"step": "depends_on", "colour": "offer"}), "depends_on").groupBy("step").agg(F.max("offer").alias("offer"))
-            both = stored(colour.join(offers, "step", "left").select("step", F.greatest("colour", "offer").alias("colour"), F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("new")), "colours")
+            both = _kept(colour.join(offers, "step", "left").select("step", F.greatest("colour", "offer").alias("colour"), F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("new")), "colours")
             colour, changed = both.select("step", "colour"), both.where("new").select("step", "colour")
         inside = left.join(colour, "step").join(colour.withColumnsRenamed({"step": "depends_on", "colour": "c"}), "depends_on").where("colour = c")
-        inside = stored(inside.select("step", "depends_on", "colour"), "cycles")
-        members = frontier = stored(colour.where("step = colour").select("step"), "members")
+        inside = _kept(inside.select("step", "depends_on", "colour"), "cycles")
+        members = frontier = _kept(colour.where("step = colour").select("step"), "members")
         while not frontier.isEmpty():
             back = inside.join(frontier, "step", "left_semi").select(F.col("depends_on").alias("step")).distinct()
-            frontier = stored(back.join(members, "step", "left_anti"), "members")
+            frontier = _kept(back.join(members.hint("merge"), "step", "left_anti"), "members")
             members = members.unionByName(frontier)
-        members = stored(members.join(colour, "step"), "members")
+        members = _kept(members.join(colour, "step"), "members")
         sizes = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         found.append(members.join(sizes, "colour", "left_semi").select("step"))
         rest = left.join(members.select("step"), "step", "left_anti")
-        left = stored(rest.join(members.select(F.col("step").alias("depends_on")), "depends_on", "left_anti"), "cycles")
+        left = _kept(rest.join(members.select(F.col("step").alias("depends_on")), "depends_on", "left_anti"), "cycles")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -216,13 +222,13 @@ def check_dag(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """
     names = steps.select("step").distinct()
     twice = steps.groupBy("step").count().where("count > 1").select("step", F.lit("duplicate step").alias("problem"))
-    unknown = edges.join(names.withColumnRenamed("step", "depends_on"), "depends_on", "left_anti").select("step", F.lit("unknown dependency").alias("problem")).distinct()
-    stuck = stored(waves(steps, edges).where("wave IS NULL").select("step"), "stuck")
+    unknown = edges.join(names.withColumnRenamed("step", "depends_on").hint("merge"), "depends_on", "left_anti").select("step", F.lit("unknown dependency").alias("problem")).distinct()
+    stuck = _kept(waves(steps, edges).where("wave IS NULL").select("step"), "stuck")
     found = twice.unionByName(unknown)
     if not stuck.isEmpty():
         among = edges.select("step", "depends_on").join(stuck, "step", "left_semi").join(stuck.withColumnRenamed("step", "depends_on"), "depends_on", "left_semi")
         cycle = cycle_steps(among)
-        blocked = stuck.join(cycle, "step", "left_anti").join(unknown.select("step"), "step", "left_anti")
+        blocked = stuck.join(cycle, "step", "left_anti").join(unknown.select("step").hint("merge"), "step", "left_anti")
         found = found.unionByName(cycle.withColumn("problem", F.lit("cycle"))).unionByName(blocked.withColumn("problem", F.lit("blocked")))
     if not {"on_failure", "fallback"} <= set(steps.columns):
         return found
@@ -238,14 +244,14 @@ def lineage(edges: DataFrame, node: str = "id", parent: str = "from_id") -> Data
     is not among the nodes is a root.
     """
     start = edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col(parent).isNull().alias("done"))
-    now = stored(start, "lineage")
+    now = _kept(start, "lineage")
     for _ in range(max(1, now.count()).bit_length() + 1):
         left = now.where("NOT done")
         if left.isEmpty():
             break
         above = now.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
         moved = left.join(above, F.col("up") == F.col("_n"), "left").select("node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done"))
-        now = stored(now.where("done").unionByName(moved), "lineage")
+        now = _kept(now.where("done").unionByName(moved), "lineage")
     return now.select("node", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 

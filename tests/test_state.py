@@ -241,6 +241,22 @@ def test_check_dag_by_brute_force(spark):
     assert found.where("problem = 'cycle'").count() > 0
 
 
+def test_rounds_of_graphs_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label, stored=dag.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(dag, "stored", kept)
+    edges = spark.createDataFrame([(i, j) for i in range(1, 40) for j in {i // 2, i // 3}] + [(20, 40), (40, 20)], "step bigint, depends_on bigint")
+    names = edges.select("step").union(edges.select("depends_on")).distinct()
+    found = [dag.waves(names, edges), dag.check_dag(names, edges), dag.lineage(edges.where("step < 40").groupBy("step").agg(F.max("depends_on").alias("d")), "step", "d")]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in found]
+    assert len(plans) > 20 and sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_lineage_chain(spark):
     edges = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)], "id bigint, from_id bigint")
     got = {r.node: (r.root, r.depth) for r in dag.lineage(edges).collect()}
