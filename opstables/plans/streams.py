@@ -1,9 +1,11 @@
 """Streaming operators run over the tables' files until these are read (trigger availableNow)."""
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from opstables.operators import fsm
 from opstables.plans import fixtures, recursion
@@ -132,18 +134,18 @@ def _(conversations):
 _register("t4_chunk_stream", "conversations", lambda s: _shown(T.chunks(_chunk_rows(s))), sql=_CHUNKS)
 
 
-def _drained(writer, base: str) -> None:
-    q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-
+def _in_batches(spark: SparkSession, base: str, writer: Callable[[DataFrame], DataStreamWriter], *parts: DataFrame) -> None:
+    """Runs the writer's stream over each part as a batch of its own, in order; a part is as many files as its tasks write, and all are one batch.
 
-def _in_batches(spark: SparkSession, base: str, *parts: DataFrame) -> DataFrame:
-    """A stream that takes each part as a batch of its own, in order."""
+    The stream goes on from its checkpoint when the next part is there.
+    """
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{base}/in")
+        q = writer(stream).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
 
 
 def _folder(spark: SparkSession) -> str:
@@ -155,8 +157,7 @@ def _t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _folder(spark)
     events = _events(spark.read.parquet(f"{sf_dir}/events.parquet")).drop("value")
     table = KeyedTable(spark, f"{base}/latest", ["task_id"], ("created_at", "id"))
-    stream = _in_batches(spark, base, *(events.where(f"id % 3 = {i}") for i in (2, 0, 1)))
-    _drained(T.latest_table(stream, table, ["task_id", "event", "created_at", "id"]), base)
+    _in_batches(spark, base, lambda s: T.latest_table(s, table, ["task_id", "event", "created_at", "id"]), *(events.where(f"id % 3 = {i}") for i in (2, 0, 1)))
     return table.read().select("task_id", "event")
 
 
@@ -174,8 +175,8 @@ def _t3(part: str):
         outbox, dead = KeyedTable(spark, f"{base}/outbox", ["id"]), KeyedTable(spark, f"{base}/dead", ["id"])
         outbox.merge(fixtures.view(spark, sf_dir, "callback_outbox").select("id", "delivery_status", F.col("attempt_count").cast("int").alias("attempt_count"), F.lit(None).cast("bigint").alias("next_attempt_us")))
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        outcomes = _in_batches(spark, base, *(events.selectExpr("event_id AS id", f"(event_id + {i}) % 5 = 0 AS delivered") for i in range(3)))
-        _drained(T.outbox_updates(outcomes, outbox, fixtures.EVENTS_AS_OF, dead), base)
+        outcomes = (events.selectExpr("event_id AS id", f"(event_id + {i}) % 5 = 0 AS delivered") for i in range(3))
+        _in_batches(spark, base, lambda s: T.outbox_updates(s, outbox, fixtures.EVENTS_AS_OF, dead), *outcomes)
         if part == "rows":
             return outbox.read()
         letters = dead.read().withColumn("died_at", F.expr("CASE WHEN id % 2 = 0 THEN died_at - INTERVAL 31 DAY ELSE died_at END"))
@@ -200,7 +201,7 @@ def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedules, fired = KeyedTable(spark, f"{base}/schedules", ["schedule_id"]), KeyedTable(spark, f"{base}/fired", ["idempotency_key"])
     schedules.merge(fixtures.view(spark, sf_dir, "schedules").withColumn("cron_expr", F.expr("CASE WHEN schedule_id % 2 = 0 THEN '30 6 1 * *' ELSE '0 0 29 2 *' END")))
     ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"))
-    _drained(T.cron_ticks(_in_batches(spark, base, ticks, ticks), schedules, fired), base)
+    _in_batches(spark, base, lambda s: T.cron_ticks(s, schedules, fired), ticks, ticks)
     return fired.read().select("schedule_id", "tenant_id", "idempotency_key").join(schedules.read().select("schedule_id", "next_fire_at"), "schedule_id")
 
 
@@ -223,8 +224,8 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _folder(spark)
     cache = fixtures.view(spark, sf_dir, "task_cache").drop("tenant_id", "callback_url")
     actions = KeyedTable(spark, f"{base}/actions", ["task_id"])
-    stream = _in_batches(spark, base, cache.where("task_id % 3 <> 0"), cache.where("task_id % 3 <> 1"))
-    _drained(T.stuck_actions(stream, fixtures.view(spark, sf_dir, "leases"), lambda: fixtures.TASKS_AS_OF, actions, lambda: orders_of(spark, sf_dir)), base)
+    leases = fixtures.view(spark, sf_dir, "leases")
+    _in_batches(spark, base, lambda s: T.stuck_actions(s, leases, lambda: fixtures.TASKS_AS_OF, actions, lambda: orders_of(spark, sf_dir)), cache.where("task_id % 3 <> 0"), cache.where("task_id % 3 <> 1"))
     return actions.read().select("task_id", "action", "delay_ms")
 
 

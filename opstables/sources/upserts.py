@@ -71,7 +71,8 @@ class KeyedTable:
         rows = self.spark.read.schema(known.add("_version", "long")).parquet(*(f"{self.path}/{p}" for p in commit["parts"]))
         if len(commit["parts"]) == 1:
             return rows.drop("_version")
-        return self._latest(rows, [*self.order, "_version"]).drop("_version")
+        # a part has a key once: what a task reads of them needn't be sorted before the shuffle
+        return self._latest(rows.repartition(*self.keys), [*self.order, "_version"]).drop("_version")
 
     def _latest(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """One row a key: the last by order."""

@@ -177,6 +177,23 @@ def test_stuck_actions_are_deduplicated(spark, tmp_path):
     assert counts == [[0, 1, 2], [], [0, 1, 2]]
 
 
+def test_a_part_of_many_files_is_one_batch(spark, monkeypatch, tmp_path):
+    """No task writes or reads a whole batch, and the batches come in order, an empty one too."""
+    parts = [spark.range(1000).repartition(3), spark.range(0).repartition(1), spark.range(500, 2000).repartition(5)]
+    seen = []
+    streams._in_batches(spark, str(tmp_path), lambda s: s.writeStream.foreachBatch(lambda df, n: seen.append((n, df.rdd.getNumPartitions() > 1, df.count()))), *parts)
+    assert [(n, rows) for n, _, rows in seen] == [(0, 1000), (1, 0), (2, 1500)] and seen[0][1] and seen[2][1]
+
+
+def test_tables_of_many_parts_are_not_sorted_before_the_shuffle(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["id"])
+    for n in range(3):
+        table.merge(spark.range(n, 10).selectExpr("id", f"'{n}' AS v"))
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(id") > plan.rindex("Sort") and plan.count("Exchange") == 1
+    assert {(r.id, r.v) for r in table.read().collect()} == {(i, str(min(i, 2))) for i in range(10)}
+
+
 def test_dead_letters_are_retained_for_30_days(spark):
     rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2023, 12, 1))], "id int, died_at timestamp")
     assert [r.id for r in T.retained_dead_letters(rows, "2024-01-05 00:00:00").collect()] == [1]
