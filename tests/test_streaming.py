@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,80 @@ def test_windows_rules_and_alerts_in_one_query(spark, tmp_path):
     progress = [p for p in q.recentProgress if p.stateOperators]
     assert len(progress) >= 20 and all(op.numRowsTotal <= 12 for p in progress for op in p.stateOperators)
     assert sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators) >= 1
+
+
+def test_a_key_of_a_fold_takes_few_calls_of_the_state():
+    """Each is a message to the JVM and back: a key whose rows wait once and are folded at its timer takes five, and gives no empty frames."""
+    from pyspark.sql.types import BooleanType, LongType, StructType
+
+    from opstables.streaming.state import OrderedFold
+
+    calls = []
+
+    class Handle:
+        """A handle of one key: values and maps in dictionaries."""
+
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        def getMapState(self, name, key, schema):
+            return Map(name)
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("no timer", at))
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def exists(self):
+            calls.append((self.name, "exists"))
+            return self.held is not None
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return self.held
+
+        def update(self, held):
+            calls.append((self.name, "update"))
+            self.held = held
+
+        def clear(self):
+            calls.append((self.name, "clear"))
+            self.held = None
+
+    class Map(Value):
+        def __init__(self, name):
+            self.name, self.held = name, {}
+
+        def keys(self):
+            calls.append((self.name, "keys"))
+            return iter(self.held)
+
+        def getValue(self, key):
+            calls.append((self.name, "get"))
+            return self.held[key]
+
+        def updateValue(self, key, held):
+            calls.append((self.name, "update"))
+            self.held[key] = held
+
+        def removeKey(self, key):
+            calls.append((self.name, "remove"))
+            del self.held[key]
+
+    class Timers:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    given = StructType.fromDDL("entity long, " + fsm.BREAKER_ROWS)
+    one = OrderedFold({"us": LongType(), "id": LongType(), "ok": BooleanType()}, given, fsm.breaker_step(2, 60.0), fsm.BREAKER_START, "failures int, failed double, until double", lambda s: None, lambda s: (None, []))
+    one.init(Handle())
+    frame = pd.DataFrame({"us": [3_000_000, 1_000_000, 2_000_000], "id": [3, 1, 2], "ok": [False, True, False]})
+    assert list(one.handleInputRows((7,), iter([frame]), Timers(0))) == []
+    got = list(one.handleExpiredTimer((7,), Timers(10_000), None))
+    assert [f.values.tolist() for f in got] == [[[7, 1, "closed", 0], [7, 2, "closed", 1], [7, 3, "open", 0]]]
+    assert len(calls) == 5, calls
