@@ -28,6 +28,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ VOCABULARY_WORDS, VOCABULARY_BYTES = 250_000, 48
 #: Words (and bytes of them) that a task remembers; bytes of text that wait for a replay; bytes of words replayed together.
 REMEMBERED_WORDS, REMEMBERED_BYTES = 250_000, 30_000_000
 WAITING_BYTES, REPLAYED_BYTES = 16_000_000, 1_500_000
+#: Ids that are decoded together.
+DECODED_IDS = 2_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -168,14 +171,16 @@ class Merges:
 Vocabulary = tuple[list[str], np.ndarray, np.ndarray]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], tokens: frozenset[bytes], pattern: str) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
     """(word, n): words that are no tokens and not too long, counted in parts of a task."""
     split, counts = regex.compile(pattern), Counter()
 
     def found() -> pa.RecordBatch:
-        rows = [(w, n) for w, n in counts.items() if len(b := w.encode()) <= VOCABULARY_BYTES and b not in tokens]
+        rows = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        short = pa.compute.less_equal(pa.compute.binary_length(rows.column("word")), VOCABULARY_BYTES)
+        new = np.fromiter((w.encode() not in ranks for w in counts), bool, len(counts))
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+        return rows.filter(pa.compute.and_(short, pa.array(new)))
 
     for batch in batches:
         for part in slices(batch):
@@ -192,9 +197,12 @@ def corpus_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mo
     Words are taken by classes of like counts (16 to a doubling), the largest first, as long as they are at
     most `most`: so no task sorts the vocabulary, and the classes are some hundreds, whatever the corpus.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, of fixed size
+    return _vocabulary(docs, docs.sparkSession.sparkContext.broadcast(Merges(ranks)), pattern, most)  # a vocabulary file, of fixed size
+
+
+def _vocabulary(docs: DataFrame, shared: Broadcast, pattern: str, most: int) -> Vocabulary:
     rows = docs.select(text_col().alias("text"))
-    counted = rows.mapInArrow(lambda it: _counted(it, frozenset(shared.value), pattern), "word string, n long")
+    counted = rows.mapInArrow(lambda it: _counted(it, shared.value.ranks, pattern), "word string, n long")
     several = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = stored(several.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")), "word-counts")
     limit, left = 1 << 30, most
@@ -205,9 +213,8 @@ def corpus_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mo
     words = counts.where(F.col("class") >= limit)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(shared.value)
         for batch in batches:
-            found = merges.encode([w.encode() for w in batch.column("word").to_pylist()])
+            found = shared.value.encode([w.encode() for w in batch.column("word").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.binary())], names=["word", "ids"])
 
     encoded = words.select("word").repartition("word").mapInArrow(replay, "word string, ids binary").toArrow()  # most rows of bounded size
@@ -252,8 +259,8 @@ class _Words:
         return np.diff(stops[np.concatenate([[0], np.cumsum(sizes)])]), self.ids[0][places]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    words, split = _Words(Merges(ranks), vocabulary), regex.compile(pattern)
+def _encode(batches: Iterator[pa.RecordBatch], merges: Merges, pattern: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    words, split = _Words(merges, vocabulary), regex.compile(pattern)
     waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -286,26 +293,55 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = V
     words of the corpus that are encoded beforehand (the time depends on it, not the ids).
     """
     spark = docs.sparkSession.sparkContext
-    shared = spark.broadcast((ranks, corpus_vocabulary(docs, ranks, pattern, most)))  # a file of fixed size, and at most `most` bounded words
+    table = spark.broadcast(Merges(ranks))  # a file of fixed size; tasks would take longer to make it of the ranks
+    shared = spark.broadcast(_vocabulary(docs, table, pattern, most))  # at most `most` bounded words
     rows = docs.select("doc_id", text_col().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = shared.value
-        return _encode(batches, table, pattern, vocabulary)
+        return _encode(batches, table.value, pattern, shared.value)
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.ListArray]]:
+    """(first row, ids) of the batch in runs of rows of at most DECODED_IDS ids (a longer row is a run of its own)."""
+    ids = batch.column("ids")
+    sizes = pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > DECODED_IDS:
+            yield start, ids.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(ids):
+        yield start, ids.slice(start)
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """All columns of encoded and decoded (binary): the bytes of the ids.  Null ids decode to null."""
-    shared = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    shared = encoded.sparkSession.sparkContext.broadcast((tokens, np.array(sorted(ranks.values()), np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        table, known = pa.array(shared.value[0], pa.large_binary()), shared.value[1]
+        gaps = np.ones(len(table), bool)
+        gaps[known] = False
         for batch in batches:
-            ids = batch.column("ids")
-            decoded = [None if x is None else b"".join(map(token, x)) for x in map(lambda v: v.values.to_numpy().tolist() if v.is_valid else None, ids)]
-            yield batch.append_column("decoded", pa.array(decoded, pa.binary()))
+            for start, part in _bounded(batch):
+                ids = part.values.slice(part.offsets[0].as_py(), part.offsets[-1].as_py() - part.offsets[0].as_py())
+                at = ids.to_numpy(zero_copy_only=False)
+                if ids.null_count or (gaps.any() and gaps[at].any()):
+                    raise ValueError("an id that is no token")
+                # the bytes of all tokens one after another; a document's are those between its offsets
+                spelled = table.take(ids)
+                ends = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, 8 * spelled.offset) if len(spelled) else np.zeros(1, np.int64)
+                stops = part.offsets.to_numpy() - part.offsets[0].as_py()
+                data = spelled.buffers()[2] if len(spelled) else pa.py_buffer(b"")
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[stops].astype(np.int64)), data])
+                decoded = pa.compute.if_else(part.is_valid(), decoded.cast(pa.binary()), pa.scalar(None, pa.binary()))
+                yield batch.slice(start, len(part)).append_column("decoded", decoded)
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 

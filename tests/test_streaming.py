@@ -315,7 +315,7 @@ def test_windows_rules_and_alerts_in_one_query(spark, tmp_path):
     assert sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators) >= 1
 
 
-def test_a_key_of_a_fold_takes_few_calls_of_the_state():
+def test_a_key_of_a_fold_takes_few_calls_of_the_state(spark):
     """Each is a message to the JVM and back: a key whose rows wait once and are folded at its timer takes five, and gives no empty frames."""
     from pyspark.sql.types import BooleanType, LongType, StructType
 
