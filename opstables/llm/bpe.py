@@ -259,8 +259,8 @@ class _Words:
         return np.diff(stops[np.concatenate([[0], np.cumsum(sizes)])]), self.ids[0][places]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], merges: Merges, pattern: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    words, split = _Words(merges, vocabulary), regex.compile(pattern)
+def _encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int] | Merges, pattern: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    words, split = _Words(Merges(ranks) if isinstance(ranks, dict) else ranks, vocabulary), regex.compile(pattern)
     waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -303,13 +303,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = V
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _bounded(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.ListArray]]:
-    """(first row, ids) of the batch in runs of rows of at most DECODED_IDS ids (a longer row is a run of its own)."""
+def _decoded(rows: pa.ListArray, table: pa.LargeBinaryArray, gaps: np.ndarray) -> pa.BinaryArray:
+    """The bytes of each row's ids: those of all its tokens, one after another, lie between two offsets.  gaps: ids that are no tokens."""
+    offsets = rows.offsets.to_numpy()
+    ids = rows.values.slice(offsets[0], offsets[-1] - offsets[0])
+    if ids.null_count or (gaps.any() and gaps[ids.to_numpy()].any()):
+        raise ValueError("an id that is no token")
+    spelled = table.take(ids)
+    ends, data = np.zeros(1, np.int64), pa.py_buffer(b"")
+    if len(spelled):
+        ends, data = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, 8 * spelled.offset), spelled.buffers()[2] or data
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends[offsets - offsets[0]]), data])
+    return pa.compute.if_else(rows.is_valid(), found.cast(pa.binary()), pa.scalar(None, pa.binary()))
+
+
+def _bounded(batch: pa.RecordBatch, most: int = DECODED_IDS) -> Iterator[tuple[int, pa.ListArray]]:
+    """(first row, ids) of the batch in runs of rows of at most `most` ids (a longer row is a run of its own)."""
     ids = batch.column("ids")
     sizes = pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and total + n > DECODED_IDS:
+        if i > start and total + n > most:
             yield start, ids.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -330,18 +344,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         gaps[known] = False
         for batch in batches:
             for start, part in _bounded(batch):
-                ids = part.values.slice(part.offsets[0].as_py(), part.offsets[-1].as_py() - part.offsets[0].as_py())
-                at = ids.to_numpy(zero_copy_only=False)
-                if ids.null_count or (gaps.any() and gaps[at].any()):
-                    raise ValueError("an id that is no token")
-                # the bytes of all tokens one after another; a document's are those between its offsets
-                spelled = table.take(ids)
-                ends = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, 8 * spelled.offset) if len(spelled) else np.zeros(1, np.int64)
-                stops = part.offsets.to_numpy() - part.offsets[0].as_py()
-                data = spelled.buffers()[2] if len(spelled) else pa.py_buffer(b"")
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[stops].astype(np.int64)), data])
-                decoded = pa.compute.if_else(part.is_valid(), decoded.cast(pa.binary()), pa.scalar(None, pa.binary()))
-                yield batch.slice(start, len(part)).append_column("decoded", decoded)
+                yield batch.slice(start, len(part)).append_column("decoded", _decoded(part, table, gaps))
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 

@@ -399,3 +399,23 @@ def test_a_megabyte_of_any_start_is_scanned_in_time(piece):
     began = time.perf_counter()
     secrets.find_spans(text)
     assert time.perf_counter() - began < 5
+
+
+def test_ids_are_decoded_by_columns():
+    """Slices, nulls, empty rows and rows beyond the bound; a null id or an unknown one fails."""
+    import numpy as np
+    import pyarrow as pa
+
+    from opstables.llm import bpe
+
+    rows = [[1, 2], None, [], [3] * 7, [0, 3], []]
+    table = [b"a", b"bc", "ä".encode(), b""]
+    column = pa.array([[0], *rows, [1]], pa.list_(pa.int32())).slice(1, len(rows))
+    got = bpe._decoded(column, pa.array(table, pa.large_binary()), np.zeros(4, bool))
+    assert got.to_pylist() == [None if x is None else b"".join(table[i] for i in x) for x in rows] and got.type == pa.binary()
+    assert bpe._decoded(column.slice(1, 2), pa.array(table, pa.large_binary()), np.zeros(4, bool)).to_pylist() == [None, b""]
+    batch = pa.RecordBatch.from_arrays([column], names=["ids"])
+    assert [(at, len(part)) for at, part in bpe._bounded(batch, 5)] == [(0, 3), (3, 1), (4, 2)]
+    for wrong in ([None], [7], [2]):
+        with pytest.raises((ValueError, IndexError)):
+            bpe._decoded(pa.array([wrong], pa.list_(pa.int32())), pa.array(table, pa.large_binary()), np.array([False, False, True, False]))
