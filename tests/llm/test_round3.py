@@ -419,3 +419,23 @@ def test_ids_are_decoded_by_columns():
     for wrong in ([None], [7], [2]):
         with pytest.raises((ValueError, IndexError)):
             bpe._decoded(pa.array([wrong], pa.list_(pa.int32())), pa.array(table, pa.large_binary()), np.array([False, False, True, False]))
+
+
+def test_words_are_found_and_hashed_by_columns(monkeypatch):
+    """As bytes.split() gives them: every white space, empty texts, zeros, words of every length up to and over the bound; equal hashes for equal words only."""
+    from opstables.llm import substrings
+
+    rng = random.Random(5)
+    alphabet = ["a", "b", "ä", "\0", " ", "\u0085", "語"]
+    words = ["".join(rng.choices(alphabet, k=rng.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(300)] + ["x" * n for n in range(1, 300)] + ["a\0", "a", "a\0\0"]
+    texts = ["", " \t", *("".join(w + rng.choice([" ", "\t", "\n\n", "\x0b", "\x0c", "\r"]) for w in rng.choices(words, k=200)) for _ in range(20)), "end", ""]
+    raw = [t.encode() for t in texts]
+    w = substrings.Words(raw)
+    split = [x for t in raw for x in t.split()]
+    assert w.size.tolist() == [len(t.split()) for t in raw] and w.doc.tolist() == [i for i, t in enumerate(raw) for _ in t.split()]
+    assert len(set(zip(split, w.hash.tolist(), strict=True))) == len(set(split)) == len(set(w.hash.tolist()))
+    assert len(substrings.Words([]).hash) == 0 and len(substrings.Words([b""]).hash) == 0
+    calls = []
+    monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda b: calls.append(b) or 0)
+    substrings.Words([b"short words " * 100 + b"y" * 300])
+    assert calls == [b"y" * 300]  # only long ones are hashed one by one
