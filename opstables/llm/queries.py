@@ -50,7 +50,7 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str, path: str | None = None
     import public_tokenizers  # only this operator needs it
 
     ranks = bpe.load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -439,3 +439,70 @@ def test_words_are_found_and_hashed_by_columns(monkeypatch):
     monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda b: calls.append(b) or 0)
     substrings.Words([b"short words " * 100 + b"y" * 300])
     assert calls == [b"y" * 300]  # only long ones are hashed one by one
+
+
+def test_cuts_change_no_match():
+    import regex
+    from opstables.llm import bpe
+
+    split, cuts = regex.compile(bpe.SPACED), bpe.Cuts(bpe.SPACED)
+    rng = random.Random(13)
+    parts = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "Zz", "\xe9", "\u4e2d", "7", "\xbd", "'s", "'", ".", ",", "!?", "\u0301", "\U0001f600", "\x00"]
+    texts = ["", " ", "  ", " a", "a ", "a b  c\n d \ne", *("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(20_000))]
+    for text in texts:
+        assert [w for p in cuts.pieces(text) for w in cuts.words(p)] == split.findall(text), repr(text)
+    # the rules about single characters hold for every one
+    for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))):
+        text = f"x {c} {c}. q{c}"
+        assert [w for p in cuts.pieces(text) for w in cuts.words(p)] == split.findall(text), hex(ord(c))
+    other = bpe.Cuts(r"\w+|\W")
+    assert [w for p in other.pieces("a b  c") for w in other.words(p)] == ["a", " ", "b", " ", " ", "c"]
+
+
+@pytest.mark.parametrize("remembered", [3, 400_000])
+def test_the_pattern_goes_over_a_piece_once(monkeypatch, remembered):
+    import pyarrow as pa
+    from opstables.llm import bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 256, b"bc": 257, b" abc": 258, b"aa": 300}
+    texts = ["abc abc, aaaa\n x", "", " abc abc,  abc's", None, "aaaaaaa abc, q"] * 50
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t or ""} for i, t in enumerate(texts)], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    want = [r for b in bpe._encode(iter([batch]), ranks, f"(?:{bpe.SPACED})", ([], bpe.np.zeros(0, bpe.np.int32), bpe.np.zeros(1, bpe.np.int64))) for r in b.to_pylist()]
+    monkeypatch.setattr(bpe, "REMEMBERED_PIECES", remembered)
+    seen, findall = [], bpe.Cuts._words
+    monkeypatch.setattr(bpe.Cuts, "_words", lambda self, piece: seen.append(piece) or findall(self, piece))
+    got = [r for b in bpe._encode(iter([batch]), ranks, bpe.SPACED, ([], bpe.np.zeros(0, bpe.np.int32), bpe.np.zeros(1, bpe.np.int64))) for r in b.to_pylist()]
+    assert got == want and len(got) == len(texts)
+    assert len(seen) == len(set(seen)) < 20
+
+
+def test_a_band_of_ranks_is_one_step(monkeypatch):
+    from opstables.llm import bpe
+
+    rng = random.Random(14)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 900:
+        a, b = rng.choice(list(ranks)[97:99] + list(ranks)[256:] or [b"a"]), rng.choice(list(ranks)[97:100])
+        if len(a + b) < 8:
+            ranks.setdefault(a + b, len(ranks))
+        ranks.setdefault(bytes(rng.choices(b"abcd", k=rng.randrange(2, 6))), len(ranks))
+    words = sorted({bytes(rng.choices(b"abcd", k=rng.randrange(1, 40))) for _ in range(400)} | {b"a" * 5_000, b"ab" * 3_000})
+    steps, heappop = [], bpe.heapq.heappop
+    monkeypatch.setattr(bpe.heapq, "heappop", lambda queue: steps.append(1) or heappop(queue))
+    got, n = {}, {}
+    for band in (1, 64, 4096):
+        monkeypatch.setattr(bpe, "BAND", band)
+        steps.clear()
+        got[band], n[band] = bpe.Merges(ranks).encode(words), len(steps)
+    assert got[1] == got[64] == got[4096] and n[64] < n[1]
+
+
+def test_ids_are_decoded_where_they_are_made(spark):
+    from opstables.llm import bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 256, b"bc": 257}
+    docs = spark.createDataFrame([(1, "abc  bc\n\xe9"), (2, None), (3, "")], "doc_id long, text string")
+    found = bpe.round_trip(docs, ranks, bpe.SPACED)
+    assert sorted(found.collect()) == sorted(bpe.decode(bpe.encode(docs, ranks, bpe.SPACED), ranks).collect())
+    assert {r.doc_id: bytes(r.decoded).decode() for r in found.collect()} == {1: "abc  bc\n\xe9", 2: "", 3: ""}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
