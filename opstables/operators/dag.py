@@ -139,12 +139,15 @@ def ready_after(steps: DataFrame, edges: DataFrame, runs: DataFrame, completed:
     """I2 over rows: steps (step), edges (step, depends_on), runs (run_id), completed and failed (run_id, step).
 
     A run's completed steps meet the edges that wait for them; a step is ready when as many are complete as it declares.
+    Each edge carries that number: rows of runs are many times those of steps, and most are of a few steps that all runs
+    come to, so they are joined by a step once only, and then stay where their run and step put them.
     """
-    deps = edges.distinct()
-    declared = deps.groupBy("step").agg(F.count("*").alias("n"))
-    met = completed.distinct().withColumnRenamed("step", "depends_on").join(deps, "depends_on").groupBy("run_id", "step").agg(F.count("*").alias("k"))
-    waited = met.join(declared, "step").where("k = n").select("run_id", "step").join(steps.select("step").distinct(), "step", "left_semi").select("run_id", "step")
-    bare = steps.select("step").distinct().join(declared, "step", "left_anti")
+    deps = edges.select("step", "depends_on").distinct()
+    listed = steps.select("step").distinct()
+    numbered = deps.join(listed, "step", "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("step")))
+    met = completed.distinct().withColumnRenamed("step", "depends_on").join(numbered, "depends_on").groupBy("run_id", "step").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    waited = met.where("k = n").select("run_id", "step")
+    bare = listed.join(deps, "step", "left_anti")
     first = [F.lit(r["step"]) for r in bare.limit(FIRST_STEPS + 1).collect()]
     runs = runs.select("run_id").distinct()
     if len(first) <= FIRST_STEPS:

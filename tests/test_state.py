@@ -171,6 +171,17 @@ def test_first_steps_are_paired_either_way(spark, monkeypatch):
             assert "Join Cross" not in plan and "Join Inner\n" not in plan
 
 
+def test_rows_of_runs_are_joined_by_a_step_once(spark):
+    steps = spark.createDataFrame([(s,) for s in (0, 1, 2, 3, None)], "step bigint")
+    edges = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, 0), (3, None), (None, 0), (9, 0)], "step bigint, depends_on bigint")
+    runs = spark.createDataFrame([(1,), (2,)], "run_id bigint")
+    done, failed = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 0)], "run_id bigint, step bigint"), spark.createDataFrame([], "run_id bigint, step bigint")
+    found = dag.ready_after(steps.where("step IS NOT NULL"), edges, runs, done, failed)
+    assert sorted((r.run_id, r.step) for r in found.collect()) == [(1, 2), (2, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
 def test_cluster_choice_by_brute_force(spark):
     from opstables.operators import registry
 
